@@ -63,7 +63,7 @@ def map_arrow(df: DataFrame, schema: str, kernel: Callable[[Iterator[pa.RecordBa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    out = to_arrow_schema(StructType.fromDDL(schema), timezone="UTC")
+    out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in kernel(slices(batches)):
