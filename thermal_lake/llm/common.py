@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows that a kernel turns into Python objects at once, so that very long texts stay bounded.
 SLICE = 512
+SLICE_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +53,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    def halves(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if batch.num_rows > 1 and batch.nbytes > size:
+            yield from halves(batch.slice(0, batch.num_rows // 2))
+            yield from halves(batch.slice(batch.num_rows // 2))
+        else:
+            yield batch
+
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+            yield from halves(batch.slice(start, rows))
 
 
 def map_arrow(df: DataFrame, schema: str, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:

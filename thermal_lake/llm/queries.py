@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermal_lake.llm import bpe, language_id, secret_scan
+from thermal_lake.llm import bpe, brown, language_id, secret_scan
 from thermal_lake.llm.common import documents, held_out
 
 
@@ -17,6 +17,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = held_out(F.col("doc_id"), 7)
+    return brown.score(docs, ~held).withColumn("held_out", held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path(), tokens=False)
 
@@ -32,6 +38,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_brown_score": op3_brown_score,
     "op6_bpe": op6_bpe,
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
