@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermal_lake.llm import bpe, brown, language_id, secret_scan
+from thermal_lake.llm import bpe, brown, jaccard_join, language_id, secret_scan
 from thermal_lake.llm.common import documents, held_out
 
 
@@ -37,11 +37,16 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(documents(spark, sf_dir))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_brown_score": op3_brown_score,
     "op6_bpe": op6_bpe,
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}
