@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermal_lake.llm import bpe, brown, jaccard_join, language_id, secret_scan
+from thermal_lake.llm import bpe, brown, chat_format, decontaminate, jaccard_join, language_id, secret_scan
 from thermal_lake.llm.common import documents, held_out
 
 
@@ -23,6 +23,17 @@ def op3_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(docs, ~held).withColumn("held_out", held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.format_windows(turns.unionByName(extra)))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path(), tokens=False)
 
@@ -43,6 +54,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_brown_score": op3_brown_score,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_chat_format": op5_chat_format,
     "op6_bpe": op6_bpe,
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
