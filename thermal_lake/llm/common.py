@@ -11,6 +11,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from thermal_lake.shipping import ship
 
 #: Rows that a kernel turns into Python objects at once, so that very long texts stay bounded.
 SLICE = 512
@@ -69,8 +72,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, size: int = SLI
 def map_arrow(df: DataFrame, schema: str, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
     """df through a kernel that takes small record batches and yields columns as a dict of lists or arrays."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
+    ship(df.sparkSession)
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,6 +83,51 @@ def map_arrow(df: DataFrame, schema: str, kernel: Callable[[Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+def filter_arrow(df: DataFrame, text_col: str, predicate: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows of df, with all their columns, whose text the predicate accepts; predicate() makes it, once for each task."""
+    ship(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accepts = predicate()
+        for batch in slices(batches):
+            yield batch.filter(pa.array([accepts(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+#: The column that replace_arrow adds.
+CHANGED = "_text_changed"
+
+
+def replace_arrow(df: DataFrame, text_col: str, function: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """df with its texts replaced (null stays null) and the boolean column CHANGED; function() makes the function, once for each task."""
+    ship(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = function()
+        for batch in slices(batches):
+            old = batch.column(at).to_pylist()
+            new = [None if t is None else one(t) for t in old]
+            columns = [pa.array(new, c.type) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([a != b for a, b in zip(old, new, strict=True)], pa.bool_())], names=[*batch.schema.names, CHANGED])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(CHANGED, BooleanType())]))
+
+
+def without(df: DataFrame, dropped: Callable[[DataFrame, str], DataFrame], name: str) -> DataFrame:
+    """df without the rows that dropped(df with a row number, its name) names by that number.
+
+    df has to be repeatable (a table, or made from one without a shuffle), so that a row has the same number whenever it is
+    read. The numbers are written first, so a small list of them is broadcast and texts stay where they are.
+    """
+    row = "_row_number"
+    numbered = df.withColumn(row, F.monotonically_increasing_id())
+    gone = written(dropped(numbered, row).select(row).distinct(), name)
+    return numbered.join(gone, row, "left_anti").drop(row)
+
+
 def is_small(df: DataFrame, most: int) -> bool:
     """Whether df has at most so many rows; reads no more than it must."""
     return df.limit(most + 1).count() <= most

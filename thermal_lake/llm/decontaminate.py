@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermal_lake.llm.common import is_small
+from thermal_lake.llm.common import is_small, without
 
 #: Spaced seeds: 1 marks the words that a window's hash takes, 0 those that may differ. All have the same span.
 MASKS = ("1101100101", "1010011011", "1110010011")
@@ -90,3 +90,8 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("b.agree").cast("long").alias("agree"), F.col("b.of").cast("long").alias("overlap"), (-F.col("b.minus_place")).cast("long").alias("place"),
         (-F.col("b.minus_item")).cast("long").alias("item_place"), (F.col("b.agree") / F.col("b.of")).alias("similarity"),
     )
+
+
+def drop_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of df, whole, without those that overlap with a benchmark item. df has to be a table, or repeatable like one."""
+    return without(df, lambda numbered, row: find_leaks(numbered.select(row, text_col), benchmark, row, text_col, **options), "leaks-dropped")

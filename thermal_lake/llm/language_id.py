@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermal_lake.llm.common import map_arrow
+from thermal_lake.llm.common import filter_arrow, map_arrow, written
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -141,8 +141,6 @@ def share_table(counts: DataFrame, by: list[str], entry: str, share: float) -> t
 
 def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """A model from the rows whose language isn't null. Word counts cover all of them; entries with a tiny share stay out of the tables that executors get, and their words back off."""
-    from thermal_lake.llm.common import written
-
     vocabulary = written(count_words(df.where(df[lang_col].isNotNull()), lang_col, text_col), "langid-words")
     word_totals, word_rows = share_table(vocabulary, ["lang"], "word", WORD_SHARE)
     langs = sorted(r["lang"] for r in word_totals)
@@ -188,3 +186,17 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield {"id": batch.column(0), "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
 
     return map_arrow(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")), "id long, lang_pred string, score double", kernel).withColumnRenamed("id", id_col)
+
+
+def keep_known(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of df, whole, whose text has a language: not `und`, and a score of `least` or more. Repeated rows stay as they are."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    return filter_arrow(df, text_col, lambda: _accepts(Predictor(shared.value), least))
+
+
+def _accepts(say: Predictor, least: float):
+    def accepted(text: str | None) -> bool:
+        lang, score = say(text)
+        return lang != UNDETERMINED and score >= least
+
+    return accepted

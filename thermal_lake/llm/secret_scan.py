@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import zstandard
 from pyspark.sql import DataFrame
 
-from thermal_lake.llm.common import map_arrow
+from thermal_lake.llm.common import CHANGED, map_arrow, replace_arrow
 
 #: The base patterns and how long a match has to be (group 2 for assign).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -125,3 +125,23 @@ def redact(text: str, spans: list[tuple[int, str, int]]) -> str:
             out += [text[at:s], f"[{k}]"]
         at = max(at, e)
     return "".join([*out, text[at:]])
+
+
+def redact_texts(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", threshold: float = NOVELTY) -> DataFrame:
+    """df with each secret in text_col replaced by [kind], and chars_col (if df has it) by the new length where the text changed. Null texts and all other columns stay."""
+    from pyspark.sql import functions as F
+
+    def clean() -> Callable[[str], str]:
+        novelty = Novelty()
+
+        def one(text: str) -> str:
+            base = base_spans(text)
+            return redact(text, [*base, *novel_spans(text, novelty, base, threshold)])
+
+        return one
+
+    out = replace_arrow(df, text_col, clean)
+    if chars_col in df.columns:
+        kind = df.schema[chars_col].dataType
+        out = out.withColumn(chars_col, F.when(F.col(CHANGED), F.length(text_col).cast(kind)).otherwise(F.col(chars_col)))
+    return out.drop(CHANGED)

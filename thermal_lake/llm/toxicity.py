@@ -38,7 +38,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - total, -500, 500)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, penalty: float = 1.0, steps: int = 3000, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, penalty: float = 0.05, steps: int = 3000, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds that maximise the penalised likelihood of the grades (Adam on weights, first threshold and log gaps)."""
     n, d = x.shape
     share = np.clip([(y >= k).mean() for k in range(1, grades)], 1e-3, 1 - 1e-3)
