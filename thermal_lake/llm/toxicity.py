@@ -1,4 +1,4 @@
-"""Toxicity by cumulative-link ordinal regression over word features (operator 1)."""
+"""Toxicity by cumulative-link ordinal regression over words and word beginnings (operator 1)."""
 
 from __future__ import annotations
 
@@ -19,10 +19,14 @@ SAMPLE = 20_000
 #: Words with weights, at most; the association (in standard errors) and the number of texts that a word needs.
 FEATURES, LEAST_Z, LEAST_TEXTS = 512, 5.0, 4
 GRADES = 4
+#: Lengths of the word beginnings that are features too, so that an unseen form of a known word counts.
+STEMS = (5, 7)
 
 
 def features(text: str | None) -> set[str]:
-    return set(WORD.findall(text.lower())) if text else set()
+    """A text's distinct words, and the beginnings (after ^) of the longer ones."""
+    words = set(WORD.findall(text.lower())) if text else set()
+    return words.union(*({f"^{w[:n]}" for w in words if len(w) > n} for n in STEMS))
 
 
 @dataclass
