@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from thermal_lake.plans import raster_queries, relational_queries
+
+_MODULES = (raster_queries, relational_queries)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
