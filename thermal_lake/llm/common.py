@@ -116,16 +116,34 @@ def replace_arrow(df: DataFrame, text_col: str, function: Callable[[], Callable[
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(CHANGED, BooleanType())]))
 
 
-def without(df: DataFrame, dropped: Callable[[DataFrame, str], DataFrame], name: str) -> DataFrame:
+#: Row numbers that one bitmap covers (Spark's bitmap functions fix it), and bitmaps (of 4 KB) that are broadcast at most.
+BITMAP_BITS, BITMAPS = 15, 8192
+
+
+def only_rows(df: DataFrame, row: str, ids: DataFrame, keep: bool) -> DataFrame:
+    """The rows of df whose number `row` is among ids' (keep), or isn't (not keep); exact, and df isn't shuffled.
+
+    The numbers become bitmaps, which are counted and broadcast. Beyond BITMAPS of them df is joined by a shuffle.
+    """
+    bits = ids.select(F.shiftright(row, BITMAP_BITS).alias("_bucket"), F.col(row).bitwiseAND((1 << BITMAP_BITS) - 1).alias("_at")).groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    bits = written(bits, "row-bitmaps")
+    if not is_small(bits, BITMAPS):
+        return df.join(ids.select(row), row, "left_semi" if keep else "left_anti")
+    at = F.col(row).bitwiseAND((1 << BITMAP_BITS) - 1).cast("int")
+    byte = F.conv(F.hex(F.substr("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.getbit(byte, at.bitwiseAND(7)), F.lit(0)) == int(keep)
+    return df.join(F.broadcast(bits), F.shiftright(row, BITMAP_BITS) == F.col("_bucket"), "left").where(marked).select(*df.columns)
+
+
+def without(df: DataFrame, dropped: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """df without the rows that dropped(df with a row number, its name) names by that number.
 
     df has to be repeatable (a table, or made from one without a shuffle), so that a row has the same number whenever it is
-    read. The numbers are written first, so a small list of them is broadcast and texts stay where they are.
+    read.
     """
     row = "_row_number"
     numbered = df.withColumn(row, F.monotonically_increasing_id())
-    gone = written(dropped(numbered, row).select(row).distinct(), name)
-    return numbered.join(gone, row, "left_anti").drop(row)
+    return only_rows(numbered, row, dropped(numbered, row).select(row), False).drop(row)
 
 
 def is_small(df: DataFrame, most: int) -> bool:

@@ -94,4 +94,4 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of df, whole, without those that overlap with a benchmark item. df has to be a table, or repeatable like one."""
-    return without(df, lambda numbered, row: find_leaks(numbered.select(row, text_col), benchmark, row, text_col, **options), "leaks-dropped")
+    return without(df, lambda numbered, row: find_leaks(numbered.select(row, text_col), benchmark, row, text_col, **options))
