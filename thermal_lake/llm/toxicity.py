@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermal_lake.llm.common import map_arrow
+from thermal_lake.llm.common import map_arrow, written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that are learnt from at most, by the hash of their id: the documented bound of the learning sample.
@@ -19,6 +19,10 @@ SAMPLE = 20_000
 #: Words with weights, at most; the association (in standard errors) and the number of texts that a word needs.
 FEATURES, LEAST_Z, LEAST_TEXTS = 512, 5.0, 4
 GRADES = 4
+#: Distinct words that a counting task holds before it hands on what it has.
+HELD = 300_000
+#: The probability of grade 1 or more from which a text is called toxic.
+TOXIC = 0.6
 #: Lengths of the word beginnings that are features too, so that an unseen form of a known word counts.
 STEMS = (5, 7)
 
@@ -42,91 +46,116 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - total, -500, 500)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, penalty: float = 0.05, steps: int = 3000, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds that maximise the penalised likelihood of the grades (Adam on weights, first threshold and log gaps)."""
-    n, d = x.shape
-    share = np.clip([(y >= k).mean() for k in range(1, grades)], 1e-3, 1 - 1e-3)
-    start = -np.log(share / (1 - share))
-    p = np.concatenate((np.zeros(d), start[:1], np.log(np.maximum(np.diff(start), 1e-2))))
-    m, v = np.zeros_like(p), np.zeros_like(p)
-    at = np.arange(n)
-    for t in range(1, steps + 1):
-        gaps = np.exp(p[d + 1 :])
-        theta = p[d] + np.concatenate(([0], np.cumsum(gaps)))
-        above = np.concatenate((np.ones((n, 1)), 1 / (1 + np.exp(np.clip(theta - (x @ p[:d])[:, None], -50, 50))), np.zeros((n, 1))), 1)
-        slope = above * (1 - above)
-        prob = np.maximum(above[at, y] - above[at, y + 1], 1e-9)
-        d_eta = (slope[at, y] - slope[at, y + 1]) / prob
-        d_theta = np.zeros((n, grades + 1))
-        d_theta[at, y] -= slope[at, y] / prob
-        d_theta[at, y + 1] += slope[at, y + 1] / prob
-        by = d_theta[:, 1:grades].sum(0)
-        grad = np.concatenate((x.T @ d_eta - penalty * p[:d], [by.sum()], gaps * np.cumsum(by[::-1])[::-1][1:])) / n
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        p += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        if np.abs(grad).max() < 1e-6:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, n: np.ndarray, grades: int, penalty: float = 0.1, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending thresholds that maximise the penalised likelihood of grades y, each row counted n times, by Fisher scoring with halved steps."""
+    d, at = x.shape[1], np.arange(len(y))
+    share = np.clip([n[y >= k].sum() / n.sum() for k in range(1, grades)], 1e-4, 1 - 1e-4)
+    w, theta = np.zeros(d), -np.log(share / (1 - share)) + 1e-3 * np.arange(grades - 1)
+
+    def above(w: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.ones((len(y), 1)), 1 / (1 + np.exp(np.clip(theta - (x @ w)[:, None], -40, 40))), np.zeros((len(y), 1))), 1)
+
+    def likelihood(w: np.ndarray, theta: np.ndarray) -> float:
+        if (np.diff(theta) <= 0).any():
+            return -np.inf
+        g = above(w, theta)
+        return float(n @ np.log(np.maximum(g[at, y] - g[at, y + 1], 1e-300)) - penalty * w @ w / 2)
+
+    best = likelihood(w, theta)
+    for _ in range(steps):
+        g = above(w, theta)
+        s = g * (1 - g)
+        p = np.maximum(g[:, :-1] - g[:, 1:], 1e-12)
+        # by[i, k] is the slope of P(grade k) in the score (first) and in each threshold
+        by = np.zeros((len(y), grades, grades))
+        by[:, :, 0] = s[:, :-1] - s[:, 1:]
+        for k in range(1, grades):
+            by[:, k, k] = -s[:, k]
+            by[:, k - 1, k] = s[:, k]
+        slope = by[at, y] / p[at, y][:, None] * n[:, None]
+        info = np.einsum("nki,nkj,nk->nij", by, by, n[:, None] / p)
+        cross = x.T @ info[:, 0, 1:]
+        hessian = np.block([[(x * info[:, :1, 0]).T @ x + penalty * np.eye(d), cross], [cross.T, info[:, 1:, 1:].sum(0) + 1e-9 * np.eye(grades - 1)]])
+        step = np.linalg.solve(hessian, np.concatenate((x.T @ slope[:, 0] - penalty * w, slope[:, 1:].sum(0))))
+        size = 1.0
+        while size > 1e-6 and (now := likelihood(w + size * step[:d], theta + size * step[d:])) < best:
+            size /= 2
+        if size <= 1e-6:
             break
-    return p[:d], p[d] + np.concatenate(([0], np.cumsum(np.exp(p[d + 1 :]))))
-
-
-def associated(sets: list[frozenset[str]], toxic: np.ndarray) -> list[str]:
-    """The words most associated with toxic texts, or with clean ones, beyond chance."""
-    inside, outside = Counter(), Counter()
-    for s, t in zip(sets, toxic, strict=True):
-        (inside if t else outside).update(s)
-    a, b = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    found = []
-    for w in inside.keys() | outside.keys():
-        i, o = inside[w], outside[w]
-        if i + o >= LEAST_TEXTS:
-            p = (i + o) / (a + b)
-            z = (i / a - o / b) / np.sqrt(p * (1 - p) * (1 / a + 1 / b) + 1e-12)
-            if abs(z) >= LEAST_Z:
-                found.append((-abs(z), w))
-    return [w for _, w in sorted(found)[:FEATURES]]
+        w, theta, gain, best = w + size * step[:d], theta + size * step[d:], now - best, now
+        if gain < 1e-8 * abs(best):
+            break
+    return w, theta
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, toxic, clean): how many distinct texts of either kind have a feature, added up within tasks first."""
+
+    def kernel(batches) -> Iterator[dict]:
+        held: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def flush() -> dict:
+            words = list(held[0].keys() | held[1].keys())
+            out = {"word": words, "toxic": [held[1][w] for w in words], "clean": [held[0][w] for w in words]}
+            for c in held:
+                c.clear()
+            return out
+
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[label > 0].update(features(text))
+            if len(held[0]) + len(held[1]) > HELD:
+                yield flush()
+        yield flush()
+
+    return map_arrow(texts.select("text", "label"), "word string, toxic long, clean long", kernel).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def associated(counts: DataFrame, toxic: int, clean: int) -> list[tuple[str, float]]:
+    """The words most associated with toxic texts, or with clean ones, beyond chance, and by how much: FEATURES at most."""
+    share = F.lit(1.0) * (F.col("toxic") + F.col("clean")) / (toxic + clean)
+    z = (F.col("toxic") / max(1, toxic) - F.col("clean") / max(1, clean)) / F.sqrt(share * (1 - share) * (1 / max(1, toxic) + 1 / max(1, clean)) + 1e-12)
+    found = counts.where(F.col("toxic") + F.col("clean") >= LEAST_TEXTS).withColumn("z", z).where(F.abs("z") >= LEAST_Z)
+    return [(r["word"], r["z"]) for r in found.orderBy(F.desc(F.abs("z")), "word").limit(FEATURES).collect()]
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", grades: int = GRADES, sample: int = SAMPLE) -> Model:
     """A model from at most `sample` labelled rows (those whose ids hash least), of the labels whose id and value aren't null.
 
-    Labels above 1 are grades as they are. Labels of 0 and 1 alone say no grade: a row with 1 then gets 1, 2, ... by how many of the words
-    associated with it the text has (quantiles of that number among such rows). Texts with the same words count once.
+    Labels above 1 are grades as they are. Labels of 0 and 1 alone say no grade: a row with 1 then gets 1, 2, ... by how many of the features
+    associated with it the text has (quantiles of that number among such rows). Equal texts count once. Words are counted by the executors; the driver gets
+    FEATURES words and, for each sampled text, which of them it has.
     """
     few = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     few = few.orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")
+    texts = written(rows.groupBy(F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"), F.max("label").alias("label")).drop("key"), "toxicity-sample")
+    toxic, clean = texts.agg(F.count_if(F.col("label") > 0), F.count_if(F.col("label") <= 0)).first()
+    words = associated(word_counts(texts), toxic, clean) if toxic and clean else []
+    if not words:
+        return Model({}, np.linspace(5, 10, grades - 1))
+    place = {w: i for i, (w, _) in enumerate(words)}
 
     def kernel(batches) -> Iterator[dict]:
         for batch in batches:
-            yield {"words": [sorted(features(t)) for t in batch.column(0).to_pylist()], "label": batch.column(1)}
-
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").select("text", "label").repartition(8)
-    found = map_arrow(rows, "words array<string>, label int", kernel).toArrow()
-    by: dict[frozenset[str], int] = {}
-    for batch in found.to_batches(max_chunksize=512):
-        for words, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            key = frozenset(words)
-            by[key] = max(by.get(key, 0), label)
-    ordered = sorted(by.items(), key=lambda kv: (kv[1], sorted(kv[0])[:8], len(kv[0])))
-    sets, y = [s for s, _ in ordered], np.array([v for _, v in ordered], dtype=int)
-    words = associated(sets, y > 0) if len(y) else []
-    if not words or not (y > 0).any() or (y > 0).all():
-        return Model({}, np.linspace(5, 10, grades - 1))
-    place = {w: i for i, w in enumerate(words)}
-    x = np.zeros((len(sets), len(words)))
-    for i, s in enumerate(sets):
-        x[i, [place[w] for w in s & place.keys()]] = 1
+            yield {"at": [sorted([place[w] for w in features(t) & place.keys()]) for t in batch.column(0).to_pylist()], "label": batch.column(1)}
+
+    found = map_arrow(texts.select("text", "label"), "at array<int>, label int", kernel).groupBy("label", "at").agg(F.count("*").alias("n")).orderBy("label", "at").collect()
+    y, n = np.array([r["label"] for r in found], dtype=int), np.array([r["n"] for r in found], dtype=float)
+    x = np.zeros((len(found), len(words)))
+    for i, r in enumerate(found):
+        x[i, r["at"]] = 1
     if y.max() == 1 and grades > 2:
-        lean = x.T @ (y > 0) / max(1, (y > 0).sum()) - x.T @ (y == 0) / max(1, (y == 0).sum())
-        hits = x @ (lean > 0)
-        cuts = np.quantile(hits[y > 0], np.arange(1, grades - 1) / (grades - 1))
+        hits = x @ np.array([z > 0 for _, z in words], dtype=float)
+        cuts = np.quantile(np.repeat(hits[y > 0], n[y > 0].astype(int)), np.arange(1, grades - 1) / (grades - 1))
         y = np.where(y > 0, 1 + (hits[:, None] > cuts).sum(1), 0)
     y = np.minimum(y, grades - 1)
-    w, theta = fit_ordinal(x, y, grades)
-    return Model(dict(zip(words, map(float, w), strict=True)), theta)
+    w, theta = fit_ordinal(x, y, n, grades)
+    return Model({word: float(v) for (word, _), v in zip(words, w, strict=True)}, theta)
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """severity (expected grade), grade (the likeliest that half the probability reaches), p_toxic (of grade 1 or more) and is_toxic of every whole text.
+def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = TOXIC) -> DataFrame:
+    """severity (expected grade), grade (the highest that half the probability reaches), p_toxic (of grade 1 or more) and is_toxic (p_toxic reaches the threshold) of every whole text.
 
     One row for each row of df, repeated rows and null ids too; null and wordless texts have no features and get the prior. Further columns aren't read. A model that learned nothing calls nothing toxic.
     """
@@ -136,6 +165,6 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         m = shared.value
         for batch in batches:
             p = np.array([m(t) for t in batch.column(1).to_pylist()]).reshape(batch.num_rows, -1)
-            yield {"id": batch.column(0), "severity": p.sum(1), "grade": (p >= 0.5).sum(1), "p_toxic": p[:, 0], "is_toxic": p[:, 0] >= 0.5}
+            yield {"id": batch.column(0), "severity": p.sum(1), "grade": (p >= 0.5).sum(1), "p_toxic": p[:, 0], "is_toxic": p[:, 0] >= threshold}
 
     return map_arrow(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")), "id long, severity double, grade int, p_toxic double, is_toxic boolean", kernel).withColumnRenamed("id", id_col)
