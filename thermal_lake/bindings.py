@@ -78,8 +78,9 @@ DETECTIONS = RAW_DETECTIONS + """,
 
 def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three modes of scored cases: split, case_id, label, mode, prediction (or null), resources, group keys."""
-    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").crossJoin(spark.createDataFrame([(0, "one_shot"), (1, "fixed_bundle"), (2, "adaptive")], "m int, mode string"))
-    return rows.selectExpr(*SCORE_COLUMNS)
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    modes = "inline(array(named_struct('m', 0, 'mode', 'one_shot'), named_struct('m', 1, 'mode', 'fixed_bundle'), named_struct('m', 2, 'mode', 'adaptive')))"
+    return rows.selectExpr("doc_id", "quality", "toxic", "n_chars", "source", "lang", modes).selectExpr(*SCORE_COLUMNS)
 
 
 SCORE_COLUMNS = [
