@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -19,7 +21,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 #: Entries that a worker remembers, for words and for pieces between white space (twice as many for a while).
-REMEMBERED = 120_000
+REMEMBERED = 300_000
 #: Ids are below 2**17; load() refuses a larger vocabulary.
 ID_BITS = 17
 ID_MASK = (1 << ID_BITS) - 1
@@ -57,17 +59,17 @@ class Vocabulary:
 
 
 class Remembered(dict):
-    """Results by string, of the last REMEMBERED to twice as many strings."""
+    """Results by string, of the last `most` to twice as many strings."""
 
-    def __init__(self, compute: Callable[[str], tuple]):
+    def __init__(self, compute: Callable[[str], tuple], most: int):
         super().__init__()
-        self.compute, self.older = compute, {}
+        self.compute, self.older, self.most = compute, {}, most
 
     def __missing__(self, key: str) -> tuple:
         if (found := self.older.get(key)) is None:
             found = self.compute(key)
         if len(key) <= 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[key] = found
@@ -77,9 +79,9 @@ class Remembered(dict):
 class Codec:
     """Encodes and decodes with one vocabulary. A result is the ids as text, their number, the decoded text."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED):
         self.v = vocabulary
-        self.words, self.pieces = Remembered(self.word), Remembered(self.piece)
+        self.words, self.pieces = Remembered(self.word, remembered), Remembered(self.piece, remembered)
         self.pattern = regex.compile(WORDS)
         self.space = regex.compile(f"[{SPACE}]+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
@@ -173,32 +175,36 @@ class Codec:
         return " ".join([strings[i] for i in ids])
 
 
-def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", tokens: bool = True) -> DataFrame:
-    """Ids and decoded text of every whole text, one row for each row of df.
+def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = True, remembered: int = REMEMBERED) -> DataFrame:
+    """Ids and decoded text of every whole text, and digests of both; one row for each row of df.
 
     df may have any further columns; they are not read. Null text counts as empty: no ids, empty decoded text. A null
     id stays null; repeated rows each give a row. An empty table gives an empty table. vocabulary is a path on the
-    driver; executors get its content by a broadcast (its size is that of the file). With tokens=False the ids and the
-    decoded text stay out and only their digests return.
+    driver; executors get its content by a broadcast (its size is that of the file). ids=False and decoded=False leave these columns out.
+    remembered bounds a worker's caches, and so its memory.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary.load(vocabulary))
-    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * tokens
+    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
 
     def kernel(batches) -> Iterator[dict]:
-        codec = Codec(shared.value)
+        codec = Codec(shared.value, remembered)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for batch in batches:
-            out: dict = {"id": batch.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
+            out: dict = {"id": batch.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "decoded": []}
+            values = []
             for text in batch.column(1).to_pylist():
                 found = codec.encoded(text or "")
-                ids, decoded = " ".join([x[0] for x in found]), " ".join([x[2] for x in found])
+                numbers, strings = " ".join([x[0] for x in found]), " ".join([x[2] for x in found])
                 out["n_tokens"].append(sum([x[1] for x in found]))
-                out["ids_sha256"].append(sha(ids))
-                out["decoded_sha256"].append(sha(decoded))
-                if tokens:
-                    out["ids"].append(list(map(int, ids.split())))
-                    out["decoded"].append(decoded)
+                out["ids_sha256"].append(sha(numbers))
+                out["decoded_sha256"].append(sha(strings))
+                if ids:
+                    values.append(np.array(numbers.split(), dtype=np.int32))
+                if decoded:
+                    out["decoded"].append(strings)
+            if ids:
+                out["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *out["n_tokens"]]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *values])))
             yield out
 
-    return map_arrow(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")), schema, kernel).withColumnRenamed("id", id_col)
+    return map_arrow(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")), schema, kernel, 128, 1 << 20).withColumnRenamed("id", id_col)

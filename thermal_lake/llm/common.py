@@ -69,7 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, size: int = SLI
             yield from halves(batch.slice(start, rows))
 
 
-def map_arrow(df: DataFrame, schema: str, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
+def map_arrow(df: DataFrame, schema: str, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], rows: int = SLICE, size: int = SLICE_BYTES) -> DataFrame:
     """df through a kernel that takes small record batches and yields columns as a dict of lists or arrays."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -77,7 +77,7 @@ def map_arrow(df: DataFrame, schema: str, kernel: Callable[[Iterator[pa.RecordBa
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in kernel(slices(batches)):
+        for columns in kernel(slices(batches, rows, size)):
             yield pa.record_batch([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)

@@ -47,7 +47,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path(), tokens=False)
+    return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path(), ids=False, decoded=False)
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
