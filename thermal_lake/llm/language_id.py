@@ -22,7 +22,7 @@ LONGEST = 4
 #: for each language (and length), however large the corpus is.
 WORD_SHARE, GRAM_SHARE = 1 / 50_000, 1 / 10_000
 #: Distinct words that a counting task holds before it hands on what it has.
-HELD = 300_000
+HELD = 150_000
 
 
 def words(text: str | None) -> list[str]:
