@@ -14,9 +14,14 @@ LABELS = ("positive", "control")
 MODES = ("one_shot", "fixed_bundle", "adaptive")
 
 
+def round6(c: Column) -> Column:
+    """Six digits, halves up, by arithmetic on the double (so another engine can say the same)."""
+    return F.floor(c * 1e6 + 0.5) / 1e6
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b to six digits, 0 if b is 0."""
-    return F.round(F.when(b == 0, 0.0).otherwise(a / b), 6)
+    return round6(F.when(b == 0, 0.0).otherwise(a / b))
 
 
 def confusion() -> list[Column]:
@@ -36,7 +41,7 @@ def with_metrics(df: DataFrame) -> DataFrame:
         df = df.withColumns({f"{c}_precision": ratio(tp, tp + fp), f"{c}_recall": ratio(tp, tp + fn)})
         a, b = F.col(f"{c}_precision"), F.col(f"{c}_recall")
         df = df.withColumn(f"{c}_f1", ratio(2.0 * a * b, a + b))
-    return df.withColumns({f"macro_{m}": F.round((F.col(f"positive_{m}") + F.col(f"control_{m}")) / 2, 6) for m in ("f1", "precision", "recall")})
+    return df.withColumns({f"macro_{m}": round6((F.col(f"positive_{m}") + F.col(f"control_{m}")) / 2) for m in ("f1", "precision", "recall")})
 
 
 def by_split_and_mode(rows: DataFrame, aggregates: list[Column]) -> DataFrame:

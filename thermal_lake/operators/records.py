@@ -46,7 +46,7 @@ def parse(df: DataFrame, kind: str, text: str = "value") -> DataFrame:
     r = df.withColumn("_r", F.from_json(text, schema)).withColumn("_k", keys)
     shape = (
         F.when(F.col("_k").isNull(), "not an object").when(F.size(F.array_except("_k", names)) > 0, "unknown key").when(F.size(F.array_except(names, F.col("_k"))) > 0, "missing key")
-        .when(F.col("_r.schema_version") != VERSION, "version").when(F.col("_r.record_type") != kind, "kind")
+        .when(F.col("schema_version") != VERSION, "version").when(F.col("record_type") != kind, "kind")
     )
     r = r.select("*", "_r.*").drop("_r")
     return r.withColumn("error", F.coalesce(shape, F.when(~domain(kind), "domain"))).drop("_k")
@@ -121,7 +121,7 @@ def canonical(value: object, ascii_only: bool = True, newline: bool = False) ->
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=ascii_only, allow_nan=False) + "\n" * newline
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """JSON text in its canonical form (null if it isn't JSON)."""
 

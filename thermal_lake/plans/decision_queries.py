@@ -176,7 +176,8 @@ def agent_loop_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Evaluation
 
-RATIO = "round(CASE WHEN ({b}) = 0 THEN 0.0::DOUBLE ELSE ({a})::DOUBLE / ({b}) END, 6)"
+RATIO = "(floor((CASE WHEN ({b}) = 0 THEN 0.0::DOUBLE ELSE ({a})::DOUBLE / ({b}) END) * 1e6 + 0.5) / 1e6)"
+MEAN = "(floor(({a} + {b}) / 2 * 1e6 + 0.5) / 1e6)"
 
 
 def _metrics_sql() -> str:
@@ -197,10 +198,10 @@ TABLES_SQL = f"""
 TABLE_COLUMNS = ["split", "mode", "case_count", "positive_tp", "positive_fp", "positive_fn", "abstention_count", "ambiguous_count", "resolved_count", "observation_count", "mean_observation_count", "selected_source_bytes", "error_case_count"]
 
 
-@query("classification_tables", f"WITH {TABLES_SQL} SELECT {', '.join(TABLE_COLUMNS)}, latency_milliseconds, round((positive_f1 + control_f1) / 2, 5) AS macro_f1, round((positive_precision + control_precision) / 2, 5) AS macro_precision, round((positive_recall + control_recall) / 2, 5) AS macro_recall, {RATIO.format(a='resolved_count', b='ambiguous_count')} AS resolution_rate FROM k")
+@query("classification_tables", f"WITH {TABLES_SQL} SELECT {', '.join(TABLE_COLUMNS)}, latency_milliseconds, {', '.join(f'{MEAN.format(a=f"positive_{m}", b=f"control_{m}")} AS macro_{m}' for m in ('f1', 'precision', 'recall'))}, {RATIO.format(a='resolved_count', b='ambiguous_count')} AS resolution_rate FROM k")
 def classification_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = evaluate.tables(b.score_rows(spark, sf_dir))
-    return t.select(*TABLE_COLUMNS, F.round("latency_milliseconds", 4).alias("latency_milliseconds"), *[F.round((F.col(f"positive_{m}") + F.col(f"control_{m}")) / 2, 5).alias(f"macro_{m}") for m in ("f1", "precision", "recall")], "resolution_rate")
+    return t.select(*TABLE_COLUMNS, F.round("latency_milliseconds", 4).alias("latency_milliseconds"), "macro_f1", "macro_precision", "macro_recall", "resolution_rate")
 
 
 @query("ambiguity_resolution", f"WITH {TABLES_SQL} SELECT split, mode, ambiguous_count, resolved_count FROM g")
@@ -215,12 +216,13 @@ WEIGHTED = ", ".join(f"coalesce(sum(CASE WHEN label = '{c}' AND prediction = '{c
 @query("bootstrap_interval_hash", f"""
     WITH {b.SCORE_ROWS}, dw AS (SELECT sr.*, s AS sample, ('0x' || substr(sha256('7:' || s || ':' || mode || ':' || case_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM sr, range(0, 40) t(s)),
     tm AS (SELECT *, {POISSON} AS times FROM dw), g AS (SELECT mode, sample, {WEIGHTED} FROM tm GROUP BY mode, sample), h AS (SELECT *, {_metrics_sql()} FROM g),
-    k AS (SELECT mode, round(({RATIO.format(a='2.0 * positive_precision * positive_recall', b='positive_precision + positive_recall')} + {RATIO.format(a='2.0 * control_precision * control_recall', b='control_precision + control_recall')}) / 2, 6) AS f FROM h),
+    k0 AS (SELECT mode, {RATIO.format(a='2.0 * positive_precision * positive_recall', b='positive_precision + positive_recall')} AS p, {RATIO.format(a='2.0 * control_precision * control_recall', b='control_precision + control_recall')} AS c FROM h),
+    k AS (SELECT mode, {MEAN.format(a='p', b='c')} AS f FROM k0),
     l AS (SELECT mode, list_sort(list(f)) AS v FROM k GROUP BY mode)
-    SELECT mode, round(v[floor(0.025 * (len(v) - 1))::INTEGER + 1], 5) AS lower, round(v[ceil(0.975 * (len(v) - 1))::INTEGER + 1], 5) AS upper FROM l
+    SELECT mode, v[floor(0.025 * (len(v) - 1))::INTEGER + 1] AS lower, v[ceil(0.975 * (len(v) - 1))::INTEGER + 1] AS upper FROM l
 """)
 def bootstrap_interval_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.bootstrap(b.score_rows(spark, sf_dir), 40, 7).select("mode", F.round("lower", 5).alias("lower"), F.round("upper", 5).alias("upper"))
+    return evaluate.bootstrap(b.score_rows(spark, sf_dir), 40, 7)
 
 
 @query("bootstrap_interval_seeded")
