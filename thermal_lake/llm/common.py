@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,8 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from thermal_lake.operators.graph import written
 from thermal_lake.shipping import ship
 
+__all__ = ["bounded", "documents", "filter_arrow", "held_out", "is_small", "map_arrow", "only_rows", "replace_arrow", "unused", "without", "written"]
+
 #: Rows that a kernel turns into Python objects at once, so that very long texts stay bounded.
 SLICE = 512
 SLICE_BYTES = 4 << 20
@@ -34,26 +33,11 @@ def held_out(col: Column, n: int, remainder: int = 2) -> Column:
     return F.coalesce(crc_remainder(col, n) == remainder, F.lit(False))
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or (tests only) a temporary folder."""
-    sc = spark.sparkContext
-    if root := sc.getConf().get("spark.checkpoint.dir"):
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(root)
-        return root.rstrip("/")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        own = tempfile.mkdtemp(prefix="thermal-lake-")
-        atexit.register(shutil.rmtree, own, True)
-        sc.setCheckpointDir(own)
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bounded(spark: SparkSession) -> None:
+    """Holds Arrow batches to SLICE_BYTES in this session (unless they are smaller already), so that very long texts can't make a batch of gigabytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(str(spark.conf.get(key)).removesuffix("b")) <= SLICE_BYTES:
+        spark.conf.set(key, SLICE_BYTES)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -74,6 +58,7 @@ def map_arrow(df: DataFrame, schema: str, kernel: Callable[[Iterator[pa.RecordBa
     from pyspark.sql.pandas.types import to_arrow_schema
 
     ship(df.sparkSession)
+    bounded(df.sparkSession)
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,6 +71,7 @@ def map_arrow(df: DataFrame, schema: str, kernel: Callable[[Iterator[pa.RecordBa
 def filter_arrow(df: DataFrame, text_col: str, predicate: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
     """The rows of df, with all their columns, whose text the predicate accepts; predicate() makes it, once for each task."""
     ship(df.sparkSession)
+    bounded(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,13 +82,10 @@ def filter_arrow(df: DataFrame, text_col: str, predicate: Callable[[], Callable[
     return df.mapInArrow(run, df.schema)
 
 
-#: The column that replace_arrow adds.
-CHANGED = "_text_changed"
-
-
-def replace_arrow(df: DataFrame, text_col: str, function: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """df with its texts replaced (null stays null) and the boolean column CHANGED; function() makes the function, once for each task."""
+def replace_arrow(df: DataFrame, text_col: str, function: Callable[[], Callable[[str], str]], changed: str) -> DataFrame:
+    """df with its texts replaced (null stays null) and the boolean column `changed`; function() makes the function, once for each task."""
     ship(df.sparkSession)
+    bounded(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,9 +94,9 @@ def replace_arrow(df: DataFrame, text_col: str, function: Callable[[], Callable[
             old = batch.column(at).to_pylist()
             new = [None if t is None else one(t) for t in old]
             columns = [pa.array(new, c.type) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([a != b for a, b in zip(old, new, strict=True)], pa.bool_())], names=[*batch.schema.names, CHANGED])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([a != b for a, b in zip(old, new, strict=True)], pa.bool_())], names=[*batch.schema.names, changed])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(CHANGED, BooleanType())]))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(changed, BooleanType())]))
 
 
 #: Row numbers that one bitmap covers (Spark's bitmap functions fix it), and bitmaps (of 4 KB) that are broadcast at most.
@@ -125,14 +108,15 @@ def only_rows(df: DataFrame, row: str, ids: DataFrame, keep: bool) -> DataFrame:
 
     The numbers become bitmaps, which are counted and broadcast. Beyond BITMAPS of them df is joined by a shuffle.
     """
-    bits = ids.select(F.shiftright(row, BITMAP_BITS).alias("_bucket"), F.col(row).bitwiseAND((1 << BITMAP_BITS) - 1).alias("_at")).groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    bucket, bitmap = unused(df, "_bucket"), unused(df, "_bitmap")
+    bits = ids.select(F.shiftright(row, BITMAP_BITS).alias(bucket), F.col(row).bitwiseAND((1 << BITMAP_BITS) - 1).alias(row)).groupBy(bucket).agg(F.bitmap_construct_agg(row).alias(bitmap))
     bits = written(bits, "row-bitmaps")
     if not is_small(bits, BITMAPS):
         return df.join(ids.select(row), row, "left_semi" if keep else "left_anti")
     at = F.col(row).bitwiseAND((1 << BITMAP_BITS) - 1).cast("int")
-    byte = F.conv(F.hex(F.substr("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substr(bitmap, F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
     marked = F.coalesce(F.getbit(byte, at.bitwiseAND(7)), F.lit(0)) == int(keep)
-    return df.join(F.broadcast(bits), F.shiftright(row, BITMAP_BITS) == F.col("_bucket"), "left").where(marked).select(*df.columns)
+    return df.join(F.broadcast(bits), F.shiftright(row, BITMAP_BITS) == F.col(bucket), "left").where(marked).select(*df.columns)
 
 
 def without(df: DataFrame, dropped: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
@@ -141,11 +125,18 @@ def without(df: DataFrame, dropped: Callable[[DataFrame, str], DataFrame]) -> Da
     df has to be repeatable (a table, or made from one without a shuffle), so that a row has the same number whenever it is
     read.
     """
-    row = "_row_number"
+    row = unused(df, "_row_number")
     numbered = df.withColumn(row, F.monotonically_increasing_id())
     return only_rows(numbered, row, dropped(numbered, row).select(row), False).drop(row)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as keep it from clashing."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def is_small(df: DataFrame, most: int) -> bool:
     """Whether df has at most so many rows; reads no more than it must."""
     return df.limit(most + 1).count() <= most

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermal_lake.llm.common import is_small, without
+from thermal_lake.llm.common import is_small, only_rows, without, written
 
 #: Spaced seeds: 1 marks the words that a window's hash takes, 0 those that may differ. All have the same span.
 MASKS = ("1101100101", "1010011011", "1110010011")
@@ -57,7 +57,8 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     overlaps of one text with one item the best returns (most words agree, then the first in the text): one row for each pair. Items shorter than a mask are
     sought as a whole; with fewer than LEAST words, or null, they are left out, as are null and empty texts. Repeated
     rows of a text or an item count once by their id; rows with a null id are found like others and return a null id. Further columns aren't read. The
-    benchmark's windows are counted, and broadcast up to BROADCAST_WINDOWS; texts are neither shuffled nor collected.
+    benchmark's windows are counted, and broadcast up to BROADCAST_WINDOWS: then texts are neither shuffled nor collected. Beyond that windows are joined by a shuffle, and df has to be
+    a table, or repeatable like one.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), word_hashes(F.col(item_text_col)).alias("item_words")).where(F.size("item_words") >= LEAST)
     span = len(masks[0])
@@ -71,17 +72,22 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     for p in parts[1:]:
         seeds = seeds.unionByName(p)
     seeds = seeds.where("window is not null").select(F.col("item"), F.col("place").alias("item_place"), "window").distinct()
-    items = items.distinct()
+    items = items.distinct().withColumnRenamed("item", "of_item")
+    same_item = F.col("item").eqNullSafe(F.col("of_item"))
+    texts = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), word_hashes(F.col(text_col)).alias("words"))
+    shift = (F.col("place") - F.col("item_place")).alias("shift")
     if is_small(seeds, BROADCAST_WINDOWS) and (items.agg(F.sum(F.size("item_words"))).first()[0] or 0) <= BROADCAST_WORDS:
-        seeds, items = F.broadcast(seeds), F.broadcast(items)
-    texts = df.select(F.col(id_col).cast("long").alias("id"), word_hashes(F.col(text_col)).alias("words"))
-    hits = windows(texts, "words", every, ["id", "words"]).where("window is not null").join(seeds, "window")
-    hits = hits.join(items.withColumnRenamed("item", "of_item"), F.col("item").eqNullSafe(F.col("of_item")))
-    # of hits that follow each other on one alignment, the first is enough: skip a hit whose neighbour before it agrees in ten words too
-    run = F.lit(True)
-    for i in range(span):
-        run = run & F.coalesce(F.get("words", F.col("place") - 1 + i) == F.get("item_words", F.col("item_place") - 1 + i), F.lit(False))
-    hits = hits.where(~run).select("id", "item", "words", "item_words", (F.col("place") - F.col("item_place")).alias("shift"))
+        hits = windows(texts, "words", every, ["id", "words"]).where("window is not null").join(F.broadcast(seeds), "window").join(F.broadcast(items), same_item)
+        # of hits that follow each other on one alignment, the first is enough: skip one if the words of the window before it all agree
+        run = F.lit(True)
+        for i in range(span):
+            run = run & F.coalesce(F.get("words", F.col("place") - 1 + i) == F.get("item_words", F.col("item_place") - 1 + i), F.lit(False))
+        hits = hits.where(~run).select("id", "item", "words", "item_words", shift)
+    else:
+        # windows alone are shuffled; only texts with a hit come along afterwards
+        narrow = windows(texts, "words", every, ["row"]).select("row", "place", "window").where("window is not null")
+        found = written(narrow.join(seeds, "window").select("row", "item", shift).distinct(), "leak-hits")
+        hits = found.join(only_rows(texts, "row", found, True), "row").join(items, same_item).select("id", "item", "words", "item_words", "shift")
     size = F.least(F.size("item_words"), F.lit(OVERLAP))
     checked = hits.select("id", "item", "shift", size.alias("of"), best_run(F.col("words"), F.col("item_words"), F.col("shift")).alias("run"))
     checked = checked.where(F.col("run.agree") >= F.ceil(F.col("of") * AGREE))

@@ -188,15 +188,14 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return map_arrow(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")), "id long, lang_pred string, score double", kernel).withColumnRenamed("id", id_col)
 
 
-def keep_known(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of df, whole, whose text has a language: not `und`, and a score of `least` or more. Repeated rows stay as they are."""
+def keep_known(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of df, whole, whose text has a language: any but `und`. Repeated rows stay as they are."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    return filter_arrow(df, text_col, lambda: _accepts(Predictor(shared.value), least))
+    return filter_arrow(df, text_col, lambda: _accepts(Predictor(shared.value)))
 
 
-def _accepts(say: Predictor, least: float):
+def _accepts(say: Predictor):
     def accepted(text: str | None) -> bool:
-        lang, score = say(text)
-        return lang != UNDETERMINED and score >= least
+        return say(text)[0] != UNDETERMINED
 
     return accepted

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import zstandard
 from pyspark.sql import DataFrame
 
-from thermal_lake.llm.common import CHANGED, map_arrow, replace_arrow
+from thermal_lake.llm.common import map_arrow, replace_arrow, unused
 
 #: The base patterns and how long a match has to be (group 2 for assign).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -140,8 +140,9 @@ def redact_texts(df: DataFrame, text_col: str = "text", chars_col: str | None =
 
         return one
 
-    out = replace_arrow(df, text_col, clean)
+    changed = unused(df, "_text_changed")
+    out = replace_arrow(df, text_col, clean, changed)
     if chars_col in df.columns:
         kind = df.schema[chars_col].dataType
-        out = out.withColumn(chars_col, F.when(F.col(CHANGED), F.length(text_col).cast(kind)).otherwise(F.col(chars_col)))
-    return out.drop(CHANGED)
+        out = out.withColumn(chars_col, F.when(F.col(changed), F.length(F.col(text_col)).cast(kind)).otherwise(F.col(chars_col)))
+    return out.drop(changed)

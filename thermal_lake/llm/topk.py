@@ -29,12 +29,12 @@ def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def products(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers: by doubles where these are exact, else by Python's integers, held to 64 bits."""
+    """Inner products of whole numbers: by doubles where these are exact, else by Python's integers, held to 63 bits and a sign."""
     most = lambda x: float(np.abs(x).max(initial=0))
     if most(queries) * most(tile) * queries.shape[1] < EXACT:
         return (queries @ tile.T).astype(np.int64)
     whole = lambda x: np.array([[int(y) for y in r] for r in x], dtype=object)
-    return np.clip(whole(queries) @ whole(tile).T, -(2**63), 2**63 - 1).astype(np.int64)
+    return np.clip(whole(queries) @ whole(tile).T, -(2**63 - 1), 2**63 - 1).astype(np.int64)
 
 
 def select(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +85,7 @@ def search(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", v
     Rows where `queries` holds are asked against all rows with another id. Vectors that are null or empty, or hold a null or non-finite component,
     and rows with a null id take no part; a query meets candidates of its own length alone. An id that several rows repeat is
     one query (its first row in the order of the vectors) and, among one query's results, counts once with its best score. With fewer
-    candidates than k all return. Products are exact; what exceeds 64 bits is held to their limits. Each pass broadcasts QUERY_BYTES of
+    candidates than k all return. Products are exact; what exceeds 2^63 - 1 either way is held to that. Each pass broadcasts QUERY_BYTES of
     queries and reads the candidates once; tasks keep k candidates a query, and lists merge in two levels.
     """
     spark = df.sparkSession
