@@ -33,12 +33,8 @@ def hour_prefixes(ts: Column, offset_seconds: int) -> Column:
 
 def day_of_year_stamp(text: Column) -> Column:
     """YYYYJJJHHMMSSt (t: tenths) as a timestamp; NULL if it isn't one."""
-    day = F.make_date(F.substring(text, 1, 4).try_cast("int"), F.lit(1), F.lit(1))
-    ordinal = F.substring(text, 5, 3).try_cast("int")
-    hour, minute, second, tenth = (F.substring(text, a, n).try_cast("int") for a, n in ((8, 2), (10, 2), (12, 2), (14, 1)))
-    whole = F.timestamp_micros(F.unix_micros(day.cast("timestamp")) + ((((ordinal - 1).cast("long") * 24 + hour) * 60 + minute) * 60 + second) * 1_000_000 + tenth * 100_000)
-    good = text.rlike(r"^\d{14}$") & ordinal.between(1, 366) & (hour <= 23) & (minute <= 59) & (second <= 59)
-    return F.when(good, F.when(F.year(whole) == F.substring(text, 1, 4).try_cast("int"), whole))
+    whole = F.try_to_timestamp(F.when(text.rlike(r"^\d{14}$"), F.substring(text, 1, 13)), F.lit("yyyyDDDHHmmss"))
+    return F.timestamp_micros(F.unix_micros(whole) + F.substring(text, 14, 1).try_cast("int") * 100_000)
 
 
 def seconds_between(a: Column, b: Column) -> Column:

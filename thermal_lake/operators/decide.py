@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thermal_lake.functions import checks
+from thermal_lake.operators.graph import written
 
 #: Which reasons count as what (the policy and the outcome differ on purpose).
 POLICY_POOR = ("coverage_insufficient", "frame_blank", "frame_saturated", "alignment_failed")
@@ -274,13 +275,14 @@ def run_loop(cases: DataFrame, evidence: DataFrame, rounds: int) -> DataFrame:
         known = state.join(e, (F.col("case_id") == F.col("_case")) & (F.array_join(F.array_sort("selected"), ",") == F.col("_key")), "left")
         known = known.withColumns({c: F.coalesce(f"_{c}", d) for c, d in empty.items()} | {"used_observations": F.size("selected"), "budget_exhausted": F.lit(False)})
         open_ = F.transform(F.filter("allowlist", lambda a: ~F.array_contains(F.col("selected"), a["observation_id"])), lambda a: F.struct(a["action_type"].alias("action_type"), a["observation_id"].alias("observation_id")))
-        chosen = decide(known.withColumn("available", open_))
+        # each round is written, so a round is computed once and the plan stays as long as one round
+        chosen = written(decide(known.withColumn("available", open_)), "loop-round")
         ends = F.col("action_type").isin(*checks.TERMINAL_ACTIONS)
         # observe (and analyze, if there is evidence), decide, act
         steps = F.col("transitions") + F.when(F.col("last_accepted") == F.lit(False), 0).otherwise(F.when(F.size("selected") > 0, 2).otherwise(1)) + 2
         finished = terminal(chosen.where(ends).withColumn("transitions", steps)).select("case_id", "outcome", "outcome_reasons", "outcome_confidence", "final_state", "explanation", "rule", "selected", "used_bytes", "used_retries", "transitions")
         done = finished if done is None else done.unionByName(finished)
-        if turn > rounds:
+        if turn > rounds or chosen.where(~ends).isEmpty():
             break
         size = F.coalesce(F.element_at(F.filter("allowlist", lambda a: a["observation_id"] == F.col("observation_id")), 1)["bytes"], F.lit(0))
         fits = F.col("used_bytes") + size <= F.col("max_bytes")

@@ -25,8 +25,10 @@ def object_key(start: Column, channel: Column, scan_seconds: int = 570, made_sec
 
 def parsed(objects: DataFrame, key: str = "object_key") -> DataFrame:
     """objects with channel, scan_start, scan_end and error (null: a proper key of a supported channel)."""
+    # inline() of one struct computes a step once: filters above (a join's null checks) don't copy the patterns into themselves
+    once = lambda df, columns: df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
     parts = {f"_p{i}": F.regexp_extract(key, KEY, i) for i in range(1, 7)}
-    found = objects.withColumns(parts).withColumns({"_start": calendar.day_of_year_stamp(F.col("_p5")), "_end": calendar.day_of_year_stamp(F.col("_p6"))})
+    found = once(once(objects, parts), {"_start": calendar.day_of_year_stamp(F.col("_p5")), "_end": calendar.day_of_year_stamp(F.col("_p6"))})
     agrees = F.concat_ws("/", "_p1", "_p2", "_p3") == F.date_format("_start", "yyyy/DDD/HH")
     error = (
         F.when(~F.coalesce(F.col("_p4") != "", F.lit(False)), "not a key of the product").when(~F.col("_p4").isin(*CHANNELS), "unsupported channel").when(F.col("_start").isNull() | F.col("_end").isNull(), "not a time")
