@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermal_lake.plans import decision_queries, raster_queries, relational_queries
+from thermal_lake.plans import basic_queries, decision_queries, raster_queries, relational_queries
 
-_MODULES = (raster_queries, relational_queries, decision_queries)
+_MODULES = (raster_queries, relational_queries, decision_queries, basic_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
