@@ -44,23 +44,22 @@ def near_cells(df: DataFrame, lat: Column, lon: Column, km: float, names: tuple[
     return df
 
 
-def within(left: DataFrame, right: DataFrame, km: float, micros: int, how: str, condition: Column, left_span: tuple[str, str], right_at: str) -> DataFrame:
-    """left joined to right (how: inner or left_anti) within a distance and a time: an equi-join on cells and time buckets, then the exact condition.
+def within(left: DataFrame, right: DataFrame, km: float, micros: int, how: str, condition: Column, left_span: tuple[str, str], right_at: str, key: str = "") -> DataFrame:
+    """left joined to right (how: inner, or left_anti by left's key) within a distance and a time: an equi-join on cells and time buckets, then the exact condition.
 
     left has _lat, _lon and a time span; right has lat, lon and right_at. Each left row covers the buckets that its span, widened by micros, touches; each right row the cells around its own.
     """
     size = max(1, micros)
     bucket = lambda c: F.floor(F.unix_micros(c) / size)
     names = ("_x", "_y", "_z")
-    a = left.withColumn("_row", F.monotonically_increasing_id())
-    reach = near_cells(a, F.col("_lat"), F.col("_lon"), km, names, True).withColumn("_t", F.explode(F.sequence(F.floor((F.unix_micros(left_span[0]) - micros) / size), F.floor((F.unix_micros(left_span[1]) + micros) / size))))
+    reach = near_cells(left, F.col("_lat"), F.col("_lon"), km, names, True).withColumn("_t", F.explode(F.sequence(F.floor((F.unix_micros(left_span[0]) - micros) / size), F.floor((F.unix_micros(left_span[1]) + micros) / size))))
     there = near_cells(right, F.col("lat"), F.col("lon"), km, ("_rx", "_ry", "_rz"), False).withColumn("_rt", bucket(F.col(right_at)))
     met = (F.col("_x") == F.col("_rx")) & (F.col("_y") == F.col("_ry")) & (F.col("_z") == F.col("_rz")) & (F.col("_t") == F.col("_rt")) & condition
-    pairs = reach.join(there, met)
     if how == "inner":
-        return pairs.drop("_row", *names, "_t", "_rx", "_ry", "_rz", "_rt")
-    hit = reach.join(there, met, "left_semi").select("_row").distinct()
-    return a.join(hit, "_row", "left_anti").drop("_row")
+        pairs = reach.join(there, met)
+        return pairs.drop(*names, "_t", "_rx", "_ry", "_rz", "_rt")
+    hit = reach.join(there, met, "left_semi").select(key).distinct()
+    return left.join(hit, key, "left_anti")
 
 
 def positive_candidates(events: DataFrame, windows: DataFrame, km: float = 25.0, micros: int = 90 * 60_000_000) -> DataFrame:
@@ -102,7 +101,7 @@ def without_detections(windows: DataFrame, detections: DataFrame, km: float = 50
     w = windows.withColumns({"_lat": F.col("latitude"), "_lon": F.col("longitude")})
     d = detections.selectExpr("acquired_at AS _acquired", "latitude AS lat", "longitude AS lon")
     near = (calendar.seconds_between(F.col("anchor_at"), F.col("_acquired")) <= micros) & (geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")) <= km)
-    return within(w, d, km, micros, "left_anti", near, ("anchor_at", "anchor_at"), "_acquired").drop("_lat", "_lon")
+    return within(w, d, km, micros, "left_anti", near, ("anchor_at", "anchor_at"), "_acquired", "window_id").drop("_lat", "_lon")
 
 
 def matching_variables(windows: DataFrame) -> DataFrame:
