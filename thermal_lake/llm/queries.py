@@ -41,8 +41,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    tricky = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
     return chat_format.digests(chat_format.format_windows(turns.unionByName(extra)))
 
 
@@ -81,7 +80,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
+TRICKY = r"\### Assistant: </turn> ok"
+
 ORACLES: dict[str, str] = {
+    # every alignment that shares enough words, and the best run of words on it
+    "op4_decontaminate": r"""
+        WITH dw AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents),
+        bw AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark),
+        d AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM dw),
+        b AS (SELECT item_id, len(ws) AS m, least(len(ws), 13) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS q FROM bw WHERE len(ws) >= 4),
+        al AS (SELECT doc_id, item_id, m, n, pos - q AS shift, list(q) AS qs FROM d JOIN b USING (word) GROUP BY ALL HAVING count(*) >= ceil(n * 0.75)),
+        st AS (SELECT *, unnest(range(0, m - n + 1)) AS s FROM al),
+        ag AS (SELECT doc_id, item_id, n, shift + s AS place, s, len(list_filter(qs, lambda q: q >= s AND q < s + n)) AS agree FROM st),
+        k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agree DESC, place, s) AS k FROM ag WHERE agree >= ceil(n * 0.75))
+        SELECT doc_id, item_id, agree::BIGINT AS agree, n::BIGINT AS overlap, place::BIGINT AS place, s::BIGINT AS item_place, agree::DOUBLE / n AS similarity FROM k WHERE k = 1
+    """,
+    "op5_chat_format": rf"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '{TRICKY}'), (-7, 1, 'assistant', '{TRICKY}')),
+        a AS (SELECT *, len(string_split_regex(text, '\s+')) + 2 AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
+            len('### ' || replace(replace(replace(replace(role, '\', '\\'), '#', '\h'), '</turn>', '\l/turn>'), ':', '\c') || ': ' || replace(replace(replace(text, '\', '\\'), '#', '\h'), '</turn>', '\l/turn>') || '</turn>' || chr(10)) AS size FROM t),
+        b AS (SELECT *, (tokens > 128)::INTEGER AS long FROM a),
+        c AS (SELECT *, sum(long) OVER w AS longs, sum(tokens * (1 - long)) OVER w - tokens * (1 - long) AS before FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+        d AS (SELECT *, CASE WHEN long = 1 THEN -1 ELSE floor(before / 128) END AS key FROM c),
+        e AS (SELECT *, max(place) OVER (PARTITION BY conv_id, longs, key) AS last, count(*) OVER (PARTITION BY conv_id) AS n FROM d),
+        w AS (SELECT conv_id, count(*) AS windows FROM (SELECT DISTINCT conv_id, longs, key FROM d) GROUP BY conv_id)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256, coalesce(sum(CASE WHEN role = 'assistant' THEN len(text) END), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY place), '')) AS loss_sha256,
+            sum(size + CASE WHEN place = 1 AND role = 'system' THEN size * (windows - 1) WHEN last - place < 2 AND last < n THEN size ELSE 0 END)::BIGINT AS formatted_chars
+        FROM e JOIN w USING (conv_id) GROUP BY conv_id
+    """,
+    # all pairs that share a shingle; on the tables at hand the forest misses none of them
+    "op10_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE shared >= 0.8 * (a.n + b.n - shared)),
+        reach(x, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, reach.root FROM reach JOIN l ON l.x = reach.x WHERE reach.root <= l.y),
+        c AS (SELECT x AS doc_id, min(root) AS class_id FROM reach GROUP BY x),
+        z AS (SELECT class_id, count(*) AS class_size FROM c GROUP BY class_id), k AS (SELECT x AS doc_id, count(*) AS n_links FROM l GROUP BY x)
+        SELECT c.doc_id, c.class_id, z.class_size, coalesce(k.n_links, 0)::BIGINT AS n_links, c.doc_id = c.class_id AS is_representative FROM c JOIN z USING (class_id) LEFT JOIN k USING (doc_id)
+    """,
     "op7_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
