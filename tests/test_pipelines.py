@@ -105,6 +105,22 @@ def test_failures_have_a_reason(spark):
     assert [r["r"] for r in df.collect()] == ["source_missing", "timeout", "cancelled", "artifact_write_failed", "source_corrupt", "configuration_invalid", None]
 
 
+def test_time_limit_cancels(spark):
+    slow = spark.range(4).repartition(4).mapInPandas(_sleep, "id long")
+    with pytest.raises(Exception, match="(?i)cancel"), pipelines.time_limit(spark, "slow", 2.0):
+        slow.collect()
+    with pipelines.time_limit(spark, "quick", 60.0):
+        assert spark.range(5).count() == 5
+
+
+def _sleep(batches):
+    import time
+
+    for b in batches:
+        time.sleep(20)
+        yield b
+
+
 def test_nothing_else_imports_the_text_operators():
     for p in [*ROOT.glob("thermal_lake/**/*.py"), ROOT / "bench.py"]:
         if "llm" not in p.parts:

@@ -220,6 +220,21 @@ def admission_error() -> Column:
     )
 
 
+def terminal_result(existing: Column, asked: Column) -> Column:
+    """What a terminal action gives: accepted the first time, accepted again without effect if it is the same, refused after another one."""
+    same = existing == asked
+    return F.struct((existing.isNull() | same).alias("accepted"), F.coalesce(same, F.lit(False)).alias("idempotent"), F.when(existing.isNotNull() & ~same, "terminal").alias("error"))
+
+
+def restored_error() -> Column:
+    """Why a state may not be resumed (null: it may). Columns: selected, evidence_ids, allowed (map id to action), max_observations, stored_max_observations, used_bytes, max_bytes."""
+    return (
+        F.when(F.size("selected") != F.size("evidence_ids"), "unaligned").when(~checks.all_distinct(F.col("selected")) | ~checks.all_distinct(F.col("evidence_ids")), "repeated")
+        .when(F.size(F.array_except("selected", F.map_keys("allowed"))) > 0, "not allowed").when(F.col("max_observations") != F.col("stored_max_observations"), "other limits")
+        .when((F.size("selected") > F.col("max_observations")) | (F.col("used_bytes") > F.col("max_bytes")), "over the limit")
+    )
+
+
 #: What may be done about a refusal.
 RECOVERY = {
     "observation_not_allowed": "Use only an observation listed in this case's allowlist.",

@@ -233,3 +233,18 @@ def resolved(observations: DataFrame, sources: DataFrame, key: str = "source_id"
     error = F.when(F.col("_k").isNull(), "unresolved source").when(F.col("channel") != F.col("_channel"), "channel").when(F.col("observed_at") != F.col("_scan"), "time")
     return joined.withColumn("error", error).drop("_k", "_channel", "_scan")
 
+
+
+def inherited(controls: DataFrame, positives: DataFrame) -> DataFrame:
+    """Controls with the event of the positive they are matched to; `error` where there is none."""
+    p = positives.select(F.col("case_id").alias("_p"), F.col("event_id"))
+    j = controls.join(p, F.col("matched_case_id") == F.col("_p"), "left")
+    return j.withColumn("error", F.when(F.col("_p").isNull(), "no positive")).drop("_p")
+
+
+def membership(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Keys that aren't in both, or not once in each: key, in_first, in_second; empty if the memberships are equal."""
+    a = first.groupBy(key).agg(F.count("*").alias("in_first"))
+    b = second.groupBy(key).agg(F.count("*").alias("in_second"))
+    both = a.join(b, key, "full").select(key, F.coalesce("in_first", F.lit(0)).alias("in_first"), F.coalesce("in_second", F.lit(0)).alias("in_second"))
+    return both.where((F.col("in_first") != 1) | (F.col("in_second") != 1))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thermal_lake import bindings as b
 from thermal_lake.functions import checks, geo
-from thermal_lake.operators import decide, evaluate, raster, records
+from thermal_lake.operators import decide, evaluate, raster, records, relate
 from thermal_lake.plans import pipelines, views
 from thermal_lake.sources import catalog
 
@@ -221,3 +221,54 @@ def built_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = b.shipped(spark, sf_dir)
     events = s.selectExpr("detection_id AS event_id", "acquired_at AS start_time", "acquired_at + interval 60 minutes AS end_time", "latitude", "longitude").where("event_id % 2 = 0")
     return pipelines.build_benchmark(events, b.windows(spark, sf_dir), s, 1, 5).cases.select("case_id", "label", "window_id", "season", "region_cell")
+
+
+# Lookups
+
+
+@query("resolved_sources", """
+    SELECT l_orderkey AS observation_id, l_linenumber AS line, CASE WHEN p.p_partkey IS NULL THEN 'unresolved source' WHEN l_linenumber % 2 <> p_size % 2 THEN 'channel' WHEN l_shipdate <> TIMESTAMP '1996-01-01' + INTERVAL 1 DAY * (p_partkey % 900) THEN 'time' END AS error
+    FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 10 <> 3) p ON l_partkey = p_partkey WHERE l_linenumber <= 2
+""")
+def resolved_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    band = lambda c: F.when(c % 2 == 0, "C07").otherwise("C14")
+    o = b.table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("observation_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("source_id"), band(F.col("l_linenumber")).alias("channel"), F.col("l_shipdate").alias("observed_at"))
+    s = b.table(spark, sf_dir, "part").where("p_partkey % 10 <> 3").select(F.col("p_partkey").alias("source_id"), band(F.col("p_size")).alias("channel"), F.expr("timestamp_ntz'1996-01-01' + make_dt_interval(cast(p_partkey % 900 AS int))").alias("scan_start"))
+    return relate.resolved(o, s).select("observation_id", "line", "error")
+
+
+@query("band_pairs", "WITH o AS (SELECT l_orderkey, l_linenumber // 2 AS step, l_linenumber % 2 AS band, l_partkey FROM lineitem) SELECT a.l_orderkey AS case_id, a.step, a.l_partkey AS source_id, b.l_partkey AS companion_source_id FROM o a LEFT JOIN o b ON a.l_orderkey = b.l_orderkey AND a.step = b.step AND b.band = 1 WHERE a.band = 0")
+def band_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = b.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS case_id", "cast(l_linenumber div 2 AS int) AS step", "CASE WHEN l_linenumber % 2 = 0 THEN 'C07' ELSE 'C14' END AS channel", "l_partkey AS source_id")
+    return relate.band_pairs(o, ["case_id", "step"]).select("case_id", "step", "source_id", "companion_source_id")
+
+
+@query("control_events", "SELECT c.doc_id AS case_id, p.doc_id * 10 AS event_id, CASE WHEN p.doc_id IS NULL THEN 'no positive' END AS error FROM labels c LEFT JOIN labels p ON p.doc_id = c.doc_id + 1 AND p.quality = 1 WHERE c.quality = 0")
+def control_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = b.table(spark, sf_dir, "labels")
+    return relate.inherited(t.where("quality = 0").selectExpr("doc_id AS case_id", "doc_id + 1 AS matched_case_id"), t.where("quality = 1").selectExpr("doc_id AS case_id", "doc_id * 10 AS event_id")).select("case_id", "event_id", "error")
+
+
+@query("membership_differences", "SELECT doc_id, count(l.q)::BIGINT AS in_first, count(d.t)::BIGINT AS in_second FROM (SELECT doc_id, 1 AS t FROM documents WHERE doc_id % 6 <> 0) d FULL JOIN (SELECT doc_id, quality AS q FROM labels) l USING (doc_id) GROUP BY doc_id HAVING count(l.q) <> 1 OR count(d.t) <> 1")
+def membership_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relate.membership(b.table(spark, sf_dir, "labels"), b.table(spark, sf_dir, "documents").where("doc_id % 6 <> 0"), "doc_id")
+
+
+@query("terminal_actions", """
+    WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'abstain' WHEN 1 THEN 'finalize' END AS existing, CASE WHEN doc_id % 2 = 0 THEN 'abstain' ELSE 'finalize' END AS asked FROM documents)
+    SELECT doc_id AS case_id, existing IS NULL OR existing = asked AS accepted, coalesce(existing = asked, false) AS idempotent, CASE WHEN existing <> asked THEN 'terminal' END AS error FROM t
+""")
+def terminal_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = b.table(spark, sf_dir, "documents").selectExpr("doc_id AS case_id", "CASE doc_id % 3 WHEN 0 THEN 'abstain' WHEN 1 THEN 'finalize' END AS existing", "CASE WHEN doc_id % 2 = 0 THEN 'abstain' ELSE 'finalize' END AS asked")
+    return t.select("case_id", decide.terminal_result(F.col("existing"), F.col("asked")).alias("r")).select("case_id", "r.*")
+
+
+@query("restored_state_errors", """
+    SELECT doc_id AS case_id, CASE WHEN doc_id % 5 = 0 THEN 'unaligned' WHEN doc_id % 7 = 0 THEN 'repeated' WHEN doc_id % 3 = 0 THEN 'not allowed' WHEN doc_id % 4 = 0 THEN 'other limits' WHEN doc_id % 11 > 8 THEN 'over the limit' END AS error FROM documents
+""")
+def restored_state_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = b.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "CASE WHEN doc_id % 7 = 0 THEN array('later', 'later') WHEN doc_id % 3 = 0 THEN array('later', 'other') ELSE array('later', 'baseline') END AS selected", "CASE WHEN doc_id % 5 = 0 THEN array('e1') ELSE array('e1', 'e2') END AS evidence_ids",
+        "map('later', 'next_timestamp', 'baseline', 'pre_event_baseline') AS allowed", "3 AS max_observations", "CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 3 END AS stored_max_observations", "doc_id % 11 AS used_bytes", "8 AS max_bytes",
+    )
+    return t.select(F.col("doc_id").alias("case_id"), decide.restored_error().alias("error"))

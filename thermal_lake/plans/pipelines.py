@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import random
+import threading
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermal_lake.functions import checks
@@ -69,6 +72,28 @@ def failure_reason(error: Column) -> Column:
     )
 
 
+@contextlib.contextmanager
+def time_limit(spark: SparkSession, group: str, seconds: float) -> Iterator[threading.Event]:
+    """Jobs started inside belong to a group that is cancelled when the time is up, or when the event that this gives is set."""
+    sc, stop, over = spark.sparkContext, threading.Event(), threading.Event()
+    sc.setJobGroup(group, group, True)
+
+    def watch() -> None:
+        stop.wait(seconds)
+        if not over.is_set():
+            sc.cancelJobGroup(group)
+
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield stop
+    finally:
+        over.set()
+        stop.set()
+        thread.join()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 def replay_slice(frames: DataFrame, limit: float, kernel: int = 3) -> DataFrame:
     """The single-band slice: number of regions, largest region and maximum of each frame (0 where there is none)."""
     found = raster.slice_components(frames, limit, kernel)
