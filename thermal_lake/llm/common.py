@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -53,6 +56,24 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, size: int = SLI
             yield from halves(batch.slice(start, rows))
 
 
+def release() -> None:
+    """Gives what a finished kernel has freed back to the system: a worker outlives its task, and shares its executor's memory with the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def map_arrow(df: DataFrame, schema: str, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], rows: int = SLICE, size: int = SLICE_BYTES) -> DataFrame:
     """df through a kernel that takes small record batches and yields columns as a dict of lists or arrays."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -65,7 +86,7 @@ def map_arrow(df: DataFrame, schema: str, kernel: Callable[[Iterator[pa.RecordBa
         for columns in kernel(slices(batches, rows, size)):
             yield pa.record_batch([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)
 
 
 def filter_arrow(df: DataFrame, text_col: str, predicate: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
@@ -79,7 +100,7 @@ def filter_arrow(df: DataFrame, text_col: str, predicate: Callable[[], Callable[
         for batch in slices(batches):
             yield batch.filter(pa.array([accepts(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(releasing(run), df.schema)
 
 
 def replace_arrow(df: DataFrame, text_col: str, function: Callable[[], Callable[[str], str]], changed: str) -> DataFrame:
@@ -96,7 +117,7 @@ def replace_arrow(df: DataFrame, text_col: str, function: Callable[[], Callable[
             columns = [pa.array(new, c.type) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([a != b for a, b in zip(old, new, strict=True)], pa.bool_())], names=[*batch.schema.names, changed])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(changed, BooleanType())]))
+    return df.mapInArrow(releasing(run), StructType([*df.schema.fields, StructField(changed, BooleanType())]))
 
 
 #: Row numbers that one bitmap covers (Spark's bitmap functions fix it), and bitmaps (of 4 KB) that are broadcast at most.

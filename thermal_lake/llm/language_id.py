@@ -44,7 +44,7 @@ class Model:
 
 
 class Predictor:
-    def __init__(self, model: Model, remembered: int = 100_000):
+    def __init__(self, model: Model, remembered: int = 50_000):
         self.m, self.known, self.remembered = model, {}, remembered
 
     def backoff(self, word: str) -> list[int]:
