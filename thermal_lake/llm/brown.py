@@ -27,6 +27,8 @@ CLASSES = 64
 KNOWN_SHARE, UNIT_SHARE, SUFFIX_SHARE, CORE_SHARE = 1e-6, 2e-5, 1e-4, 5e-4
 SUFFIX = 3
 PASSES = 6
+#: Exchange steps of all units at once that follow.
+ROUNDS = 1
 #: Distinct words that a counting task holds before it hands on what it has.
 HELD = 400_000
 
@@ -251,7 +253,41 @@ def cluster(encoded: DataFrame, counts: np.ndarray, total: int, classes: int = C
         gain = gains(table, both[:width], both[width:])
         gain[[END_CLASS, classes]] = -np.inf
         new[u] = int(gain.argmax())
-    return new
+    return refine(encoded, new, classes)
+
+
+def refine(encoded: DataFrame, cls: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Exchange steps of all units at once, each by its bigrams with the classes of the step before; a step that doesn't raise the likelihood is not taken."""
+    units = len(cls)
+    best, kept = -np.inf, cls
+    for turn in range(rounds + 1):
+        of = cls
+        code, n = pair_counts(encoded, lambda before, unit: np.concatenate((before * 2 * classes + of[unit], unit * 2 * classes + classes + of[before])), units * 2 * classes)
+        counts = np.zeros(units * 2 * classes)
+        counts[code] = n
+        right, left = (counts.reshape(units, 2, classes)[:, k] for k in (0, 1))
+        table = np.zeros((classes, classes))
+        np.add.at(table, of, right)
+        now = xlogx(table).sum() - xlogx(table.sum(1)).sum() - xlogx(table.sum(0)).sum()
+        if now <= best:
+            break
+        best, kept = now, of
+        if turn == rounds:
+            break
+        cls = of.copy()
+        for u in range(1, units):
+            r, b = right[u], left[u]
+            if not r.any() and not b.any():
+                continue
+            old = of[u]
+            table[old] -= r
+            table[:, old] -= b
+            gain = gains(np.maximum(table, 0), r, b)
+            gain[END_CLASS] = -np.inf
+            cls[u] = int(gain.argmax())
+            table[old] += r
+            table[:, old] += b
+    return kept
 
 
 @dataclass
