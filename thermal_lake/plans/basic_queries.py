@@ -220,7 +220,7 @@ def built_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positives, controls, seeded one-to-one pairs and their cases."""
     s = b.shipped(spark, sf_dir)
     events = s.selectExpr("detection_id AS event_id", "acquired_at AS start_time", "acquired_at + interval 60 minutes AS end_time", "latitude", "longitude").where("event_id % 2 = 0")
-    return pipelines.build_benchmark(events, b.windows(spark, sf_dir), s, 1, 5).cases.select("case_id", "label", "window_id", "season", "region_cell")
+    return pipelines.build_benchmark(events, b.windows(spark, sf_dir), s, None, 5).cases.select("case_id", "label", "window_id", "season", "region_cell")
 
 
 # Lookups

@@ -115,10 +115,10 @@ class Benchmark:
     audit: DataFrame
 
 
-def build_benchmark(events: DataFrame, windows: DataFrame, detections: DataFrame, count: int = 60, seed: int = 20260101) -> Benchmark:
+def build_benchmark(events: DataFrame, windows: DataFrame, detections: DataFrame, count: int | None = 60, seed: int = 20260101) -> Benchmark:
     """Positives (an event's nearest free window), controls (no detection near), matched one to one, `count` pairs of them in seeded order, as cases.
 
-    The order of equals comes from Python's generator over the positions of positives and controls (thousands), so it repeats the seeded choice; too few pairs raise.
+    The order of equals comes from Python's generator over the positions of positives and controls (thousands), so it repeats the seeded choice; too few pairs raise. count=None keeps all pairs, however few.
     """
     spark = events.sparkSession
     taken = relate.greedy_assignment(relate.positive_candidates(events, windows))
@@ -131,7 +131,7 @@ def build_benchmark(events: DataFrame, windows: DataFrame, detections: DataFrame
     ranks = lambda ids, order, name: spark.createDataFrame([(ids[k], i) for i, k in enumerate(order)], f"{name}_id {kind}, {name}_rank int")
     candidates = relate.match_candidates(positives, controls).join(ranks(p_ids, p_order, "positive"), "positive_id").join(ranks(c_ids, c_order, "control"), "control_id")
     matched = sorted((r["positive_id"], r["control_id"]) for r in relate.maximum_matching(candidates).collect())
-    if len(matched) < count:
+    if count is not None and len(matched) < count:
         raise ValueError(f"{len(matched)} matched pairs; {count} are needed")
     random.Random(seed).shuffle(matched)
     pairs = spark.createDataFrame(sorted(matched[:count]), f"positive_id {kind}, control_id {kind}")
