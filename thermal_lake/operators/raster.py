@@ -218,6 +218,13 @@ def tiles(pixels: DataFrame, planes: list[str], by: list[str]) -> DataFrame:
     return t.select(*by, "height", "width", *[plane(p).alias(p) for p in planes])
 
 
+def _plane(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column as one array (booleans, or doubles with NaN for null), and where each list starts."""
+    values, at = lists.flatten(), lists.offsets.to_numpy()
+    kind = bool if pa.types.is_boolean(values.type) else float
+    return values.to_numpy(zero_copy_only=False).astype(kind), at[: len(lists) + 1] - at[0]
+
+
 def over_tiles(df: DataFrame, schema: str, kernel: Callable[[dict, dict], list[dict]], keys: list[str], planes: list[str]) -> DataFrame:
     """Rows that kernel(keys, planes as 2-D arrays) makes of each tile, in Arrow batches of tiles."""
     out = to_arrow_schema(StructType.fromDDL(schema))
@@ -225,10 +232,14 @@ def over_tiles(df: DataFrame, schema: str, kernel: Callable[[dict, dict], list[d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names = batch.schema.names
+            column = lambda n, names=names, batch=batch: batch.column(names.index(n))
+            heads = [column(n).to_pylist() for n in (*keys, "height", "width")]
+            flat = {p: _plane(column(p)) for p in planes}
             found: list[dict] = []
-            for row in batch.to_pylist():
-                shape = (row["height"], row["width"])
-                found += kernel({k: row[k] for k in keys}, {p: np.array(row[p], dtype=bool if isinstance(row[p][0], bool) else float).reshape(shape) for p in planes})
+            for i in range(batch.num_rows):
+                shape = (heads[-2][i], heads[-1][i])
+                found += kernel({k: heads[j][i] for j, k in enumerate(keys)}, {p: v[at[i] : at[i + 1]].reshape(shape) for p, (v, at) in flat.items()})
             yield pa.RecordBatch.from_pylist(found, schema=out)
 
     return df.select(*keys, "height", "width", *planes).mapInArrow(run, schema)
