@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -221,6 +222,33 @@ def test_leaks_without_a_broadcast(spark, monkeypatch):
     assert a == sorted(tuple(r) for r in decontaminate.find_leaks(docs, bench).collect())
 
 
+def test_masks_meet_every_accepted_overlap():
+    """Each set of substitutions that AGREE accepts leaves a window of some mask whole."""
+    assert sorted(decontaminate.SHORT_MASKS) == list(range(decontaminate.LEAST, decontaminate.OVERLAP))
+    for n in range(decontaminate.LEAST, decontaminate.OVERLAP + 1):
+        masks = decontaminate.SHORT_MASKS.get(n, decontaminate.MASKS)
+        assert all(m[0] == m[-1] == "1" for m in masks)
+        taken = [{at + i for i in decontaminate.offsets(m)} for m in masks for at in range(n - len(m) + 1)]
+        for gone in itertools.combinations(range(n), n - math.ceil(n * decontaminate.AGREE)):
+            assert any(t.isdisjoint(gone) for t in taken), (n, gone)
+
+
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_WINDOWS, 1])
+def test_leaks_of_every_accepted_substitution(spark, monkeypatch, tmp_path, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (*range(4, 14), 30)]
+    docs = []
+    for n, text in items:
+        n = min(n, 13)
+        for gone in itertools.combinations(range(n), n - math.ceil(n * decontaminate.AGREE)):
+            docs.append((len(docs), " ".join(["before", *("x" if k in gone else w for k, w in enumerate(text.split()[:n])), "after"])))
+        docs.append((len(docs), " ".join(text.split()[1:n])))
+    df = table(spark, tmp_path, docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["agree"] for r in decontaminate.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == leaks(docs, items)
+    assert len(got) == len(docs)
+
+
 def shingles(text):
     w = (text or "").lower().split()
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()

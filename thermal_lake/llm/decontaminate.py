@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from thermal_lake.llm.common import is_small, only_rows, without, written
 
-#: Spaced seeds: 1 marks the words that a window's hash takes, 0 those that may differ. All have the same span.
-MASKS = ("1101100101", "1010011011", "1110010011")
+#: Spaced seeds: 1 marks the words that a window's hash takes, 0 those that may differ. Slid over OVERLAP words, one of them
+#: misses every set of substitutions that AGREE accepts (a test enumerates these sets).
+MASKS = ("111011", "1100001011", "110111")
+#: The same for items with fewer words, by their number.
+SHORT_MASKS = {
+    4: ("111", "1101", "1011"), 5: ("111", "1101"), 6: ("1111", "11011"), 7: ("11011",), 8: ("11011", "1111", "1100011"),
+    9: ("11101", "100111"), 10: ("11101", "1111"), 11: ("11101",), 12: ("11101", "10111"),
+}
 #: An overlap is verified if, of OVERLAP words in a row (of all, if an item has fewer), that share agree in place.
 OVERLAP, AGREE = 13, 0.75
 #: Items with fewer words are left out: they'd be found in any text.
@@ -54,20 +60,20 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     A window of a text and one of an item that agree in the words a mask takes are a hit. At each hit the two are aligned whole, and
     the overlap is verified if AGREE of OVERLAP words in a row (of all words, if the item has fewer) are the same. Of several
-    overlaps of one text with one item the best returns (most words agree, then the first in the text): one row for each pair. Items shorter than a mask are
-    sought as a whole; with fewer than LEAST words, or null, they are left out, as are null and empty texts. Repeated
+    overlaps of one text with one item the best returns (most words agree, then the first in the text): one row for each pair. Items of fewer than OVERLAP
+    words are sought by the masks of their length; with fewer than LEAST words, or null, they are left out, as are null and empty texts. Repeated
     rows of a text or an item count once by their id; rows with a null id are found like others and return a null id. Further columns aren't read. The
     benchmark's windows are counted, and broadcast up to BROADCAST_WINDOWS: then texts are neither shuffled nor collected. Beyond that windows are joined by a shuffle, and df has to be
     a table, or repeatable like one.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), word_hashes(F.col(item_text_col)).alias("item_words")).where(F.size("item_words") >= LEAST)
-    span = len(masks[0])
-    short = [r[0] for r in items.select(F.size("item_words").alias("n")).where(F.col("n") < span).distinct().orderBy("n").collect()]
-    every = [*masks, *("1" * n for n in short)]
-    # an item shorter than the masks is sought by the one of its own length; longer ones by the masks
+    # the masks of each length of item, so that no overlap that would be verified goes without a hit
     length = F.size("item_words")
-    parts = [windows(items.where(length >= span), "item_words", list(masks), ["item"])]
-    parts += [windows(items.where(length == n), "item_words", ["1" * n], ["item"]) for n in short]
+    short = [r[0] for r in items.where(length < OVERLAP).select(length.alias("n")).distinct().orderBy("n").collect()]
+    every = list(dict.fromkeys([*masks, *(m for n in short for m in SHORT_MASKS[n])]))
+    span = max(map(len, every))
+    parts = [windows(items.where(length >= OVERLAP), "item_words", list(masks), ["item"])]
+    parts += [windows(items.where(length == n), "item_words", list(SHORT_MASKS[n]), ["item"]) for n in short]
     seeds = parts[0]
     for p in parts[1:]:
         seeds = seeds.unionByName(p)
@@ -78,7 +84,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     shift = (F.col("place") - F.col("item_place")).alias("shift")
     if is_small(seeds, BROADCAST_WINDOWS) and (items.agg(F.sum(F.size("item_words"))).first()[0] or 0) <= BROADCAST_WORDS:
         hits = windows(texts, "words", every, ["id", "words"]).where("window is not null").join(F.broadcast(seeds), "window").join(F.broadcast(items), same_item)
-        # of hits that follow each other on one alignment, the first is enough: skip one if the words of the window before it all agree
+        # of hits that follow each other on one alignment, the first is enough: skip one if the words of the window before it, of any mask, all agree
         run = F.lit(True)
         for i in range(span):
             run = run & F.coalesce(F.get("words", F.col("place") - 1 + i) == F.get("item_words", F.col("item_place") - 1 + i), F.lit(False))
