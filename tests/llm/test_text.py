@@ -96,6 +96,20 @@ def test_novel_strings(spark, empty):
     assert secret_scan.redact("a token=abcdef b", [(2, "assign", 14)]) == "a [assign] b"
 
 
+def test_repeated_and_long_secrets_are_novel():
+    rng, novelty = random.Random(11), secret_scan.Novelty()
+    base62 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for size in (40, 700):
+        key = "".join(rng.choice(base62) for _ in range(size))
+        line = f"the private key material {key} was left here\n"
+        assert [s for s, _, _ in secret_scan.novel_spans(line * 3, novelty, [])] == [25 + k * len(line) for k in range(3)]
+        text = f"{line}and once more, far from that: {key}."
+        assert key not in secret_scan.redact(text, secret_scan.novel_spans(text, novelty, []))
+    for _ in range(20):
+        long = "".join(rng.choice("0123456789ABCDEF") for _ in range(256))
+        assert secret_scan.novel_spans(f"the private key material {long} was left here", novelty, [])
+
+
 def test_redaction_keeps_rows(spark, odd):
     with_secret = odd.withColumn("text", F.when(F.col("doc_id") == 8, "my token = abcdef012345").otherwise(F.col("text")))
     r = secret_scan.redact_texts(with_secret)

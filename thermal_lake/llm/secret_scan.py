@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -17,6 +18,7 @@ ASSIGN_LEAST = 6
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+HEX_DIGITS = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 KINDS = ("assign", "access", "hex", "novel")
 
 #: A candidate: a run of key-like characters, as long as this at least.
@@ -28,6 +30,8 @@ CONTEXT = 64
 AROUND = 512
 #: Marginal compressed bytes a character from which a candidate is reported (random base64 text needs 0.75, hex digits 0.5).
 NOVELTY = 0.6
+#: Characters from which a candidate's alphabet counts: shorter ones take about a byte a character whatever they hold.
+LONG = 64
 #: Identifiers that prime the coder, as they stand in code.
 IDENTIFIERS = (
     "self return import from class def function const let var public private static final void int string boolean float double null None true false "
@@ -72,14 +76,31 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return out
 
 
+def bits(s: str) -> float:
+    """Bits that a random character of the candidate's alphabet has: hex digits, digits and letters of one case, or all."""
+    if s != s.lower() and s != s.upper():
+        return 6.0
+    return 4.0 if HEX_DIGITS.fullmatch(s) else math.log2(36)
+
+
+def least_novelty(s: str, threshold: float = NOVELTY) -> float:
+    """The threshold, which is meant for 6 bits a character, for this candidate's length and alphabet."""
+    return threshold if len(s) < LONG else threshold * bits(s) / 6
+
+
+def without_copies(text: str, at: int, copy: str) -> str:
+    """The AROUND characters from a place on, with copies of a string blank, those that the end cuts too."""
+    return text[at : at + AROUND + len(copy) - 1].replace(copy, " " * len(copy))[:AROUND]
+
+
 def novel_spans(text: str, novelty: Novelty, taken: list[tuple[int, str, int]], threshold: float = NOVELTY) -> list[tuple[int, str, int]]:
-    """Incompressible candidates after a sensitive word that no base span covers."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        if mixed(m[0]) and not any(a <= s and e <= b for a, _, b in taken) and SENSITIVE.search(text, max(0, s - CONTEXT), s) and novelty(text[max(0, s - AROUND) : s], m[0], text[e : e + AROUND]) >= threshold:
-            out.append((s, "novel", e))
-    return out
+    """Incompressible candidates after a sensitive word that no base span covers, and all copies of these. Copies after a candidate don't make it old, those before it do."""
+    found = [(*m.span(), m[0]) for m in CANDIDATE.finditer(text) if mixed(m[0]) and not any(a <= m.start() and m.end() <= b for a, _, b in taken)]
+    new: set[str] = set()
+    for s, e, x in found:
+        if x not in new and SENSITIVE.search(text, max(0, s - CONTEXT), s) and novelty(text[max(0, s - AROUND) : s], x, without_copies(text, e, x)) >= least_novelty(x, threshold):
+            new.add(x)
+    return [(s, "novel", e) for s, e, x in found if x in new]
 
 
 def joined(spans: list[tuple[int, str, int]]) -> str:
