@@ -392,6 +392,15 @@ def test_search_by_brute_force(spark, monkeypatch, tile):
     assert got == best(rows)
 
 
+@pytest.mark.parametrize("tile", [topk.TILE, 8])
+def test_an_id_that_fills_many_tiles_takes_one_place(spark, monkeypatch, tile):
+    monkeypatch.setattr(topk, "TILE", tile)
+    rng = np.random.default_rng(12)
+    rows = [(50, [1.0, 1.0])] + [(k, [float(x) for x in rng.normal(size=2)]) for k in range(1, 40)] + [(7, [9.0 + 0.5 * (k % 5), 9.0]) for k in range(160)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), F.col("vec_id") == 50).collect()
+    assert {tuple(r) for r in got} == best(rows)
+
+
 def test_search_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BYTES", 64)
     rows = [(i, [float(i % 7), float(-i)]) for i in range(0, 500, 10)]

@@ -66,14 +66,24 @@ class Lists:
         self.valid = np.empty((len(ids), 0), dtype=bool)
 
     def add(self, ids: np.ndarray, tile: np.ndarray) -> None:
-        ids, first = np.unique(ids, return_index=True)  # of rows that repeat an id within a tile the first counts
-        tile = tile[first]
-        got = [self.block(s, ids, tile) for s in range(0, len(self.ids), QUERY_TILE)]
+        order = np.argsort(ids, kind="stable")
+        ids, starts = np.unique(ids[order], return_index=True)
+        tile = tile[order]
+        got = [self.block(s, ids, starts, tile) for s in range(0, len(self.ids), QUERY_TILE)]
         scores, found = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+        # an id that earlier tiles had too keeps its better score alone
+        for c in range(self.found.shape[1]):
+            row, at = np.nonzero((found == self.found[:, c, None]) & (scores != NONE))
+            held, more = self.scores[row, c], scores[row, at]
+            self.scores[row, c] = np.maximum(held, more)
+            scores[row, at] = NONE
         self.scores, self.found = select(np.concatenate((self.scores, scores), 1), np.concatenate((self.found, found), 1), 2 * self.k)
 
-    def block(self, start: int, ids: np.ndarray, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def block(self, start: int, ids: np.ndarray, starts: np.ndarray, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best of a tile, whose rows of ids[i] begin at starts[i]; of rows that repeat an id the best counts."""
         scores = products(self.matrix[start : start + QUERY_TILE], tile)
+        if len(starts) < len(tile):
+            scores = np.maximum.reduceat(scores, starts, axis=1)
         scores[self.ids[start : start + QUERY_TILE, None] == ids] = NONE
         return partial(scores, ids, self.k)
 
