@@ -337,6 +337,14 @@ def test_hot_groups_lose_no_link(spark, tmp_path, monkeypatch, block):
     assert got == similar(rows)
 
 
+@pytest.mark.parametrize("options", [{}, {"recall": 0.5}])
+def test_pairs_that_share_no_prefix_are_linked(spark, tmp_path, options):
+    """Near copies of one text, at production parameters and where many pairs share no prefix."""
+    rows = [r for r in near_copies() if r[0] is not None and r[0] < 500]
+    got, _ = joined(table(spark, tmp_path, rows, "doc_id long, text string"), **options)
+    assert got == similar(rows)
+
+
 def test_similarity_of_odd_rows(spark, odd, empty):
     got, _ = joined(odd)
     assert got == similar([(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()])
