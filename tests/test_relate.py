@@ -1,3 +1,5 @@
+import pathlib
+import types
 import datetime as dt
 import math
 import random
@@ -115,6 +117,42 @@ def test_components_of_a_long_chain_and_a_hot_star(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hot_nodes_are_split_and_old_rounds_deleted(spark, monkeypatch, tmp_path):
+    import random
+
+    monkeypatch.setattr(graph, "HOT_ROWS", 8)
+    rng = random.Random(3)
+    edges = [(5, k) for k in range(100, 300)] + [(k, k + 1) for k in range(400, 460)] + [(7, 7), (120, 455)] + [(rng.randrange(1000, 1040), rng.randrange(1000, 1040)) for _ in range(60)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    before = set(pathlib.Path(graph.shared_folder(spark).removeprefix("file:")).iterdir())
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "split").collect()}
+    assert got == {x: find(x) for x in parent}
+    assert len(set(pathlib.Path(graph.shared_folder(spark).removeprefix("file:")).iterdir()) - before) == 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, _):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getConf = staticmethod(Conf)  # noqa: N815
+        _jsc = types.SimpleNamespace(sc=lambda: types.SimpleNamespace(getCheckpointDir=lambda: types.SimpleNamespace(isDefined=lambda: False)))
+
+    with pytest.raises(RuntimeError):
+        graph.shared_folder(types.SimpleNamespace(sparkContext=Context()))
+
+
 def test_allocation_is_the_fold(spark):
     import hashlib
 

@@ -10,13 +10,18 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of one key from which it is hot, at least; and the share of all rows that makes a key hot, as 1 / HOT_KEYS: no more keys than that can be.
+HOT_ROWS, HOT_KEYS = 512, 4096
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or (in tests) a temporary folder."""
+    """spark.checkpoint.dir; where it is unset, the context's checkpoint folder or, on a local master alone (tests), a temporary folder."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
     if not root:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
             own = tempfile.mkdtemp(prefix="thermal-lake-")
             atexit.register(shutil.rmtree, own, True)
             sc.setCheckpointDir(own)
@@ -24,32 +29,69 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, so that the plan stays short and lost executors cost one step."""
+def save(df: DataFrame, name: str) -> str:
+    """Writes df as a table in the shared folder; its path."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that the plan stays short and lost executors cost one step."""
+    return df.sparkSession.read.schema(df.schema).parquet(save(df, name))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that save() wrote and nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """(hot, parts) for the keys that many of the rows have, HOT_KEYS at most; parts is how many pieces their rows are split into."""
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    return rows.groupBy(F.col(key).alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") > least).select("hot", F.ceil(F.col("n") / least).cast("int").alias("parts"))
+
+
+def looked_up(rows: DataFrame, key: str, spread: str, table: DataFrame, table_key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with table, whose table_key is unique, on key. Hot keys' rows are split by the hash of `spread`, and their row of table goes to each piece; None: no key is hot."""
+    if hot is None:
+        return rows.join(table, F.col(key) == F.col(table_key), how)
+    split = rows.join(F.broadcast(hot), F.col(key) == F.col("hot"), "left").withColumn("_piece", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("parts"))).cast("int")).drop("hot", "parts")
+    spare = table.join(F.broadcast(hot), F.col(table_key) == F.col("hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("hot", "parts")
+    return split.join(spare, (F.col(key) == F.col(table_key)) & (F.col("_piece") == F.col("_part")), how).drop("_piece", "_part")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for the nodes of edges (a, b), root the least node that is reachable.
 
-    Each round a node takes the least root around it, roots follow what their members found, and then every node its
-    root's root; chains shorten by half or more a round.
+    Each round a node takes the least root around it, and what its root's members found or its root itself points to; chains shorten by half
+    or more a round. A round reads the table that the one before it wrote, which is deleted afterwards. Roots of many nodes, and nodes of many edges, are split.
     """
-    both = written(edges.select("a", "b").unionAll(edges.selectExpr("b AS a", "a AS b")).distinct(), f"{name}-edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS node", "least(a, m) AS root"), f"{name}-0")
+    spark = edges.sparkSession
+    around = save(edges.select("a", "b").unionAll(edges.selectExpr("b AS a", "a AS b")).distinct(), f"{name}-edges")
+    both = spark.read.parquet(around)
+    total = both.count()
+    hubs_at = save(hot_keys(both, "b", total), f"{name}-hubs")
+    kind = both.schema["a"].dataType.simpleString()
+    hubs = spark.read.schema(f"hot {kind}, parts int").parquet(hubs_at)
+    hubs = None if hubs.isEmpty() else hubs
+    at = save(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS node", "least(a, m) AS root"), f"{name}-0")
     for turn in range(1, 10_000):
-        seen = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("seen"))
-        step = labels.join(seen, F.col("node") == F.col("a")).selectExpr("node", "root AS old", "least(root, seen) AS root")
-        pulled = step.where("root < old").groupBy("old").agg(F.min("root").alias("to")).withColumnRenamed("old", "was")
-        step = step.join(pulled, F.col("old") == F.col("was"), "left").selectExpr("node", "old", "least(root, to) AS root")
-        above = step.selectExpr("node AS parent", "root AS above")
-        step = written(step.join(above, F.col("root") == F.col("parent"), "left").selectExpr("node", "old", "least(root, above) AS root"), f"{name}-{turn}")
-        labels = step.select("node", "root")
-        if step.where("root <> old").isEmpty():
+        labels = spark.read.schema(f"node {kind}, root {kind}").parquet(at)
+        seen = looked_up(both, "b", "a", labels, "node", hubs).groupBy(F.col("a").alias("of")).agg(F.min("root").alias("seen"))
+        step = labels.join(seen, F.col("node") == F.col("of"), "left").selectExpr("node", "root AS old", "least(root, seen) AS found")
+        above = labels.selectExpr("node AS top", "root AS above")
+        pulled = step.groupBy(F.col("old").alias("was")).agg(F.min("found").alias("found_by_any")).join(above, F.col("was") == F.col("top")).selectExpr("was", "least(found_by_any, above) AS to")
+        step = looked_up(step, "old", "node", pulled, "was", hot_keys(labels, "root", total)).selectExpr("node", "old", "least(found, to) AS root")
+        new = save(step, f"{name}-{turn}")
+        discard(spark, at)
+        at = new
+        if spark.read.schema(f"node {kind}, old {kind}, root {kind}").parquet(at).where("root <> old").isEmpty():
             break
-    return labels
+    for path in (around, hubs_at):
+        discard(spark, path)
+    return spark.read.schema(f"node {kind}, root {kind}").parquet(at)
 
 
 def by_shared_keys(cases: DataFrame, case: str, keys: list[str], name: str = "key-components") -> DataFrame:

@@ -176,31 +176,35 @@ def maximum_matching(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("season", "region_cell").applyInArrow(match, f"positive_id {kind('positive_id')}, control_id {kind('control_id')}")
 
 
+#: Gaps of time after which a cell's points are dealt to another task.
+PERIODS = 256
+
+
 def proximity_edges(points: DataFrame, key: str, at: str, km: float, micros: int) -> DataFrame:
     """Edges (a, b) between points near in time and space, enough of them to link all that are near: not every pair.
 
-    A cell whose diameter is below the distance is split into runs whose steps in time stay within the gap; a run is linked in itself by its
-    neighbours in time. Runs of different cells are linked by one close pair of points for each pair of runs and time bucket.
+    A cell whose diameter is below the distance is split, in each PERIODS gaps of time, into runs whose steps in time stay within the gap; a run's points are linked
+    to its least one. Runs that follow each other in a cell, or are of different cells, are linked by their least points if any two of their points are near.
     """
     fine = [F.floor((x + 1.0) * (2.0 / geo.chord(km))) for x in geo.unit_vector(F.col("lat"), F.col("lon"))]
+    size = max(1, micros)
     cells = ["_f0", "_f1", "_f2"]
     p = points.select(F.col(key).alias("k"), F.col(at).alias("t"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).withColumns(dict(zip(cells, fine, strict=True)))
+    cells = [*cells, "_p"]
+    p = p.withColumn("_p", F.floor(F.unix_micros("t") / (PERIODS * size)))
     w = Window.partitionBy(*cells).orderBy("t", "k")
     # the fine cell's diagonal is under the distance only up to sqrt(3)/2 of its chord, so neighbours in time are always near enough
     gap = F.unix_micros("t") - F.unix_micros(F.lag("t").over(w))
-    inside = p.withColumns({"before": F.lag("k").over(w), "gap": gap})
-    chain = inside.where((F.col("gap") <= micros)).selectExpr("k AS a", "before AS b")
-    p = inside.withColumn("run", F.sum(F.when(F.col("gap") <= micros, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("before", "gap")
-    size = max(1, micros)
+    p = p.withColumn("gap", gap).withColumn("run", F.sum(F.when(F.col("gap") <= micros, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("gap")
+    p = p.withColumn("head", F.min("k").over(Window.partitionBy(*cells, "run")))
+    inside = p.where("k <> head").selectExpr("k AS a", "head AS b")
     left = p.withColumn("_t", F.floor(F.unix_micros("t") / size))
     names = ("_x", "_y", "_z")
     reach = near_cells(left, F.col("lat"), F.col("lon"), km, names, True).withColumn("_b", F.explode(F.array(F.col("_t") - 1, F.col("_t"))))
-    other = near_cells(left, F.col("lat"), F.col("lon"), km, ("_rx", "_ry", "_rz"), False).selectExpr("k AS k2", "t AS t2", "lat AS lat2", "lon AS lon2", "_f0 AS g0", "_f1 AS g1", "_f2 AS g2", "run AS run2", "_rx", "_ry", "_rz", "_t AS _t2")
-    same = F.struct(*cells, "run") != F.struct(F.col("g0").alias("_f0"), F.col("g1").alias("_f1"), F.col("g2").alias("_f2"), F.col("run2").alias("run"))
+    other = near_cells(left, F.col("lat"), F.col("lon"), km, ("_rx", "_ry", "_rz"), False).selectExpr("t AS t2", "lat AS lat2", "lon AS lon2", "head AS head2", "_rx", "_ry", "_rz", "_t AS _t2")
     near = (calendar.seconds_between(F.col("t"), F.col("t2")) <= micros) & (geo.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= km)
-    met = reach.join(other, (F.col("_x") == F.col("_rx")) & (F.col("_y") == F.col("_ry")) & (F.col("_z") == F.col("_rz")) & (F.col("_b") == F.col("_t2")) & same & near)
-    across = met.groupBy(*cells, "run", "g0", "g1", "g2", "run2").agg(F.min("k").alias("a"), F.min_by("k2", F.struct("k", "k2")).alias("b"))
-    return chain.select("a", "b").unionAll(across.select("a", "b"))
+    met = reach.join(other, (F.col("_x") == F.col("_rx")) & (F.col("_y") == F.col("_ry")) & (F.col("_z") == F.col("_rz")) & (F.col("_b") == F.col("_t2")) & (F.col("head") != F.col("head2")) & near)
+    return inside.unionAll(met.selectExpr("greatest(head, head2) AS a", "least(head, head2) AS b").distinct())
 
 
 def single_linkage(points: DataFrame, key: str = "detection_id", at: str = "acquired_at", km: float = 10.0, micros: int = HOUR) -> DataFrame:
