@@ -337,6 +337,22 @@ def test_hot_groups_lose_no_link(spark, tmp_path, monkeypatch, block):
     assert got == similar(rows)
 
 
+def test_templated_texts_that_chain_lose_no_link(spark, tmp_path, monkeypatch):
+    """Texts that share half of their words meet in the tries and make one large component of many classes."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 16)
+    rng, template, rows = random.Random(23), [f"t{i}" for i in range(80)], []
+    for k in range(110):
+        own = [f"o{k}x{i}" for i in range(rng.randrange(10, 60))]
+        for _ in range(rng.choice([1, 1, 2, 5])):
+            w = [*template, *own]
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = f"e{rng.random()}"
+            rows.append((len(rows), " ".join(w)))
+    got, heads = joined(table(spark, tmp_path, rows, "doc_id long, text string"), recall=0.99999)
+    assert got == similar(rows)
+    assert len(heads) > 20
+
+
 @pytest.mark.parametrize("options", [{}, {"recall": 0.5}])
 def test_pairs_that_share_no_prefix_are_linked(spark, tmp_path, options):
     """Near copies of one text, at production parameters and where many pairs share no prefix."""
@@ -345,6 +361,75 @@ def test_pairs_that_share_no_prefix_are_linked(spark, tmp_path, options):
     assert got == similar(rows)
 
 
+def test_prefix_is_shortened_until_the_measured_recall_reaches_the_target(spark, tmp_path, monkeypatch):
+    lengths = []
+    real = jaccard_join.shortened
+    monkeypatch.setattr(jaccard_join, "shortened", lambda *a: lengths.append(real(*a)) or lengths[-1])
+    rng = random.Random(21)
+
+    def edited(w, n):
+        w = list(w)
+        for at in rng.sample(range(5, len(w) - 5), n):
+            w[at] = f"e{rng.random()}"
+        return " ".join(w)
+
+    base = [[f"t{k}w{i}" for i in range(200)] for k in range(400)]
+    close = [(2 * k + j, edited(w, j)) for k, w in enumerate(base) for j in range(2)]
+    far = [(1000 + 2 * k + j, edited(w, 4 * j)) for k, w in enumerate(base) for j in range(2)]
+    for name, rows in (("close", close), ("far", far)):
+        (tmp_path / name).mkdir()
+        got, _ = joined(table(spark, tmp_path / name, rows, "doc_id long, text string"))
+        assert got == similar(rows)
+    assert lengths[0] == jaccard_join.DEPTH
+    assert jaccard_join.longest_prefix(jaccard_join.TREES, jaccard_join.DEPTH, 0.8, 0.999) <= lengths[1] < jaccard_join.DEPTH
+    pairs = np.array([0.99, 0.95, 0.81, 0.82, 0.99]), np.array([8, 8, 5, 8, 8])
+    assert jaccard_join.measured_recall(*pairs, 8, 20, 5) == pytest.approx(0.5, abs=1e-3)
+    assert jaccard_join.shortened(*pairs, 20, 8, 5, 0.999) == 5
+    assert jaccard_join.shortened(*(x[:2] for x in pairs), 20, 8, 5, 0.999) == 8
+    assert jaccard_join.shortened(np.empty(0), np.empty(0), 20, 8, 5, 0.999) == 5
+
+
+def test_planted_pairs_at_the_threshold_are_found(spark, tmp_path):
+    """Pairs of a similarity of 0.8 to 0.83, far from all others: at least 0.99 of them are linked."""
+    rng, rows = random.Random(22), []
+    for k in range(700):
+        w = [f"p{k}w{i}" for i in range(120)]
+        x = list(w)
+        for at in (20, 60):
+            x[at + rng.randrange(3)] = f"q{rng.random()}"
+        x += [f"r{k}{i}" for i in range(rng.randrange(1, 4))]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(x))]
+    sims = [len(a & b) / len(a | b) for a, b in ((shingles(rows[2 * k][1]), shingles(rows[2 * k + 1][1])) for k in range(700))]
+    assert min(sims) >= 0.8
+    assert max(sims) < 0.86
+    r = jaccard_join.join(table(spark, tmp_path, rows, "doc_id long, text string"))
+    assert r.where("n_links = 1 and class_size = 2").count() >= 0.99 * 1400
+
+
+def test_rows_are_the_same_however_the_table_is_split(spark, tmp_path):
+    """The defaults that decide how files are split change between the call and the action."""
+    path = str(tmp_path / "split")
+    spark.read.parquet(f"{FOLDER}/documents.parquet").repartition(16).write.parquet(path)
+    bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    keys = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    found = []
+    for first, second in ((("4", "128m", "4m"), ("16", "8k", "1k")), (("16", "8k", "1k"), ("4", "128m", "4m"))):
+        try:
+            for k, v in zip(keys, first, strict=True):
+                spark.conf.set(k, v)
+            frames = [jaccard_join.deduplicate(spark.read.parquet(path)), jaccard_join.join(spark.read.parquet(path)), decontaminate.drop_leaks(spark.read.parquet(path), bench)]
+            for k, v in zip(keys, second, strict=True):
+                spark.conf.set(k, v)
+            found.append([sorted(map(tuple, f.collect()), key=repr) for f in frames])
+        finally:
+            for k in keys:
+                spark.conf.unset(k)
+    assert found[0] == found[1]
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(path).collect()}
+    classes = similar(list(texts.items()))
+    assert [r[0] for r in found[0][0]] == sorted((i for i, c, _, _ in classes if i == c), key=lambda i: repr((i, texts[i])))
+
+
 def test_similarity_of_odd_rows(spark, odd, empty):
     got, _ = joined(odd)
     assert got == similar([(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()])
@@ -356,8 +441,8 @@ def test_similarity_of_odd_rows(spark, odd, empty):
 
 
 def test_recall_bound_and_dense_products():
-    length = jaccard_join.prefix_length(20, 8, 0.8, 0.999)
-    assert jaccard_join.expected_recall(0.8, 20, length) >= 0.999 > jaccard_join.expected_recall(0.8, 20, length + 1)
+    length = jaccard_join.longest_prefix(20, 8, 0.8, 0.999)
+    assert jaccard_join.met(0.8, 20, length) >= 0.999 > jaccard_join.met(0.8, 20, length + 1)
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 80))).astype(np.uint64) for _ in range(30)]
     want = [[len(np.intersect1d(a, b)) for b in sets[10:]] for a in sets[:10]]
@@ -365,7 +450,7 @@ def test_recall_bound_and_dense_products():
 
 
 def test_signatures_estimate_similarity():
-    seeds = jaccard_join.seeds_of(32, 8, 8)
+    seeds = jaccard_join.seeds_of(32, 8)
     base = jaccard_join.mixed(np.arange(1, 1001, dtype=np.uint64))
     a, b = jaccard_join.signature(np.sort(base[:900]), seeds), jaccard_join.signature(np.sort(base[100:]), seeds)
     assert np.mean(a == b) == pytest.approx(0.8, abs=0.08)

@@ -15,7 +15,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from thermal_lake.operators.graph import written
 from thermal_lake.shipping import ship
 
-__all__ = ["bounded", "documents", "filter_arrow", "held_out", "is_small", "map_arrow", "only_rows", "replace_arrow", "unused", "without", "written"]
+__all__ = ["bounded", "documents", "filter_arrow", "held_out", "is_small", "map_arrow", "numbered", "only_rows", "release", "replace_arrow", "ship", "unused", "without", "written"]
 
 #: Rows that a kernel turns into Python objects at once, so that very long texts stay bounded.
 SLICE = 512
@@ -140,15 +140,16 @@ def only_rows(df: DataFrame, row: str, ids: DataFrame, keep: bool) -> DataFrame:
     return df.join(F.broadcast(bits), F.shiftright(row, BITMAP_BITS) == F.col(bucket), "left").where(marked).select(*df.columns)
 
 
-def without(df: DataFrame, dropped: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """df without the rows that dropped(df with a row number, its name) names by that number.
+def numbered(df: DataFrame, row: str) -> DataFrame:
+    """df as a written table with a number of each row: whoever reads it finds the same numbers, however it is read."""
+    return written(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
-    df has to be repeatable (a table, or made from one without a shuffle), so that a row has the same number whenever it is
-    read.
-    """
+
+def without(df: DataFrame, dropped: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """df without the rows that dropped(df as a written table with a row number, its name) names by that number; df is read once."""
     row = unused(df, "_row_number")
-    numbered = df.withColumn(row, F.monotonically_increasing_id())
-    return only_rows(numbered, row, dropped(numbered, row).select(row), False).drop(row)
+    rows = numbered(df, row)
+    return only_rows(rows, row, dropped(rows, row).select(row), False).drop(row)
 
 
 def unused(df: DataFrame, name: str) -> str:
