@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import FOLDER
 from thermal_lake.llm import brown, language_id, quality, queries, toxicity
+from thermal_lake.operators import graph
 
 
 def test_ordinal_fit_shares_weights_and_orders_thresholds():
@@ -220,18 +221,75 @@ def test_languages_held_out(spark):
     assert all(0 <= x["score"] <= 1 for x in r)
 
 
+def languages_one_by_one(train, asked, gram_share=language_id.GRAM_SHARE):
+    """language and score of each text, in plain Python, from every count."""
+    find = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    cut = lambda w, n: [x[i : i + n] for x in [f"^{w}$" if n > 1 else w] for i in range(len(x) - n + 1)]
+    counts = {}
+    for text, lang in train:
+        counts.setdefault(lang, Counter()).update(find(text))
+    langs = sorted(x for x, c in counts.items() if c)
+    of = {n: {x: Counter(g for w in counts[x] for g in cut(w, n)) for x in langs} for n in range(1, 5)}
+    size = {n: {x: sum(c.values()) for x, c in of[n].items()} for n in of}
+    known = {n: {g for x in langs for g, k in of[n][x].items() if k >= gram_share * size[n][x]} for n in of}
+    total = {x: sum(counts[x].values()) for x in langs}
+
+    def weight(w):
+        if any(w in counts[x] for x in langs):
+            return [math.log((counts[x][w] + 0.5) / (total[x] + 1)) for x in langs]
+        for n in range(min(4, len(w) + 2), 0, -1):
+            found = [g for g in cut(w, n) if g in known[n]]
+            if found and 2 * len(found) >= len(cut(w, n)):
+                return [sum(math.log((of[n][x][g] + 0.5) / (size[n][x] + 1)) for g in found) / len(found) for x in langs]
+        return [0.0] * len(langs)
+
+    out = []
+    for text in asked:
+        if not langs or not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        sums = [sum(x) for x in zip(*map(weight, find(text)), strict=True)]
+        best = max(sums)
+        p = [math.exp((x - best) / math.sqrt(len(find(text)))) for x in sums]
+        out.append((langs[sums.index(best)], 1 / sum(p)))
+    return out
+
+
+@pytest.mark.parametrize("share", [language_id.WORD_SHARE, 0.001, 0.5])
+def test_languages_by_brute_force(spark, docs, monkeypatch, share):
+    monkeypatch.setattr(language_id, "WORD_SHARE", share)
+    monkeypatch.setattr(graph, "HOT_ROWS", 20)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    learnt = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2 and x is not None]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op8_language_id(spark, FOLDER).collect()}
+    want = dict(zip([i for i, _, _ in rows], languages_one_by_one(learnt, [t for _, t, _ in rows]), strict=True))
+    assert {i: x for i, (x, _) in got.items()} == {i: x for i, (x, _) in want.items()}
+    assert all(got[i][1] == pytest.approx(want[i][1], abs=1e-9) for i in got)
+
+
+def test_every_known_word_scores_by_its_own_counts(spark, monkeypatch):
+    """A word below the share of one language and above that of the other."""
+    monkeypatch.setattr(language_id, "WORD_SHARE", 0.2)
+    train = [(0, "aa " * 40 + "rare rare rare", "x"), (1, "bb " * 40 + "rare " * 9, "y"), (2, "cc", None)]
+    m = language_id.learn(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert set(m.index) & {"aa", "bb", "rare"} == {"aa", "bb"}
+    assert {r["word"] for r in m.rest.collect()} == {"rare"}
+    asked = ["rare", "aa rare", "bb rare", "rarely", "日本", None, "12 ½ ²!"]
+    got = language_id.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), m).orderBy("doc_id").collect()
+    want = languages_one_by_one([(t, x) for _, t, x in train if x], asked)
+    assert [(r["lang_pred"], pytest.approx(r["score"])) for r in got] == want
+    assert want[4] == ("x", 0.5)
+    assert want[5] == want[6] == ("und", 0.0)
+
+
 def test_unseen_words_back_off(spark):
     rows = [(i, "sch" + "aeiou"[i % 5] + "tz " * 3, "de") for i in range(20)] + [(50 + i, "qu" + "aeiou"[i % 5] + "eaux " * 3, "fr") for i in range(20)] + [(99, "x", None)]
     m = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert m.langs == ["de", "fr"]
-    say = language_id.Predictor(m)
-    assert "schotz" not in m.index or True
-    assert say("schwutz schmitz")[0] == "de"
-    assert say("queaux eaux")[0] == "fr"
-    assert say(None) == ("und", 0.0)
-    assert say("12 ½ ²!") == ("und", 0.0)
-    assert say("日本")[0] == "de"
-    assert say("日本")[1] == 0.5
+    assert "schmutz" not in m.index
+    asked = spark.createDataFrame([(1, "schwutz schmitz"), (2, "queaux eaux"), (3, "日本")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(asked, m).collect()}
+    assert (got[1][0], got[2][0], got[3]) == ("de", "fr", ("de", 0.5))
 
 
 def test_languages_of_odd_rows(spark, odd, empty):
@@ -242,7 +300,11 @@ def test_languages_of_odd_rows(spark, odd, empty):
     nothing = language_id.learn(odd.where("false"))
     assert {x["lang_pred"] for x in language_id.predict(odd, nothing).collect()} == {"und"}
     assert language_id.predict(empty, m).count() == 0
-    kept = language_id.keep_known(odd, m)
-    assert kept.columns == odd.columns
-    assert kept.where("doc_id IN (1, 2, 3, 4)").count() == 0
-    assert kept.where("doc_id = 5").count() == 2
+    for model in (m, nothing):
+        kept = language_id.label(odd, model)
+        assert kept.schema == odd.schema or kept.columns == odd.columns
+        assert kept.where("doc_id IN (1, 2, 3, 4)").count() == 0
+        assert kept.where("doc_id = 5").count() == (2 if model is m else 0)
+    assert {r["lang"] for r in language_id.label(odd, m).collect()} <= set(m.langs)
+    assert language_id.label(odd.drop("lang"), m).columns == odd.drop("lang").columns
+    assert language_id.label(empty, m).count() == 0

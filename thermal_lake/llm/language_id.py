@@ -1,26 +1,31 @@
-"""Language identification by word-first backoff (operator 8)."""
+"""Language identification by word-first backoff (operator 8).
+
+A word that the learning rows hold scores by its own log frequency in every language, however rare it is: frequent words come from a table that executors get, the others by a
+join on the word. An unseen word falls back to its n-grams, longest first.
+"""
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermal_lake.llm.common import filter_arrow, map_arrow, written
+from thermal_lake.llm.common import map_arrow, numbered, unused, written
+from thermal_lake.operators import graph
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 #: Longest n-gram, in characters, that an unseen word falls back to.
 LONGEST = 4
-#: Shares of a language's words, and of its n-grams of one length, from which an entry is kept: at most 1/share entries
-#: for each language (and length), however large the corpus is.
-WORD_SHARE, GRAM_SHARE = 1 / 50_000, 1 / 10_000
+#: The share of all words from which a word is in the table that executors get (1/share entries at most; the others come by a join), and the
+#: share of a language's n-grams of one length from which, in some language, an n-gram is known: 1/share entries at most for each language and length.
+WORD_SHARE, GRAM_SHARE = 1e-6, 1 / 10_000
 #: Distinct words that a counting task holds before it hands on what it has.
 HELD = 150_000
 
@@ -36,58 +41,31 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log probabilities by language (columns): rows[index[entry]]; words as they are, n-grams of n characters after the digit n."""
+    """Log probabilities by language (columns): rows[index[entry]]; words as they are, n-grams of n characters after the digit n. rest: (word, entries) of the learning rows' other words, or None."""
 
     langs: list[str]
     index: dict[str, int] = field(default_factory=dict)
     rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    totals: np.ndarray = field(default_factory=lambda: np.zeros((1, 0)))
+    rest: DataFrame | None = None
 
+    def table(self) -> Model:
+        """Without rest, as executors get it."""
+        return Model(self.langs, self.index, self.rows, self.totals)
 
-class Predictor:
-    def __init__(self, model: Model, remembered: int = 50_000):
-        self.m, self.known, self.remembered = model, {}, remembered
-
-    def backoff(self, word: str) -> list[int]:
-        """Rows of an unseen word: of its n-grams of the greatest length at which half of them are known."""
-        get = self.m.index.get
+    def backoff(self, word: str) -> np.ndarray | None:
+        """Log probabilities of an unseen word: the mean over its n-grams of the greatest length at which half of them are known."""
+        get = self.index.get
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
             of = grams(word, n)
             found = [i for g in of if (i := get(f"{n}{g}")) is not None]
             if found and 2 * len(found) >= len(of):
-                return found
-        return []
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        langs, index, known = self.m.langs, self.m.index, self.known
-        counts = Counter(words(text))
-        if not langs or not any(c.isalpha() for c in text or ""):
-            return UNDETERMINED, 0.0
-        at: list[int] = []
-        weight: list[float] = []
-        for w, n in counts.items():
-            i = index.get(w)
-            if i is not None:
-                at.append(i)
-                weight.append(n)
-                continue
-            rows = known.get(w)
-            if rows is None:
-                if len(known) >= self.remembered:
-                    known.clear()
-                known[w] = rows = self.backoff(w)
-            if rows:
-                at += rows
-                weight += [n / len(rows)] * len(rows)
-        if not at:
-            return langs[0], 1.0 / len(langs)
-        total = np.asarray(weight) @ self.m.rows[at]
-        p = np.exp((total - total.max()) / math.sqrt(sum(counts.values())))
-        best = int(total.argmax())
-        return langs[best], float(p[best] / p.sum())
+                return self.rows[found].mean(0)
+        return None
 
 
 def count_words(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """(lang, word, n) over all rows, added up within tasks first."""
+    """(word, entries: its languages and how often each has it) over all rows, added up within tasks first."""
 
     def kernel(batches) -> Iterator[dict]:
         held: dict[str, Counter] = {}
@@ -105,11 +83,11 @@ def count_words(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
         yield flush()
 
     parts = map_arrow(df.select(df[lang_col].alias("lang"), df[text_col].alias("text")), "lang string, word string, n long", kernel)
-    return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return parts.repartition("word").groupBy("word", "lang").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("entries"))
 
 
 def count_grams(vocabulary: DataFrame) -> DataFrame:
-    """(lang, entry, n): how many distinct words of each language have an n-gram; entry is n, then the n-gram."""
+    """(entry, length, entries): how many distinct words of each language have an n-gram; entry is n, then the n-gram."""
 
     def kernel(batches) -> Iterator[dict]:
         held: dict[str, Counter] = {}
@@ -128,74 +106,131 @@ def count_grams(vocabulary: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    parts = map_arrow(vocabulary.select("lang", "word"), "lang string, entry string, n long", kernel)
-    return parts.groupBy("lang", "entry").agg(F.sum("n").alias("n"))
-
-
-def share_table(counts: DataFrame, by: list[str], entry: str, share: float) -> tuple[list, list]:
-    """Totals by `by` and the entries with at least that share of their total; the rows that return are bounded by 1/share."""
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    kept = counts.join(F.broadcast(totals), by).where(F.col("n") >= share * F.col("total")).select("lang", entry, "n")
-    return totals.collect(), kept.toArrow().to_pylist()
+    parts = map_arrow(vocabulary.select(F.explode("entries.lang").alias("lang"), "word"), "lang string, entry string, n long", kernel)
+    found = parts.groupBy("lang", "entry").agg(F.sum("n").alias("n")).groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("entries"))
+    return found.withColumn("length", F.substring("entry", 1, 1).cast("int"))
 
 
 def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """A model from the rows whose language isn't null. Word counts cover all of them; entries with a tiny share stay out of the tables that executors get, and their words back off."""
+    """A model from the rows whose language isn't null: every word's count in every language, and the n-grams that some language has often enough, with their counts in all."""
     vocabulary = written(count_words(df.where(df[lang_col].isNotNull()), lang_col, text_col), "langid-words")
-    word_totals, word_rows = share_table(vocabulary, ["lang"], "word", WORD_SHARE)
-    langs = sorted(r["lang"] for r in word_totals)
+    sums = vocabulary.select(F.inline("entries")).groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()
+    langs = [r["lang"] for r in sums]
     if not langs:
         return Model([])
-    gram_counts = written(count_grams(vocabulary).withColumn("length", F.substring("entry", 1, 1)), "langid-grams")
-    gram_totals, gram_rows = share_table(gram_counts, ["lang", "length"], "entry", GRAM_SHARE)
     at = {x: i for i, x in enumerate(langs)}
-    model = Model(langs)
-    for rows, name in ((word_rows, "word"), (gram_rows, "entry")):
-        for r in rows:
-            model.index.setdefault(r[name], len(model.index))
     totals = np.zeros((LONGEST + 1, len(langs)))
-    for r in word_totals:
-        totals[0, at[r["lang"]]] = r["total"]
-    for r in gram_totals:
-        totals[int(r["length"]), at[r["lang"]]] = r["total"]
-    counts = np.full((len(model.index), len(langs)), 0.5)
-    order = np.zeros(len(model.index), dtype=int)
-    for rows, name in ((word_rows, "word"), (gram_rows, "entry")):
-        for r in rows:
-            i = model.index[r[name]]
-            counts[i, at[r["lang"]]] = r["n"] + 0.5
-            order[i] = int(r[name][0]) if name == "entry" else 0
-    model.rows = np.log(counts / (totals[order] + 1))
+    totals[0] = [r["n"] for r in sums]
+    counted = written(count_grams(vocabulary), "langid-grams")
+    for r in counted.select("length", F.inline("entries")).groupBy("length", "lang").agg(F.sum("n").alias("n")).collect():
+        totals[r["length"], at[r["lang"]]] = r["n"]
+    least = F.element_at(F.create_map(*chain.from_iterable((F.lit(f"{n}{x}"), F.lit(GRAM_SHARE * totals[n, i])) for n in range(1, LONGEST + 1) for i, x in enumerate(langs))), F.concat(F.col("length").cast("string"), F.col("lang")))
+    often = counted.select("entry", "length", "entries", F.inline("entries")).where(F.col("n") >= least).select("entry").distinct()
+    known = counted.join(often, "entry", "left_semi").select("entry", "length", "entries")
+    common = F.aggregate("entries", F.lit(0).cast("long"), lambda a, x: a + x["n"]) >= WORD_SHARE * float(totals[0].sum())
+    frequent = vocabulary.where(common).select(F.col("word").alias("entry"), F.lit(0).alias("length"), "entries")
+    model, rows = Model(langs, totals=totals), []
+    for table in (frequent.toArrow(), known.toArrow()):
+        for r in table.to_pylist():
+            model.index[r["entry"]] = len(rows)
+            counts = np.full(len(langs), 0.5)
+            for e in r["entries"]:
+                counts[at[e["lang"]]] += e["n"]
+            rows.append(np.log(counts / (totals[r["length"]] + 1)))
+    model.rows = np.array(rows).reshape(-1, len(langs))
+    rest = vocabulary.where(~common)
+    model.rest = None if rest.isEmpty() else rest
     return model
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """lang_pred and score of every whole text, one row for each row of df; only text is an input.
-
-    Known words score by their log frequency in each language; an unseen word by the mean over its n-grams of the
-    greatest length at which half of them are known. score is the winner's share of the tempered posterior, 0 to 1.
-    Null or letterless text, and any text under a model that learned nothing: `und`, 0. Ties go to the language first
-    in the alphabet. A null id stays null; repeated rows each give a row; further columns aren't read.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """(row, lang_pred, score) for rows (row, text)."""
+    spark, langs, k = rows.sparkSession, model.langs, len(model.langs)
+    shared, joins = spark.sparkContext.broadcast(model.table()), model.rest is not None
 
     def kernel(batches) -> Iterator[dict]:
-        say = Predictor(shared.value)
+        m = shared.value
+        get, seen_before = m.index.get, {}
         for batch in batches:
-            found = [say(t) for t in batch.column(1).to_pylist()]
-            yield {"id": batch.column(0), "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
-
-    return map_arrow(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")), "id long, lang_pred string, score double", kernel).withColumnRenamed("id", id_col)
-
-
-def keep_known(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of df, whole, whose text has a language: any but `und`. Repeated rows stay as they are."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    return filter_arrow(df, text_col, lambda: _accepts(Predictor(shared.value)))
+            texts = [words(t) for t in batch.column(1).to_pylist()]
+            flat = list(chain.from_iterable(texts))
+            sizes = np.array([len(x) for x in texts], dtype=np.int64)
+            of = np.repeat(np.arange(len(texts)), sizes)
+            at = np.fromiter(map(get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+            seen = np.flatnonzero(at >= 0)
+            total = np.stack([np.bincount(of[seen], weights=m.rows[at[seen], j], minlength=len(texts)) for j in range(k)], axis=1).astype(float) if k and len(flat) else np.zeros((len(texts), k))
+            rare: list[Counter] = [Counter() for _ in texts]
+            for i in np.flatnonzero(at < 0):
+                rare[of[i]][flat[i]] += 1
+            if not joins:
+                for i, c in enumerate(rare):
+                    for w, n in c.items():
+                        if w not in seen_before:
+                            if len(seen_before) > HELD:
+                                seen_before.clear()
+                            seen_before[w] = m.backoff(w)
+                        if seen_before[w] is not None:
+                            total[i] += n * seen_before[w]
+                    c.clear()
+            letters = [any(any(map(str.isalpha, w)) for w in x) for x in texts]
+            yield {"row": batch.column(0), "n": sizes, "letters": letters, "known": list(total), "rare": [list(c) for c in rare], "times": [list(c.values()) for c in rare]}
+
+    texts = map_arrow(rows.select("row", "text"), "row long, n long, letters boolean, known array<double>, rare array<string>, times array<int>", kernel)
+    total = F.col("known")
+    if joins:
+        texts = written(texts, "langid-texts")
+        rare = texts.selectExpr("row", "inline(arrays_zip(rare, times))")
+        uses = rare.groupBy(F.col("rare").alias("word")).agg(F.count("*").alias("uses")).join(model.rest, "word", "left")
+
+        def weigh(batches) -> Iterator[dict]:
+            m = shared.value
+            place = {x: i for i, x in enumerate(m.langs)}
+            for batch in batches:
+                out = []
+                for word, entries in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    if entries is None:
+                        out.append(m.backoff(word))
+                    else:
+                        counts = np.full(k, 0.5)
+                        for e in entries:
+                            counts[place[e["lang"]]] += e["n"]
+                        out.append(np.log(counts / (m.totals[0] + 1)))
+                yield {"word": batch.column(0), "uses": batch.column(1), "weights": out}
+
+        weights = written(map_arrow(uses, "word string, uses long, weights array<double>", weigh), "langid-rare")
+        hot_rows = max(graph.HOT_ROWS, (weights.agg(F.sum("uses")).first()[0] or 0) // graph.HOT_KEYS)
+        hot = weights.where(F.col("uses") > hot_rows).select(F.col("word").alias("hot"), F.ceil(F.col("uses") / hot_rows).cast("int").alias("parts"))
+        met = graph.looked_up(rare, "rare", "row", weights.where("weights IS NOT NULL").drop("uses"), "word", hot)
+        more = met.groupBy(F.col("row").alias("of")).agg(F.array(*[F.sum(F.col("times") * F.get("weights", F.lit(j))) for j in range(k)]).alias("more"))
+        texts = texts.select("row", "n", "letters", "known").join(more, F.col("row") == F.col("of"), "left")
+        total = F.when(F.col("more").isNull(), F.col("known")).otherwise(F.zip_with("known", "more", lambda x, y: x + y))
+    if not langs:
+        return texts.select("row", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    texts = texts.select("row", "n", "letters", total.alias("total"))
+    best = F.array_max("total")
+    mass = F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp((x - best) / F.sqrt("n")))
+    name = F.get(F.array(*map(F.lit, langs)), F.array_position("total", best).cast("int") - 1)
+    return texts.select("row", F.when(F.col("letters"), name).otherwise(UNDETERMINED).alias("lang_pred"), F.when(F.col("letters"), 1 / mass).otherwise(0.0).alias("score"))
 
 
-def _accepts(say: Predictor):
-    def accepted(text: str | None) -> bool:
-        return say(text)[0] != UNDETERMINED
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """lang_pred and score of every whole text, one row for each row of df; only text is an input.
 
-    return accepted
+    Words of the learning rows score by their log frequency in each language; an unseen word by the mean over its n-grams of the
+    greatest length at which half of them are known. score is the winner's share of the tempered posterior, 0 to 1.
+    Null or letterless text, and any text under a model that learned nothing: `und`, 0. A text of which nothing is known: the first language, 1 / languages. Ties go to the language first
+    in the alphabet. A null id stays null; repeated rows each give a row; further columns aren't read. df is read once: ids and texts are written with a number of each row.
+    A word that is hot among the words to be joined is split.
+    """
+    rows = numbered(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")), "row")
+    return rows.select("row", "id").join(scored(rows, model), "row").select(F.col("id").alias(id_col), "lang_pred", "score")
+
+
+def label(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of df, whole, whose text has a language (any but `und`), lang_col being what is predicted; without such a column df's columns stay as they are. Repeated rows stay."""
+    row = unused(df, "_row_number")
+    rows = numbered(df, row)
+    found = scored(rows.select(F.col(row).alias("row"), F.col(text_col).alias("text")), model).where(F.col("lang_pred") != UNDETERMINED)
+    pred, key = unused(rows, "_lang_pred"), unused(rows, "_row_found")
+    both = rows.join(found.select(F.col("row").alias(key), F.col("lang_pred").alias(pred)), F.col(row) == F.col(key))
+    return both.select(*[F.col(pred).cast(df.schema[c].dataType).alias(c) if c == lang_col else F.col(c) for c in df.columns])
