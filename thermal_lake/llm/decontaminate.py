@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermal_lake.llm.common import is_small, only_rows, without, written
+from thermal_lake.llm.common import is_small, numbered, only_rows, without, written
 
 #: Spaced seeds: 1 marks the words that a window's hash takes, 0 those that may differ. Slid over OVERLAP words, one of them
 #: misses every set of substitutions that AGREE accepts (a test enumerates these sets).
 MASKS = ("111011", "1100001011", "110111")
 #: The same for items with fewer words, by their number.
 SHORT_MASKS = {
+    1: ("1",), 2: ("11",), 3: ("111",),
     4: ("111", "1101", "1011"), 5: ("111", "1101"), 6: ("1111", "11011"), 7: ("11011",), 8: ("11011", "1111", "1100011"),
     9: ("11101", "100111"), 10: ("11101", "1111"), 11: ("11101",), 12: ("11101", "10111"),
 }
 #: An overlap is verified if, of OVERLAP words in a row (of all, if an item has fewer), that share agree in place.
 OVERLAP, AGREE = 13, 0.75
-#: Items with fewer words are left out: they'd be found in any text.
-LEAST = 4
+#: Items with fewer words are left out: those without any.
+LEAST = 1
 #: Windows, and words, of a benchmark up to which it is broadcast; beyond that its windows are joined by a shuffle.
 BROADCAST_WINDOWS, BROADCAST_WORDS = 500_000, 1_000_000
 
@@ -61,10 +62,10 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     A window of a text and one of an item that agree in the words a mask takes are a hit. At each hit the two are aligned whole, and
     the overlap is verified if AGREE of OVERLAP words in a row (of all words, if the item has fewer) are the same. Of several
     overlaps of one text with one item the best returns (most words agree, then the first in the text): one row for each pair. Items of fewer than OVERLAP
-    words are sought by the masks of their length; with fewer than LEAST words, or null, they are left out, as are null and empty texts. Repeated
+    words are sought by the masks of their length, whole up to 3 words, where AGREE tolerates none; null and wordless items are left out, as are null and empty texts. Repeated
     rows of a text or an item count once by their id; rows with a null id are found like others and return a null id. Further columns aren't read. The
-    benchmark's windows are counted, and broadcast up to BROADCAST_WINDOWS: then texts are neither shuffled nor collected. Beyond that windows are joined by a shuffle, and df has to be
-    a table, or repeatable like one.
+    benchmark's windows are counted, and broadcast up to BROADCAST_WINDOWS: then texts are neither shuffled nor collected. Beyond that windows are joined by a shuffle; df's
+    ids and texts are then written with a number of each row, by which texts with a hit are found again.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), word_hashes(F.col(item_text_col)).alias("item_words")).where(F.size("item_words") >= LEAST)
     # the masks of each length of item, so that no overlap that would be verified goes without a hit
@@ -80,10 +81,11 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     seeds = seeds.where("window is not null").select(F.col("item"), F.col("place").alias("item_place"), "window").distinct()
     items = items.distinct().withColumnRenamed("item", "of_item")
     same_item = F.col("item").eqNullSafe(F.col("of_item"))
-    texts = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), word_hashes(F.col(text_col)).alias("words"))
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    hashed = word_hashes(F.col("text")).alias("words")
     shift = (F.col("place") - F.col("item_place")).alias("shift")
     if is_small(seeds, BROADCAST_WINDOWS) and (items.agg(F.sum(F.size("item_words"))).first()[0] or 0) <= BROADCAST_WORDS:
-        hits = windows(texts, "words", every, ["id", "words"]).where("window is not null").join(F.broadcast(seeds), "window").join(F.broadcast(items), same_item)
+        hits = windows(texts.select("id", hashed), "words", every, ["id", "words"]).where("window is not null").join(F.broadcast(seeds), "window").join(F.broadcast(items), same_item)
         # of hits that follow each other on one alignment, the first is enough: skip one if the words of the window before it, of any mask, all agree
         run = F.lit(True)
         for i in range(span):
@@ -91,6 +93,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         hits = hits.where(~run).select("id", "item", "words", "item_words", shift)
     else:
         # windows alone are shuffled; only texts with a hit come along afterwards
+        texts = numbered(texts, "row").select("row", "id", hashed)
         narrow = windows(texts, "words", every, ["row"]).select("row", "place", "window").where("window is not null")
         found = written(narrow.join(seeds, "window").select("row", "item", shift).distinct(), "leak-hits")
         hits = found.join(only_rows(texts, "row", found, True), "row").join(items, same_item).select("id", "item", "words", "item_words", "shift")
@@ -105,5 +108,5 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of df, whole, without those that overlap with a benchmark item. df has to be a table, or repeatable like one."""
+    """The rows of df, whole, without those that overlap with a benchmark item."""
     return without(df, lambda numbered, row: find_leaks(numbered.select(row, text_col), benchmark, row, text_col, **options))

@@ -88,7 +88,7 @@ ORACLES: dict[str, str] = {
         WITH dw AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents),
         bw AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark),
         d AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM dw),
-        b AS (SELECT item_id, len(ws) AS m, least(len(ws), 13) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS q FROM bw WHERE len(ws) >= 4),
+        b AS (SELECT item_id, len(ws) AS m, least(len(ws), 13) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS q FROM bw),
         al AS (SELECT doc_id, item_id, m, n, pos - q AS shift, list(q) AS qs FROM d JOIN b USING (word) GROUP BY ALL HAVING count(*) >= ceil(n * 0.75)),
         st AS (SELECT *, unnest(range(0, m - n + 1)) AS s FROM al),
         ag AS (SELECT doc_id, item_id, n, shift + s AS place, s, len(list_filter(qs, lambda q: q >= s AND q < s + n)) AS agree FROM st),
