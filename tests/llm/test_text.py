@@ -222,7 +222,7 @@ def test_leaks_survive_substitutions(spark, odd, empty):
     rows += [(2000, "say five small words in order now"), (2001, "five small words in another order"), (2002, "alpha beta gamma delta epsilon"), (2002, "alpha beta gamma delta epsilon"), (None, "alpha beta gamma delta epsilon")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, bench).collect()}
-    assert got == {(k, 1) for k in range(60)} | {(2000, 4), (2002, None), (None, None)}
+    assert got == {(k, 1) for k in range(60)} | {(2000, 4), (2001, 4), (2002, None), (None, None)}
     assert decontaminate.find_leaks(odd, bench.limit(0)).count() == 0
     assert decontaminate.find_leaks(empty, bench).count() == 0
     assert decontaminate.find_leaks(odd, bench).count() == 0
