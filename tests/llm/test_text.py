@@ -131,9 +131,38 @@ def conversations():
             rows.append((c, t, role, None if rng.random() < 0.05 else " ".join(rng.choices(words, k=rng.choice([1, 5, 60, 400])))))
     rows += [(100, 0, "user", "same"), (100, 0, "user", "same"), (101, None, "assistant", "x"), (None, 0, "assistant", "y"), (102, 0, "system", "only"), (103, 1, "assistant", long_text(60_000))]
     rows += [(200, t, "assistant" if t % 2 else "user", f"turn {t} " * 20) for t in range(900)]
+    # a system turn beyond the budget, one within that is too long to be repeated, one that is repeated, and turns of every size after them
+    for c, n in ((300, 3000), (301, 400), (302, 250)):
+        rows += [(c, 0, "system", "rule " * n)] + [(c, 1 + t, "assistant" if t % 2 else "user", f"w{t} " * size) for t, size in enumerate((5, 4000, 5, 5000, 60, 60, 250, 262, 509, 510, 511, 512, 1, 1, 120, 126, 127, 3))]
+    rows += [(400, 0, "user", f"same turn {t % 3}") for t in range(300)] + [(401, None, "user", "again") for _ in range(300)]
     return rows
 
 
+def windows_one_by_one(turns):
+    """(first new turn, new turns, repeated turns, tokens) of the windows of one conversation's sorted turns."""
+    size = [len(re.split(r"\s+", x)) + 2 for _, _, _, x in turns]
+    system = turns[0][2] == "system"
+    out, used, before = [], 0, 0
+    for i, n in enumerate(size):
+        segment = before // (16 * 512)
+        if i == 0 or segment != last or used + n > 512:
+            again = [size[0]] if i and system and size[0] <= 256 and size[0] + n <= 512 else []
+            past = [k for k in (i - 2, i - 1) if k >= system]
+            for k in (2, 1):
+                h = [size[j] for j in past[-k:]]
+                if len(h) == k and sum(h) <= 128 and sum(again) + sum(h) + n <= 512:
+                    again += h
+                    break
+            out.append([i + 1, 0, len(again), sum(again)])
+            used = sum(again)
+        used += n
+        out[-1][1] += 1
+        out[-1][3] += n
+        last = segment
+        before += n
+    return [tuple(x) for x in out]
+
+
 def test_chat_round_trip(spark):
     rows = conversations()
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, place int").repartition(5)
@@ -153,17 +182,37 @@ def test_chat_round_trip(spark):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), sha(loss))
     windows = w.collect()
     assert Counter(r["conv_id"] for r in windows)[200] > 10
+    found = defaultdict(list)
     for r in windows:
         body = r["formatted"]
         assert body.count(chat_format.STOP) == r["n_turns"]
         assert body.count("###") == r["n_turns"]
-        new = r["n_turns"] - r["n_repeated"]
-        pieces = body.split(chat_format.STOP)[:-1]
-        size = sum(len(re.split(r"\s+", p)) for p in pieces[r["n_repeated"] :])
-        assert new == 1 or size <= chat_format.BUDGET
-        assert r["n_repeated"] <= chat_format.HISTORY + 1
-        if r["window"] > 1 and r["conv_id"] is not None and by[r["conv_id"]][0][2] == "system":
-            assert body.startswith("### system: ")
+        assert r["n_tokens"] <= chat_format.BUDGET or (r["n_turns"], r["n_repeated"]) == (1, 0)
+        found[r["conv_id"]].append((r["window"], r["n_turns"] - r["n_repeated"], r["n_repeated"], r["n_tokens"]))
+        system = by[r["conv_id"]][0]
+        if r["window"] > 1 and system[2] == "system" and r["n_repeated"]:
+            assert body.startswith("### system: ") == (len(re.split(r"\s+", system[3])) + 2 <= chat_format.SYSTEM_MOST)
+    assert {c: sorted(x) for c, x in found.items()} == {c: windows_one_by_one(turns) for c, turns in by.items()}
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_chat_order_does_not_depend_on_partitions(spark, monkeypatch, parts):
+    monkeypatch.setattr("thermal_lake.operators.graph.HOT_ROWS", 5)
+    rows = [x for x in conversations() if x[0] in (200, 302, 400, 401)]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = defaultdict(list)
+        for r in chat_format.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)).collect():
+            got[r["conv_id"]].append((r["window"], r["n_turns"] - r["n_repeated"], r["n_repeated"], r["n_tokens"]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    by = defaultdict(list)
+    for c, t, role, text in rows:
+        by[c].append((t is not None, t or 0, role or "", text or ""))
+    assert {c: sorted(x) for c, x in got.items()} == {c: windows_one_by_one(sorted(x)) for c, x in by.items()}
 
 
 def test_chat_of_nothing(spark):

@@ -96,18 +96,24 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, item_id, agree::BIGINT AS agree, n::BIGINT AS overlap, place::BIGINT AS place, s::BIGINT AS item_place, agree::DOUBLE / n AS similarity FROM k WHERE k = 1
     """,
     "op5_chat_format": rf"""
-        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '{TRICKY}'), (-7, 1, 'assistant', '{TRICKY}')),
+        WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '{TRICKY}'), (-7, 1, 'assistant', '{TRICKY}')),
         a AS (SELECT *, len(string_split_regex(text, '\s+')) + 2 AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
             len('### ' || replace(replace(replace(replace(role, '\', '\\'), '#', '\h'), '</turn>', '\l/turn>'), ':', '\c') || ': ' || replace(replace(replace(text, '\', '\\'), '#', '\h'), '</turn>', '\l/turn>') || '</turn>' || chr(10)) AS size FROM t),
-        b AS (SELECT *, (tokens > 128)::INTEGER AS long FROM a),
-        c AS (SELECT *, sum(long) OVER w AS longs, sum(tokens * (1 - long)) OVER w - tokens * (1 - long) AS before FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
-        d AS (SELECT *, CASE WHEN long = 1 THEN -1 ELSE floor(before / 128) END AS key FROM c),
-        e AS (SELECT *, max(place) OVER (PARTITION BY conv_id, longs, key) AS last, count(*) OVER (PARTITION BY conv_id) AS n FROM d),
-        w AS (SELECT conv_id, count(*) AS windows FROM (SELECT DISTINCT conv_id, longs, key FROM d) GROUP BY conv_id)
+        b AS (SELECT *, floor((sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) - tokens) / 8192) AS seg, first_value(role = 'system') OVER (PARTITION BY conv_id ORDER BY place) AS has,
+            first_value(tokens) OVER (PARTITION BY conv_id ORDER BY place) AS s, first_value(size) OVER (PARTITION BY conv_id ORDER BY place) AS s_size FROM a),
+        c AS (SELECT *, CASE WHEN place - 1 > has::INTEGER THEN lag(tokens) OVER w END AS p1, CASE WHEN place - 2 > has::INTEGER THEN lag(tokens, 2) OVER w END AS p2, lag(size) OVER w AS size1, lag(size, 2) OVER w AS size2,
+            CASE WHEN place > 1 AND has AND s <= 256 AND s + tokens <= 512 THEN s ELSE 0 END AS base FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+        d AS (SELECT *, CASE WHEN p1 + p2 <= 128 AND base + p1 + p2 + tokens <= 512 THEN 2 WHEN p1 <= 128 AND base + p1 + tokens <= 512 THEN 1 ELSE 0 END AS k FROM c),
+        e AS (SELECT *, base + tokens + CASE k WHEN 2 THEN p1 + p2 WHEN 1 THEN p1 ELSE 0 END AS opened, CASE WHEN base > 0 THEN s_size ELSE 0 END + CASE k WHEN 2 THEN size1 + size2 WHEN 1 THEN size1 ELSE 0 END AS extra FROM d),
+        f AS (
+            SELECT conv_id, place, seg, tokens AS used, 0::BIGINT AS more FROM e WHERE place = 1
+            UNION ALL
+            SELECT e.conv_id, e.place, e.seg, CASE WHEN e.seg <> f.seg OR f.used + e.tokens > 512 THEN e.opened ELSE f.used + e.tokens END, CASE WHEN e.seg <> f.seg OR f.used + e.tokens > 512 THEN e.extra ELSE 0 END
+            FROM f JOIN e ON e.conv_id = f.conv_id AND e.place = f.place + 1
+        )
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256, coalesce(sum(CASE WHEN role = 'assistant' THEN len(text) END), 0)::BIGINT AS loss_chars,
-            sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY place), '')) AS loss_sha256,
-            sum(size + CASE WHEN place = 1 AND role = 'system' THEN size * (windows - 1) WHEN last - place < 2 AND last < n THEN size ELSE 0 END)::BIGINT AS formatted_chars
-        FROM e JOIN w USING (conv_id) GROUP BY conv_id
+            sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY place), '')) AS loss_sha256, sum(size + more)::BIGINT AS formatted_chars
+        FROM a JOIN f USING (conv_id, place) GROUP BY conv_id
     """,
     # all pairs that share a shingle; on the tables at hand the forest misses none of them
     "op10_jaccard_join": r"""
