@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thermal_lake.llm.common import map_arrow
+from thermal_lake.llm.common import map_arrow, ship
 
 #: Candidates, and queries, that one product takes.
 TILE, QUERY_TILE = 2048, 1024
-#: Bytes of query vectors that are broadcast at once; more queries take further passes over the candidates.
-QUERY_BYTES = 32 << 20
+#: Bytes of query vectors that are broadcast, or make a block; and bytes that a block of candidates has.
+QUERY_BYTES, CANDIDATE_BYTES = 32 << 20, 64 << 20
 EXACT = 2**53
 
 
@@ -88,59 +89,90 @@ class Lists:
         return partial(scores, ids, self.k)
 
 
+def arrays(ids: pa.ChunkedArray | pa.Array, vs: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and a matrix of the vectors of each length."""
+    ids, sizes, flat = ids.to_numpy(), np.diff(vs.offsets.to_numpy()[: len(vs) + 1]), vs.flatten().to_numpy(zero_copy_only=False)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    out = {}
+    for d in map(int, np.unique(sizes)):
+        at = np.flatnonzero(sizes == d)
+        out[d] = ids[at], flat[starts[at, None] + np.arange(d)]
+    return out
+
+
+def lists_of(queries: pa.Table, k: int) -> dict[int, Lists]:
+    return {d: Lists(ids, matrix, k) for d, (ids, matrix) in arrays(queries.column("id"), queries.column("v").combine_chunks()).items()} if queries.num_rows else {}
+
+
+def results(lists: dict[int, Lists]) -> Iterator[dict]:
+    for x in lists.values():
+        q, c = np.nonzero(x.scores != NONE)
+        yield {"query_id": x.ids[q], "vec_id": x.found[q, c], "score": x.scores[q, c]}
+
+
+FOUND = "query_id long, vec_id long, score long"
+
+
+def by_broadcast(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """Each task's best candidates for all queries."""
+    shared = asked.sparkSession.sparkContext.broadcast(asked.toArrow())
+
+    def kernel(batches) -> Iterator[dict]:
+        lists = lists_of(shared.value, k)
+        held: dict[int, list] = {}
+
+        def flush(d: int) -> None:
+            lists[d].add(np.concatenate([i for i, _ in held[d]]), np.concatenate([v for _, v in held[d]]))
+            held[d] = []
+
+        for batch in batches:
+            for d, tile in (arrays(batch.column(0), batch.column(1)) if batch.num_rows else {}).items():
+                if d in lists:
+                    held.setdefault(d, []).append(tile)
+                    if sum(len(i) for i, _ in held[d]) >= TILE:
+                        flush(d)
+        for d in held:
+            if held[d]:
+                flush(d)
+        yield from results(lists)
+
+    return map_arrow(rows, FOUND, kernel)
+
+
+def by_tiles(asked: DataFrame, rows: DataFrame, k: int, size: int) -> DataFrame:
+    """The best candidates of every block of candidates for every block of queries; a task holds one of each. Repeated rows count once, and rows of one id are dealt by their vectors."""
+    ship(asked.sparkSession)
+    rows = rows.distinct()
+    wide = rows.agg(F.sum(F.size("v")).alias("n")).first()["n"] or 0
+    q_blocks, c_blocks = -(-size * 8 // QUERY_BYTES), max(1, -(-wide * 8 // CANDIDATE_BYTES))
+    q = asked.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
+    c = rows.withColumn("c", F.pmod(F.xxhash64("id", "v"), F.lit(c_blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        lists = lists_of(left, k)
+        for d, (ids, matrix) in (arrays(right.column("id"), right.column("v").combine_chunks()) if right.num_rows else {}).items():
+            for s in range(0, len(ids) if d in lists else 0, TILE):
+                lists[d].add(ids[s : s + TILE], matrix[s : s + TILE])
+        parts = list(results(lists)) or [{"query_id": [], "vec_id": [], "score": []}]
+        return pa.table({n: pa.array(np.concatenate([p[n] for p in parts]).astype(np.int64)) for n in ("query_id", "vec_id", "score")})
+
+    return q.groupBy("q", "c").cogroup(c.groupBy("q", "c")).applyInArrow(meet, FOUND)
+
+
 def search(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best other rows by the inner product of floor(256 x), ties to the smaller id.
 
     Rows where `queries` holds are asked against all rows with another id. Vectors that are null or empty, or hold a null or non-finite component,
     and rows with a null id take no part; a query meets candidates of its own length alone. An id that several rows repeat is
     one query (its first row in the order of the vectors) and, among one query's results, counts once with its best score. With fewer
-    candidates than k all return. Products are exact; what exceeds 2^63 - 1 either way is held to that. Each pass broadcasts QUERY_BYTES of
-    queries and reads the candidates once; tasks keep k candidates a query, and lists merge in two levels.
+    candidates than k all return. Products are exact; what exceeds 2^63 - 1 either way is held to that. Up to QUERY_BYTES of
+    queries (counted) are broadcast and candidates aren't shuffled; beyond that blocks of queries meet blocks of candidates in tasks of their own, and nothing passes through the
+    driver. Tasks keep 2 k candidates a query, and lists merge in two levels.
     """
-    spark = df.sparkSession
-    asked = vectors(df.where(queries), id_col, vector_col)
-    n, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
-    blocks = max(1, -(-n * 8 * (width or 1) // QUERY_BYTES))
+    asked = vectors(df.where(queries), id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
     rows = vectors(df, id_col, vector_col)
-    parts = []
-    for b in range(blocks if n else 0):
-        table = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).groupBy("id").agg(F.min("v").alias("v")).toArrow()
-        by: dict[int, list] = {}
-        for i, v in zip(table.column("id").to_pylist(), table.column("v").to_pylist(), strict=True):
-            by.setdefault(len(v), []).append((i, v))
-        shared = spark.sparkContext.broadcast({d: (np.array([i for i, _ in x], dtype=np.int64), np.array([v for _, v in x])) for d, x in by.items()})
-
-        def kernel(batches, shared=shared) -> Iterator[dict]:
-            lists = {d: Lists(ids, matrix, k) for d, (ids, matrix) in shared.value.items()}
-            held: dict[int, list] = {}
-
-            def flush(d: int) -> None:
-                lists[d].add(np.concatenate([i for i, _ in held[d]]), np.concatenate([v for _, v in held[d]]))
-                held[d] = []
-
-            for batch in batches:
-                ids, vs = batch.column(0).to_numpy(), batch.column(1)
-                sizes, flat = np.diff(vs.offsets.to_numpy()[: len(vs) + 1]), vs.flatten().to_numpy(zero_copy_only=False)
-                starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                for d in map(int, np.unique(sizes)):
-                    if d in lists:
-                        at = np.flatnonzero(sizes == d)
-                        held.setdefault(d, []).append((ids[at], flat[starts[at, None] + np.arange(d)]))
-                        if sum(len(i) for i, _ in held[d]) >= TILE:
-                            flush(d)
-            for d in held:
-                if held[d]:
-                    flush(d)
-            for x in lists.values():
-                q, c = np.nonzero(x.scores != NONE)
-                yield {"query_id": x.ids[q], "vec_id": x.found[q, c], "score": x.scores[q, c]}
-
-        parts.append(map_arrow(rows, "query_id long, vec_id long, score long", kernel))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    size = asked.agg(F.sum(F.size("v")).alias("n")).first()["n"] or 0
+    found = by_broadcast(asked, rows, k) if size * 8 <= QUERY_BYTES else by_tiles(asked, rows, k, size)
     best = lambda x, *by: x.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "vec_id")))
     found = found.withColumn("part", F.spark_partition_id() % 64).groupBy("query_id", "part", "vec_id").agg(F.max("score").alias("score"))
     found = best(found, "part").where(F.col("rank") <= k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
