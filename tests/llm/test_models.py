@@ -255,9 +255,9 @@ def languages_one_by_one(train, asked, gram_share=language_id.GRAM_SHARE):
     return out
 
 
-@pytest.mark.parametrize("share", [language_id.WORD_SHARE, 0.001, 0.5])
-def test_languages_by_brute_force(spark, docs, monkeypatch, share):
-    monkeypatch.setattr(language_id, "WORD_SHARE", share)
+@pytest.mark.parametrize("table", [language_id.TABLE, 500, 0])
+def test_languages_by_brute_force(spark, docs, monkeypatch, table):
+    monkeypatch.setattr(language_id, "TABLE", table)
     monkeypatch.setattr(graph, "HOT_ROWS", 20)
     rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
     learnt = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2 and x is not None]
@@ -268,8 +268,8 @@ def test_languages_by_brute_force(spark, docs, monkeypatch, share):
 
 
 def test_every_known_word_scores_by_its_own_counts(spark, monkeypatch):
-    """A word below the share of one language and above that of the other."""
-    monkeypatch.setattr(language_id, "WORD_SHARE", 0.2)
+    """A word that the table has no room for."""
+    monkeypatch.setattr(language_id, "TABLE", 2)
     train = [(0, "aa " * 40 + "rare rare rare", "x"), (1, "bb " * 40 + "rare " * 9, "y"), (2, "cc", None)]
     m = language_id.learn(spark.createDataFrame(train, "doc_id long, text string, lang string"))
     assert set(m.index) & {"aa", "bb", "rare"} == {"aa", "bb"}

@@ -10,7 +10,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import chain, repeat
+from operator import or_
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,11 +25,11 @@ UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 #: Longest n-gram, in characters, that an unseen word falls back to.
 LONGEST = 4
-#: The share of all words from which a word is in the table that executors get (1/share entries at most; the others come by a join), and the
+#: Words in the table that executors get, at most: the most frequent ones; the others come by a join. And the
 #: share of a language's n-grams of one length from which, in some language, an n-gram is known: 1/share entries at most for each language and length.
-WORD_SHARE, GRAM_SHARE = 1e-6, 1 / 10_000
+TABLE, GRAM_SHARE = 500_000, 1 / 10_000
 #: Distinct words that a counting task holds before it hands on what it has.
-HELD = 150_000
+HELD = 300_000
 
 
 def words(text: str | None) -> list[str]:
@@ -41,7 +43,7 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log probabilities by language (columns): rows[index[entry]]; words as they are, n-grams of n characters after the digit n. rest: (word, entries) of the learning rows' other words, or None."""
+    """Log probabilities by language (columns): rows[index[entry]]; words as they are, n-grams of n characters after the digit n. rest: (word, counts) of the learning rows' other words, or None."""
 
     langs: list[str]
     index: dict[str, int] = field(default_factory=dict)
@@ -64,87 +66,98 @@ class Model:
         return None
 
 
-def count_words(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """(word, entries: its languages and how often each has it) over all rows, added up within tasks first."""
+def counted(df: DataFrame, entries, langs: int) -> DataFrame:
+    """(entry, counts: how often each language has it) of df's rows, added up within tasks first; entries(batch) gives pairs of a language's number and its entries."""
 
     def kernel(batches) -> Iterator[dict]:
-        held: dict[str, Counter] = {}
+        held = [Counter() for _ in range(langs)]
 
         def flush() -> dict:
-            out = {"lang": [x for x, c in held.items() for _ in c], "word": [w for c in held.values() for w in c], "n": [n for c in held.values() for n in c.values()]}
-            held.clear()
+            every = list(set().union(*held))
+            out = {"entry": every} | {f"n{j}": [c.get(x, 0) for x in every] for j, c in enumerate(held)}
+            for c in held:
+                c.clear()
             return out
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(lang, Counter()).update(words(text))
-            if sum(map(len, held.values())) > HELD:
+            for j, found in entries(batch):
+                held[j].update(found)
+            if sum(map(len, held)) > HELD:
                 yield flush()
         yield flush()
 
-    parts = map_arrow(df.select(df[lang_col].alias("lang"), df[text_col].alias("text")), "lang string, word string, n long", kernel)
-    return parts.repartition("word").groupBy("word", "lang").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("entries"))
+    names = [f"n{j}" for j in range(langs)]
+    parts = map_arrow(df, ", ".join(["entry string", *(f"{n} long" for n in names)]), kernel)
+    return parts.groupBy("entry").agg(*[F.sum(n).alias(n) for n in names]).select("entry", F.array(*names).alias("counts"))
 
 
-def count_grams(vocabulary: DataFrame) -> DataFrame:
-    """(entry, length, entries): how many distinct words of each language have an n-gram; entry is n, then the n-gram."""
+def count_words(df: DataFrame, langs: list[str]) -> DataFrame:
+    """Words of rows (lang, text)."""
+    at = {x: j for j, x in enumerate(langs)}
+    return counted(df, lambda batch: ((at[x], words(t)) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), len(langs))
 
-    def kernel(batches) -> Iterator[dict]:
-        held: dict[str, Counter] = {}
 
-        def flush() -> dict:
-            out = {"lang": [x for x, c in held.items() for _ in c], "entry": [g for c in held.values() for g in c], "n": [n for c in held.values() for n in c.values()]}
-            held.clear()
-            return out
+def count_grams(vocabulary: DataFrame, langs: int) -> DataFrame:
+    """N-grams (n, then the n-gram) by how many distinct words of each language have them."""
 
-        for batch in batches:
-            for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = held.setdefault(lang, Counter())
-                for n in range(1, LONGEST + 1):
-                    c.update([f"{n}{g}" for g in grams(word, n)])
-            if sum(map(len, held.values())) > HELD:
-                yield flush()
-        yield flush()
+    def entries(batch):
+        for word, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            of = [f"{n}{g}" for n in range(1, LONGEST + 1) for g in grams(word, n)]
+            for j, n in enumerate(counts):
+                if n:
+                    yield j, of
+
+    return counted(vocabulary, entries, langs)
 
-    parts = map_arrow(vocabulary.select(F.explode("entries.lang").alias("lang"), "word"), "lang string, entry string, n long", kernel)
-    found = parts.groupBy("lang", "entry").agg(F.sum("n").alias("n")).groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("entries"))
-    return found.withColumn("length", F.substring("entry", 1, 1).cast("int"))
+
+def least_count(vocabulary: DataFrame, most: int) -> int:
+    """A count that at most so many words reach, from a histogram in steps of an eighth of a doubling."""
+    step = F.floor(F.log2("n") * 8)
+    bins = vocabulary.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
+    least, total = 1 << 62, 0
+    for r in bins:
+        total += r["words"]
+        if total > most:
+            break
+        least = r["least"]
+    return least
 
 
 def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """A model from the rows whose language isn't null: every word's count in every language, and the n-grams that some language has often enough, with their counts in all."""
-    vocabulary = written(count_words(df.where(df[lang_col].isNotNull()), lang_col, text_col), "langid-words")
-    sums = vocabulary.select(F.inline("entries")).groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()
-    langs = [r["lang"] for r in sums]
+    """A model from the rows whose language isn't null: every word's count in every language, and the n-grams that some language has often enough, with their counts in all. A language without words is not learnt."""
+    rows = df.where(df[lang_col].isNotNull()).select(df[lang_col].alias("lang"), df[text_col].alias("text"))
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     if not langs:
         return Model([])
-    at = {x: i for i, x in enumerate(langs)}
+    vocabulary = written(count_words(rows, langs), "langid-words")
+    sums = lambda t: [F.coalesce(F.sum(F.get("counts", F.lit(j))), F.lit(0)) for j in range(len(langs))]
     totals = np.zeros((LONGEST + 1, len(langs)))
-    totals[0] = [r["n"] for r in sums]
-    counted = written(count_grams(vocabulary), "langid-grams")
-    for r in counted.select("length", F.inline("entries")).groupBy("length", "lang").agg(F.sum("n").alias("n")).collect():
-        totals[r["length"], at[r["lang"]]] = r["n"]
-    least = F.element_at(F.create_map(*chain.from_iterable((F.lit(f"{n}{x}"), F.lit(GRAM_SHARE * totals[n, i])) for n in range(1, LONGEST + 1) for i, x in enumerate(langs))), F.concat(F.col("length").cast("string"), F.col("lang")))
-    often = counted.select("entry", "length", "entries", F.inline("entries")).where(F.col("n") >= least).select("entry").distinct()
-    known = counted.join(often, "entry", "left_semi").select("entry", "length", "entries")
-    common = F.aggregate("entries", F.lit(0).cast("long"), lambda a, x: a + x["n"]) >= WORD_SHARE * float(totals[0].sum())
-    frequent = vocabulary.where(common).select(F.col("word").alias("entry"), F.lit(0).alias("length"), "entries")
-    model, rows = Model(langs, totals=totals), []
-    for table in (frequent.toArrow(), known.toArrow()):
-        for r in table.to_pylist():
-            model.index[r["entry"]] = len(rows)
-            counts = np.full(len(langs), 0.5)
-            for e in r["entries"]:
-                counts[at[e["lang"]]] += e["n"]
-            rows.append(np.log(counts / (totals[r["length"]] + 1)))
-    model.rows = np.array(rows).reshape(-1, len(langs))
-    rest = vocabulary.where(~common)
+    totals[0] = list(vocabulary.agg(*sums(vocabulary)).first())
+    if not totals.any():
+        return Model([])
+    found = written(count_grams(vocabulary, len(langs)).withColumn("length", F.substring("entry", 1, 1).cast("int")), "langid-grams")
+    for r in found.groupBy("length").agg(*sums(found)).collect():
+        totals[r[0]] = r[1:]
+    often = reduce(or_, [(F.col("length") == n) & (F.get("counts", F.lit(j)) >= F.lit(max(GRAM_SHARE * totals[n, j], 1e-9))) for n in range(1, LONGEST + 1) for j in range(len(langs))])
+    vocabulary = vocabulary.withColumn("n", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
+    common = F.col("n") >= least_count(vocabulary, TABLE)
+    keep = np.flatnonzero(totals[0])
+    model = Model([langs[j] for j in keep], totals=totals[:, keep])
+    parts = []
+    for table, length in ((vocabulary.where(common).select("entry", "counts", F.lit(0).alias("length")), 0), (found.where(often).select("entry", "counts", "length"), None)):
+        t = table.toArrow()
+        for x in t.column("entry").to_pylist():
+            model.index[x] = len(model.index)
+        counts = np.array(t.column("counts").to_pylist(), dtype=float).reshape(t.num_rows, len(langs))[:, keep]
+        parts.append(np.log((counts + 0.5) / (model.totals[np.zeros(t.num_rows, dtype=int) if length == 0 else t.column("length").to_numpy()] + 1)))
+    model.rows = np.concatenate(parts)
+    rest = vocabulary.where(~common).select(F.col("entry").alias("word"), F.array(*[F.get("counts", F.lit(int(j))) for j in keep]).alias("counts"))
     model.rest = None if rest.isEmpty() else rest
     return model
 
 
 def scored(rows: DataFrame, model: Model) -> DataFrame:
-    """(row, lang_pred, score) for rows (row, text)."""
+    """(row, id, lang_pred, score) for rows (row, id, text). Where a join is needed rows are read once: they are written, with what the table says of them."""
     spark, langs, k = rows.sparkSession, model.langs, len(model.langs)
     shared, joins = spark.sparkContext.broadcast(model.table()), model.rest is not None
 
@@ -152,7 +165,7 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         get, seen_before = m.index.get, {}
         for batch in batches:
-            texts = [words(t) for t in batch.column(1).to_pylist()]
+            texts = [words(t) for t in batch.column(2).to_pylist()]
             flat = list(chain.from_iterable(texts))
             sizes = np.array([len(x) for x in texts], dtype=np.int64)
             of = np.repeat(np.arange(len(texts)), sizes)
@@ -173,9 +186,9 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
                             total[i] += n * seen_before[w]
                     c.clear()
             letters = [any(any(map(str.isalpha, w)) for w in x) for x in texts]
-            yield {"row": batch.column(0), "n": sizes, "letters": letters, "known": list(total), "rare": [list(c) for c in rare], "times": [list(c.values()) for c in rare]}
+            yield {"row": batch.column(0), "id": batch.column(1), "n": sizes, "letters": letters, "known": list(total), "rare": [list(c) for c in rare], "times": [list(c.values()) for c in rare]}
 
-    texts = map_arrow(rows.select("row", "text"), "row long, n long, letters boolean, known array<double>, rare array<string>, times array<int>", kernel)
+    texts = map_arrow(rows.select("row", "id", "text"), "row long, id long, n long, letters boolean, known array<double>, rare array<string>, times array<int>", kernel)
     total = F.col("known")
     if joins:
         texts = written(texts, "langid-texts")
@@ -184,33 +197,24 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
 
         def weigh(batches) -> Iterator[dict]:
             m = shared.value
-            place = {x: i for i, x in enumerate(m.langs)}
             for batch in batches:
-                out = []
-                for word, entries in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    if entries is None:
-                        out.append(m.backoff(word))
-                    else:
-                        counts = np.full(k, 0.5)
-                        for e in entries:
-                            counts[place[e["lang"]]] += e["n"]
-                        out.append(np.log(counts / (m.totals[0] + 1)))
-                yield {"word": batch.column(0), "uses": batch.column(1), "weights": out}
+                counts = batch.column(2).to_pylist()
+                yield {"word": batch.column(0), "uses": batch.column(1), "weights": [m.backoff(w) if c is None else np.log((np.array(c) + 0.5) / (m.totals[0] + 1)) for w, c in zip(batch.column(0).to_pylist(), counts, strict=True)]}
 
         weights = written(map_arrow(uses, "word string, uses long, weights array<double>", weigh), "langid-rare")
         hot_rows = max(graph.HOT_ROWS, (weights.agg(F.sum("uses")).first()[0] or 0) // graph.HOT_KEYS)
         hot = weights.where(F.col("uses") > hot_rows).select(F.col("word").alias("hot"), F.ceil(F.col("uses") / hot_rows).cast("int").alias("parts"))
         met = graph.looked_up(rare, "rare", "row", weights.where("weights IS NOT NULL").drop("uses"), "word", hot)
         more = met.groupBy(F.col("row").alias("of")).agg(F.array(*[F.sum(F.col("times") * F.get("weights", F.lit(j))) for j in range(k)]).alias("more"))
-        texts = texts.select("row", "n", "letters", "known").join(more, F.col("row") == F.col("of"), "left")
+        texts = texts.select("row", "id", "n", "letters", "known").join(more, F.col("row") == F.col("of"), "left")
         total = F.when(F.col("more").isNull(), F.col("known")).otherwise(F.zip_with("known", "more", lambda x, y: x + y))
     if not langs:
-        return texts.select("row", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    texts = texts.select("row", "n", "letters", total.alias("total"))
+        return texts.select("row", "id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    texts = texts.select("row", "id", "n", "letters", total.alias("total"))
     best = F.array_max("total")
     mass = F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp((x - best) / F.sqrt("n")))
     name = F.get(F.array(*map(F.lit, langs)), F.array_position("total", best).cast("int") - 1)
-    return texts.select("row", F.when(F.col("letters"), name).otherwise(UNDETERMINED).alias("lang_pred"), F.when(F.col("letters"), 1 / mass).otherwise(0.0).alias("score"))
+    return texts.select("row", "id", F.when(F.col("letters"), name).otherwise(UNDETERMINED).alias("lang_pred"), F.when(F.col("letters"), 1 / mass).otherwise(0.0).alias("score"))
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,18 +223,18 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Words of the learning rows score by their log frequency in each language; an unseen word by the mean over its n-grams of the
     greatest length at which half of them are known. score is the winner's share of the tempered posterior, 0 to 1.
     Null or letterless text, and any text under a model that learned nothing: `und`, 0. A text of which nothing is known: the first language, 1 / languages. Ties go to the language first
-    in the alphabet. A null id stays null; repeated rows each give a row; further columns aren't read. df is read once: ids and texts are written with a number of each row.
+    in the alphabet. A null id stays null; repeated rows each give a row; further columns aren't read.
     A word that is hot among the words to be joined is split.
     """
-    rows = numbered(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")), "row")
-    return rows.select("row", "id").join(scored(rows, model), "row").select(F.col("id").alias(id_col), "lang_pred", "score")
+    rows = df.select(F.monotonically_increasing_id().alias("row"), df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
+    return scored(rows, model).select(F.col("id").alias(id_col), "lang_pred", "score")
 
 
 def label(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of df, whole, whose text has a language (any but `und`), lang_col being what is predicted; without such a column df's columns stay as they are. Repeated rows stay."""
     row = unused(df, "_row_number")
     rows = numbered(df, row)
-    found = scored(rows.select(F.col(row).alias("row"), F.col(text_col).alias("text")), model).where(F.col("lang_pred") != UNDETERMINED)
+    found = scored(rows.select(F.col(row).alias("row"), F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text")), model).where(F.col("lang_pred") != UNDETERMINED)
     pred, key = unused(rows, "_lang_pred"), unused(rows, "_row_found")
     both = rows.join(found.select(F.col("row").alias(key), F.col("lang_pred").alias(pred)), F.col(row) == F.col(key))
     return both.select(*[F.col(pred).cast(df.schema[c].dataType).alias(c) if c == lang_col else F.col(c) for c in df.columns])
