@@ -1,5 +1,10 @@
+import random
+
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from thermal_lake.functions.rounding import python_round, python_round_sql
 from thermal_lake.operators import evaluate
 
 SHAPE = "split string, case_id string, label string, mode string, prediction string, observation_count int, selected_source_bytes long, downloaded_bytes long, latency_milliseconds double, error_count int"
@@ -66,3 +71,29 @@ def test_leakage_and_histogram(spark):
     h = {(x["split"], x["lower"]): x["n"] for x in evaluate.histogram(c, "v", 10.0, 0.0, 90.0).collect()}
     assert h["all", 80.0] == 1
     assert h["b", 40.0] == 1
+
+
+def test_rounding_is_pythons(spark):
+    """Ratios with denominators of powers of two and five stand on ties, or look as if they did."""
+    rng = random.Random(31)
+    x = [a / b for b in (64, 128, 256, 640, 2000000, 1280, 3, 7, 625) for a in range(1, 60)] + [rng.random() for _ in range(2000)] + [k / 1e6 + 5e-7 for k in range(500)] + [rng.randrange(10**7) / 1e7 for _ in range(2000)] + [0.0, 1.0, 89.9999995, 1500.1234565]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, v double").orderBy("i").select(python_round(F.col("v"))).collect()]
+    want = [round(v, 6) for v in x]
+    assert got == want
+    c = duckdb.connect()
+    assert [c.execute(f"SELECT {python_round_sql('v')} FROM (SELECT ?::DOUBLE AS v)", [v]).fetchone()[0] for v in x[:1500]] == want[:1500]
+    assert [evaluate_one(spark, a, b) for a, b in ((1, 128), (3, 64), (5, 0))] == [round(1 / 128, 6), round(3 / 64, 6), 0.0]
+
+
+def evaluate_one(spark, a, b):
+    return spark.range(1).select(evaluate.ratio(F.lit(a), F.lit(b))).first()[0]
+
+
+def test_metrics_equal_the_plain_ones_for_sixty_fourths(spark):
+    rows = [row(str(k), "positive" if k % 3 else "control", m, None if k % 7 == 0 else "positive" if k % 2 else "control") for k in range(128) for m in evaluate.MODES]
+    got = {r["mode"]: r for r in evaluate.tables(spark.createDataFrame(rows, SHAPE)).where("split = 'combined'").collect()}
+    counts = {}
+    for r in rows:
+        if r[3] == "adaptive":
+            counts[r[2], r[4]] = counts.get((r[2], r[4]), 0) + 1
+    assert (got["adaptive"]["macro_f1"], got["adaptive"]["macro_precision"], got["adaptive"]["macro_recall"]) == evaluate._score(counts)

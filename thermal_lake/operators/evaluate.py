@@ -8,20 +8,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thermal_lake.functions.rounding import python_round
 from thermal_lake.shipping import ship
 
 LABELS = ("positive", "control")
 MODES = ("one_shot", "fixed_bundle", "adaptive")
 
 
-def round6(c: Column) -> Column:
-    """Six digits, halves up, by arithmetic on the double (so another engine can say the same)."""
-    return F.floor(c * 1e6 + 0.5) / 1e6
-
-
 def ratio(a: Column, b: Column) -> Column:
     """a / b to six digits, 0 if b is 0."""
-    return round6(F.when(b == 0, 0.0).otherwise(a / b))
+    return python_round(F.when(b == 0, 0.0).otherwise(a / b))
 
 
 def confusion() -> list[Column]:
@@ -41,7 +37,7 @@ def with_metrics(df: DataFrame) -> DataFrame:
         df = df.withColumns({f"{c}_precision": ratio(tp, tp + fp), f"{c}_recall": ratio(tp, tp + fn)})
         a, b = F.col(f"{c}_precision"), F.col(f"{c}_recall")
         df = df.withColumn(f"{c}_f1", ratio(2.0 * a * b, a + b))
-    return df.withColumns({f"macro_{m}": round6((F.col(f"positive_{m}") + F.col(f"control_{m}")) / 2) for m in ("f1", "precision", "recall")})
+    return df.withColumns({f"macro_{m}": python_round((F.col(f"positive_{m}") + F.col(f"control_{m}")) / 2) for m in ("f1", "precision", "recall")})
 
 
 def by_split_and_mode(rows: DataFrame, aggregates: list[Column]) -> DataFrame:
@@ -54,7 +50,7 @@ def tables(rows: DataFrame) -> DataFrame:
     """Case counts, metrics, abstentions, resolution of cases that one_shot leaves open, resources and errors by split and mode."""
     open_ = rows.where("mode = 'one_shot' AND prediction IS NULL").select("split", "case_id", F.lit(True).alias("_open"))
     r = rows.join(open_, ["split", "case_id"], "left")
-    resources = [x for c in ("observation_count", "selected_source_bytes", "downloaded_bytes", "latency_milliseconds") for x in (F.sum(c).alias(c), F.round(F.avg(c), 6).alias(f"mean_{c}"))]
+    resources = [x for c in ("observation_count", "selected_source_bytes", "downloaded_bytes", "latency_milliseconds") for x in (F.sum(c).alias(c), python_round(F.avg(c)).alias(f"mean_{c}"))]
     opened = F.col("_open").isNotNull()
     out = by_split_and_mode(r, [
         F.count("*").alias("case_count"), *confusion(), F.count_if(F.col("prediction").isNull()).alias("abstention_count"), F.count_if(opened).alias("ambiguous_count"),
@@ -145,12 +141,12 @@ def mode_efficiency(rows: DataFrame) -> DataFrame:
     positive = F.col("label") == "positive"
     return rows.groupBy("mode").agg(
         F.count("*").alias("case_count"), ratio(F.count_if(positive & F.coalesce(F.col("prediction") == "positive", F.lit(False))), F.count_if(positive)).alias("recall"),
-        *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("observation_count", "selected_source_bytes", "latency_milliseconds")],
+        *[python_round(F.avg(c)).alias(f"mean_{c}") for c in ("observation_count", "selected_source_bytes", "latency_milliseconds")],
     )
 
 
 def error_outcomes(rows: DataFrame) -> DataFrame:
-    """Counts of wrong outcomes for each mode, with a digest of the case keys in order (keys themselves: error_keys)."""
+    """Counts of wrong outcomes for each mode (the cases themselves: error_keys)."""
     y, p = F.col("label"), F.col("prediction")
     return rows.groupBy("mode").agg(
         F.count_if((y == "control") & F.coalesce(p == "positive", F.lit(False))).alias("false_positives"), F.count_if((y == "positive") & F.coalesce(p == "control", F.lit(False))).alias("decisive_false_negatives"),
@@ -218,13 +214,13 @@ def leakage(cases: DataFrame, axes: list[str], split: str = "split") -> DataFram
 def histogram(cases: DataFrame, value: str, width: float, low: float, high: float) -> DataFrame:
     """Counts by split ("all" for all) and bin; the last bin takes the upper end."""
     bins = F.least(F.floor(F.col(value) / width) * F.lit(width), F.lit(high - width))
-    g = cases.withColumn("lower", F.round(bins, 6)).groupingSets([[F.col("split"), F.col("lower")], [F.col("lower")]], F.col("split"), F.col("lower")).agg(F.grouping("split").alias("a"), F.count("*").alias("n"))
-    return g.select(F.when(F.col("a") == 1, "all").otherwise(F.col("split")).alias("split"), "lower", F.round(F.col("lower") + width, 6).alias("upper"), "n")
+    g = cases.withColumn("lower", python_round(bins)).groupingSets([[F.col("split"), F.col("lower")], [F.col("lower")]], F.col("split"), F.col("lower")).agg(F.grouping("split").alias("a"), F.count("*").alias("n"))
+    return g.select(F.when(F.col("a") == 1, "all").otherwise(F.col("split")).alias("split"), "lower", python_round(F.col("lower") + width).alias("upper"), "n")
 
 
 def summary(cases: DataFrame, value: str) -> DataFrame:
     v = F.col(value)
-    g = cases.groupingSets([[F.col("split")], []], F.col("split")).agg(F.grouping("split").alias("a"), F.count(v).alias("n"), *[F.round(f, 6).alias(n) for n, f in (("minimum", F.min(v)), ("maximum", F.max(v)), ("mean", F.avg(v)), ("median", F.median(v)))])
+    g = cases.groupingSets([[F.col("split")], []], F.col("split")).agg(F.grouping("split").alias("a"), F.count(v).alias("n"), *[python_round(f).alias(n) for n, f in (("minimum", F.min(v)), ("maximum", F.max(v)), ("mean", F.avg(v)), ("median", F.median(v)))])
     return g.withColumn("split", F.when(F.col("a") == 1, "all").otherwise(F.col("split"))).drop("a")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from thermal_lake import bindings as b
 from thermal_lake.functions import checks
+from thermal_lake.functions.rounding import python_round_sql
 from thermal_lake.operators import decide, evaluate, graph, track
 from thermal_lake.operators import raster as r
 from thermal_lake.plans.raster_queries import COMPONENTS, MASKS, QUALITY, SMALL
@@ -176,8 +177,8 @@ def agent_loop_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Evaluation
 
-RATIO = "(floor((CASE WHEN ({b}) = 0 THEN 0.0::DOUBLE ELSE ({a})::DOUBLE / ({b}) END) * 1e6 + 0.5) / 1e6)"
-MEAN = "(floor(({a} + {b}) / 2 * 1e6 + 0.5) / 1e6)"
+RATIO = python_round_sql("CASE WHEN ({b}) = 0 THEN 0.0::DOUBLE ELSE ({a})::DOUBLE / ({b}) END")
+MEAN = python_round_sql("({a} + {b}) / 2")
 
 
 def _metrics_sql() -> str:
@@ -191,7 +192,7 @@ CONFUSION_SQL = ", ".join(f"count(*) FILTER (label = '{c}' AND prediction = '{c}
 TABLES_SQL = f"""
     {b.SCORE_ROWS}, op AS (SELECT split, case_id FROM sr WHERE mode = 'one_shot' AND prediction IS NULL), j AS (SELECT sr.*, op.case_id IS NOT NULL AS opened FROM sr LEFT JOIN op USING (split, case_id)),
     g AS (SELECT CASE WHEN grouping(split) = 1 THEN 'combined' ELSE split END AS split, mode, count(*) AS case_count, {CONFUSION_SQL}, count(*) FILTER (prediction IS NULL) AS abstention_count, count(*) FILTER (opened) AS ambiguous_count, count(*) FILTER (opened AND prediction IS NOT NULL) AS resolved_count,
-        CAST(sum(observation_count) AS BIGINT) AS observation_count, round(avg(observation_count), 6) AS mean_observation_count, CAST(sum(selected_source_bytes) AS BIGINT) AS selected_source_bytes, round(sum(latency_milliseconds), 4) AS latency_milliseconds, count(*) FILTER (error_count > 0) AS error_case_count FROM j GROUP BY GROUPING SETS ((split, mode), (mode))),
+        CAST(sum(observation_count) AS BIGINT) AS observation_count, {python_round_sql("avg(observation_count)")} AS mean_observation_count, CAST(sum(selected_source_bytes) AS BIGINT) AS selected_source_bytes, round(sum(latency_milliseconds), 4) AS latency_milliseconds, count(*) FILTER (error_count > 0) AS error_case_count FROM j GROUP BY GROUPING SETS ((split, mode), (mode))),
     h AS (SELECT *, {_metrics_sql()} FROM g),
     k AS (SELECT *, {RATIO.format(a='2.0 * positive_precision * positive_recall', b='positive_precision + positive_recall')} AS positive_f1, {RATIO.format(a='2.0 * control_precision * control_recall', b='control_precision + control_recall')} AS control_f1 FROM h)
 """
@@ -355,7 +356,7 @@ def split_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.histogram(plain_split(spark, sf_dir), "view_angle", 10.0, 0.0, 90.0)
 
 
-@query("split_summary", f"WITH {PLAIN} SELECT CASE WHEN grouping(split) = 1 THEN 'all' ELSE split END AS split, count(missingness) AS n, round(min(missingness), 6) AS minimum, round(max(missingness), 6) AS maximum, round(avg(missingness), 6) AS mean, round(median(missingness), 6) AS median FROM sp GROUP BY GROUPING SETS ((split), ())")
+@query("split_summary", f"WITH {PLAIN} SELECT CASE WHEN grouping(split) = 1 THEN 'all' ELSE split END AS split, count(missingness) AS n, {python_round_sql("min(missingness)")} AS minimum, {python_round_sql("max(missingness)")} AS maximum, {python_round_sql("avg(missingness)")} AS mean, {python_round_sql("median(missingness)")} AS median FROM sp GROUP BY GROUPING SETS ((split), ())")
 def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.summary(plain_split(spark, sf_dir), "missingness")
 
