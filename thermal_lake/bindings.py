@@ -108,16 +108,19 @@ WINDOWS = "win AS (SELECT o_orderkey AS window_id, o_orderdate AS anchor_at, " +
 
 def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections near windows: detection_id, acquired_at, latitude, longitude."""
-    return table(spark, sf_dir, "lineitem").where("l_linenumber = 1").selectExpr("l_orderkey AS detection_id", "cast(l_shipdate AS timestamp) AS acquired_at", *SHIPPED_COLUMNS)
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 8 + l_linenumber AS detection_id", "cast(l_shipdate AS timestamp) AS acquired_at", *SHIPPED_COLUMNS)
 
 
 SHIPPED_COLUMNS = ["cast(30 + (l_partkey % 40) * 0.5 + (l_suppkey % 7) * 0.03 AS double) AS latitude", "cast(-130 + (l_partkey % 50) * 0.5 + (l_suppkey % 5) * 0.03 AS double) AS longitude"]
-SHIPPED = "shp AS (SELECT l_orderkey AS detection_id, l_shipdate AS acquired_at, " + ", ".join(SHIPPED_COLUMNS) + " FROM lineitem WHERE l_linenumber = 1)"
+SHIPPED = "shp AS (SELECT l_orderkey * 8 + l_linenumber AS detection_id, l_shipdate AS acquired_at, " + ", ".join(SHIPPED_COLUMNS) + " FROM lineitem)"
+
+
+SEQUENCE = "turn + 1 + CASE WHEN conv_id % 9 = 4 AND turn > 0 THEN 1 ELSE 0 END"
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transitions: trace_id, sequence, to_state; some traces have a gap."""
-    return table(spark, sf_dir, "conversations").where("NOT (conv_id % 9 = 4 AND turn = 1)").selectExpr("conv_id AS trace_id", "turn + 1 AS sequence", "role AS to_state", "length(text) AS size")
+    return table(spark, sf_dir, "conversations").selectExpr("conv_id AS trace_id", f"{SEQUENCE} AS sequence", "role AS to_state", "length(text) AS size")
 
 
-JOURNAL = "jr AS (SELECT conv_id AS trace_id, turn + 1 AS sequence, role AS to_state, length(text) AS size FROM conversations WHERE NOT (conv_id % 9 = 4 AND turn = 1))"
+JOURNAL = f"jr AS (SELECT conv_id AS trace_id, {SEQUENCE} AS sequence, role AS to_state, length(text) AS size FROM conversations)"

@@ -220,6 +220,22 @@ def admission_error() -> Column:
     )
 
 
+def remaining(allowed: DataFrame, selected: DataFrame) -> DataFrame:
+    """The (case_id, observation_id) of a case's allowlist that it hasn't selected yet."""
+    return allowed.join(selected.select("case_id", "observation_id"), ["case_id", "observation_id"], "left_anti")
+
+
+def source_bytes(rows: DataFrame) -> DataFrame:
+    """used_bytes and sources of each case: a source that several of its observations share counts once. rows: case_id, source_id, bytes."""
+    return rows.groupBy("case_id", "source_id").agg(F.max("bytes").alias("bytes")).groupBy("case_id").agg(F.sum("bytes").alias("used_bytes"), F.count("*").alias("sources"))
+
+
+def first_seen(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Each key's distinct values as the array `reasons`, in the order in which they were first seen."""
+    first = rows.groupBy(key, value).agg(F.min(order).alias("_first"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", value))), lambda x: x[value]).alias("reasons"))
+
+
 def terminal_result(existing: Column, asked: Column) -> Column:
     """What a terminal action gives: accepted the first time, accepted again without effect if it is the same, refused after another one."""
     same = existing == asked

@@ -145,6 +145,15 @@ def mode_efficiency(rows: DataFrame) -> DataFrame:
     )
 
 
+def baseline_summary(rows: DataFrame) -> DataFrame:
+    """One row for each mode: how many cases completed and failed, a map of outcomes, observations, bytes, time and errors."""
+    by = rows.groupBy("mode", "outcome").agg(F.count("*").alias("n"), F.count_if(F.col("error_count") == 0).alias("ok"), *[F.sum(c).alias(c) for c in ("observation_count", "selected_source_bytes", "downloaded_bytes", "latency_milliseconds", "error_count")])
+    return by.groupBy("mode").agg(
+        F.sum("n").alias("case_count"), F.sum("ok").alias("completed_case_count"), (F.sum("n") - F.sum("ok")).alias("failed_case_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("outcome", "n")))).alias("outcomes"),
+        F.sum("observation_count").alias("observations"), *[F.sum(c).alias(c) for c in ("selected_source_bytes", "downloaded_bytes", "latency_milliseconds", "error_count")],
+    )
+
+
 def error_outcomes(rows: DataFrame) -> DataFrame:
     """Counts of wrong outcomes for each mode (the cases themselves: error_keys)."""
     y, p = F.col("label"), F.col("prediction")

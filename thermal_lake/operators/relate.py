@@ -230,6 +230,20 @@ def band_pairs(observations: DataFrame, keys: list[str], companion: str = "C14")
     return a.join(b, keys, "left")
 
 
+def active(points: DataFrame, by: list[str], key: str, at: str, seconds: int) -> DataFrame:
+    """key and active: how many points of its group are at most so old when a point comes, itself and its equals included.
+
+    A group is dealt by periods of that length: counts of each second in the period before are carried over, so no task holds more than two periods of a group.
+    """
+    second = F.unix_seconds(at)
+    p = points.select(*by, key, second.alias("_s")).withColumn("_p", F.floor(F.col("_s") / (seconds + 1)))
+    counts = p.groupBy(*by, "_p", "_s").agg(F.count("*").alias("_n"))
+    both = counts.withColumn("_own", F.lit(True)).unionByName(counts.withColumn("_p", F.col("_p") + 1).withColumn("_own", F.lit(False)))
+    window = Window.partitionBy(*by, "_p").orderBy("_s").rangeBetween(-seconds, 0)
+    found = both.withColumn("active", F.sum("_n").over(window)).where("_own").select(*by, "_p", "_s", "active")
+    return p.join(found, [*by, "_p", "_s"]).select(key, "active")
+
+
 def resolved(observations: DataFrame, sources: DataFrame, key: str = "source_id") -> DataFrame:
     """Observations with their source; `error` says unresolved, or that time or channel disagree."""
     s = sources.select(F.col(key).alias("_k"), F.col("channel").alias("_channel"), F.col("scan_start").alias("_scan"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermal_lake import bindings as b
@@ -27,18 +27,17 @@ def query(name: str, sql: str | None = None):
 # Set operations
 
 
-@query("observations_remaining", "SELECT o_custkey AS case_id, o_orderkey AS observation_id FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)")
+@query("observations_remaining", "SELECT o_custkey AS case_id, o_orderkey AS observation_id FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey % 50 = o_custkey % 50)")
 def observations_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     allowed = b.table(spark, sf_dir, "orders").selectExpr("o_custkey AS case_id", "o_orderkey AS observation_id")
-    chosen = b.table(spark, sf_dir, "lineitem").where("l_linenumber = 2 AND l_orderkey % 5 = 0").selectExpr("l_orderkey AS observation_id")
-    return allowed.join(chosen, "observation_id", "left_anti").select("case_id", "observation_id")
+    chosen = b.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS observation_id", "l_suppkey % 50 AS s").join(allowed, "observation_id").where("s = case_id % 50")
+    return decide.remaining(allowed, chosen)
 
 
-@query("key_set_difference", "WITH a AS (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id FROM labels) SELECT (SELECT count(*) FROM (SELECT doc_id FROM a EXCEPT ALL SELECT doc_id FROM b)) AS only_first, (SELECT count(*) FROM (SELECT doc_id FROM b EXCEPT ALL SELECT doc_id FROM a)) AS only_second")
+@query("key_set_difference", "WITH a AS (SELECT CASE WHEN doc_id % 7 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id FROM documents), b AS (SELECT doc_id FROM labels) SELECT (SELECT count(*) FROM (SELECT doc_id FROM a EXCEPT ALL SELECT doc_id FROM b)) AS only_first, (SELECT count(*) FROM (SELECT doc_id FROM b EXCEPT ALL SELECT doc_id FROM a)) AS only_second")
 def key_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, l = b.table(spark, sf_dir, "documents").where("doc_id % 7 <> 0").select("doc_id"), b.table(spark, sf_dir, "labels").select("doc_id")  # noqa: E741
-    sides = a.exceptAll(l).withColumn("side", F.lit(1)).unionByName(l.exceptAll(a).withColumn("side", F.lit(2)))
-    return sides.agg(F.count_if(F.col("side") == 1).alias("only_first"), F.count_if(F.col("side") == 2).alias("only_second"))
+    a, l = b.table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 7 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id")), b.table(spark, sf_dir, "labels").select("doc_id")  # noqa: E741
+    return relate.membership(a, l, "doc_id").agg(F.sum(F.greatest(F.col("in_first") - F.col("in_second"), F.lit(0))).alias("only_first"), F.sum(F.greatest(F.col("in_second") - F.col("in_first"), F.lit(0))).alias("only_second"))
 
 
 @query("reason_subset_violations", "SELECT doc_id AS case_id, len(list_filter(['valid', 'timeout'], lambda r: r = CASE WHEN doc_id % 3 = 0 THEN 'timeout' ELSE 'valid' END AND doc_id % 4 = 0)) AS outside FROM documents WHERE doc_id % 4 = 0")
@@ -51,7 +50,7 @@ def reason_subset_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_bytes_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source of a case counts once."""
     t = b.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS case_id", "l_suppkey AS source_id", "l_suppkey * 1000 AS bytes")
-    return t.dropDuplicates(["case_id", "source_id"]).groupBy("case_id").agg(F.sum("bytes").alias("used_bytes"), F.count("*").alias("sources"))
+    return decide.source_bytes(t)
 
 
 @query("first_seen_reasons", """
@@ -59,8 +58,8 @@ def source_bytes_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT case_id, string_agg(reason, ',' ORDER BY first_turn) AS reasons FROM f GROUP BY case_id
 """)
 def first_seen_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = b.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("case_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
-    return t.select("case_id", F.array_join(F.array_distinct(F.transform("r", lambda x: x["role"])), ",").alias("reasons"))
+    t = b.table(spark, sf_dir, "conversations").selectExpr("conv_id AS case_id", "turn", "role AS reason")
+    return decide.first_seen(t, "case_id", "turn", "reason").select("case_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 # Neighbourhoods
@@ -69,8 +68,8 @@ def first_seen_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("active_detections", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS active FROM events")
 def active_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many detections of a hotspot are at most an hour old, itself and its equals included."""
-    e = b.table(spark, sf_dir, "events").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
-    return e.select("event_id", F.count("*").over(Window.partitionBy("user_id").orderBy("s").rangeBetween(-3600, 0)).alias("active"))
+    e = b.table(spark, sf_dir, "events").select("event_id", "user_id", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("at"))
+    return relate.active(e, ["user_id"], "event_id", "at", 3600).select("event_id", "active")
 
 
 @query("evidence_changes", """
@@ -127,16 +126,19 @@ def stage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.stage_totals(b.table(spark, sf_dir, "events").selectExpr("concat(event_type, ':', user_id) AS stage", "value AS milliseconds"))
 
 
-@query("baseline_summary", f"WITH {b.SCORE_ROWS} SELECT mode, coalesce(prediction, 'abstained') AS outcome, count(*) AS cases, round(avg(latency_milliseconds), 4) AS mean_latency FROM sr GROUP BY ALL")
+@query("baseline_summary", f"""
+    WITH {b.SCORE_ROWS} SELECT mode, count(*) AS case_count, count(*) FILTER (error_count = 0) AS completed_case_count, count(*) FILTER (error_count > 0) AS failed_case_count, count(*) FILTER (prediction IS NULL) AS open_cases,
+        sum(observation_count)::BIGINT AS observations, sum(selected_source_bytes)::BIGINT AS selected_source_bytes, round(sum(latency_milliseconds), 3) AS latency_milliseconds, sum(error_count)::BIGINT AS error_count FROM sr GROUP BY mode
+""")
 def baseline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = b.score_rows(spark, sf_dir)
-    return rows.groupBy("mode", F.coalesce("prediction", F.lit("abstained")).alias("outcome")).agg(F.count("*").alias("cases"), F.round(F.avg("latency_milliseconds"), 4).alias("mean_latency"))
+    rows = b.score_rows(spark, sf_dir).withColumn("outcome", F.coalesce("prediction", F.lit("open")))
+    return evaluate.baseline_summary(rows).select("mode", "case_count", "completed_case_count", "failed_case_count", F.coalesce(F.col("outcomes")["open"], F.lit(0)).alias("open_cases"), "observations", "selected_source_bytes", F.round("latency_milliseconds", 3).alias("latency_milliseconds"), "error_count")
 
 
-@query("benchmark_audit", "SELECT label, count(*) AS cases, count(DISTINCT case_id % 40) AS sources FROM (SELECT CASE WHEN quality = 1 THEN 'positive' ELSE 'control' END AS label, doc_id AS case_id FROM labels) GROUP BY label")
+@query("benchmark_audit", "SELECT count(*) FILTER (quality = 1) AS positives, count(*) FILTER (quality <> 1) AS controls, count(DISTINCT doc_id % 40) AS sources, sha256(list_aggregate(list_sort(list(DISTINCT sha256((doc_id % 40)::VARCHAR))), 'string_agg', ',')) AS source_digest FROM labels")
 def benchmark_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = b.table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, "positive").otherwise("control").alias("label"), (F.col("doc_id") % 40).alias("s"))
-    return t.groupBy("label").agg(F.count("*").alias("cases"), F.count_distinct("s").alias("sources"))
+    t = b.table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, "positive").otherwise("control").alias("label"), F.array(F.sha2((F.col("doc_id") % 40).cast("string"), 256)).alias("source_hashes"))
+    return pipelines.benchmark_audit(t).select("positives", "controls", F.size("source_hashes").cast("long").alias("sources"), F.sha2(F.array_join("source_hashes", ","), 256).alias("source_digest"))
 
 
 # Sources and boxes
@@ -163,12 +165,12 @@ def scan_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("role_selection", """
-    WITH r AS (SELECT doc_id AS case_id, CASE doc_id % 4 WHEN 0 THEN 'initial' WHEN 1 THEN 'alternate' WHEN 2 THEN 'baseline' ELSE 'later' END AS missing FROM documents WHERE doc_id % 2 = 0),
+    WITH r AS (SELECT doc_id AS case_id, CASE doc_id % 4 WHEN 0 THEN 'initial' WHEN 1 THEN 'alternate' WHEN 2 THEN 'baseline' ELSE 'later' END AS missing FROM documents),
     m(mode, role) AS (VALUES ('one_shot', 'initial'), ('one_shot', 'alternate'), ('fixed_bundle', 'baseline'), ('fixed_bundle', 'initial'), ('fixed_bundle', 'later'), ('fixed_bundle', 'alternate'))
     SELECT case_id, mode, role, CASE WHEN role = missing THEN 'source_missing' END AS error FROM r CROSS JOIN m
 """)
 def role_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = b.table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
+    d = b.table(spark, sf_dir, "documents")
     have = d.selectExpr("doc_id AS case_id", "CASE doc_id % 4 WHEN 0 THEN 'initial' WHEN 1 THEN 'alternate' WHEN 2 THEN 'baseline' ELSE 'later' END AS missing", "explode(array('baseline', 'initial', 'later', 'alternate')) AS role").where("role <> missing").selectExpr("case_id", "role", "role AS source_id")
     return pipelines.selected(have).select("case_id", "mode", "role", "error")
 
@@ -195,7 +197,9 @@ def packet_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("prediction_by_label", f"WITH {b.SCORE_ROWS} SELECT label, prediction, mode, count(*) AS n FROM sr GROUP BY ALL")
 def prediction_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.score_rows(spark, sf_dir).groupBy("label", "prediction", "mode").agg(F.count("*").alias("n"))
+    outcome = F.when(F.col("prediction") == "positive", "review_escalation").when(F.col("prediction") == "control", "no_persistent_evidence").otherwise("human_review")
+    rows = b.score_rows(spark, sf_dir).withColumn("outcome", outcome).select("case_id", "mode", "outcome", "label")
+    return pipelines.score(rows.drop("label"), rows.select("case_id", "label").distinct()).groupBy("label", "prediction", "mode").agg(F.count("*").alias("n"))
 
 
 @query("headline_claims")
@@ -219,7 +223,7 @@ def evidence_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def built_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positives, controls, seeded one-to-one pairs and their cases."""
     s = b.shipped(spark, sf_dir)
-    events = s.selectExpr("detection_id AS event_id", "acquired_at AS start_time", "acquired_at + interval 60 minutes AS end_time", "latitude", "longitude").where("event_id % 2 = 0")
+    events = s.selectExpr("detection_id AS event_id", "acquired_at AS start_time", "acquired_at + interval 60 minutes AS end_time", "latitude", "longitude")
     return pipelines.build_benchmark(events, b.windows(spark, sf_dir), s, None, 5).cases.select("case_id", "label", "window_id", "season", "region_cell")
 
 
@@ -228,12 +232,12 @@ def built_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("resolved_sources", """
     SELECT l_orderkey AS observation_id, l_linenumber AS line, CASE WHEN p.p_partkey IS NULL THEN 'unresolved source' WHEN l_linenumber % 2 <> p_size % 2 THEN 'channel' WHEN l_shipdate <> TIMESTAMP '1996-01-01' + INTERVAL 1 DAY * (p_partkey % 900) THEN 'time' END AS error
-    FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 10 <> 3) p ON l_partkey = p_partkey WHERE l_linenumber <= 2
+    FROM lineitem LEFT JOIN part p ON CASE WHEN l_partkey % 10 = 3 THEN -l_partkey ELSE l_partkey END = p_partkey
 """)
 def resolved_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     band = lambda c: F.when(c % 2 == 0, "C07").otherwise("C14")
-    o = b.table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("observation_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("source_id"), band(F.col("l_linenumber")).alias("channel"), F.col("l_shipdate").alias("observed_at"))
-    s = b.table(spark, sf_dir, "part").where("p_partkey % 10 <> 3").select(F.col("p_partkey").alias("source_id"), band(F.col("p_size")).alias("channel"), F.expr("timestamp_ntz'1996-01-01' + make_dt_interval(cast(p_partkey % 900 AS int))").alias("scan_start"))
+    o = b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("observation_id"), F.col("l_linenumber").alias("line"), F.when(F.col("l_partkey") % 10 == 3, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("source_id"), band(F.col("l_linenumber")).alias("channel"), F.col("l_shipdate").alias("observed_at"))
+    s = b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_id"), band(F.col("p_size")).alias("channel"), F.expr("timestamp_ntz'1996-01-01' + make_dt_interval(cast(p_partkey % 900 AS int))").alias("scan_start"))
     return relate.resolved(o, s).select("observation_id", "line", "error")
 
 
@@ -249,9 +253,9 @@ def control_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relate.inherited(t.where("quality = 0").selectExpr("doc_id AS case_id", "doc_id + 1 AS matched_case_id"), t.where("quality = 1").selectExpr("doc_id AS case_id", "doc_id * 10 AS event_id")).select("case_id", "event_id", "error")
 
 
-@query("membership_differences", "SELECT doc_id, count(l.q)::BIGINT AS in_first, count(d.t)::BIGINT AS in_second FROM (SELECT doc_id, 1 AS t FROM documents WHERE doc_id % 6 <> 0) d FULL JOIN (SELECT doc_id, quality AS q FROM labels) l USING (doc_id) GROUP BY doc_id HAVING count(l.q) <> 1 OR count(d.t) <> 1")
+@query("membership_differences", "SELECT doc_id, count(l.q)::BIGINT AS in_first, count(d.t)::BIGINT AS in_second FROM (SELECT CASE WHEN doc_id % 6 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, 1 AS t FROM documents) d FULL JOIN (SELECT doc_id, quality AS q FROM labels) l USING (doc_id) GROUP BY doc_id HAVING count(l.q) <> 1 OR count(d.t) <> 1")
 def membership_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relate.membership(b.table(spark, sf_dir, "labels"), b.table(spark, sf_dir, "documents").where("doc_id % 6 <> 0"), "doc_id")
+    return relate.membership(b.table(spark, sf_dir, "labels"), b.table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 6 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id")), "doc_id")
 
 
 @query("terminal_actions", """

@@ -73,14 +73,14 @@ def regrid_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("regrid_nearest_pixels", f"""
-    WITH {b.PIXELS}, s AS (SELECT frame_id, CAST(row * 8 + col AS BIGINT) AS source, 30 + row * 0.01::DOUBLE AS lat, -120 + col * 0.01::DOUBLE AS lon, v7::DOUBLE AS value, NOT invalid AS valid FROM px WHERE frame_id < 200),
+    WITH {b.PIXELS}, s AS (SELECT frame_id, CAST(row * 8 + col AS BIGINT) AS source, 30 + row * 0.01::DOUBLE AS lat, -120 + col * 0.01::DOUBLE AS lon, v7::DOUBLE AS value, NOT invalid AS valid FROM px),
     t AS (SELECT frame_id, source AS target, lat + 0.0033::DOUBLE AS lat, lon + 0.0137::DOUBLE AS lon FROM s),
     d AS (SELECT t.frame_id, t.target, s.source, s.value, s.valid, 2 * 6371.0088 * asin(sqrt(pow(sin(radians(s.lat - t.lat) / 2), 2) + cos(radians(t.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - t.lon) / 2), 2))) AS km FROM t JOIN s USING (frame_id)),
     k AS (SELECT *, row_number() OVER (PARTITION BY frame_id, target ORDER BY km, source) AS k FROM d WHERE km <= 2)
     SELECT t.frame_id, t.target, round(CASE WHEN k.valid THEN k.value END, 4) AS value, coalesce(k.valid, false) AS valid FROM t LEFT JOIN k ON k.frame_id = t.frame_id AND k.target = t.target AND k.k = 1
 """)
 def regrid_nearest_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = b.pixels(spark, sf_dir).where("frame_id < 200").selectExpr("frame_id", "cast(row * 8 + col AS bigint) AS source", "30 + row * 0.01D AS lat", "-120 + col * 0.01D AS lon", "cast(v7 AS double) AS value", "NOT invalid AS valid")
+    s = b.pixels(spark, sf_dir).selectExpr("frame_id", "cast(row * 8 + col AS bigint) AS source", "30 + row * 0.01D AS lat", "-120 + col * 0.01D AS lon", "cast(v7 AS double) AS value", "NOT invalid AS valid")
     t = s.selectExpr("frame_id", "source AS target", "lat + 0.0033D AS lat", "lon + 0.0137D AS lon")
     return track.regrid_pixels(s, t, "frame_id", 2.0).select("frame_id", "target", F.round("value", 4).alias("value"), "valid")
 
@@ -285,10 +285,10 @@ def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.representatives(rows, traces)
 
 
-@query("mode_coverage", f"WITH {b.SCORE_ROWS}, kept AS (SELECT * FROM sr WHERE NOT (mode = 'adaptive' AND case_id % 50 = 1)), e AS (SELECT DISTINCT case_id FROM sr), x AS (SELECT e.case_id, m.mode FROM e, (VALUES ('one_shot'), ('fixed_bundle'), ('adaptive')) m(mode)) SELECT x.case_id, x.mode, count(kept.case_id) AS n FROM x LEFT JOIN kept USING (case_id, mode) GROUP BY ALL HAVING count(kept.case_id) <> 1")
+@query("mode_coverage", f"WITH {b.SCORE_ROWS}, kept AS (SELECT case_id, CASE WHEN mode = 'adaptive' AND case_id % 50 = 1 THEN 'one_shot' ELSE mode END AS mode FROM sr), e AS (SELECT DISTINCT case_id FROM sr), x AS (SELECT e.case_id, m.mode FROM e, (VALUES ('one_shot'), ('fixed_bundle'), ('adaptive')) m(mode)) SELECT x.case_id, x.mode, count(kept.case_id) AS n FROM x LEFT JOIN kept USING (case_id, mode) GROUP BY ALL HAVING count(kept.case_id) <> 1")
 def mode_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.score_rows(spark, sf_dir)
-    return evaluate.coverage(rows, rows.where("NOT (mode = 'adaptive' AND case_id % 50 = 1)")).select("case_id", "mode", "n")
+    return evaluate.coverage(rows, rows.withColumn("mode", F.expr("CASE WHEN mode = 'adaptive' AND case_id % 50 = 1 THEN 'one_shot' ELSE mode END"))).select("case_id", "mode", "n")
 
 
 # Splits: cases that share a source, a week or an event never part
@@ -300,7 +300,7 @@ CASE_COLUMNS = [
     "o_orderkey AS case_id", "o_orderkey // 36 AS event_id", "CASE WHEN o_orderkey % 72 = 32 THEN o_orderkey // 72 ELSE 1000000 + o_orderkey END AS geographic_cell", "CASE WHEN o_orderkey % 72 = 36 THEN o_orderkey // 144 ELSE 2000000 + o_orderkey END AS time_period",
     "CASE WHEN o_custkey % 3 = 0 THEN 'positive' ELSE 'control' END AS label", "cast((o_orderkey * 7) % 90 AS double) AS view_angle", "cast((o_orderkey * 13) % 101 AS double) / 100 AS missingness", "month(o_orderdate) AS month",
 ]
-CASES = "cs AS (SELECT " + ", ".join(CASE_COLUMNS) + " FROM orders WHERE o_orderkey % 4 = 0)"
+CASES = "cs AS (SELECT " + ", ".join(CASE_COLUMNS) + " FROM orders)"
 KEYS = ["event_id", "geographic_cell", "time_period"]
 SPLIT_SQL = f"""
     {CASES}, ky AS (SELECT case_id, 'e' || event_id AS k FROM cs UNION ALL SELECT case_id, 'g' || geographic_cell FROM cs UNION ALL SELECT case_id, 't' || time_period FROM cs),
@@ -311,7 +311,7 @@ SPLIT_SQL = f"""
 
 
 def case_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = b.table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0")
+    o = b.table(spark, sf_dir, "orders")
     return o.selectExpr(*[c.replace(" // ", " div ") for c in CASE_COLUMNS])
 
 
@@ -385,15 +385,15 @@ def journal_last_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("record_link_violations", """
-    WITH requests AS (SELECT doc_id % 100 AS case_id, doc_id AS observation_id FROM documents WHERE doc_id % 3 = 0), evidence AS (SELECT doc_id % 100 AS case_id, doc_id AS evidence_id, doc_id - doc_id % 2 AS observation_id FROM labels)
+    WITH requests AS (SELECT doc_id % 100 AS case_id, doc_id AS observation_id FROM documents), evidence AS (SELECT doc_id % 100 AS case_id, doc_id AS evidence_id, CASE WHEN doc_id % 3 = 1 THEN -1 - doc_id ELSE doc_id - doc_id % 2 END AS observation_id FROM labels)
     SELECT evidence_id, 'observation' AS link FROM evidence e WHERE NOT EXISTS (SELECT 1 FROM requests r WHERE r.observation_id = e.observation_id)
     UNION ALL SELECT e.evidence_id, 'case' FROM evidence e JOIN requests r USING (observation_id) WHERE r.case_id <> e.case_id
 """)
 def record_link_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thermal_lake.operators import records
 
-    requests = b.table(spark, sf_dir, "documents").where("doc_id % 3 = 0").selectExpr("doc_id % 100 AS case_id", "doc_id AS observation_id")
-    evidence = b.table(spark, sf_dir, "labels").selectExpr("doc_id % 100 AS case_id", "doc_id AS evidence_id", "doc_id - doc_id % 2 AS observation_id")
+    requests = b.table(spark, sf_dir, "documents").selectExpr("doc_id % 100 AS case_id", "doc_id AS observation_id")
+    evidence = b.table(spark, sf_dir, "labels").selectExpr("doc_id % 100 AS case_id", "doc_id AS evidence_id", "CASE WHEN doc_id % 3 = 1 THEN -1 - doc_id ELSE doc_id - doc_id % 2 END AS observation_id")
     return records.broken_links(evidence, "evidence_id", requests, "observation_id", "case_id").select("evidence_id", "link")
 
 
@@ -407,7 +407,9 @@ def identifier_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gated_outcomes", f"WITH RECURSIVE {b.PIXELS}, {MASKS}, {COMPONENTS}, {QUALITY.format(v='v7')}, t AS (SELECT frame_id, sum(area) AS area FROM cs WHERE area >= 4 AND edge_distance >= 1 GROUP BY frame_id) SELECT frame_id // 8 AS case_id, count(*) AS observation_count, count(*) FILTER (reason IS NULL) AS usable_observation_count, CAST(coalesce(sum(CASE WHEN reason IS NULL THEN t.area END), 0) AS BIGINT) AS candidate_region_count FROM qr LEFT JOIN t USING (frame_id) GROUP BY case_id")
 def gated_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from thermal_lake.plans.raster_queries import anomaly_candidates
-
-    a = anomaly_candidates(spark, sf_dir)
-    return a.groupBy(F.expr("frame_id div 8").alias("case_id")).agg(F.count("*").alias("observation_count"), F.count_if(F.col("reason").isNull()).alias("usable_observation_count"), F.sum("candidate_pixel_count").alias("candidate_region_count"))
+    p = b.pixels(spark, sf_dir)
+    reasons = r.quality_reason(r.frame_quality(p)).select("frame_id", "reason")
+    cells = r.anomaly_components(r.anomaly_tiles(p), SMALL).where("kept").select("frame_id", F.explode("cells").alias("cell"), F.lit(True).alias("candidate"))
+    area = r.gate(cells, reasons, "candidate").groupBy("frame_id").agg(F.count_if("candidate").alias("area"))
+    usable = F.count_if(F.col("reason").isNull())
+    return reasons.join(area, "frame_id", "left").groupBy(F.expr("frame_id div 8").alias("case_id")).agg(F.count("*").alias("observation_count"), usable.alias("usable_observation_count"), F.sum(F.coalesce("area", F.lit(0))).alias("candidate_region_count"))

@@ -143,6 +143,12 @@ def build_benchmark(events: DataFrame, windows: DataFrame, detections: DataFrame
     return Benchmark(pairs, cases, audit)
 
 
+def benchmark_audit(cases: DataFrame) -> DataFrame:
+    """One row: positives, controls and source_hashes, the distinct hashes of their sources in order. cases: label, source_hashes (array)."""
+    hashes = F.array_sort(F.array_distinct(F.flatten(F.collect_set("source_hashes"))))
+    return cases.agg(F.count_if(F.col("label") == "positive").alias("positives"), F.count_if(F.col("label") == "control").alias("controls"), hashes.alias("source_hashes"))
+
+
 def benchmark_problems(b: Benchmark, detections: DataFrame) -> DataFrame:
     """(case_id, problem): a repeated window, a label without its pair, or a control with a detection near; empty if the benchmark holds."""
     repeated = b.cases.groupBy("window_id").agg(F.count("*").alias("n"), F.min("case_id").alias("case_id")).where("n > 1").select("case_id", F.lit("repeated window").alias("problem"))

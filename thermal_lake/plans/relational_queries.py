@@ -34,14 +34,14 @@ def detections_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("detections_dedup_audit", f"""
-    WITH {b.DETECTIONS}, tw AS (SELECT * FROM det UNION ALL SELECT * FROM det WHERE event_id % 10 = 0),
+    WITH {b.DETECTIONS}, tw AS (SELECT * FROM det UNION ALL SELECT * FROM det),
     u AS (SELECT DISTINCT acquired_at, latitude, longitude, confidence, brightness_kelvin, instrument FROM tw)
     SELECT (SELECT count(*) FROM tw) AS source_rows, (SELECT count(*) FROM u) AS unique_detections, (SELECT count(*) FROM tw) - (SELECT count(*) FROM u) AS duplicates,
         (SELECT min(acquired_at) FROM u) AS first_at, (SELECT max(acquired_at) FROM u) AS last_at, (SELECT count(*) FROM u WHERE instrument = 'VIIRS') AS viirs, (SELECT count(*) FROM u WHERE confidence = '55.5') AS numeric_confidence
 """)
 def detections_dedup_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = b.raw_detections(spark, sf_dir)
-    raw = raw.unionAll(raw.where("event_id % 10 = 0"))
+    raw = raw.unionAll(raw)
     a = det.audit(raw, det.normalized(raw))
     return a.select("source_rows", "unique_detections", "duplicates", F.col("first_at").cast("timestamp_ntz").alias("first_at"), F.col("last_at").cast("timestamp_ntz").alias("last_at"), F.col("instruments")["VIIRS"].alias("viirs"), F.col("confidences")["55.5"].alias("numeric_confidence"))
 
@@ -58,20 +58,19 @@ def detections_invalid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = det.strict(detections(spark, sf_dir)).where("user_id < 12")
+    points = det.strict(detections(spark, sf_dir))
     return points.join(relate.single_linkage(points, "event_id", "acquired_at", 10.0, 6 * relate.HOUR), "event_id")
 
 
-#: ev(root, ...): single linkage by distance and gap, over detections whose user_id is below 12
+#: cl(cluster, ...): single linkage by distance and gap
 CLUSTERS = b.DETECTIONS + """,
-    few AS (SELECT * FROM det WHERE user_id < 12),
-    rad AS (SELECT *, radians(latitude) AS a, radians(longitude) AS o FROM few),
+    rad AS (SELECT *, radians(latitude) AS a, radians(longitude) AS o FROM det),
     pr AS (
         SELECT p.event_id AS x, q.event_id AS y FROM rad p JOIN rad q ON q.acquired_at BETWEEN p.acquired_at - INTERVAL 6 HOUR AND p.acquired_at + INTERVAL 6 HOUR
         WHERE 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((q.a - p.a) / 2), 2) + cos(p.a) * cos(q.a) * pow(sin((q.o - p.o) / 2), 2)))) <= 10
     ),
-    reach(x, root) AS (SELECT event_id, event_id FROM few UNION SELECT pr.y, reach.root FROM reach JOIN pr ON pr.x = reach.x WHERE reach.root <= pr.y),
-    cl AS (SELECT few.*, r.root AS cluster FROM few JOIN (SELECT x, min(root) AS root FROM reach GROUP BY x) r ON r.x = few.event_id)
+    reach(x, root) AS (SELECT event_id, event_id FROM det UNION SELECT pr.y, reach.root FROM reach JOIN pr ON pr.x = reach.x WHERE reach.root <= pr.y),
+    cl AS (SELECT det.*, r.root AS cluster FROM det JOIN (SELECT x, min(root) AS root FROM reach GROUP BY x) r ON r.x = det.event_id)
 """
 
 
@@ -84,25 +83,28 @@ def event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("cluster", "detections", F.col("start_time").cast("timestamp_ntz").alias("start_time"), F.col("end_time").cast("timestamp_ntz").alias("end_time"), F.round("latitude", 8).alias("latitude"), F.round("longitude", 8).alias("longitude"))
 
 
-@query("event_clusters_all")
+@query("event_clusters_all", f"""
+    WITH RECURSIVE {CLUSTERS}, ln AS (SELECT *, epoch_us(acquired_at) || '|' || printf('%.6f', latitude) || '|' || printf('%.6f', longitude) || '|' || confidence || '|' || printf('%.3f', brightness_kelvin) || '|' || instrument AS line FROM cl),
+    dg AS (SELECT cluster, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest, min(acquired_at) AS first_at FROM ln GROUP BY cluster)
+    SELECT cluster, digest, 'event-' || strftime(first_at, '%Y%m%dT%H%MZ') || '-' || substr(digest, 1, 12) AS event_id FROM dg
+""")
 def event_clusters_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of all detections (pytest holds them against brute force on a fixture)."""
-    points = det.strict(detections(spark, sf_dir))
-    return relate.events_of(points.join(relate.single_linkage(points, "event_id", "acquired_at", 10.0, 6 * relate.HOUR), "event_id"))
+    """Events with the digest of their detections, which names them."""
+    return relate.events_of(_clusters(spark, sf_dir)).select("cluster", "digest", "event_id")
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = b.table(spark, sf_dir, "events").where("event_id % 3 = 0")
+    e = b.table(spark, sf_dir, "events")
     return e.select(cat.object_key(F.date_trunc("second", F.col("ts").cast("timestamp")), F.when(F.col("event_id") % 2 == 0, "C07").otherwise("C14")).alias("object_key"))
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = b.table(spark, sf_dir, "events").where("event_id % 5 = 1")
-    return e.select("event_id", F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_id") % 4 < 2, "C07").otherwise("C14").alias("channel"))
+    e = b.table(spark, sf_dir, "events")
+    return e.select("event_id", (F.col("ts").cast("timestamp") + F.make_dt_interval(hours=(F.col("event_id") % 5 * 700).cast("int"))).alias("at"), F.when(F.col("event_id") % 4 < 2, "C07").otherwise("C14").alias("channel"))
 
 
 OBJECTS = """
-    ob0 AS (SELECT date_trunc('second', ts) AS scan_start, CASE WHEN event_id % 2 = 0 THEN 'C07' ELSE 'C14' END AS channel FROM events WHERE event_id % 3 = 0),
+    ob0 AS (SELECT date_trunc('second', ts) AS scan_start, CASE WHEN event_id % 2 = 0 THEN 'C07' ELSE 'C14' END AS channel FROM events),
     ob AS (SELECT *, 'ABI-L2-CMIPF/' || strftime(scan_start, '%Y/%j/%H') || '/OR_ABI-L2-CMIPF-M6' || channel || '_G18_s' || strftime(scan_start, '%Y%j%H%M%S') || '0_e' || strftime(scan_start + INTERVAL 570 SECOND, '%Y%j%H%M%S') || '0_c'
         || strftime(scan_start + INTERVAL 600 SECOND, '%Y%j%H%M%S') || '0.nc' AS object_key FROM ob0)
 """
@@ -114,7 +116,7 @@ def object_key_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ASOF = OBJECTS + """,
-    rq AS (SELECT event_id, ts AS at, CASE WHEN event_id % 4 < 2 THEN 'C07' ELSE 'C14' END AS channel FROM events WHERE event_id % 5 = 1),
+    rq AS (SELECT event_id, ts + INTERVAL 1 HOUR * (event_id % 5 * 700) AS at, CASE WHEN event_id % 4 < 2 THEN 'C07' ELSE 'C14' END AS channel FROM events),
     mt AS (SELECT rq.event_id, ob.scan_start, ob.object_key, abs(epoch_us(ob.scan_start) - epoch_us(rq.at)) AS d,
             row_number() OVER (PARTITION BY rq.event_id ORDER BY abs(epoch_us(ob.scan_start) - epoch_us(rq.at)), ob.scan_start, ob.object_key) AS k, count(*) OVER (PARTITION BY rq.event_id) AS n
         FROM rq JOIN ob ON ob.channel = rq.channel AND date_trunc('hour', ob.scan_start) BETWEEN date_trunc('hour', rq.at - INTERVAL 600 SECOND) AND date_trunc('hour', rq.at + INTERVAL 600 SECOND)),
@@ -149,11 +151,11 @@ HAVERSINE = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians({b}lat) - rad
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = b.shipped(spark, sf_dir)
-    return s.selectExpr("detection_id AS event_id", "acquired_at AS start_time", "acquired_at + interval 60 minutes AS end_time", "latitude", "longitude").where("event_id % 2 = 0")
+    return s.selectExpr("detection_id AS event_id", "acquired_at AS start_time", "acquired_at + interval 60 minutes AS end_time", "latitude", "longitude")
 
 
 POSITIVES = f"""
-    {b.WINDOWS}, {b.SHIPPED}, ev AS (SELECT detection_id AS event_id, acquired_at AS start_time, acquired_at + INTERVAL 60 MINUTE AS end_time, latitude AS lat, longitude AS lon FROM shp WHERE detection_id % 2 = 0),
+    {b.WINDOWS}, {b.SHIPPED}, ev AS (SELECT detection_id AS event_id, acquired_at AS start_time, acquired_at + INTERVAL 60 MINUTE AS end_time, latitude AS lat, longitude AS lon FROM shp),
     w AS (SELECT window_id, anchor_at, latitude AS lat, longitude AS lon FROM win),
     pc AS (SELECT e.event_id, w.window_id, e.start_time, CASE WHEN w.anchor_at BETWEEN e.start_time AND e.end_time THEN 0 ELSE least(abs(epoch_us(w.anchor_at) - epoch_us(e.start_time)), abs(epoch_us(w.anchor_at) - epoch_us(e.end_time))) END AS distance_micros, {HAVERSINE.format(a='e.', b='w.')} AS distance_km
         FROM ev e JOIN w ON w.anchor_at BETWEEN e.start_time - INTERVAL 90 MINUTE AND e.end_time + INTERVAL 90 MINUTE)
@@ -193,11 +195,11 @@ def matching_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     w = b.windows(spark, sf_dir)
-    return w.where("window_id % 10 = 3"), w.where("window_id % 10 = 7")
+    return w.where("view_zenith_degrees < 45"), w.where("view_zenith_degrees >= 45")
 
 
 CANDIDATES = f"""
-    {b.WINDOWS}, {VARIABLES}, mc AS (SELECT p.window_id AS positive_id, c.window_id AS control_id, p.season, p.region_cell FROM vr p JOIN vr c USING (season, region_cell) WHERE p.window_id % 10 = 3 AND c.window_id % 10 = 7
+    {b.WINDOWS}, {VARIABLES}, mc AS (SELECT p.window_id AS positive_id, c.window_id AS control_id, p.season, p.region_cell FROM vr p JOIN vr c USING (season, region_cell) WHERE p.view_zenith_degrees < 45 AND c.view_zenith_degrees >= 45
         AND least(abs(p.local_hour - c.local_hour), 24 - abs(p.local_hour - c.local_hour)) <= 1 AND abs(p.view_zenith_degrees - c.view_zenith_degrees) <= 10 AND abs(p.usable_fraction - c.usable_fraction) <= 0.10)
 """
 
@@ -228,14 +230,3 @@ def projection_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = s.withColumns({"x": x, "y": y})
     lat, lon = geo.geostationary_inverse(F.col("x"), F.col("y"), *p)
     return s.select("detection_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round(geo.haversine_wrapped_km(F.col("lat"), F.col("lon"), lat, lon), 3).alias("off_km"))
-
-
-@query("anchor_window_join", f"""
-    WITH {b.WINDOWS} SELECT window_id, n.name AS region, round(latitude, 2) AS latitude FROM win JOIN customer ON c_custkey = window_id % 100 LEFT JOIN (SELECT n_nationkey, n_name AS name FROM nation) n ON n.n_nationkey = c_nationkey
-""")
-def anchor_window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A lookup with broadcast where AQE finds the side small."""
-    c = b.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = b.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("region"))
-    w = b.windows(spark, sf_dir)
-    return w.join(c, F.col("c_custkey") == F.col("window_id") % 100).join(n, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("window_id", "region", F.round("latitude", 2).alias("latitude"))
