@@ -1,6 +1,7 @@
 """Toxicity, quality, class-based scoring, language identification."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.conftest import FOLDER
+from tests.llm.conftest import FOLDER, table
 from thermal_lake.llm import brown, language_id, quality, queries, toxicity
 from thermal_lake.operators import graph
 
@@ -55,6 +56,89 @@ def test_toxicity_finds_words_and_stems(spark):
         assert r[i]["grade"] == sum(x >= 0.5 for x in p)
 
 
+def test_graded_labels_order_the_severity(spark, tmp_path):
+    """Grades 0 to 3 are planted by words that say how bad a text is; expected severity follows the planted grade on texts that were not learnt from."""
+    rng = random.Random(41)
+    bad = [[], ["rude", "silly"], ["nasty", "vulgar"], ["hateful", "violent"]]
+    rows = []
+    for i in range(3000):
+        g = rng.choices(range(4), (6, 2, 1, 1))[0]
+        w = [f"word{rng.randrange(300)}" for _ in range(30)] + (rng.choices(bad[g], k=3) if g else []) + (rng.choices(bad[g - 1], k=1) if g > 1 else [])
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), g))
+    df = table(spark, tmp_path, rows, "doc_id long, text string, toxic int")
+    m = toxicity.fit(df.select("doc_id", "text"), df.where("doc_id < 2000").select("doc_id", "toxic"))
+    got = {r["doc_id"]: r for r in toxicity.score(df.select("doc_id", "text"), m).collect()}
+    by = [[got[i]["severity"] for i, _, g in rows if g == k and i >= 2000] for k in range(4)]
+    assert all(np.mean(by[k]) + 0.5 < np.mean(by[k + 1]) for k in range(3))
+    assert all(abs(np.mean(x) - k) < 0.25 for k, x in enumerate(by))
+    assert np.mean([got[i]["grade"] == g for i, _, g in rows if i >= 2000]) > 0.95
+
+
+def dense_fit(x, y, n, grades, penalty=0.1):
+    """The same likelihood by plain gradient steps with numeric second derivatives: Newton's method on a dense matrix."""
+    d = x.shape[1]
+    share = [n[y >= k].sum() / n.sum() for k in range(1, grades)]
+    v = np.concatenate((np.zeros(d), [-math.log(s / (1 - s)) for s in share]))
+
+    def value_and_slope(v):
+        cdf = np.concatenate((np.ones((len(y), 1)), 1 / (1 + np.exp(v[d:] - (x @ v[:d])[:, None])), np.zeros((len(y), 1))), 1)
+        p = cdf[np.arange(len(y)), y] - cdf[np.arange(len(y)), y + 1]
+        s = cdf * (1 - cdf)
+        a, b = s[np.arange(len(y)), y], s[np.arange(len(y)), y + 1]
+        slope = np.concatenate((x.T @ (n * (a - b) / p) - penalty * v[:d], [(n * ((y + 1 == k) * b - (y == k) * a) / p).sum() for k in range(1, grades)]))
+        return float(n @ np.log(p)) - penalty * v[:d] @ v[:d] / 2, slope
+
+    for _ in range(100):
+        f, g = value_and_slope(v)
+        h = np.array([(value_and_slope(v + 1e-5 * e)[1] - value_and_slope(v - 1e-5 * e)[1]) / 2e-5 for e in np.eye(len(v))])
+        step, size = np.linalg.solve(-h, g), 1.0
+        while size > 1e-8:
+            new = v + size * step
+            if (np.diff(new[d:]) > 0).all() and value_and_slope(new)[0] >= f:
+                break
+            size /= 2
+        v = v + size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return v[:d], v[d:]
+
+
+def test_toxicity_by_brute_force(spark):
+    """The whole query in plain Python: features, association, grades, fit and scores."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    labels = {}
+    for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect():
+        labels[r["doc_id"]] = max(r["toxic"], labels.get(r["doc_id"], 0))
+    find = lambda t: set(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    marks = lambda t: find(t) | {f"^{w[:n]}" for w in find(t) for n in (5, 7) if len(w) > n}
+    texts = {}
+    for i, y in labels.items():
+        if i in docs:
+            texts[docs[i]] = max(y, texts.get(docs[i], 0))
+    bad, good = sum(texts.values()), len(texts) - sum(texts.values())
+    counts = {k: Counter(x for t, y in texts.items() if y == k for x in marks(t)) for k in (0, 1)}
+    z = {}
+    for x in counts[0].keys() | counts[1].keys():
+        a, b = counts[1][x], counts[0][x]
+        s = (a + b) / (bad + good)
+        z[x] = (a / bad - b / good) / math.sqrt(s * (1 - s) * (1 / bad + 1 / good) + 1e-12)
+    words = sorted(x for x, v in z.items() if abs(v) >= 5 and counts[0][x] + counts[1][x] >= 4)
+    assert words
+    x = np.array([[float(w in marks(t)) for w in words] for t in texts])
+    y = np.array(list(texts.values()))
+    hits = x @ np.array([z[w] > 0 for w in words], dtype=float)
+    cuts = np.quantile(hits[y > 0], [1 / 3, 2 / 3])
+    y = np.where(y > 0, 1 + (hits[:, None] > cuts).sum(1), 0)
+    got = {r["doc_id"]: r["severity"] for r in queries.op1_toxicity(spark, FOLDER).collect()}
+    assert len(set(y)) == 4
+    w, theta = dense_fit(x, y, np.ones(len(y)), 4)
+    for i, t in docs.items():
+        total = sum(v for u, v in zip(words, w, strict=True) if u in marks(t))
+        assert got[i] == pytest.approx(sum(1 / (1 + math.exp(k - total)) for k in theta), abs=1e-4)
+    assert len(got) == len(docs)
+
+
 def test_toxicity_with_labels_that_teach_nothing(spark, empty):
     docs, labels = toxic_table(spark, 10)
     for few in (labels.limit(0), labels.where("toxic = 0"), labels.select("doc_id", F.lit(None).cast("int").alias("toxic"))):

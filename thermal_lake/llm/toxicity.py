@@ -16,8 +16,8 @@ from thermal_lake.llm.common import map_arrow, written
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that are learnt from at most, by the hash of their id: the documented bound of the learning sample.
 SAMPLE = 20_000
-#: Words with weights, at most; the association (in standard errors) and the number of texts that a word needs.
-FEATURES, LEAST_Z, LEAST_TEXTS = 512, 5.0, 4
+#: The association (in standard errors) and the number of texts that a feature needs for a weight; all that have them get one.
+LEAST_Z, LEAST_TEXTS = 5.0, 4
 GRADES = 4
 #: Distinct words that a counting task holds before it hands on what it has.
 HELD = 300_000
@@ -46,14 +46,51 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - total, -500, 500)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, n: np.ndarray, grades: int, penalty: float = 0.1, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds that maximise the penalised likelihood of grades y, each row counted n times, by Fisher scoring with halved steps."""
+@dataclass
+class Sparse:
+    """A 0/1 matrix by the rows and columns of its ones."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    shape: tuple[int, int]
+
+    @classmethod
+    def of(cls, x: np.ndarray | Sparse) -> Sparse:
+        return x if isinstance(x, cls) else cls(*np.nonzero(x), x.shape)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights=w[self.columns], minlength=self.shape[0]).astype(float)
+
+    def transposed(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, weights=v[self.rows], minlength=self.shape[1]).astype(float)
+
+
+def conjugate_gradient(apply, b: np.ndarray, diagonal: np.ndarray, steps: int = 1000) -> np.ndarray:
+    """x with apply(x) = b, apply being symmetric and positive; the diagonal preconditions."""
+    x, r = np.zeros_like(b), b.copy()
+    z = r / diagonal
+    p, rz = z, r @ z
+    for _ in range(steps):
+        if np.abs(r).max() <= 1e-12 * max(1.0, np.abs(b).max()):
+            break
+        q = apply(p)
+        size = rz / (p @ q)
+        x, r = x + size * p, r - size * q
+        z = r / diagonal
+        rz, old = r @ z, rz
+        p = z + rz / old * p
+    return x
+
+
+def fit_ordinal(x: np.ndarray | Sparse, y: np.ndarray, n: np.ndarray, grades: int, penalty: float = 0.1, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending thresholds that maximise the penalised likelihood of grades y, each row counted n times, by Fisher scoring with halved steps; x is sparse, so any number of features fits."""
+    x = Sparse.of(x)
     d, at = x.shape[1], np.arange(len(y))
     share = np.clip([n[y >= k].sum() / n.sum() for k in range(1, grades)], 1e-4, 1 - 1e-4)
     w, theta = np.zeros(d), -np.log(share / (1 - share)) + 1e-3 * np.arange(grades - 1)
 
     def above(w: np.ndarray, theta: np.ndarray) -> np.ndarray:
-        return np.concatenate((np.ones((len(y), 1)), 1 / (1 + np.exp(np.clip(theta - (x @ w)[:, None], -40, 40))), np.zeros((len(y), 1))), 1)
+        return np.concatenate((np.ones((len(y), 1)), 1 / (1 + np.exp(np.clip(theta - x.times(w)[:, None], -40, 40))), np.zeros((len(y), 1))), 1)
 
     def likelihood(w: np.ndarray, theta: np.ndarray) -> float:
         if (np.diff(theta) <= 0).any():
@@ -74,16 +111,21 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, n: np.ndarray, grades: int, penalt
             by[:, k - 1, k] = s[:, k]
         slope = by[at, y] / p[at, y][:, None] * n[:, None]
         info = np.einsum("nki,nkj,nk->nij", by, by, n[:, None] / p)
-        cross = x.T @ info[:, 0, 1:]
-        hessian = np.block([[(x * info[:, :1, 0]).T @ x + penalty * np.eye(d), cross], [cross.T, info[:, 1:, 1:].sum(0) + 1e-9 * np.eye(grades - 1)]])
-        step = np.linalg.solve(hessian, np.concatenate((x.T @ slope[:, 0] - penalty * w, slope[:, 1:].sum(0))))
+        outer = info[:, 1:, 1:].sum(0) + 1e-9 * np.eye(grades - 1)
+
+        def curvature(v: np.ndarray, info=info, outer=outer) -> np.ndarray:
+            mid = info[:, 0, 0] * x.times(v[:d]) + info[:, 0, 1:] @ v[d:]
+            return np.concatenate((x.transposed(mid) + penalty * v[:d], info[:, 1:, 0].T @ x.times(v[:d]) + outer @ v[d:]))
+
+        gradient = np.concatenate((x.transposed(slope[:, 0]) - penalty * w, slope[:, 1:].sum(0)))
+        step = conjugate_gradient(curvature, gradient, np.concatenate((x.transposed(info[:, 0, 0]) + penalty, np.diag(outer))))
         size = 1.0
         while size > 1e-6 and (now := likelihood(w + size * step[:d], theta + size * step[d:])) < best:
             size /= 2
         if size <= 1e-6:
             break
         w, theta, gain, best = w + size * step[:d], theta + size * step[d:], now - best, now
-        if gain < 1e-8 * abs(best):
+        if gain < 1e-10 * abs(best):
             break
     return w, theta
 
@@ -112,19 +154,20 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def associated(counts: DataFrame, toxic: int, clean: int) -> list[tuple[str, float]]:
-    """The words most associated with toxic texts, or with clean ones, beyond chance, and by how much: FEATURES at most."""
+    """The features associated with toxic texts, or with clean ones, beyond chance, and by how much: no more than the sample has."""
     share = F.lit(1.0) * (F.col("toxic") + F.col("clean")) / (toxic + clean)
     z = (F.col("toxic") / max(1, toxic) - F.col("clean") / max(1, clean)) / F.sqrt(share * (1 - share) * (1 / max(1, toxic) + 1 / max(1, clean)) + 1e-12)
     found = counts.where(F.col("toxic") + F.col("clean") >= LEAST_TEXTS).withColumn("z", z).where(F.abs("z") >= LEAST_Z)
-    return [(r["word"], r["z"]) for r in found.orderBy(F.desc(F.abs("z")), "word").limit(FEATURES).collect()]
+    return [(r["word"], r["z"]) for r in found.orderBy("word").collect()]
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", grades: int = GRADES, sample: int = SAMPLE) -> Model:
     """A model from at most `sample` labelled rows (those whose ids hash least), of the labels whose id and value aren't null.
 
     Labels above 1 are grades as they are. Labels of 0 and 1 alone say no grade: a row with 1 then gets 1, 2, ... by how many of the features
-    associated with it the text has (quantiles of that number among such rows). Equal texts count once. Words are counted by the executors; the driver gets
-    FEATURES words and, for each sampled text, which of them it has.
+    associated with it the text has (quantiles of that number among such rows): with such labels the severity beyond 1 says how much toxic vocabulary a text has, as no
+    label says more. Equal texts count once. Words are counted by the executors; the driver gets the features that have a weight and, for each sampled text, which of them it has,
+    so what it holds is bounded by the sample.
     """
     few = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     few = few.orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -142,11 +185,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     found = map_arrow(texts.select("text", "label"), "at array<int>, label int", kernel).groupBy("label", "at").agg(F.count("*").alias("n")).orderBy("label", "at").collect()
     y, n = np.array([r["label"] for r in found], dtype=int), np.array([r["n"] for r in found], dtype=float)
-    x = np.zeros((len(found), len(words)))
-    for i, r in enumerate(found):
-        x[i, r["at"]] = 1
+    sizes = [len(r["at"]) for r in found]
+    x = Sparse(np.repeat(np.arange(len(found)), sizes), np.array([i for r in found for i in r["at"]], dtype=int), (len(found), len(words)))
     if y.max() == 1 and grades > 2:
-        hits = x @ np.array([z > 0 for _, z in words], dtype=float)
+        hits = x.times(np.array([z > 0 for _, z in words], dtype=float))
         cuts = np.quantile(np.repeat(hits[y > 0], n[y > 0].astype(int)), np.arange(1, grades - 1) / (grades - 1))
         y = np.where(y > 0, 1 + (hits[:, None] > cuts).sum(1), 0)
     y = np.minimum(y, grades - 1)
