@@ -181,3 +181,65 @@ def test_equalized_display_keeps_range():
     assert out.dtype == np.uint8
     assert out.min() >= 0
     assert out[7, 7] >= out[0, 0]
+
+
+def equalized_one_by_one(v, clip, grid):
+    h, w = v.shape
+    ty, tx = grid
+    grow_y, grow_x = (0, 0) if h % ty == 0 and w % tx == 0 else (ty - h % ty, tx - w % tx)
+    back = lambda i, n: i if i < n else back(2 * (n - 1) - i, n) if 2 * (n - 1) - i >= 0 else back(i - 2 * (n - 1), n)
+    ch, cw = (h + grow_y) // ty, (w + grow_x) // tx
+    luts = {}
+    for i in range(ty):
+        for j in range(tx):
+            hist = [0] * 256
+            for y in range(i * ch, (i + 1) * ch):
+                for x in range(j * cw, (j + 1) * cw):
+                    hist[v[back(y, h), back(x, w)]] += 1
+            limit = max(1, int(clip * ch * cw / 256))
+            over = sum(max(0, n - limit) for n in hist)
+            hist = [min(n, limit) + over // 256 for n in hist]
+            rest, k = over % 256, 0
+            step = max(256 // rest, 1) if rest else 1
+            while rest and k < 256:
+                hist[k] += 1
+                k, rest = k + step, rest - 1
+            total, lut = 0, []
+            for n in hist:
+                total += n
+                lut.append(min(255, round(float(np.float32(total) * np.float32(255 / (ch * cw))))))
+            luts[i, j] = lut
+    f = np.float32
+    out = np.zeros_like(v)
+    for y in range(h):
+        fy = f(y) * f(1 / ch) - f(0.5)
+        y0 = int(np.floor(fy))
+        a = f(fy - f(y0))
+        for x in range(w):
+            fx = f(x) * f(1 / cw) - f(0.5)
+            x0 = int(np.floor(fx))
+            b = f(fx - f(x0))
+            at = lambda i, j, y=y, x=x: f(luts[min(max(i, 0), ty - 1), min(max(j, 0), tx - 1)][v[y, x]])
+            top, low = at(y0, x0) * (f(1) - b) + at(y0, x0 + 1) * b, at(y0 + 1, x0) * (f(1) - b) + at(y0 + 1, x0 + 1) * b
+            out[y, x] = min(255, max(0, round(float(top * (f(1) - a) + low * a))))
+    return out
+
+
+@pytest.mark.parametrize(("shape", "clip", "grid"), [((16, 16), 2.0, (8, 8)), ((21, 17), 3.0, (2, 2)), ((9, 12), 1.0, (3, 4)), ((10, 12), 40.0, (3, 4)), ((40, 33), 2.5, (8, 8))])
+def test_equalization_by_one_pixel_at_a_time(shape, clip, grid):
+    v = (np.random.default_rng(5).normal(120, 40, shape).clip(0, 255)).astype(np.uint8)
+    assert (stencil.equalized(v, clip, grid) == equalized_one_by_one(v, clip, grid)).all()
+
+
+def test_equalization_fills_with_the_rounded_median_and_takes_parameters(spark):
+    rows = [(1, r, c, [10, 11, 12, 13][(r * 4 + c) % 4], (r, c) != (0, 0)) for r in range(4) for c in range(4)]
+    t = raster.tiles(spark.createDataFrame(rows, "frame_id long, row int, col int, display int, ok boolean"), ["display", "ok"], ["frame_id"])
+    v = np.array([x[3] for x in rows], dtype=np.uint8).reshape(4, 4)
+    v[0, 0] = round(float(np.median(v.ravel()[1:])))
+    for clip, grid in ((2.0, (2, 2)), (4.0, (1, 1))):
+        got = {(r["row"], r["col"]): r["display"] for r in raster.equalized_display(t, clip, grid).collect()}
+        want = stencil.equalized(v, clip, grid)
+        assert got == {(r, c): 0 if (r, c) == (0, 0) else int(want[r, c]) for r in range(4) for c in range(4)}
+    for wrong in ((0.0, (2, 2)), (1.0, (0, 2))):
+        with pytest.raises(ValueError):
+            stencil.equalized(v, *wrong)

@@ -45,6 +45,20 @@ def test_bad_detections(spark, tmp_path):
             detections.read_csvs(spark, [write(tmp_path / "c.csv", header)])
 
 
+def test_quoted_fields_header_rows_and_places(spark, tmp_path):
+    first = write(tmp_path / "a.csv", CSV + '30,-120,300,2025-01-01,5,n,"viirs",1\n\n30,-120,300,2025-01-01,5,n,viirs,"two\nlines, quoted"\n' + CSV + "95,-120,300,2025-01-01,5,n,viirs,1\n")
+    second = write(tmp_path / "b.csv", CSV.replace(" Longitude ", '"Longi""tude"').replace('"Longi""tude"', '"Longitude"') + "1,2,300,2025-01-01,5,n,viirs,1\n")
+    raw = detections.read_csvs(spark, [first, second])
+    rows = raw.orderBy("source_file", "row_number").collect()
+    assert [(r["source_file"][-5:], r["row_number"], r["latitude"]) for r in rows] == [("a.csv", 2, "30"), ("a.csv", 3, "30"), ("a.csv", 4, "latitude"), ("a.csv", 5, "95"), ("b.csv", 2, "1")]
+    digest = lambda p: hashlib.sha256(open(p, "rb").read()).hexdigest()
+    assert {(r["source_sha256"], r["row_count"]) for r in detections.source_audit(raw).collect()} == {(digest(first), 4), (digest(second), 1)}
+    bad = detections.normalized(raw).where("error IS NOT NULL").orderBy("row_number").collect()
+    assert [(r["row_number"], r["error"]) for r in bad] == [(4, "acq_date"), (5, "latitude")]
+    with pytest.raises(Exception, match=r"bad detection: .*a\.csv:[45]:"):
+        detections.strict(detections.normalized(raw)).collect()
+
+
 def transition(n, **more):
     return json.dumps({k: None for k in journal.KEYS} | {"trace_id": "t", "case_id": "c", "sequence": n, "to_state": "observe"} | more)
 

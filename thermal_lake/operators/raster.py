@@ -315,13 +315,13 @@ def contour_rows(frames: DataFrame, p: checks.Anomaly = checks.Anomaly()) -> Dat
     return over_tiles(frames, "frame_id long, place int, points array<struct<x: int, y: int>>", kernel, [FRAME], ANOMALY_PLANES)
 
 
-def equalized_display(displays: DataFrame) -> DataFrame:
-    """Tiles of display (0..255) and ok to equalized pixel rows; invalid pixels take the median of the valid ones and return as 0."""
+def equalized_display(displays: DataFrame, clip: float = 2.0, grid: tuple[int, int] = (8, 8)) -> DataFrame:
+    """Tiles of display (0..255) and ok to equalized pixel rows; invalid pixels take the median of the valid ones (rounded, halves to even) and return as 0."""
 
     def kernel(keys: dict, planes: dict) -> list[dict]:
         v, ok = planes["display"], planes["ok"]
-        filled = np.where(ok, v, np.median(v[ok]) if ok.any() else 0).astype(np.uint8)
-        out = np.where(ok, stencil.equalized(filled), 0)
+        filled = np.where(ok, v, np.rint(np.median(v[ok])) if ok.any() else 0).astype(np.uint8)
+        out = np.where(ok, stencil.equalized(filled, clip, grid), 0)
         return [keys | {"row": r, "col": c, "display": int(out[r, c])} for r in range(out.shape[0]) for c in range(out.shape[1])]
 
     return over_tiles(displays, "frame_id long, row int, col int, display int", kernel, [FRAME], ["display", "ok"])

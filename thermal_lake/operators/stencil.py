@@ -175,23 +175,40 @@ def contours(mask: np.ndarray) -> list[list[tuple[int, int]]]:
     return sorted(out, key=lambda c: (min(y for _, y in c), min(x for x, _ in c), len(c), c))
 
 
-def equalized(values: np.ndarray, tiles: int = 2, clip: float = 2.0) -> np.ndarray:
-    """Contrast-limited adaptive histogram equalization of one uint8 tile, bilinear between tiles x tiles histograms."""
+def equalized(values: np.ndarray, clip: float = 2.0, grid: tuple[int, int] = (8, 8)) -> np.ndarray:
+    """Contrast-limited adaptive histogram equalization of one uint8 tile, in single precision.
+
+    Unless the grid (rows, columns) divides the tile, it is reflected at its lower and right edges by what is missing in each direction (by a whole row or column of cells' pixels where nothing is); a cell's histogram is cut at clip times its mean count (at least 1), what is cut
+    goes to all bins alike, the remainder to every so many-th bin; pixels take the bilinear mean of the four cells around them, halves to even.
+    """
+    ty, tx = grid
+    if not clip > 0 or ty < 1 or tx < 1:
+        raise ValueError("clip has to be positive and the grid 1 x 1 at least")
     h, w = values.shape
-    ys, xs = np.linspace(0, h, tiles + 1).astype(int), np.linspace(0, w, tiles + 1).astype(int)
-    maps = np.zeros((tiles, tiles, 256))
-    for i in range(tiles):
-        for j in range(tiles):
-            part = values[ys[i] : ys[i + 1], xs[j] : xs[j + 1]]
-            hist = np.bincount(part.ravel(), minlength=256).astype(float)
-            limit = max(1.0, clip * part.size / 256)
-            hist = np.minimum(hist, limit) + np.maximum(hist - limit, 0).sum() / 256
-            maps[i, j] = np.cumsum(hist) * 255 / max(part.size, 1)
-    fy = np.clip((np.arange(h) + 0.5) * tiles / h - 0.5, 0, tiles - 1)
-    fx = np.clip((np.arange(w) + 0.5) * tiles / w - 0.5, 0, tiles - 1)
-    y0, x0 = fy.astype(int), fx.astype(int)
-    y1, x1 = np.minimum(y0 + 1, tiles - 1), np.minimum(x0 + 1, tiles - 1)
-    a, b = (fy - y0)[:, None], (fx - x0)[None, :]
+    more = (0, 0) if h % ty == 0 and w % tx == 0 else (ty - h % ty, tx - w % tx)
+    grown = np.pad(values, ((0, more[0]), (0, more[1])), mode="reflect" if h > 1 and w > 1 else "edge")
+    ch, cw = grown.shape[0] // ty, grown.shape[1] // tx
+    area = ch * cw
+    limit = max(1, int(clip * area / 256))
+    maps = np.zeros((ty, tx, 256), dtype=np.float32)
+    for i in range(ty):
+        for j in range(tx):
+            hist = np.bincount(grown[i * ch : (i + 1) * ch, j * cw : (j + 1) * cw].ravel(), minlength=256)
+            over = int(np.maximum(hist - limit, 0).sum())
+            hist = np.minimum(hist, limit) + over // 256
+            rest = over % 256
+            if rest:
+                hist[np.arange(rest) * max(256 // rest, 1)] += 1
+            maps[i, j] = np.clip(np.rint(np.cumsum(hist).astype(np.float32) * np.float32(255 / area)), 0, 255)
+
+    def between(n: int, size: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.arange(n, dtype=np.float32) * np.float32(1 / size) - np.float32(0.5)
+        first = np.floor(at).astype(int)
+        return np.maximum(first, 0), np.minimum(first + 1, cells - 1), (at - first).astype(np.float32)
+
+    y0, y1, a = between(h, ch, ty)
+    x0, x1, b = between(w, cw, tx)
+    a, b, one = a[:, None], b[None, :], np.float32(1)
     at = lambda y, x: maps[y[:, None], x[None, :], values]
-    mixed = (1 - a) * ((1 - b) * at(y0, x0) + b * at(y0, x1)) + a * ((1 - b) * at(y1, x0) + b * at(y1, x1))
+    mixed = (at(y0, x0) * (one - b) + at(y0, x1) * b) * (one - a) + (at(y1, x0) * (one - b) + at(y1, x1) * b) * a
     return np.clip(np.rint(mixed), 0, 255).astype(np.uint8)

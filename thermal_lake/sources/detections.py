@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import itertools
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from thermal_lake.shipping import ship
 
 #: The columns of the format (one of the last two), and the aliases of a confidence.
 REQUIRED = ("latitude", "longitude", "acq_date", "acq_time", "confidence", "instrument")
 BRIGHTNESS = ("brightness", "bright_ti4")
 CONFIDENCE = {"l": "low", "low": "low", "n": "nominal", "nominal": "nominal", "h": "high", "high": "high"}
 INSTRUMENT = r"^[A-Za-z0-9][A-Za-z0-9 ._-]*\z"
+#: Lines that a header may take (it may be quoted), at most.
+HEADER_LINES = 50
 KEY = ("acquired_at", "latitude", "longitude", "confidence", "brightness_kelvin", "instrument")
 
 
@@ -30,40 +43,55 @@ def normalized_header(columns: list[str], source: str = "") -> dict[str, str]:
     return names
 
 
+RAW_SCHEMA = ", ".join(f"{c} string" for c in (*REQUIRED, *BRIGHTNESS)) + ", source_file string, source_sha256 string, row_number long, is_blank boolean"
+
+
 def read_csvs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All rows of CSV files as trimmed text (empty: null) with source_file and is_blank; extra columns are left out. A path given twice raises."""
-    from urllib.parse import unquote
+    """All rows of CSV files as trimmed text (empty: null) with source_file, its SHA-256, row_number (the header is row 1; lines without anything aren't rows) and is_blank.
 
+    Quoted fields may hold commas and line breaks; extra columns are left out. A header that normalized_header() refuses, and a path given twice, raise. A file is read by one task and has to fit a binary row (2 GB).
+    """
     if not paths:
         raise ValueError("a path is needed")
     seen: set[str] = set()
-    parts = []
     for path in paths:
         qualified = spark._jvm.org.apache.hadoop.fs.Path(path)
         real = qualified.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(qualified).toString()
         if real in seen:
             raise ValueError(f"{path} was given twice")
         seen.add(real)
-        # the file's own blank lines are rows too, so lines are read as text and split by the CSV parser
-        lines = spark.read.text(path).withColumn("value", F.regexp_replace("value", "^﻿", ""))
-        header = lines.where(F.trim("value") != "").first()
-        names = normalized_header(next(iter(_fields(header[0]))) if header else [], path)
-        order = list(names)
-        parsed = F.from_csv(F.col("value"), F.lit(", ".join(f"c{i} string" for i in range(len(order)))), {"mode": "PERMISSIVE"})
-        body = lines.where(F.col("value") != F.lit(header[0])).withColumn("p", parsed)
-        cell = lambda name, order=order: F.nullif(F.trim(F.col("p").getField(f"c{order.index(name)}")), F.lit("")) if name in order else F.lit(None).cast("string")
-        columns = {c: cell(c) for c in (*REQUIRED, *BRIGHTNESS)}
-        parts.append(body.select(*[v.alias(k) for k, v in columns.items()], F.lit(unquote(real)).alias("source_file"), (F.trim(F.regexp_replace("value", ",", "")) == "").alias("is_blank")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _fields(line: str):
+        lines = [r[0] for r in spark.read.text(path).take(HEADER_LINES)]
+        normalized_header(next(_rows("\n".join(lines).removeprefix("\ufeff")), []), path)
+    ship(spark)
+    out = to_arrow_schema(StructType.fromDDL(RAW_SCHEMA))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                source = unquote(path)
+                digest = hashlib.sha256(content).hexdigest()
+                rows = _rows(io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", newline=""))
+                names = {n: i for i, n in enumerate(c.strip().lower() for c in next(rows))}
+                numbered = enumerate(rows, 2)
+                while part := list(itertools.islice(numbered, 10_000)):
+                    cell = lambda row, c, names=names: (row[names[c]].strip() or None) if c in names and names[c] < len(row) else None
+                    found = [{c: cell(row, c) for c in (*REQUIRED, *BRIGHTNESS)} | {"source_file": source, "source_sha256": digest, "row_number": n, "is_blank": not any(x.strip() for x in row[: len(names)])} for n, row in part]
+                    yield pa.RecordBatch.from_pylist(found, schema=out)
+
+    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+    return files.mapInArrow(parse, RAW_SCHEMA)
+
+
+def source_audit(raw: DataFrame) -> DataFrame:
+    """(source_file, source_sha256, row_count) of the files that were read; blank rows don't count."""
+    return raw.groupBy("source_file", "source_sha256").agg(F.count_if(~F.col("is_blank")).alias("row_count"))
+
+
+def _rows(lines) -> Iterator[list[str]]:
+    """Rows of a CSV text or stream, without empty lines."""
     import csv
 
-    return csv.reader([line])
+    return (r for r in csv.reader(io.StringIO(lines, newline="") if isinstance(lines, str) else lines) if r)
 
 
 def _decimal(c: Column) -> Column:
@@ -76,7 +104,8 @@ def _rounded(c: Column, digits: int) -> Column:
 
 
 def normalized(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of text to detections; `error` names what is wrong with a row (null: nothing), and then its values may be null."""
+    """Rows of text to detections; `error` names what is wrong with a row (null: nothing), and then its values may be null. source_file and row_number stay if raw has them."""
+    keep = (*keep, *(c for c in PLACE if c in raw.columns and c not in keep))
     date = F.when(F.col("acq_date").rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp("acq_date", F.lit("yyyy-M-d")))
     digits = F.col("acq_time").rlike(r"^[0-9]{1,4}$")
     padded = F.lpad("acq_time", 4, "0")
@@ -100,9 +129,13 @@ def normalized(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+PLACE = ("source_file", "row_number")
+
+
 def strict(detections: DataFrame) -> DataFrame:
-    """Detections; the first bad row that a task meets raises."""
-    return detections.withColumn("acquired_at", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("bad detection: "), F.col("error"))).cast("timestamp")).otherwise(F.col("acquired_at"))).drop("error")
+    """Detections; the first bad row that a task meets raises, naming its file and row if they are known."""
+    place = [x for c in PLACE if c in detections.columns for x in (F.col(c).cast("string"), F.lit(":"))]
+    return detections.withColumn("acquired_at", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("bad detection: "), *place, F.col("error"))).cast("timestamp")).otherwise(F.col("acquired_at"))).drop("error")
 
 
 def distinct(detections: DataFrame) -> DataFrame:
