@@ -83,7 +83,7 @@ def test_changes(spark):
 
 
 def replay(case, facts):
-    selected, used, retries, accepted, steps = [], 0, 0, None, 0
+    selected, used, retries, accepted, steps, spent = [], 0, 0, None, 0, 0.0
     while True:
         f = facts.get((case["case_id"], ",".join(sorted(selected))))
         steps += 0 if accepted is False else (2 if selected else 1)
@@ -92,7 +92,7 @@ def replay(case, facts):
         poor = set(reasons) & set(decide.POLICY_POOR)
         first = lambda *t: next((open_[x] for x in t if x in open_), None)
         retry = False
-        if accepted is False or len(selected) >= case["max_observations"] or used >= case["max_bytes"] or (poor and retries >= case["max_retries"] and open_):
+        if accepted is False or len(selected) >= case["max_observations"] or used >= case["max_bytes"] or spent >= case["max_elapsed_seconds"] or (poor and retries >= case["max_retries"] and open_):
             act = "abstain"
         elif poor:
             act = first("next_timestamp", "alternate_band", "pre_event_baseline") or "abstain"
@@ -109,7 +109,10 @@ def replay(case, facts):
         if isinstance(act, str):
             return act, ",".join(selected), used, retries, steps
         retries += retry
-        accepted = used + act["bytes"] <= case["max_bytes"]
+        begun = used + act["bytes"] <= case["max_bytes"] and spent < case["max_elapsed_seconds"]
+        seconds = act.asDict().get("seconds", 0.0) if hasattr(act, "asDict") else 0.0
+        accepted = begun and spent + seconds <= case["max_elapsed_seconds"]
+        spent += seconds * begun
         if accepted:
             selected.append(act["observation_id"])
             used += act["bytes"]
@@ -141,3 +144,49 @@ def test_loop_is_the_replay(spark):
             assert (r["outcome"], r["outcome_confidence"], r["final_state"]) == ("insufficient_evidence", 0.0, "abstain")
         if act == "request_human_review":
             assert r["outcome"] in ("review_escalation", "human_review")
+
+
+def timed_cases(spark):
+    from thermal_lake.plans import decision_queries as q
+
+    seen = {}
+    original = decide.run_loop
+    decide.run_loop = lambda cases, evidence, rounds: seen.update(cases=cases, evidence=evidence) or cases.select("case_id", *[F.lit(None).alias(c) for c in ("outcome", "outcome_confidence", "final_state", "rule", "used_bytes", "used_retries", "transitions")], F.array().alias("selected"))
+    try:
+        q.agent_loop_outcomes(spark, "/root/testdata/sf0.001")
+    finally:
+        decide.run_loop = original
+    timed = F.transform("allowlist", lambda a: a.withField("seconds", (F.col("case_id") % 7 * 10 + 5).cast("double")))
+    return seen["cases"].withColumn("allowlist", timed).withColumn("max_elapsed_seconds", F.lit(60.0)), seen["evidence"]
+
+
+def test_time_passes_and_is_a_budget(spark):
+    cases, evidence = timed_cases(spark)
+    got = {r["case_id"]: r for r in decide.run_loop(cases, evidence, 3).collect()}
+    facts = {(r["case_id"], r["selected_key"]): r.asDict() for r in evidence.collect()}
+    rows = cases.collect()
+    for c in rows:
+        act, selected, used, retries, steps = replay(c, facts)
+        r = got[c["case_id"]]
+        assert (",".join(r["selected"]), r["used_bytes"], r["used_retries"], r["transitions"]) == (selected, used, retries, steps)
+        assert r["used_elapsed_seconds"] >= 0
+    assert any(r["used_elapsed_seconds"] > 60 for r in got.values())
+    assert len({r["used_elapsed_seconds"] for r in got.values()}) > 5
+
+
+def test_a_loop_goes_on_from_its_checkpoint(spark):
+    cases, evidence = timed_cases(spark)
+    key = lambda rows: sorted((r["case_id"], r["outcome"], tuple(r["selected"]), r["used_bytes"], r["used_elapsed_seconds"], r["transitions"]) for r in rows)
+    whole = key(decide.run_loop(cases, evidence, 3).collect())
+    finished, going = decide.advance(decide.started(cases), evidence)
+    kept = spark.createDataFrame(decide.checkpoint(going).collect(), decide.checkpoint(going).schema)
+    rest = decide.run_loop(cases.join(finished.select("case_id"), "case_id", "left_anti"), evidence, 3, kept)
+    assert key(finished.collect() + rest.collect()) == whole
+    one = kept.limit(1)
+    some = spark.createDataFrame(one.collect(), one.schema)
+    for wrong in (
+        some.withColumn("stored_max_observations", F.lit(9)), some.withColumn("stored_max_elapsed_seconds", F.lit(9.0)), some.withColumn("selected", F.array(F.lit("later"), F.lit("later"))), some.withColumn("selected", F.array(F.lit("elsewhere"))),
+        some.withColumn("used_bytes", F.lit(10**9)), some.withColumn("case_id", F.lit(-1).cast("long")),
+    ):
+        with pytest.raises(Exception, match="can't resume"):
+            decide.resumed(cases, wrong).collect()

@@ -289,37 +289,78 @@ def terminal(df: DataFrame) -> DataFrame:
     return df.withColumn("final_state", state).withColumn("explanation", explained(F.col("outcome"), F.col("outcome_reasons")))
 
 
-def run_loop(cases: DataFrame, evidence: DataFrame, rounds: int) -> DataFrame:
+#: The facts a decision needs, and what they are without evidence.
+FACTS = {
+    "reason_codes": "cast(array() AS array<string>)", "component_count": "0L", "candidate_region_count": "0L", "usable_observation_count": "0", "persistence_count": "0", "persistence_confidence": "0.0D",
+}
+#: What a case's state holds besides the case: the columns of a checkpoint, and how a new case begins.
+STATE = {"selected": "cast(array() AS array<string>)", "used_bytes": "0L", "used_retries": "0", "used_elapsed_seconds": "0.0D", "last_accepted": "cast(null AS boolean)", "transitions": "0"}
+LIMITS = ("max_observations", "max_bytes", "max_elapsed_seconds", "max_retries")
+
+
+def started(cases: DataFrame) -> DataFrame:
+    """The state in which each case begins."""
+    return cases.withColumns({k: F.expr(v) for k, v in STATE.items()})
+
+
+def checkpoint(state: DataFrame) -> DataFrame:
+    """What has to be kept of cases that are under way to go on later: case_id, the state and the limits it was made under."""
+    return state.select("case_id", *STATE, *[F.col(c).alias(f"stored_{c}") for c in LIMITS])
+
+
+def resumed(cases: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """The state of each case as its checkpoint says, or its beginning without one. A checkpoint of an unknown case, of other limits, with a repeated or unknown observation, or over a limit raises."""
+    kept = checkpoints.select(F.col("case_id").alias("_of"), *[F.col(c).alias(f"_{c}") for c in STATE], *[f"stored_{c}" for c in LIMITS])
+    both = cases.join(kept, F.col("case_id") == F.col("_of"), "full")
+    other = F.lit(False)
+    for c in LIMITS:
+        other = other | (F.col(c) != F.col(f"stored_{c}"))
+    asked = both.withColumns({"selected": F.col("_selected"), "evidence_ids": F.col("_selected"), "used_bytes": F.col("_used_bytes"), "allowed": F.map_from_arrays(F.transform("allowlist", lambda x: x["observation_id"]), F.transform("allowlist", lambda x: x["action_type"]))})
+    error = F.when(F.col("_of").isNull(), None).when(F.col("case_id").isNull(), "unknown case").when(other, "other limits").otherwise(restored_error())
+    asked = asked.withColumn("_e", error).withColumn("case_id", F.when(F.col("_e").isNotNull(), F.raise_error(F.concat(F.lit("can't resume "), F.col("_of").cast("string"), F.lit(": "), F.col("_e"))).cast(cases.schema["case_id"].dataType)).otherwise(F.col("case_id")))
+    return asked.select(*cases.columns, *[F.when(F.col("_of").isNull(), F.expr(v)).otherwise(F.col(f"_{k}")).alias(k) for k, v in STATE.items()])
+
+
+def advance(state: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One step of all cases: (finished ones with their outcome, the state of the others). The step is written, so it is computed once and plans stay as long as one step.
+
+    A case looks at the evidence of what it selected, decides and acts. A request is refused if its bytes would exceed the budget or the time is used up, before it or by the request itself (seconds of its allowlist entry, if these are given);
+    the time passes then, too.
+    """
+    e = evidence.select(F.col("case_id").alias("_case"), F.col("selected_key").alias("_key"), *[F.col(c).alias(f"_{c}") for c in FACTS])
+    known = state.join(e, (F.col("case_id") == F.col("_case")) & (F.array_join(F.array_sort("selected"), ",") == F.col("_key")), "left")
+    known = known.withColumns({c: F.coalesce(f"_{c}", F.expr(d)) for c, d in FACTS.items()} | {"used_observations": F.size("selected"), "budget_exhausted": F.lit(False)})
+    open_ = F.transform(F.filter("allowlist", lambda a: ~F.array_contains(F.col("selected"), a["observation_id"])), lambda a: F.struct(a["action_type"].alias("action_type"), a["observation_id"].alias("observation_id")))
+    chosen = written(decide(known.withColumn("available", open_)), "loop-round")
+    ends = F.col("action_type").isin(*checks.TERMINAL_ACTIONS)
+    # observe (and analyze, if there is evidence), decide, act
+    steps = F.col("transitions") + F.when(F.col("last_accepted") == F.lit(False), 0).otherwise(F.when(F.size("selected") > 0, 2).otherwise(1)) + 2
+    done = ["case_id", "outcome", "outcome_reasons", "outcome_confidence", "final_state", "explanation", "rule", "selected", "used_bytes", "used_retries", "used_elapsed_seconds", "transitions"]
+    finished = terminal(chosen.where(ends).withColumn("transitions", steps)).select(*done)
+    entry = F.element_at(F.filter("allowlist", lambda a: a["observation_id"] == F.col("observation_id")), 1)
+    timed = "seconds" in state.schema["allowlist"].dataType.elementType.names  # type: ignore[union-attr]
+    size, seconds = F.coalesce(entry["bytes"], F.lit(0)), F.coalesce(entry["seconds"], F.lit(0.0)) if timed else F.lit(0.0)
+    begun = (F.col("used_bytes") + size <= F.col("max_bytes")) & (F.col("used_elapsed_seconds") < F.col("max_elapsed_seconds"))
+    fits = begun & (F.col("used_elapsed_seconds") + seconds <= F.col("max_elapsed_seconds"))
+    going = chosen.where(~ends).withColumn("transitions", steps).withColumns({
+        "used_retries": F.col("used_retries") + F.when(F.col("rule") == "poor_quality_retry", 1).otherwise(0), "last_accepted": fits, "used_elapsed_seconds": F.col("used_elapsed_seconds") + F.when(begun, seconds).otherwise(0.0),
+        "selected": F.when(fits, F.array_append("selected", F.col("observation_id"))).otherwise(F.col("selected")), "used_bytes": F.col("used_bytes") + F.when(fits, size).otherwise(0),
+    })
+    return finished, going.select(*state.columns)
+
+
+def run_loop(cases: DataFrame, evidence: DataFrame, rounds: int, checkpoints: DataFrame | None = None) -> DataFrame:
     """All cases through observe, analyze, decide and act, a step for all of them at once; at most `rounds` observations each.
 
-    cases: case_id, allowlist (array of action_type, observation_id, bytes), max_observations, max_bytes, max_elapsed_seconds, max_retries. evidence: case_id, selected_key (ids of the
-    observations seen, sorted and comma-joined), and the facts of snapshot(). A request beyond the byte budget is refused, and a refusal abstains.
-    Returns one row a case with the outcome, selected, used_bytes, used_retries and transitions (number of state changes).
+    cases: case_id, allowlist (array of action_type, observation_id, bytes and, if time counts, seconds), max_observations, max_bytes, max_elapsed_seconds, max_retries. evidence: case_id, selected_key (ids of the
+    observations seen, sorted and comma-joined), and the facts of snapshot(). A refusal (see advance()) abstains. checkpoints: cases go on from these.
+    Returns one row a case with the outcome, selected, used_bytes, used_retries, used_elapsed_seconds and transitions (number of state changes).
     """
-    facts = ["reason_codes", "component_count", "candidate_region_count", "usable_observation_count", "persistence_count", "persistence_confidence"]
-    empty = {"reason_codes": F.array().cast("array<string>"), "component_count": F.lit(0).cast("long"), "candidate_region_count": F.lit(0).cast("long"), "usable_observation_count": F.lit(0), "persistence_count": F.lit(0), "persistence_confidence": F.lit(0.0)}
-    state = cases.withColumns({"selected": F.array().cast("array<string>"), "used_bytes": F.lit(0).cast("long"), "used_retries": F.lit(0), "used_elapsed_seconds": F.lit(0.0), "last_accepted": F.lit(None).cast("boolean"), "transitions": F.lit(0)})
+    state = started(cases) if checkpoints is None else resumed(cases, checkpoints)
     done = None
-    e = evidence.select(F.col("case_id").alias("_case"), F.col("selected_key").alias("_key"), *[F.col(c).alias(f"_{c}") for c in facts])
-    keep = state.columns
-    for turn in range(rounds + 2):
-        known = state.join(e, (F.col("case_id") == F.col("_case")) & (F.array_join(F.array_sort("selected"), ",") == F.col("_key")), "left")
-        known = known.withColumns({c: F.coalesce(f"_{c}", d) for c, d in empty.items()} | {"used_observations": F.size("selected"), "budget_exhausted": F.lit(False)})
-        open_ = F.transform(F.filter("allowlist", lambda a: ~F.array_contains(F.col("selected"), a["observation_id"])), lambda a: F.struct(a["action_type"].alias("action_type"), a["observation_id"].alias("observation_id")))
-        # each round is written, so a round is computed once and the plan stays as long as one round
-        chosen = written(decide(known.withColumn("available", open_)), "loop-round")
-        ends = F.col("action_type").isin(*checks.TERMINAL_ACTIONS)
-        # observe (and analyze, if there is evidence), decide, act
-        steps = F.col("transitions") + F.when(F.col("last_accepted") == F.lit(False), 0).otherwise(F.when(F.size("selected") > 0, 2).otherwise(1)) + 2
-        finished = terminal(chosen.where(ends).withColumn("transitions", steps)).select("case_id", "outcome", "outcome_reasons", "outcome_confidence", "final_state", "explanation", "rule", "selected", "used_bytes", "used_retries", "transitions")
+    for _ in range(rounds + 2):
+        finished, state = advance(state, evidence)
         done = finished if done is None else done.unionByName(finished)
-        if turn > rounds or chosen.where(~ends).isEmpty():
+        if state.isEmpty():
             break
-        size = F.coalesce(F.element_at(F.filter("allowlist", lambda a: a["observation_id"] == F.col("observation_id")), 1)["bytes"], F.lit(0))
-        fits = F.col("used_bytes") + size <= F.col("max_bytes")
-        going = chosen.where(~ends).withColumn("transitions", steps)
-        state = going.withColumns({
-            "used_retries": F.col("used_retries") + F.when(F.col("rule") == "poor_quality_retry", 1).otherwise(0), "last_accepted": fits,
-            "selected": F.when(fits, F.array_append("selected", F.col("observation_id"))).otherwise(F.col("selected")), "used_bytes": F.col("used_bytes") + F.when(fits, size).otherwise(0),
-        }).select(*keep)
     return done
