@@ -243,3 +243,25 @@ def test_equalization_fills_with_the_rounded_median_and_takes_parameters(spark):
     for wrong in ((0.0, (2, 2)), (1.0, (0, 2))):
         with pytest.raises(ValueError):
             stencil.equalized(v, *wrong)
+
+
+def test_stack_labels_are_the_flood_fill():
+    rng = np.random.default_rng(11)
+    spiral = np.zeros((15, 15), dtype=bool)
+    for k in range(0, 7, 2):
+        spiral[k, k : 15 - k] = spiral[k : 15 - k, 14 - k] = spiral[14 - k, k : 15 - k] = True
+        spiral[k + 2 : 15 - k, k] = True
+        spiral[k + 2, k : k + 3] = True
+    masks = np.stack([spiral, np.zeros_like(spiral), np.ones_like(spiral), *(rng.random((40, 15, 15)) < rng.random((40, 1, 1)))])
+    for mask, found in zip(masks, stencil.stack_labels(masks), strict=True):
+        want, n = np.zeros(mask.shape, dtype=int), 0
+        for r, c in np.argwhere(mask):
+            if not want[r, c]:
+                n += 1
+                todo = [(r, c)]
+                while todo:
+                    y, x = todo.pop()
+                    if 0 <= y < 15 and 0 <= x < 15 and mask[y, x] and not want[y, x]:
+                        want[y, x] = n
+                        todo += [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        assert (found == want).all()

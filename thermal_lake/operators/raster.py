@@ -225,34 +225,50 @@ def _plane(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return values.to_numpy(zero_copy_only=False).astype(kind), at[: len(lists) + 1] - at[0]
 
 
-def over_tiles(df: DataFrame, schema: str, kernel: Callable[[dict, dict], list[dict]], keys: list[str], planes: list[str]) -> DataFrame:
-    """Rows that kernel(keys, planes as 2-D arrays) makes of each tile, in Arrow batches of tiles."""
+def over_stacks(df: DataFrame, schema: str, kernel: Callable[[dict, dict], list[dict] | dict], keys: list[str], planes: list[str]) -> DataFrame:
+    """Rows that kernel(keys, planes) makes of all tiles of one shape in an Arrow batch: keys are lists, planes stacks of tiles; it returns rows, or columns as arrays (null: NaN)."""
     out = to_arrow_schema(StructType.fromDDL(schema))
     ship(df.sparkSession)
 
+    def column(values, kind: pa.DataType) -> pa.Array:
+        return pa.array(values, kind, mask=np.isnan(values)) if isinstance(values, np.ndarray) and values.dtype.kind == "f" else pa.array(values, kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            column = lambda n, names=names, batch=batch: batch.column(names.index(n))
-            heads = [column(n).to_pylist() for n in (*keys, "height", "width")]
-            flat = {p: _plane(column(p)) for p in planes}
-            found: list[dict] = []
-            for i in range(batch.num_rows):
-                shape = (heads[-2][i], heads[-1][i])
-                found += kernel({k: heads[j][i] for j, k in enumerate(keys)}, {p: v[at[i] : at[i + 1]].reshape(shape) for p, (v, at) in flat.items()})
-            yield pa.RecordBatch.from_pylist(found, schema=out)
+            part = lambda n, names=names, batch=batch: batch.column(names.index(n))
+            heads = {n: part(n).to_pylist() for n in keys}
+            shapes = list(zip(part("height").to_pylist(), part("width").to_pylist(), strict=True))
+            flat = {p: _plane(part(p)) for p in planes}
+            for shape in dict.fromkeys(shapes):
+                at = [i for i, x in enumerate(shapes) if x == shape]
+                stacks = {p: np.stack([v[o[i] : o[i + 1]].reshape(shape) for i in at]) for p, (v, o) in flat.items()}
+                found = kernel({k: [v[i] for i in at] for k, v in heads.items()}, stacks)
+                yield pa.RecordBatch.from_pylist(found, schema=out) if isinstance(found, list) else pa.record_batch([column(found[f.name], f.type) for f in out], schema=out)
 
     return df.select(*keys, "height", "width", *planes).mapInArrow(run, schema)
 
 
+def pixel_columns(keys: dict, shape: tuple[int, int, int]) -> dict:
+    """The keys, row and col of every pixel of a stack."""
+    n, h, w = shape
+    return {k: np.repeat(v, h * w) for k, v in keys.items()} | {"row": np.tile(np.repeat(np.arange(h), w), n), "col": np.tile(np.arange(w), n * h)}
+
+
+def one_by_one(keys: dict, *stacks) -> Iterator[tuple]:
+    """The keys and the tiles of each place in the stacks."""
+    for i, values in enumerate(zip(*keys.values(), strict=True)):
+        yield dict(zip(keys, values, strict=True)), *(x[i] for x in stacks)
+
+
 def anomaly_masks(valid: np.ndarray, v7: np.ndarray, v14: np.ndarray, p: checks.Anomaly) -> dict[str, np.ndarray]:
-    """Contrast, difference and the masks of one frame before the quality gate."""
-    contrast = stencil.local_contrast(v7[None], valid[None], p.background_kernel)[0]
+    """Contrast, difference and the masks of a stack of frames before the quality gate."""
+    contrast = stencil.local_contrast(v7, valid, p.background_kernel)
     diff = np.where(valid, (v7.astype(np.float32) - v14.astype(np.float32)).astype(float), np.nan)
     above = lambda x, limit: np.nan_to_num(x, nan=-np.inf) > limit
     local, band = above(contrast, p.minimum_contrast), above(diff, p.minimum_difference)
     raw = local & band & valid
-    return {"contrast": contrast, "difference": diff, "local": local, "band": band, "raw": raw, "morphology": stencil.open_close(raw[None], p.morphology_kernel)[0] & valid}
+    return {"contrast": contrast, "difference": diff, "local": local, "band": band, "raw": raw, "morphology": stencil.open_close(raw, p.morphology_kernel) & valid}
 
 
 ANOMALY_PLANES = ["v7", "v14", "ok"]
@@ -270,12 +286,11 @@ def anomaly_tiles(pixels: DataFrame) -> DataFrame:
 def anomaly_pixels(frames: DataFrame, p: checks.Anomaly = checks.Anomaly()) -> DataFrame:  # noqa: B008
     """Pixel rows of every plane and mask, ungated."""
 
-    def kernel(keys: dict, planes: dict) -> list[dict]:
+    def kernel(keys: dict, planes: dict) -> dict:
         m = anomaly_masks(planes["ok"], planes["v7"], planes["v14"], p)
-        value = lambda x: None if np.isnan(x) else float(x)
-        return [keys | {"row": r, "col": c, "contrast": value(m["contrast"][r, c]), "difference": value(m["difference"][r, c])} | {k: bool(m[k][r, c]) for k in ("local", "band", "raw", "morphology")} for r in range(m["raw"].shape[0]) for c in range(m["raw"].shape[1])]
+        return pixel_columns(keys, m["raw"].shape) | {k: v.ravel() for k, v in m.items()}
 
-    return over_tiles(frames, MASK_SCHEMA, kernel, [FRAME], ANOMALY_PLANES)
+    return over_stacks(frames, MASK_SCHEMA, kernel, [FRAME], ANOMALY_PLANES)
 
 
 def anomaly_components(frames: DataFrame, p: checks.Anomaly = checks.Anomaly()) -> DataFrame:  # noqa: B008
@@ -283,21 +298,23 @@ def anomaly_components(frames: DataFrame, p: checks.Anomaly = checks.Anomaly())
 
     def kernel(keys: dict, planes: dict) -> list[dict]:
         m = anomaly_masks(planes["ok"], planes["v7"], planes["v14"], p)
-        found = stencil.labels(m["morphology"])
-        rows = stencil.component_rows(found, {"contrast": m["contrast"], "difference": m["difference"]})
-        return [keys | r | {"touches_edge": r["edge_distance"] == 0, "kept": r["area"] >= p.minimum_area and r["edge_distance"] >= p.minimum_edge_distance, "cells": np.flatnonzero(found == r["label"]).tolist()} for r in rows]
+        out = []
+        for head, found, contrast, difference in one_by_one(keys, stencil.stack_labels(m["morphology"]), m["contrast"], m["difference"]):
+            rows = stencil.component_rows(found, {"contrast": contrast, "difference": difference})
+            out += [head | r | {"touches_edge": r["edge_distance"] == 0, "kept": r["area"] >= p.minimum_area and r["edge_distance"] >= p.minimum_edge_distance, "cells": np.flatnonzero(found == r["label"]).tolist()} for r in rows]
+        return out
 
-    return over_tiles(frames, COMPONENT_SCHEMA, kernel, [FRAME], ANOMALY_PLANES)
+    return over_stacks(frames, COMPONENT_SCHEMA, kernel, [FRAME], ANOMALY_PLANES)
 
 
 def resized(frames: DataFrame, plane: str, shape: tuple[int, int], least: float = 0.5) -> DataFrame:
     """Pixel rows of the plane at another size; a value is null where too little valid area supports it."""
 
-    def kernel(keys: dict, planes: dict) -> list[dict]:
-        value, bad = stencil.resize(planes[plane][None], planes["ok"][None], shape, least)
-        return [keys | {"row": r, "col": c, "value": None if bad[0, r, c] else float(value[0, r, c])} for r in range(shape[0]) for c in range(shape[1])]
+    def kernel(keys: dict, planes: dict) -> dict:
+        value, bad = stencil.resize(planes[plane], planes["ok"], shape, least)
+        return pixel_columns(keys, value.shape) | {"value": np.where(bad, np.nan, value).ravel()}
 
-    return over_tiles(frames, "frame_id long, row int, col int, value double", kernel, [FRAME], [plane, "ok"])
+    return over_stacks(frames, "frame_id long, row int, col int, value double", kernel, [FRAME], [plane, "ok"])
 
 
 def contour_rows(frames: DataFrame, p: checks.Anomaly = checks.Anomaly()) -> DataFrame:  # noqa: B008
@@ -305,34 +322,36 @@ def contour_rows(frames: DataFrame, p: checks.Anomaly = checks.Anomaly()) -> Dat
 
     def kernel(keys: dict, planes: dict) -> list[dict]:
         m = anomaly_masks(planes["ok"], planes["v7"], planes["v14"], p)
-        found = stencil.labels(m["morphology"])
-        kept = np.zeros_like(m["morphology"])
-        for r in stencil.component_rows(found, {}):
-            if r["area"] >= p.minimum_area and r["edge_distance"] >= p.minimum_edge_distance:
-                kept |= found == r["label"]
-        return [keys | {"place": i, "points": [{"x": x, "y": y} for x, y in c]} for i, c in enumerate(stencil.contours(kept))]
+        out = []
+        for head, found in one_by_one(keys, stencil.stack_labels(m["morphology"])):
+            kept = [r["label"] for r in stencil.component_rows(found, {}) if r["area"] >= p.minimum_area and r["edge_distance"] >= p.minimum_edge_distance]
+            out += [head | {"place": i, "points": [{"x": x, "y": y} for x, y in c]} for i, c in enumerate(stencil.contours(np.isin(found, kept)))]
+        return out
 
-    return over_tiles(frames, "frame_id long, place int, points array<struct<x: int, y: int>>", kernel, [FRAME], ANOMALY_PLANES)
+    return over_stacks(frames, "frame_id long, place int, points array<struct<x: int, y: int>>", kernel, [FRAME], ANOMALY_PLANES)
 
 
 def equalized_display(displays: DataFrame, clip: float = 2.0, grid: tuple[int, int] = (8, 8)) -> DataFrame:
     """Tiles of display (0..255) and ok to equalized pixel rows; invalid pixels take the median of the valid ones (rounded, halves to even) and return as 0."""
 
-    def kernel(keys: dict, planes: dict) -> list[dict]:
-        v, ok = planes["display"], planes["ok"]
-        filled = np.where(ok, v, np.rint(np.median(v[ok])) if ok.any() else 0).astype(np.uint8)
-        out = np.where(ok, stencil.equalized(filled, clip, grid), 0)
-        return [keys | {"row": r, "col": c, "display": int(out[r, c])} for r in range(out.shape[0]) for c in range(out.shape[1])]
+    def kernel(keys: dict, planes: dict) -> dict:
+        out = []
+        for v, ok in zip(planes["display"], planes["ok"], strict=True):
+            filled = np.where(ok, v, np.rint(np.median(v[ok])) if ok.any() else 0).astype(np.uint8)
+            out.append(np.where(ok, stencil.equalized(filled, clip, grid), 0))
+        return pixel_columns(keys, planes["ok"].shape) | {"display": np.stack(out).astype(np.int32).ravel()}
 
-    return over_tiles(displays, "frame_id long, row int, col int, display int", kernel, [FRAME], ["display", "ok"])
+    return over_stacks(displays, "frame_id long, row int, col int, display int", kernel, [FRAME], ["display", "ok"])
 
 
 def slice_components(frames: DataFrame, limit: float, kernel_pixels: int = 3, least: int = 1) -> DataFrame:
     """The single-band slice: threshold, morphology, components of v7."""
 
     def kernel(keys: dict, planes: dict) -> list[dict]:
-        mask = planes["ok"] & (np.nan_to_num(planes["v7"], nan=-np.inf) > limit)
-        found = stencil.labels(stencil.open_close(mask[None], kernel_pixels)[0])
-        return [keys | {k: r[k] for k in ("label", "area", "box_x", "box_y", "box_width", "box_height", "centroid_x", "centroid_y", "mean_v7", "max_v7")} for r in stencil.component_rows(found, {"v7": planes["v7"]}) if r["area"] >= least]
+        masks = planes["ok"] & (np.nan_to_num(planes["v7"], nan=-np.inf) > limit)
+        out = []
+        for head, found, v7 in one_by_one(keys, stencil.stack_labels(stencil.open_close(masks, kernel_pixels)), planes["v7"]):
+            out += [head | {k: r[k] for k in ("label", "area", "box_x", "box_y", "box_width", "box_height", "centroid_x", "centroid_y", "mean_v7", "max_v7")} for r in stencil.component_rows(found, {"v7": v7}) if r["area"] >= least]
+        return out
 
-    return over_tiles(frames, "frame_id long, label int, area int, box_x int, box_y int, box_width int, box_height int, centroid_x double, centroid_y double, mean_v7 double, max_v7 double", kernel, [FRAME], ["v7", "ok"])
+    return over_stacks(frames, "frame_id long, label int, area int, box_x int, box_y int, box_width int, box_height int, centroid_x double, centroid_y double, mean_v7 double, max_v7 double", kernel, [FRAME], ["v7", "ok"])

@@ -100,25 +100,37 @@ def resize(values: np.ndarray, valid: np.ndarray, shape: tuple[int, int], least:
     return np.where(invalid, np.nan, out), invalid
 
 
+def stack_labels(masks: np.ndarray) -> np.ndarray:
+    """8-connected components of each tile of a stack, numbered from 1 by their first pixel in raster order.
+
+    Every pixel points to the least pixel around it, then to what that one points to, until nothing changes: all tiles at once, in about as many rounds as the logarithm of the longest way.
+    """
+    n, h, w = masks.shape
+    place = np.arange(masks.size).reshape(masks.shape)
+    none = masks.size
+    point = np.where(masks, place, none)
+    while masks.any():
+        wide = np.full((n, h + 2, w + 2), none)
+        wide[:, 1:-1, 1:-1] = point
+        least = np.minimum(np.minimum(wide[:, :, :-2], wide[:, :, 1:-1]), wide[:, :, 2:])
+        least = np.minimum(np.minimum(least[:, :-2], least[:, 1:-1]), least[:, 2:])
+        new = np.where(masks, least, none)
+        # what is pointed to takes the least of those that point to it, so a whole component follows its best member
+        flat, old = np.append(new.ravel(), none), point.ravel()
+        np.minimum.at(flat, old[masks.ravel()], new.ravel()[masks.ravel()])
+        flat[none] = none
+        new = np.where(masks, flat[flat[:none]].reshape(masks.shape), none)
+        if (new == point).all():
+            break
+        point = new
+    root = masks & (point == place)
+    number = np.append(np.cumsum(root.reshape(n, -1), axis=1).ravel(), 0)
+    return np.where(masks, number[point], 0).astype(np.int32)
+
+
 def labels(mask: np.ndarray) -> np.ndarray:
-    """8-connected components of one tile, numbered from 1 by their first pixel in raster order."""
-    h, w = mask.shape
-    out = np.zeros((h, w), dtype=np.int32)
-    n = 0
-    for r, c in np.argwhere(mask):
-        if out[r, c]:
-            continue
-        n += 1
-        out[r, c] = n
-        todo = [(r, c)]
-        while todo:
-            y, x = todo.pop()
-            for yy in range(max(0, y - 1), min(h, y + 2)):
-                for xx in range(max(0, x - 1), min(w, x + 2)):
-                    if mask[yy, xx] and not out[yy, xx]:
-                        out[yy, xx] = n
-                        todo.append((yy, xx))
-    return out
+    """Components of one tile."""
+    return stack_labels(mask[None])[0]
 
 
 def edge_proximity(distance: int, shape: tuple[int, int]) -> float:
