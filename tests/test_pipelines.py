@@ -41,6 +41,28 @@ def test_evidence_job(spark):
     assert {r["case_id"]: r["content_hash"] for r in again} == {r["case_id"]: r["content_hash"] for r in job.packets.collect()}
 
 
+def test_evidence_job_on_other_grids(spark):
+    """The second frame's grid stands three columns further east, so the same hot place has other columns; its companion band has a grid of half a pixel further."""
+    p = frames(spark, {1: (3, 5), 2: (3, 2), 5: (3, 5)})
+    east = F.when(F.col("frame_id") == 2, 0.03).when(F.col("frame_id") == 5, 50.0).otherwise(0.0)
+    p = p.withColumn("lon", F.col("lon") + east)
+    companion = p.select("frame_id", "row", "col", "v14", "invalid", (F.col("lat") + 0.004).alias("lat"), (F.col("lon") + 0.003).alias("lon"))
+    steps = spark.createDataFrame([(10, 0, 1), (10, 1, 2), (20, 0, 1), (20, 1, 5), (30, 0, 1), (30, 1, 1)], "case_id long, step int, frame_id long")
+    plain = {r["case_id"]: r for r in pipelines.evidence_job(p, steps).persistence.collect()}
+    job = pipelines.evidence_job(p.drop("v14"), steps, companion=companion, align=True)
+    found = {r["case_id"]: r for r in job.persistence.collect()}
+    assert found[10]["mean_iou"] == 1.0 > plain[10]["mean_iou"]
+    assert found[30]["mean_iou"] == plain[30]["mean_iou"] == 1.0
+    out = {r["case_id"]: r for r in pipelines.outcomes(job.packets).collect()}
+    assert (out[10]["outcome"], out[30]["outcome"]) == ("review_escalation", "review_escalation")
+    assert (out[20]["outcome"], "alignment_failed" in out[20]["reason_codes"]) == ("insufficient_evidence", True)
+    near = pipelines.with_companion(p.drop("v14"), companion.where("col < 6"), 0.6)
+    bad = {(r["col"], r["invalid_companion"]) for r in near.where("frame_id = 1").select("col", "invalid_companion").distinct().collect()}
+    assert {c for c, x in bad if not x} == set(range(6))
+    cropped = pipelines.evidence_job(p, steps, window=(1, 11, 1, 12)).components.where("frame_id = 1").first()
+    assert (cropped["box_y"], cropped["box_x"]) == (2, 4)
+
+
 @pytest.fixture(scope="module")
 def inputs(spark):
     """Daily events at one place, a window near each and a control window half a degree away on another day without a detection."""

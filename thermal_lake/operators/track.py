@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from thermal_lake.functions import checks, geo
 from thermal_lake.shipping import ship
@@ -73,6 +75,46 @@ def regrid_pixels(sources: DataFrame, targets: DataFrame, by: str, km: float) ->
     return targets.join(best, [by, "target"], "left").select(by, "target", F.when(F.col("b.valid"), F.col("b.value")).alias("value"), F.coalesce("b.valid", F.lit(False)).alias("valid"))
 
 
+ALIGNED = "case_id long, step int, label int, area int, lat double, lon double, temperature double, cells array<int>, mapped long"
+
+
+def aligned_regions(frames: DataFrame, tiles: DataFrame, km: float = 5.0) -> DataFrame:
+    """Regions of every frame on the grid of its case's first frame: case_id, step, label, area, lat, lon, temperature, cells (raster indices there), mapped.
+
+    frames: case_id, step, frame_id (null: missing); tiles: frame_id, height, width, and lat, lon, v7, ok, mask as arrays. Each place of the first frame's grid takes the nearest geolocated pixel of a frame within km; if that is
+    valid, its mask and temperature. Regions are the components of what is then masked, so frames on different grids compare. A frame of which no place is mapped gives one row without a label. One frame is one kernel call.
+    """
+    from thermal_lake.operators import stencil
+
+    ship(frames.sparkSession)
+    have = frames.where("frame_id IS NOT NULL")
+    first = have.groupBy("case_id").agg(F.min_by("frame_id", "step").alias("_first"))
+    grid = tiles.select(F.col("frame_id").alias("_first"), F.col("height").alias("th"), F.col("width").alias("tw"), F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))
+    schema = to_arrow_schema(StructType.fromDDL(ALIGNED))
+    joined = have.join(tiles.select("frame_id", "lat", "lon", "v7", "ok", "mask"), "frame_id").join(first, "case_id").join(grid, "_first")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                a = lambda c, r=r: np.array([np.nan if x is None else x for x in r[c]], dtype=float)
+                tlat, tlon = a("tlat"), a("tlon")
+                at = nearest_source(a("lat"), a("lon"), tlat, tlon, km)
+                good = (at >= 0) & np.array(r["ok"], dtype=bool)[at]
+                mask = good & np.array(r["mask"], dtype=bool)[at]
+                value = np.where(good, a("v7")[at], np.nan)
+                found = stencil.labels(mask.reshape(r["th"], r["tw"])).ravel()
+                head = {"case_id": r["case_id"], "step": r["step"], "mapped": int((at >= 0).sum())}
+                if not head["mapped"]:
+                    out.append(head | {"label": None, "area": None, "lat": None, "lon": None, "temperature": None, "cells": None})
+                for label in range(1, int(found.max(initial=0)) + 1):
+                    cells = np.flatnonzero(found == label)
+                    out.append(head | {"label": label, "area": len(cells), "lat": float(tlat[cells].mean()), "lon": float(tlon[cells].mean()), "temperature": float(value[cells].mean()), "cells": cells.tolist()})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return joined.select("case_id", "step", "lat", "lon", "v7", "ok", "mask", "th", "tw", "tlat", "tlon").mapInArrow(run, ALIGNED)
+
+
 def overlaps(cells: DataFrame) -> DataFrame:
     """Regions of consecutive steps that share pixels: case_id, step (the earlier), earlier, later, shared, iou. cells: case_id, step, label, cell."""
     sizes = cells.groupBy("case_id", "step", "label").agg(F.count("*").alias("n"))

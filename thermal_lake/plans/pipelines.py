@@ -30,11 +30,33 @@ class Evidence:
     packets: DataFrame
 
 
-def evidence_job(pixels: DataFrame, steps: DataFrame, anomaly: checks.Anomaly = checks.Anomaly(), persistence: checks.Persistence = checks.Persistence()) -> Evidence:  # noqa: B008
+def with_companion(pixels: DataFrame, companion: DataFrame, km: float) -> DataFrame:
+    """Pixels (frame_id, row, col, v7, invalid, lat, lon) with v14 of the nearest companion pixel (frame_id, row, col, v14, invalid, lat, lon) within km; where there is none, or it is invalid, invalid_companion holds.
+
+    The two bands have grids of their own; pixel rows meet by cells of the sphere, whatever the size of a frame.
+    """
+    place = lambda df: F.shiftleft(F.col("row").cast("long"), 32).bitwiseOR(F.col("col").cast("long"))
+    s = companion.select("frame_id", place(companion).alias("source"), "lat", "lon", F.col("v14").cast("double").alias("value"), (~F.col("invalid")).alias("valid"))
+    t = pixels.withColumn("target", place(pixels))
+    found = track.regrid_pixels(s, t.select("frame_id", "target", "lat", "lon"), "frame_id", km).select("frame_id", "target", F.col("value").cast("float").alias("v14"), (~F.col("valid")).alias("invalid_companion"))
+    return t.drop("v14").join(found, ["frame_id", "target"]).drop("target")
+
+
+def evidence_job(
+    pixels: DataFrame, steps: DataFrame, anomaly: checks.Anomaly = checks.Anomaly(), persistence: checks.Persistence = checks.Persistence(),  # noqa: B008
+    companion: DataFrame | None = None, window: tuple[int, int, int, int] | None = None, align: bool = False,
+) -> Evidence:
     """All cases as one lazy plan. pixels: frame_id, row, col, v7, v14, invalid, lat, lon; steps: case_id, step, frame_id (null: the frame is missing).
 
-    Each distinct frame is worked on once, however many cases use it.
+    Each distinct frame is worked on once, however many cases use it. window (row and column ranges, half open) crops frames at the scan. companion: the other band's pixels, on grids of their own; each pixel takes the nearest one's
+    v14. align: regions of a case's frames are compared on the grid of its first frame (frames of one case are on different grids); a frame of which nothing is near that grid makes the case's alignment fail.
     """
+    if window is not None:
+        pixels = raster.crop(pixels, *window)
+        pixels = pixels.withColumns({"row": F.col("row") - window[0], "col": F.col("col") - window[2]})
+    if companion is not None:
+        pixels = with_companion(pixels, companion, persistence.maximum_resample_km)
+        pixels = pixels.withColumn("invalid", F.col("invalid") | F.col("invalid_companion"))
     q7 = raster.quality_reason(raster.frame_quality(pixels, "v7")).select("frame_id", F.col("reason").alias("r7"), "quality_score")
     q14 = raster.quality_reason(raster.frame_quality(pixels, "v14")).select("frame_id", F.col("reason").alias("r14"))
     quality = q7.join(q14, "frame_id").withColumn("reason_codes", F.array_distinct(F.array_compact(F.array("r7", "r14"))))
@@ -44,7 +66,14 @@ def evidence_job(pixels: DataFrame, steps: DataFrame, anomaly: checks.Anomaly =
     place = pixels.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("row", "col", "lat", "lon", "v7"))).alias("p"))
     mean = lambda field: F.aggregate(F.transform("cells", lambda c: F.get("p", c)[field].cast("double")), F.lit(0.0), lambda a, x: a + x) / F.size("cells")
     located = found.join(place, "frame_id").withColumns({"lat": mean("lat"), "lon": mean("lon"), "temperature": mean("v7")}).drop("p")
-    regions = steps.where("frame_id IS NOT NULL").join(located, "frame_id")
+    regions, failed = steps.where("frame_id IS NOT NULL").join(located, "frame_id"), None
+    if align:
+        marked = found.select("frame_id", F.explode("cells").alias("cell")).groupBy("frame_id").agg(F.collect_set("cell").alias("marked"))
+        tiles = raster.tiles(pixels.withColumn("ok", ~F.col("invalid") & raster.finite(F.col("v7"))), ["lat", "lon", "v7", "ok"], ["frame_id"]).join(marked, "frame_id", "left")
+        tiles = tiles.withColumn("mask", F.transform("ok", lambda x, i: F.coalesce(F.array_contains("marked", i), F.lit(False))))
+        regions = track.aligned_regions(steps, tiles, persistence.maximum_resample_km)
+        failed = regions.where("mapped = 0").select("case_id").distinct().withColumn("alignment_failed", F.lit(True))
+        regions = regions.where("label IS NOT NULL")
     marks = steps.select("case_id", "step", F.col("frame_id").isNull().alias("missing"))
     tracks = track.tracks(marks, regions, persistence)
     summary = track.persistence(marks, tracks)
@@ -52,8 +81,12 @@ def evidence_job(pixels: DataFrame, steps: DataFrame, anomaly: checks.Anomaly =
     seen = steps.where("frame_id IS NOT NULL").join(quality.select("frame_id", "reason_codes"), "frame_id").join(per, "frame_id", "left")
     observation = F.struct("step", "reason_codes", F.coalesce("component_count", F.lit(0)).cast("long").alias("component_count"), F.coalesce("candidate_pixels", F.lit(0)).cast("long").alias("candidate_pixels"))
     packets = seen.groupBy("case_id").agg(F.array_sort(F.collect_list(observation)).alias("observations"))
-    wanted = F.struct(F.col("persistence_count").alias("count"), F.col("confidence"), F.array().cast("array<string>").alias("reason_codes"))
+    bad = F.col("alignment_failed").isNotNull()
+    summary = summary.join(failed, "case_id", "left") if failed is not None else summary.withColumn("alignment_failed", F.lit(None).cast("boolean"))
+    none = F.array().cast("array<string>")
+    wanted = F.struct(F.col("persistence_count").alias("count"), F.col("confidence"), F.when(bad, F.array(F.lit("alignment_failed"))).otherwise(none).alias("reason_codes"))
     packets = packets.join(summary.select("case_id", wanted.alias("persistence")), "case_id")
+    summary = summary.drop("alignment_failed")
     packets = packets.withColumn("content_hash", F.sha2(F.to_json(F.struct("observations", "persistence")), 256))
     return Evidence(quality, found, tracks, summary, packets)
 
