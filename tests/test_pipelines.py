@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thermal_lake.functions import checks
-from thermal_lake.plans import pipelines
+from thermal_lake.plans import evaluation, pipelines
 
 ROOT = Path(__file__).parents[1]
 T0 = dt.datetime(2025, 1, 1, 12)
@@ -63,6 +63,54 @@ def test_evidence_job_on_other_grids(spark):
     assert (cropped["box_y"], cropped["box_x"]) == (2, 4)
 
 
+@pytest.fixture(scope="module")
+def evaluated(spark):
+    """Cases of four sources: a hot place that stays, one that comes later, none, and one whose sources are gone in part."""
+    p = frames(spark, {1: (3, 3), 2: (3, 3), 3: (3, 3), 11: (50, 50), 12: (50, 50), 13: (3, 3), 21: (50, 50), 22: (50, 50), 23: (50, 50)})
+    rows = [(c, role, f, 100 + i) for c, fs in (("hot", (1, 2, 3)), ("late", (11, 12, 13)), ("cold", (21, 22, 23)), ("gone", (1, 2, 99))) for i, (role, f) in enumerate(zip(("baseline", "initial", "later", "alternate"), (*fs, fs[1]), strict=True))]
+    cases = spark.createDataFrame(rows + [("bare", "initial", 1, 5)], "case_id string, role string, source_id long, size_bytes long")
+    labels = spark.createDataFrame([("hot", "test", "positive"), ("late", "test", "positive"), ("cold", "stress", "control"), ("gone", "stress", "positive"), ("bare", "test", "control")], "case_id string, split string, label string")
+    return cases, labels, p, evaluation.evaluate_frozen(cases.where("case_id <> 'bare'"), labels, p)
+
+
+def test_baselines_keep_failures_to_their_case(spark, evaluated):
+    cases, _, p, _ = evaluated
+    r = {(x["mode"], x["case_id"]): x for x in evaluation.baselines(cases, p).collect()}
+    assert len(r) == 10
+    assert r["fixed_bundle", "hot"]["outcome"] == "review_escalation"
+    assert (r["fixed_bundle", "hot"]["observation_count"], r["fixed_bundle", "hot"]["selected_source_bytes"], r["fixed_bundle", "hot"]["error_count"]) == (4, 406, 0)
+    assert (r["fixed_bundle", "gone"]["outcome"], r["fixed_bundle", "gone"]["errors"], r["fixed_bundle", "gone"]["prediction"]) == ("failed", ["source_missing: later"], None)
+    assert r["one_shot", "gone"]["error_count"] == 0
+    assert r["one_shot", "bare"]["errors"] == ["source_missing: alternate"]
+    assert r["fixed_bundle", "bare"]["error_count"] == 3
+    assert r["fixed_bundle", "cold"]["prediction"] == "control"
+
+
+def test_three_modes_are_sealed_and_verified(spark, evaluated):
+    cases, labels, p, e = evaluated
+    cases = cases.where("case_id <> 'bare'")
+    rows = {(x["mode"], x["case_id"]): x for x in e.rows.collect()}
+    assert len(rows) == 12
+    assert rows["adaptive", "hot"]["observation_count"] >= 2
+    assert rows["adaptive", "hot"]["prediction"] == "positive"
+    t = {(r["split"], r["mode"]): r for r in e.tables.collect()}
+    assert t["combined", "adaptive"]["case_count"] == 4
+    assert t["stress", "fixed_bundle"]["error_case_count"] == 1
+    holds = evaluation.report_problems(e.report, e.rows, e.tables, cases=cases, labels=labels, pixels=p)
+    assert holds == []
+    assert evaluation.report_problems(e.report | {"analysis_status": "after"}, e.rows, e.tables) == ["seal", "analysis_status"]
+    assert evaluation.report_problems(e.report, e.rows.limit(5), e.tables, labels=labels.limit(2)) == ["labels", "results"]
+    traces = e.rows.where("mode = 'adaptive'").select("split", "case_id", F.lit("complete").alias("status"))
+    found = evaluation.analysis(e.report, e.rows, e.tables, traces)
+    assert found["coverage"].count() == 0
+    assert evaluation.analysis_problems(found, e.rows, traces) == []
+    changed = found | {"claims": found["claims"].withColumn("claim", F.lit("all is well"))}
+    del changed["agent_value"]
+    assert evaluation.analysis_problems(changed, e.rows, traces) == ["agent_value", "claims"]
+    with pytest.raises(ValueError, match="results"):
+        evaluation.analysis(e.report, e.rows.limit(3), e.tables, traces)
+
+
 @pytest.fixture(scope="module")
 def inputs(spark):
     """Daily events at one place, a window near each and a control window half a degree away on another day without a detection."""
