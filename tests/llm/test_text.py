@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -110,6 +111,58 @@ def test_repeated_and_long_secrets_are_novel():
         assert secret_scan.novel_spans(f"the private key material {long} was left here", novelty, [])
 
 
+def identifiers_one_by_one(texts):
+    counts = Counter()
+    for t in texts:
+        for word in re.findall(r"[A-Za-z]+_[A-Za-z_]*|[a-z]+[A-Z][A-Za-z]*", t or ""):
+            counts.update(p.lower() for p in re.findall(r"[A-Z]?[a-z]{2,14}|[A-Z]{3,15}", word))
+    top = sorted(counts, key=lambda p: (-counts[p], p))[: secret_scan.PARTS]
+    return " ".join([*reversed(top), secret_scan.IDENTIFIERS])
+
+
+def novel_one_by_one(text, base, identifiers):
+    """Every candidate in its context, one coder at a time."""
+    taken = [(int(a), int(b)) for _, a, b in (x.split(":") for x in filter(None, base.split(",")))]
+    size = lambda primer, data: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(primer.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(data.encode()))
+    keyed = r"[A-Za-z0-9+/_=-]"
+    spans, new = [], set()
+    for m in re.finditer(rf"{keyed}{{8,}}(?:\.{keyed}{{8,}})+|{keyed}{{16,}}", text):
+        x, letters = m[0], re.sub(r"[^A-Za-z]", "", m[0])
+        changes = sum(a.isupper() != b.isupper() for a, b in itertools.pairwise(letters))
+        odd = len(letters) >= 16 and (re.search(r"(?i)[bcdfghjklmnpqrstvwxz]{5}", letters) or changes >= 0.4 * len(letters))
+        if any(a <= m.start() and m.end() <= b for a, b in taken) or not (odd or (letters and re.search(r"\d", x))):
+            continue
+        spans.append((m.start(), m.end(), x))
+        near = text[max(0, m.start() - 64) : m.start()]
+        if x in new or not re.search(r"(?i)passw|secret|token|api.?key|private|credential|auth|bearer|access|signature|key", near):
+            continue
+        after = text[m.end() : m.end() + 512 + len(x) - 1].replace(x, " " * len(x))[:512]
+        before = text[max(0, m.start() - 512) : m.start()]
+        per = (size(identifiers + after + before, before[-64:] + x) - size(identifiers + after + before, before[-64:])) / len(x)
+        bits = 6 if x not in (x.lower(), x.upper()) else 4 if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", x) else math.log2(36)
+        if per >= (0.6 if len(x) < 64 else 0.1 * bits):
+            new.add(x)
+    return [(a, "novel", b) for a, b, x in spans if x in new]
+
+
+def test_novel_spans_by_brute_force(spark, docs, tmp_path):
+    rng = random.Random(15)
+    key = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    small, big, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    planted = [f"the private key is {key(small + big, 33)} for now", f"bearer {key(small + big + digits, 20)}.{key(small + digits, 40)}.{key(big + small, 25)} sent", f"credential {key(small, 40)} here", "the access key getUserNameFromDatabase is a name", "a secret internationalizationstrategies word", "user_name client_secret privateKeyStore " * 5]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(10_000 + i, t) for i, t in enumerate(planted)]
+    got = {(r["doc_id"], r["base_spans"]): r["spans"] for r in secret_scan.scan_secrets(table(spark, tmp_path, rows, "doc_id long, text string")).collect()}
+    known = identifiers_one_by_one([t for _, t in rows])
+    assert "client" in known.removesuffix(secret_scan.IDENTIFIERS).split()
+    for i, t in rows:
+        base = plain_spans(t or "")
+        plain = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in filter(None, base.split(",")))]
+        assert got[i, base] == secret_scan.joined([*plain, *novel_one_by_one(t or "", base, known)])
+    found = {i: got[10_000 + i, plain_spans(t)] for i, t in enumerate(planted)}
+    assert [bool(found[i]) for i in range(6)] == [True, True, True, False, False, False]
+    assert found[1].count("novel") == 1
+
+
 def test_redaction_keeps_rows(spark, odd):
     with_secret = odd.withColumn("text", F.when(F.col("doc_id") == 8, "my token = abcdef012345").otherwise(F.col("text")))
     r = secret_scan.redact_texts(with_secret)
@@ -571,7 +624,7 @@ def test_pipeline_by_brute_force(spark, library):
     docs = [(i, t) for i, t in docs if i in kept]
     gone = {i for i, _ in leaks(docs, items)}
     assert gone
-    novelty = secret_scan.Novelty()
+    novelty = secret_scan.Novelty(identifiers_one_by_one([t for i, t in docs if i not in gone]))
     want = {}
     for i, t in docs:
         if i not in gone:

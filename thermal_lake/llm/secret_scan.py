@@ -1,14 +1,16 @@
-"""Secret scans (operator 9): fixed patterns, and strings that a primed zstandard coder finds new."""
+"""Secret scans (operator 9): fixed patterns, and strings that a zstandard coder finds new, primed with what surrounds them and with the identifiers of the corpus."""
 
 from __future__ import annotations
 
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from thermal_lake.llm.common import map_arrow, replace_arrow, unused
 
@@ -21,8 +23,10 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 HEX_DIGITS = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 KINDS = ("assign", "access", "hex", "novel")
 
-#: A candidate: a run of key-like characters, as long as this at least.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A candidate: a run of key-like characters, as long as this at least; several of them joined by dots are one.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}(?:\.[A-Za-z0-9+/_=-]{8,})+|[A-Za-z0-9+/_=-]{16,}")
+#: A candidate of letters alone doesn't read like words if it has as many consonants in a row, or as large a share of changes between upper and lower case.
+CONSONANTS, CHANGES = re.compile(r"[b-df-hj-np-tv-xz]{5}", re.I), 0.4
 #: Words that make what follows them sensitive, within so many characters.
 SENSITIVE = re.compile(r"passw|secret|token|api.?key|private|credential|auth|bearer|access|signature|key", re.A | re.I)
 CONTEXT = 64
@@ -32,7 +36,12 @@ AROUND = 512
 NOVELTY = 0.6
 #: Characters from which a candidate's alphabet counts: shorter ones take about a byte a character whatever they hold.
 LONG = 64
-#: Identifiers that prime the coder, as they stand in code.
+#: Identifiers of the corpus (with an underscore or a hump), the parts that are learnt of them, and how many of these prime the coder besides: the most frequent ones. Parts are shorter than any candidate, so no secret is learnt.
+IDENTIFIER, PART = re.compile(r"[A-Za-z]+_[A-Za-z_]*|[a-z]+[A-Z][A-Za-z]*"), re.compile(r"[A-Z]?[a-z]{2,14}|[A-Z]{3,15}")
+PARTS = 2000
+#: Distinct parts that a counting task holds before it hands on what it has.
+HELD = 300_000
+#: Identifiers that prime the coder whatever the corpus holds, as they stand in code.
 IDENTIFIERS = (
     "self return import from class def function const let var public private static final void int string boolean float double null None true false "
     "password passwd secret token api_key apikey access_key secret_key private_key client_secret client_id authorization bearer credential signature "
@@ -42,6 +51,30 @@ IDENTIFIERS = (
 )
 
 
+def parts_of(text: str) -> list[str]:
+    """The parts of a text's identifiers, in lower case."""
+    return [p.lower() for i in IDENTIFIER.findall(text) for p in PART.findall(i)]
+
+
+def learn_identifiers(df: DataFrame, text_col: str = "text", parts: int = PARTS) -> str:
+    """The dictionary that primes the coder: the most frequent parts of all texts' identifiers, frequent ones last, and IDENTIFIERS. What the driver gets is bounded by `parts`."""
+
+    def kernel(batches) -> Iterator[dict]:
+        held: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    held.update(parts_of(text))
+            if len(held) > HELD:
+                yield {"part": list(held), "n": list(held.values())}
+                held.clear()
+        yield {"part": list(held), "n": list(held.values())}
+
+    counts = map_arrow(df.select(df[text_col].alias("text")), "part string, n long", kernel).groupBy("part").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.desc("n"), "part").limit(parts).collect()
+    return " ".join([r["part"] for r in reversed(found)] + [IDENTIFIERS])
+
+
 class Novelty:
     """Marginal compressed bytes of a string after its surroundings, by a coder primed with identifiers."""
 
@@ -49,14 +82,18 @@ class Novelty:
         self.primer = identifiers.encode()
         self.level = level
 
-    def size(self, primer: bytes, data: bytes) -> int:
-        primed = zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        return len(zstandard.ZstdCompressor(level=self.level, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
-
     def __call__(self, before: str, candidate: str, after: str) -> float:
-        primer = self.primer + after.encode() + before.encode()
+        primed = zstandard.ZstdCompressionDict(self.primer + after.encode() + before.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        coder = zstandard.ZstdCompressor(level=self.level, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
         label = before[-CONTEXT:].encode()
-        return (self.size(primer, label + candidate.encode()) - self.size(primer, label)) / len(candidate)
+        return (len(coder.compress(label + candidate.encode())) - len(coder.compress(label))) / len(candidate)
+
+
+def unwordly(s: str) -> bool:
+    """Letters (and signs) that don't read like words."""
+    letters = "".join(c for c in s if c.isalpha())
+    changes = sum(a.isupper() != b.isupper() for a, b in zip(letters, letters[1:], strict=False))
+    return len(letters) >= 16 and (CONSONANTS.search(letters) is not None or changes >= CHANGES * len(letters))
 
 
 def mixed(s: str) -> bool:
@@ -94,8 +131,8 @@ def without_copies(text: str, at: int, copy: str) -> str:
 
 
 def novel_spans(text: str, novelty: Novelty, taken: list[tuple[int, str, int]], threshold: float = NOVELTY) -> list[tuple[int, str, int]]:
-    """Incompressible candidates after a sensitive word that no base span covers, and all copies of these. Copies after a candidate don't make it old, those before it do."""
-    found = [(*m.span(), m[0]) for m in CANDIDATE.finditer(text) if mixed(m[0]) and not any(a <= m.start() and m.end() <= b for a, _, b in taken)]
+    """Incompressible candidates after a sensitive word that no base span covers, and all copies of these. Copies after a candidate don't make it old, those before it do. A candidate has digits and letters, or letters that don't read like words."""
+    found = [(*m.span(), m[0]) for m in CANDIDATE.finditer(text) if (mixed(m[0]) or unwordly(m[0])) and not any(a <= m.start() and m.end() <= b for a, _, b in taken)]
     new: set[str] = set()
     for s, e, x in found:
         if x not in new and SENSITIVE.search(text, max(0, s - CONTEXT), s) and novelty(text[max(0, s - AROUND) : s], x, without_copies(text, e, x)) >= least_novelty(x, threshold):
@@ -107,18 +144,19 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in sorted(spans, key=lambda x: (x[0], KINDS.index(x[1]))))
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = NOVELTY, redacted: bool = False) -> DataFrame:
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = NOVELTY, redacted: bool = False, identifiers: str | None = None) -> DataFrame:
     """Spans of secrets in every whole text (code points, end exclusive), one row for each row of df.
 
     df may have any further columns; they are not read. Null text counts as empty and has no spans. A null id stays
     null; repeated rows each give a row; an empty table gives an empty table. Columns: the id, n_assign, n_access,
     n_hex, n_novel (long), base_spans and spans (kind:start:end by start, then kind, comma-joined), base_sha256.
-    redacted=True adds the text with each span replaced by [kind].
+    redacted=True adds the text with each span replaced by [kind]. identifiers primes the coder; None: learnt from df, in a pass of its own.
     """
+    known = learn_identifiers(df, text_col) if identifiers is None else identifiers
     schema = "id long, n_assign long, n_access long, n_hex long, n_novel long, base_spans string, base_sha256 string, spans string" + ", redacted string" * redacted
 
     def kernel(batches) -> Iterator[dict]:
-        novelty = Novelty()
+        novelty = Novelty(known)
         for batch in batches:
             names = ("n_assign", "n_access", "n_hex", "n_novel", "base_spans", "base_sha256", "spans", "redacted")
             out: dict = {"id": batch.column(0)} | {k: [] for k in names}
@@ -148,12 +186,12 @@ def redact(text: str, spans: list[tuple[int, str, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact_texts(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", threshold: float = NOVELTY) -> DataFrame:
+def redact_texts(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", threshold: float = NOVELTY, identifiers: str | None = None) -> DataFrame:
     """df with each secret in text_col replaced by [kind], and chars_col (if df has it) by the new length where the text changed. Null texts and all other columns stay."""
-    from pyspark.sql import functions as F
+    known = learn_identifiers(df, text_col) if identifiers is None else identifiers
 
     def clean() -> Callable[[str], str]:
-        novelty = Novelty()
+        novelty = Novelty(known)
 
         def one(text: str) -> str:
             base = base_spans(text)
