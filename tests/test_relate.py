@@ -117,10 +117,12 @@ def test_components_of_a_long_chain_and_a_hot_star(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_hot_nodes_are_split_and_old_rounds_deleted(spark, monkeypatch, tmp_path):
+@pytest.mark.parametrize("held", [graph.HELD, 3])
+def test_hot_nodes_are_split_and_old_rounds_deleted(spark, monkeypatch, held):
     import random
 
     monkeypatch.setattr(graph, "HOT_ROWS", 8)
+    monkeypatch.setattr(graph, "HELD", held)
     rng = random.Random(3)
     edges = [(5, k) for k in range(100, 300)] + [(k, k + 1) for k in range(400, 460)] + [(7, 7), (120, 455)] + [(rng.randrange(1000, 1040), rng.randrange(1000, 1040)) for _ in range(60)]
     parent = {x: x for e in edges for x in e}
@@ -139,6 +141,24 @@ def test_hot_nodes_are_split_and_old_rounds_deleted(spark, monkeypatch, tmp_path
     assert len(set(pathlib.Path(graph.shared_folder(spark).removeprefix("file:")).iterdir()) - before) == 1
 
 
+def test_scratch_tables_are_deleted_but_for_those_kept(spark):
+    folder = pathlib.Path(graph.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    with graph.scratch(spark) as outer:
+        with graph.scratch(spark) as keep:
+            gone, inner, last = (graph.written(spark.range(n), "scratch") for n in (1, 2, 3))
+            keep(inner), keep(last)
+        assert len(set(folder.iterdir()) - before) == 2
+        assert outer(last).count() == 3
+    assert len(set(folder.iterdir()) - before) == 1
+    assert last.count() == 3
+    with pytest.raises(ZeroDivisionError), graph.scratch(spark):
+        graph.written(spark.range(1), "scratch")
+        1 / 0
+    assert len(set(folder.iterdir()) - before) == 1
+    assert gone is not inner
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Conf:
         def get(self, _):

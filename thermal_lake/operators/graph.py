@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
 import atexit
+import contextlib
 import shutil
 import tempfile
+import threading
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from thermal_lake.shipping import ship
 
 #: Rows of one key from which it is hot, at least; and the share of all rows that makes a key hot, as 1 / HOT_KEYS: no more keys than that can be.
 HOT_ROWS, HOT_KEYS = 512, 4096
+#: Nodes that a task connects at once; what it has found so far is handed on then.
+HELD = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,16 +39,55 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+class Scratch(threading.local):
+    """The tables that are being written inside scratch(), innermost scope last."""
+
+    def __init__(self):
+        self.scopes: list[list[str]] = []
+
+
+_SCRATCH = Scratch()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are deleted at the end, but for those given to the function that this yields; those belong to the scope around, if there is one."""
+    _SCRATCH.scopes.append([])
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._saved_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in _SCRATCH.scopes.pop():
+            if path not in kept:
+                discard(spark, path)
+            elif _SCRATCH.scopes:
+                _SCRATCH.scopes[-1].append(path)
+
+
 def save(df: DataFrame, name: str) -> str:
     """Writes df as a table in the shared folder; its path."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
+    if _SCRATCH.scopes:
+        _SCRATCH.scopes[-1].append(path)
     df.write.parquet(path)
     return path
 
 
+def saved(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A table that save() wrote."""
+    df = spark.read.schema(schema).parquet(path)
+    df._saved_at = path
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, so that the plan stays short and lost executors cost one step."""
-    return df.sparkSession.read.schema(df.schema).parquet(save(df, name))
+    return saved(df.sparkSession, save(df, name), df.schema)
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -62,14 +111,56 @@ def looked_up(rows: DataFrame, key: str, spread: str, table: DataFrame, table_ke
     return split.join(spare, (F.col(key) == F.col(table_key)) & (F.col("_piece") == F.col("_part")), how).drop("_piece", "_part")
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the same nodes as these, one for each node of a task's part at most: from a node to the least one that the part connects it to. A node on its own keeps its loop."""
+    ship(edges.sparkSession)
+    schema = edges.select("a", "b").schema
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def find(x):
+            top = x
+            while parent[top] != top:
+                top = parent[top]
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        def found() -> Iterator[pa.RecordBatch]:
+            large = {find(x) for x in parent if find(x) != x}
+            rows = [(x, find(x)) for x in parent if x not in large]
+            for s in range(0, len(rows), 65_536):
+                part = rows[s : s + 65_536]
+                yield pa.record_batch([pa.array([x for x, _ in part], out[0].type), pa.array([y for _, y in part], out[1].type)], schema=out)
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = find(parent.setdefault(a, a)), find(parent.setdefault(b, b))
+                if x < y:
+                    parent[y] = x
+                elif y < x:
+                    parent[x] = y
+            if len(parent) > HELD:
+                yield from found()
+                parent.clear()
+        yield from found()
+
+    return edges.select("a", "b").mapInArrow(run, schema)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for the nodes of edges (a, b), root the least node that is reachable.
 
-    Each round a node takes the least root around it, and what its root's members found or its root itself points to; chains shorten by half
+    Tasks connect their own parts first, so that few edges are left. Then each round a node takes the least root around it, and what its root's members found or its root itself points to; chains shorten by half
     or more a round. A round reads the table that the one before it wrote, which is deleted afterwards. Roots of many nodes, and nodes of many edges, are split.
     """
     spark = edges.sparkSession
-    around = save(edges.select("a", "b").unionAll(edges.selectExpr("b AS a", "a AS b")).distinct(), f"{name}-edges")
+    few_at = save(thinned(edges), f"{name}-thinned")
+    few = spark.read.schema(edges.select("a", "b").schema).parquet(few_at)
+    around = save(few.unionAll(few.selectExpr("b AS a", "a AS b")).distinct(), f"{name}-edges")
+    discard(spark, few_at)
     both = spark.read.parquet(around)
     total = both.count()
     hubs_at = save(hot_keys(both, "b", total), f"{name}-hubs")
@@ -91,7 +182,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             break
     for path in (around, hubs_at):
         discard(spark, path)
-    return spark.read.schema(f"node {kind}, root {kind}").parquet(at)
+    return saved(spark, at, f"node {kind}, root {kind}")
 
 
 def by_shared_keys(cases: DataFrame, case: str, keys: list[str], name: str = "key-components") -> DataFrame:
