@@ -351,6 +351,21 @@ def test_languages_by_brute_force(spark, docs, monkeypatch, table):
     assert all(got[i][1] == pytest.approx(want[i][1], abs=1e-9) for i in got)
 
 
+@pytest.mark.parametrize("table", [300, 0])
+def test_labels_are_the_predictions(spark, docs, monkeypatch, table):
+    """What the table decides alone, and what is joined, is what predict() says."""
+    monkeypatch.setattr(language_id, "TABLE", table)
+    mixed = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100_000).withColumn("text", F.expr("concat_ws(' ', reverse(slice(split(text, ' '), 1, 6)))")))
+    m = language_id.learn(docs.where("doc_id % 3 <> 0"))
+    want = Counter((r["doc_id"], r["lang_pred"]) for r in language_id.predict(mixed, m).collect() if r["lang_pred"] != "und")
+    got = language_id.label(mixed, m)
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["lang"]) for r in got.collect()) == want
+    sure = [r["sure"] for r in language_id.tallied(mixed.select("text"), "text", m, False).collect()]
+    assert min(sure) == -1
+    assert table == 0 or max(sure) >= 0
+
+
 def test_every_known_word_scores_by_its_own_counts(spark, monkeypatch):
     """A word that the table has no room for."""
     monkeypatch.setattr(language_id, "TABLE", 2)

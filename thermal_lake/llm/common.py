@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from thermal_lake.operators.graph import written
+from thermal_lake.operators.graph import scratch, written
 from thermal_lake.shipping import ship
 
-__all__ = ["bounded", "documents", "filter_arrow", "held_out", "is_small", "map_arrow", "numbered", "only_rows", "release", "replace_arrow", "ship", "unused", "without", "written"]
+__all__ = ["bounded", "documents", "filter_arrow", "held_out", "is_small", "map_arrow", "numbered", "only_rows", "release", "replace_arrow", "scratch", "ship", "unused", "without", "written"]
 
 #: Rows that a kernel turns into Python objects at once, so that very long texts stay bounded.
 SLICE = 512
@@ -127,17 +127,21 @@ BITMAP_BITS, BITMAPS = 15, 8192
 def only_rows(df: DataFrame, row: str, ids: DataFrame, keep: bool) -> DataFrame:
     """The rows of df whose number `row` is among ids' (keep), or isn't (not keep); exact, and df isn't shuffled.
 
-    The numbers become bitmaps, which are counted and broadcast. Beyond BITMAPS of them df is joined by a shuffle.
+    The numbers become bitmaps, which are counted and broadcast. Beyond BITMAPS of them df is joined by a shuffle. What returns reads, besides df, one table that is written here: its attribute `_reads`.
     """
     bucket, bitmap = unused(df, "_bucket"), unused(df, "_bitmap")
     bits = ids.select(F.shiftright(row, BITMAP_BITS).alias(bucket), F.col(row).bitwiseAND((1 << BITMAP_BITS) - 1).alias(row)).groupBy(bucket).agg(F.bitmap_construct_agg(row).alias(bitmap))
-    bits = written(bits, "row-bitmaps")
-    if not is_small(bits, BITMAPS):
-        return df.join(ids.select(row), row, "left_semi" if keep else "left_anti")
-    at = F.col(row).bitwiseAND((1 << BITMAP_BITS) - 1).cast("int")
-    byte = F.conv(F.hex(F.substr(bitmap, F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    marked = F.coalesce(F.getbit(byte, at.bitwiseAND(7)), F.lit(0)) == int(keep)
-    return df.join(F.broadcast(bits), F.shiftright(row, BITMAP_BITS) == F.col(bucket), "left").where(marked).select(*df.columns)
+    reads = written(bits, "row-bitmaps")
+    if is_small(reads, BITMAPS):
+        at = F.col(row).bitwiseAND((1 << BITMAP_BITS) - 1).cast("int")
+        byte = F.conv(F.hex(F.substr(bitmap, F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+        marked = F.coalesce(F.getbit(byte, at.bitwiseAND(7)), F.lit(0)) == int(keep)
+        out = df.join(F.broadcast(reads), F.shiftright(row, BITMAP_BITS) == F.col(bucket), "left").where(marked).select(*df.columns)
+    else:
+        reads = written(ids.select(row).distinct(), "rows-listed")
+        out = df.join(reads, row, "left_semi" if keep else "left_anti")
+    out._reads = reads
+    return out
 
 
 def numbered(df: DataFrame, row: str) -> DataFrame:
@@ -148,8 +152,11 @@ def numbered(df: DataFrame, row: str) -> DataFrame:
 def without(df: DataFrame, dropped: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """df without the rows that dropped(df as a written table with a row number, its name) names by that number; df is read once."""
     row = unused(df, "_row_number")
-    rows = numbered(df, row)
-    return only_rows(rows, row, dropped(rows, row).select(row), False).drop(row)
+    with scratch(df.sparkSession) as keep:
+        rows = keep(numbered(df, row))
+        out = only_rows(rows, row, dropped(rows, row).select(row), False)
+        keep(out._reads)
+    return out.drop(row)
 
 
 def unused(df: DataFrame, name: str) -> str:
