@@ -236,7 +236,8 @@ def test_class_model_is_a_distribution(spark, monkeypatch):
     vocabulary = [f"{a}{b}" for a in "klmnp" for b in ("ing", "ate", "ous", "ed")]
     texts = [" ".join(rng.choice(vocabulary, 30, p=np.arange(20, 0, -1) / 210)) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(brown, "UNIT_SHARE", 0.06)
+    monkeypatch.setattr(brown, "UNIT_LEAST", 70)
+    monkeypatch.setattr(brown, "TABLE", 14)
     monkeypatch.setattr(brown, "CORE_SHARE", 0.07)
     monkeypatch.setattr(brown, "SUFFIX_SHARE", 0.01)
     seen = {}
@@ -247,25 +248,132 @@ def test_class_model_is_a_distribution(spark, monkeypatch):
     units = np.bincount(model.cls, weights=10**model.emission, minlength=8)
     assert units[np.bincount(model.cls, minlength=8) > 0] == pytest.approx(1.0)
     assert (10**model.transition).sum(1) == pytest.approx(1.0)
-    for u in range(len(words.counts)):
-        inside = [10 ** words.within[i] for i in words.known.values() if words.unit[i] == u]
-        if u and len(inside) > 1:
-            assert sum(inside) + 10 ** -words.log_mass[u] == pytest.approx(1.0)
+    counts = Counter(w for t in texts for w in t.split())
+    own = {w for w in counts if w.encode() in words.known and counts[w] >= 70}
+    unit = lambda w: words.known[w.encode()] + 1 if w in own else words.suffixes.get(w.encode()[-3:], words.other)
+    assert 0 < len(own) < len(words.known) <= 14 < len(counts)
+    assert words.suffixes
+    for u in {unit(w) for w in counts if w not in own}:
+        assert sum((counts[w] + 1) * 10 ** -words.log_mass[u] for w in counts if unit(w) == u) + 10 ** -words.log_mass[u] == pytest.approx(1.0)
     for i, t in enumerate(texts):
         before, total = brown.END_CLASS, 0.0
         for w in [*t.split(), None]:
-            if w is None:
-                u, within = brown.END_UNIT, 0.0
-            else:
-                k = words.known[w.encode()]
-                u, within = words.unit[k], words.within[k]
+            u = brown.END_UNIT if w is None else unit(w)
+            within = 0.0 if w is None or w in own else math.log10(counts[w] + 1) - words.log_mass[u]
             total += model.transition[before, model.cls[u]] + model.emission[u] + within
             before = model.cls[u]
         assert got[i] == pytest.approx(total, rel=1e-9)
 
 
+def word_pairs(texts, unit, size):
+    pairs = np.zeros((size, size))
+    for t in texts:
+        at = 0
+        for w in [*t.split(), None]:
+            u = 0 if w is None else unit(w)
+            pairs[at, u] += 1
+            at = u
+    return pairs
+
+
+def zipf_texts(seed=4, n=300):
+    """Words of six kinds that follow each other by kind."""
+    rng = np.random.default_rng(seed)
+    follow = rng.dirichlet(np.full(6, 0.25), 6)
+    texts = []
+    for _ in range(n):
+        kind, out = 0, []
+        for _ in range(40):
+            kind = rng.choice(6, p=follow[kind])
+            out.append(f"k{kind}w{min(39, int(rng.pareto(0.9)))}")
+        texts.append(" ".join(out))
+    return texts
+
+
+def fitted(spark, texts, classes, monkeypatch, core):
+    monkeypatch.setattr(brown, "CORE_SHARE", core)
+    monkeypatch.setattr(brown, "UNIT_LEAST", 1)
+    seen = {}
+    original = brown.Model.fit.__func__
+    with monkeypatch.context() as m:
+        m.setattr(brown.Model, "fit", classmethod(lambda cls, e, w, c: seen.setdefault("m", (w, original(cls, e, w, c)))[1]))
+        brown.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(True), classes=classes)
+    words, model = seen["m"]
+    return words, model, word_pairs(texts, lambda w: words.known[w.encode()] + 1, len(words.counts))
+
+
+def of_classes(pairs, cls, classes):
+    one = np.eye(classes)[cls]
+    return brown.likelihood(one.T @ pairs @ one)
+
+
+def test_staged_exchange_against_the_sequential_one(spark, monkeypatch):
+    """All units one after the other (every one is core) is plain exchange of the whole matrix; the stages come close to its likelihood, and far above classes by frequency."""
+    texts, classes = zipf_texts(), 8
+    words, model, pairs = fitted(spark, texts, classes, monkeypatch, 0.0)
+    order = np.argsort(-words.counts[1:-1], kind="stable") + 1
+    at = np.concatenate(([0], order, [len(words.counts) - 1]))
+    plain = np.zeros(len(words.counts), dtype=int)
+    plain[at] = brown.exchange(pairs[np.ix_(at, at)], classes)
+    if (words.counts[-1] == 0) and (plain == classes).sum() == 1:
+        plain[plain == classes] = model.cls[-1]
+    assert (model.cls[:-1] == plain[:-1]).all()
+    best = of_classes(pairs, model.cls, classes)
+    words, staged, pairs = fitted(spark, texts, classes, monkeypatch, 0.01)
+    alone = of_classes(pairs, np.zeros(len(words.counts), dtype=int), classes)
+    frequent = np.where(np.arange(len(words.counts)) == 0, 0, 1 + np.argsort(np.argsort(-words.counts, kind="stable"), kind="stable") % (classes - 1))
+    assert (words.counts[1:-1] < 0.01 * words.total).sum() > 20
+    assert of_classes(pairs, staged.cls, classes) - alone > 0.8 * (best - alone) > 4 * (of_classes(pairs, frequent, classes) - alone)
+
+
+def test_a_step_takes_the_class_of_the_greatest_likelihood(spark):
+    rng = np.random.default_rng(8)
+    units, width = 30, 5
+    pairs = np.where(rng.random((units, units)) < 0.3, rng.integers(1, 20, (units, units)), 0)
+    cls = rng.integers(0, width, units)
+    one = np.eye(width)[cls]
+    counts = np.zeros((units, 2 * width + 1), dtype=int)
+    for u in range(units):
+        for v in range(units):
+            if u == v:
+                counts[u, 2 * width] += pairs[u, u]
+            else:
+                counts[u, cls[v]] += pairs[u, v]
+                counts[u, width + cls[v]] += pairs[v, u]
+    rows = [(u, s, int(counts[u, s])) for u in range(units) for s in range(2 * width + 1) if counts[u, s]]
+    df = spark.createDataFrame(rows, "unit int, slot int, n long").repartition(7)
+    got = dict(zip(*brown.stepped(df, one.T @ pairs @ one, cls, [0]), strict=True))
+    for u in range(units):
+        values = []
+        for k in range(1, width):
+            moved = cls.copy()
+            moved[u] = k
+            values.append(of_classes(pairs, moved, width))
+        assert values[got[u] - 1] == pytest.approx(max(values), rel=1e-12)
+
+
+def test_sided_counts_are_the_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(brown, "CODES", 6)
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(1, 12, rng.integers(0, 30)).tolist() + [0] for _ in range(50)]
+    cls, width, wanted = rng.integers(0, 4, 12), 4, np.arange(12) % 3 != 1
+    got = {(r["unit"], r["slot"]): r["n"] for r in brown.sided_counts(spark.createDataFrame([(t, True) for t in texts] + [([3, 4, 0], False)], "units array<int>, learn boolean").repartition(3), cls, wanted, width).collect()}
+    want = Counter()
+    for t in texts:
+        for a, b in zip([0, *t], t, strict=False):
+            if a == b:
+                want[a, 2 * width] += int(wanted[a])
+                continue
+            if wanted[a]:
+                want[a, cls[b]] += 1
+            if wanted[b]:
+                want[b, width + cls[a]] += 1
+    assert got == +want
+
+
 def test_rare_words_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(brown, "KNOWN_SHARE", 0.05)
+    monkeypatch.setattr(brown, "TABLE", 1)
+    monkeypatch.setattr(graph, "HOT_ROWS", 1)
     rows = [(0, "aa aa bb cc"), (1, "aa bb dd"), (2, "dd zz cc cc")]
     counts, n, base = base_of(rows, lambda i: i < 2)
     got = {r["doc_id"]: r for r in brown.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 2).collect()}

@@ -1,7 +1,8 @@
 """Text scoring by a class-based bigram model whose classes exchange clustering finds (operator 3).
 
-Every token belongs to a unit: a frequent word is a unit of its own, any other word belongs to the unit of its last three
-bytes. Exchange clustering assigns units to classes; a text's probability is the product, over its tokens and the end, of
+Every token belongs to a unit: a word with UNIT_LEAST occurrences is a unit of its own (the TABLE most frequent ones, if there are more), any other word belongs to the unit of its last three
+bytes, as so few bigrams of its own say less of it than its ending does. Exchange clustering assigns units to classes by their own bigrams: the most frequent ones one after the other until none moves, all others by executors, at once, against the classes found; then all units make such a step
+together. A text's probability is the product, over its tokens and the end, of
 P(class | class before) P(unit | class) P(word | unit). All counts are of the whole learning part of the corpus.
 """
 
@@ -17,20 +18,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermal_lake.llm.common import map_arrow, written
+from thermal_lake.llm.common import least_count, map_arrow, written
+from thermal_lake.operators import graph
 
 #: The end of a text, among the words, the units and the classes.
 END, END_UNIT, END_CLASS = b"", 0, 0
 CLASSES = 64
-#: Shares of all tokens from which a word (a word ending) is what its name says. At most 1/share entries reach that, so
-#: these bound what executors get by broadcast, however large the corpus is.
-KNOWN_SHARE, UNIT_SHARE, SUFFIX_SHARE, CORE_SHARE = 1e-6, 2e-5, 1e-4, 5e-4
+#: Words that executors get by broadcast, and that are units, at most: the most frequent ones.
+TABLE = 500_000
+#: Occurrences from which a word is a unit.
+UNIT_LEAST = 20
+#: Shares of all tokens from which a word ending is a unit, and from which a unit takes part in the exchange one after the other: at most 1/share are.
+SUFFIX_SHARE, CORE_SHARE = 1e-4, 5e-4
 SUFFIX = 3
-PASSES = 6
 #: Exchange steps of all units at once that follow.
 ROUNDS = 1
-#: Distinct words that a counting task holds before it hands on what it has.
-HELD = 400_000
+#: Distinct words, and codes, that a counting task holds before it hands on what it has.
+HELD, CODES = 400_000, 4_000_000
 
 
 def tokens(data: bytes | None) -> list[bytes]:
@@ -57,11 +61,12 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Words:
-    """What encoding needs. known: a word's place in the arrays; suffixes: an ending's unit; counts: tokens of each unit."""
+    """What encoding needs. known: the place in the arrays of a word with `least` occurrences or more; suffixes: an ending's unit; counts: tokens of each unit."""
 
     total: int
     types: int
     ends: int
+    least: int
     known: dict[bytes, int]
     unit: np.ndarray
     log_count: np.ndarray
@@ -75,31 +80,29 @@ class Words:
     def read(cls, vocabulary: DataFrame) -> Words:
         total, types, ends = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0))).first()
         inner = vocabulary.where(F.col("word") != F.lit(END))
-        rows = inner.where(F.col("n") >= KNOWN_SHARE * total).toArrow()
+        least = least_count(inner, TABLE)
+        rows = inner.where(F.col("n") >= least).toArrow()
         found, n = rows.column("word").to_pylist(), rows.column("n").to_numpy().astype(np.int64)
-        tail = inner.where(F.col("n") < UNIT_SHARE * total).groupBy(F.expr(f"substring(word, -{SUFFIX}, {SUFFIX})").alias("suffix")).agg(F.sum("n").alias("mass"), F.count("*").alias("types"))
+        order = np.lexsort((np.array([*found, None], dtype=object)[:-1], -n)) if found else np.zeros(0, dtype=int)
+        found, n = [found[i] for i in order], n[order]
+        tail = inner.where(F.col("n") < max(least, UNIT_LEAST)).groupBy(F.expr(f"substring(word, -{SUFFIX}, {SUFFIX})").alias("suffix")).agg(F.sum("n").alias("mass"), F.count("*").alias("types"))
         kept = tail.where(F.col("mass") >= SUFFIX_SHARE * total).orderBy("suffix").collect()
         mass, kinds = tail.agg(F.coalesce(F.sum("mass"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-        own = np.flatnonzero(n >= UNIT_SHARE * total)
-        own = own[np.lexsort((np.array([found[i] for i in own], dtype=object), -n[own]))] if len(own) else own
-        first = 1 + len(own)
+        first = 1 + int((n >= UNIT_LEAST).sum())
         other = first + len(kept)
-        unit = np.full(len(found), -1, dtype=np.int32)
-        unit[own] = np.arange(1, first)
         suffixes = {bytes(r["suffix"]): first + i for i, r in enumerate(kept)}
         counts, size = np.zeros(other + 1, dtype=np.int64), np.ones(other + 1)
-        counts[END_UNIT], counts[1:first] = ends, n[own]
+        counts[END_UNIT], counts[1:first] = ends, n[: first - 1]
         for i, r in enumerate(kept):
             counts[first + i], size[first + i] = r["mass"], r["mass"] + r["types"] + 1
         counts[other] = mass - sum(r["mass"] for r in kept)
         size[other] = counts[other] + kinds - sum(r["types"] for r in kept) + 1
         log_mass, log_count = np.log10(size), np.log10(n + 1.0)
-        within = log_count.copy()
-        within[own] = 0
-        for i in np.flatnonzero(unit < 0):
+        unit, within = np.arange(1, len(found) + 1, dtype=np.int32), np.zeros(len(found))
+        for i in range(first - 1, len(found)):
             unit[i] = suffixes.get(found[i][-SUFFIX:], other)
-            within[i] -= log_mass[unit[i]]
-        return cls(total, types, ends, {w: i for i, w in enumerate(found)}, unit, log_count, within, suffixes, other, log_mass, counts)
+            within[i] = log_count[i] - log_mass[unit[i]]
+        return cls(total, types, ends, least, {w: i for i, w in enumerate(found)}, unit, log_count, within, suffixes, other, log_mass, counts)
 
     @property
     def log_base(self) -> float:
@@ -171,17 +174,17 @@ def xlogx(x: np.ndarray) -> np.ndarray:
 
 
 def gains(table: np.ndarray, right: np.ndarray, left: np.ndarray, own: float = 0.0) -> np.ndarray:
-    """For each class, what adding a unit gains in likelihood: table holds class bigrams; right and left the unit's bigrams with classes after and before it, own those with itself."""
+    """For each class, what adding a unit gains in likelihood: table holds the class bigrams without it; right and left the unit's bigrams with classes after and before it, own those with itself."""
     k = np.arange(len(table))
     rows, columns = table + right, table.T + left
     rows[k, k] += left + own  # inside the class both kinds and the unit's own pairs meet
-    inside = xlogx(table[k, k])
-    gain = xlogx(rows).sum(1) + xlogx(columns).sum(1) - xlogx(columns[k, k]) - xlogx(table).sum(1) - xlogx(table.T).sum(1) + inside
-    out, into = table.sum(1), table.sum(0)
+    gain = xlogx(rows).sum(1) + xlogx(columns).sum(1) - xlogx(columns[k, k]) - xlogx(table).sum(1) - xlogx(table.T).sum(1) + xlogx(table[k, k])
+    # classes before the unit have its left bigrams among what follows them whatever class it gets, and so on
+    out, into = table.sum(1) + left, table.sum(0) + right
     return gain - xlogx(out + right.sum() + own) + xlogx(out) - xlogx(into + left.sum() + own) + xlogx(into)
 
 
-def exchange(pairs: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarray:
+def exchange(pairs: np.ndarray, classes: int) -> np.ndarray:
     """Classes of the units whose bigram counts are given. Unit 0 (the end) stays in class 0, the last unit (all the rest) in a class of its own after the others; every other one moves to the class where the likelihood is greatest, until none moves."""
     n = len(pairs)
     cls = np.zeros(n, dtype=np.int64)
@@ -190,7 +193,9 @@ def exchange(pairs: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarra
     one = np.zeros((n, classes + 1))
     one[np.arange(n), cls] = 1
     table = one.T @ pairs @ one
-    for _ in range(passes):
+    least = 1e-10 * float(xlogx(pairs.sum()))  # below that, a gain is rounding
+    moved = 1
+    while moved:
         moved = 0
         for u in range(1, n - 1):
             old, own = cls[u], pairs[u, u]
@@ -202,20 +207,107 @@ def exchange(pairs: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarra
             gain = gains(table, right, left, own)
             gain[[END_CLASS, classes]] = -np.inf
             new = int(gain.argmax())
-            if gain[new] <= gain[old] + 1e-9:
+            if gain[new] <= gain[old] + least:
                 new = old
             table[new] += right
             table[:, new] += left
             table[new, new] += own
             one[u, new], cls[u] = 1, new
             moved += new != old
-        if not moved:
-            break
     return cls
 
 
+def sided_counts(encoded: DataFrame, cls: np.ndarray, wanted: np.ndarray, width: int) -> DataFrame:
+    """(unit, slot, n): how often each wanted unit stands before another unit of class `slot`, (slot - width) after one, or (2 width) before itself; added up within tasks first, in bounded arrays."""
+    shared, stride = encoded.sparkSession.sparkContext.broadcast((cls.astype(np.int16), wanted)), 2 * width + 1
+
+    def kernel(batches) -> Iterator[dict]:
+        of, ask = shared.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            code, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            return code, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+
+        for batch in batches:
+            lists = batch.column(0)
+            units, starts = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()[: len(lists) + 1])
+            if not len(units):
+                continue
+            before = np.empty_like(units)
+            before[1:] = units[:-1]
+            before[np.concatenate(([0], np.cumsum(starts)[:-1]))] = END_UNIT
+            same = before == units
+            first, second = before.astype(np.int64) * stride, units.astype(np.int64) * stride
+            code = np.concatenate(((first + of[units])[ask[before] & ~same], (second + width + of[before])[ask[units] & ~same], (second + 2 * width)[ask[units] & same]))
+            code, n = np.unique(code, return_counts=True)
+            held.append((code, n))
+            if sum(len(c) for c, _ in held) > CODES:
+                held[:] = [merged()]
+                if len(held[0][0]) > CODES // 2:
+                    yield {"unit": held[0][0] // stride, "slot": held[0][0] % stride, "n": held[0][1]}
+                    held.clear()
+        if held:
+            code, n = merged()
+            yield {"unit": code // stride, "slot": code % stride, "n": n}
+
+    return map_arrow(encoded.where("learn").select("units"), "unit int, slot int, n long", kernel).groupBy("unit", "slot").agg(F.sum("n").alias("n"))
+
+
+def stepped(counts: DataFrame, table: np.ndarray, cls: np.ndarray, forbidden: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Units of counts (see sided_counts) and the class each would choose, all at once, if all others stayed; cls: the classes they are in now, which they leave first."""
+    width = len(table)
+    shared = counts.sparkSession.sparkContext.broadcast((table, cls))
+
+    def kernel(batches) -> Iterator[dict]:
+        whole, now = shared.value
+        last: tuple[int, np.ndarray] | None = None
+
+        def choose(u: int, slots: np.ndarray) -> int:
+            right, left, own = slots[:width], slots[width : 2 * width], slots[2 * width]
+            t = whole.copy()
+            t[now[u]] -= right
+            t[:, now[u]] -= left
+            t[now[u], now[u]] -= own
+            gain = gains(t, right, left, own)
+            gain[forbidden] = -np.inf
+            return int(gain.argmax())
+
+        for batch in batches:
+            unit, slot, n = (batch.column(i).to_numpy() for i in range(3))
+            if not len(unit):
+                continue
+            starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            out: list[tuple[int, int]] = []
+            for s, e in zip(starts, np.append(starts[1:], len(unit)), strict=True):
+                if last is None or last[0] != unit[s]:
+                    if last is not None:
+                        out.append((last[0], choose(*last)))
+                    last = int(unit[s]), np.zeros(2 * width + 1)
+                last[1][slot[s:e]] += n[s:e]
+            yield {"unit": [u for u, _ in out], "cls": [c for _, c in out]}
+        if last is not None:
+            yield {"unit": [last[0]], "cls": [choose(*last)]}
+
+    dealt = counts.repartition("unit").sortWithinPartitions("unit")
+    found = map_arrow(dealt, "unit int, cls int", kernel, rows=1 << 16).toArrow()
+    return found.column("unit").to_numpy(), found.column("cls").to_numpy()
+
+
+def likelihood(table: np.ndarray) -> float:
+    """What of the class bigrams' log likelihood depends on the classes."""
+    return float(xlogx(table).sum() - xlogx(table.sum(1)).sum() - xlogx(table.sum(0)).sum())
+
+
+def class_table(encoded: DataFrame, cls: np.ndarray, classes: int) -> np.ndarray:
+    code, n = pair_counts(encoded, lambda before, unit: cls[before] * classes + cls[unit], classes * classes)
+    table = np.zeros(classes * classes)
+    table[code] = n
+    return table.reshape(classes, classes)
+
+
 def cluster(encoded: DataFrame, counts: np.ndarray, total: int, classes: int = CLASSES) -> np.ndarray:
-    """A class for every unit: exchange among the most frequent ones, then an exchange step for all others at once, by their bigrams with the classes found."""
+    """A class for every unit: exchange among the most frequent ones, a step for all others by their bigrams with the classes found, and steps of all units at once, taken while the likelihood rises."""
     units = len(counts)
     core = np.flatnonzero((counts >= CORE_SHARE * total) & (np.arange(units) != END_UNIT))
     core = core[np.argsort(-counts[core], kind="stable")]
@@ -228,66 +320,24 @@ def cluster(encoded: DataFrame, counts: np.ndarray, total: int, classes: int = C
     pairs = pairs.reshape(k, k)
     found = exchange(pairs, classes)
     cls = found[place]
-    rest = np.flatnonzero(cls == classes)
-    if not len(rest):
+    rest = cls == classes
+    if not rest.any():
         return cls
     one = np.zeros((k, classes + 1))
     one[np.arange(k), found] = 1
-    table = one.T @ pairs @ one
-    at = np.full(units, -1, dtype=np.int64)
-    at[rest] = np.arange(len(rest))
-    width = classes + 1
-
-    def codes(before: np.ndarray, unit: np.ndarray) -> np.ndarray:
-        after, ahead = at[before] * 2 * width + cls[unit], at[unit] * 2 * width + width + cls[before]
-        return np.concatenate((after[at[before] >= 0], ahead[at[unit] >= 0]))
-
-    code, n = pair_counts(encoded, codes, len(rest) * 2 * width)
-    order = np.argsort(code)
-    code, n = code[order], n[order]
-    bounds = np.searchsorted(code, np.arange(len(rest) + 1) * 2 * width)
-    new = cls.copy()
-    for i, u in enumerate(rest):
-        both = np.zeros(2 * width)
-        both[code[bounds[i] : bounds[i + 1]] - i * 2 * width] = n[bounds[i] : bounds[i + 1]]
-        gain = gains(table, both[:width], both[width:])
-        gain[[END_CLASS, classes]] = -np.inf
-        new[u] = int(gain.argmax())
-    return refine(encoded, new, classes)
-
-
-def refine(encoded: DataFrame, cls: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Exchange steps of all units at once, each by its bigrams with the classes of the step before; a step that doesn't raise the likelihood is not taken."""
-    units = len(cls)
-    best, kept = -np.inf, cls
-    for turn in range(rounds + 1):
-        of = cls
-        code, n = pair_counts(encoded, lambda before, unit: np.concatenate((before * 2 * classes + of[unit], unit * 2 * classes + classes + of[before])), units * 2 * classes)
-        counts = np.zeros(units * 2 * classes)
-        counts[code] = n
-        right, left = (counts.reshape(units, 2, classes)[:, k] for k in (0, 1))
-        table = np.zeros((classes, classes))
-        np.add.at(table, of, right)
-        now = xlogx(table).sum() - xlogx(table.sum(1)).sum() - xlogx(table.sum(0)).sum()
+    unit, new = stepped(sided_counts(encoded, cls, rest, classes + 1), one.T @ pairs @ one, cls, [END_CLASS, classes])
+    cls[rest] = 1 if classes > 1 else 0
+    cls[unit] = new
+    best, all_units = likelihood(class_table(encoded, cls, classes)), np.arange(units) != END_UNIT
+    for _ in range(ROUNDS):
+        unit, new = stepped(sided_counts(encoded, cls, all_units, classes), class_table(encoded, cls, classes), cls, [END_CLASS])
+        moved = cls.copy()
+        moved[unit] = new
+        now = likelihood(class_table(encoded, moved, classes))
         if now <= best:
             break
-        best, kept = now, of
-        if turn == rounds:
-            break
-        cls = of.copy()
-        for u in range(1, units):
-            r, b = right[u], left[u]
-            if not r.any() and not b.any():
-                continue
-            old = of[u]
-            table[old] -= r
-            table[:, old] -= b
-            gain = gains(np.maximum(table, 0), r, b)
-            gain[END_CLASS] = -np.inf
-            cls[u] = int(gain.argmax())
-            table[old] += r
-            table[:, old] += b
-    return kept
+        best, cls = now, moved
+    return cls
 
 
 @dataclass
@@ -301,10 +351,7 @@ class Model:
     @classmethod
     def fit(cls, encoded: DataFrame, words: Words, classes: int = CLASSES) -> Model:
         of = cluster(encoded, words.counts, words.total, classes)
-        code, n = pair_counts(encoded, lambda before, unit: of[before] * classes + of[unit], classes * classes)
-        table = np.zeros(classes * classes)
-        table[code] = n
-        table = table.reshape(classes, classes)
+        table = class_table(encoded, of, classes)
         mass, size = np.bincount(of, weights=words.counts, minlength=classes), np.bincount(of, minlength=classes)
         prior = (mass + 1) / (mass.sum() + classes)
         smooth = float(classes)
@@ -318,7 +365,7 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     Columns: the id, n_tokens (with the end), n_known (tokens that the learning rows hold), train_tokens, base_score (add-one unigrams), score (the class-based
     model), perplexity (of score). One row for each row of df, repeated rows and null ids too; null text counts as empty
     and has the end alone; further columns aren't read. With no learning row all counts are 0: base_score is 0.
-    Words beyond KNOWN_SHARE are looked up by a join on the word; a word that common is broadcast, so no join key is hot.
+    Words beyond TABLE are looked up by a join on the word, of which hot ones are split.
     """
     rows = df.select(F.monotonically_increasing_id().alias("row"), df[id_col].cast("long").alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(df[text_col], F.lit("")).cast("binary").alias("data"))
     vocabulary = written(count_words(rows.where("learn").select("data")), "brown-words")
@@ -343,7 +390,9 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
             yield {n: batch.column(i) for i, n in enumerate(("row", "id", "n_tokens", "n_known", "log_count"))} | {"model": part + batch.column(5).to_numpy()}
 
     scored = map_arrow(encoded.select("row", "id", "n_tokens", "n_known", "log_count", "within", "units"), "row long, id long, n_tokens long, n_known long, log_count double, model double", kernel)
-    rare = encoded.selectExpr("row", "inline(arrays_zip(rare, times))").withColumnRenamed("rare", "word").join(vocabulary.where(F.col("n") < KNOWN_SHARE * words.total), "word")
+    rare = encoded.selectExpr("row", "inline(arrays_zip(rare, times))")
+    known = vocabulary.where(F.col("n") < words.least)
+    rare = graph.looked_up(rare, "rare", "row", known, "word", graph.hot_keys(rare, "rare", encoded.agg(F.coalesce(F.sum(F.size("rare")), F.lit(0))).first()[0]))
     rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("more_known"))
     more = F.coalesce("more", F.lit(0.0))
     return scored.join(rare, "row", "left").select(

@@ -15,7 +15,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from thermal_lake.operators.graph import scratch, written
 from thermal_lake.shipping import ship
 
-__all__ = ["bounded", "documents", "filter_arrow", "held_out", "is_small", "map_arrow", "numbered", "only_rows", "release", "replace_arrow", "scratch", "ship", "unused", "without", "written"]
+__all__ = ["bounded", "documents", "filter_arrow", "held_out", "is_small", "least_count", "map_arrow", "numbered", "only_rows", "release", "replace_arrow", "scratch", "ship", "unused", "without", "written"]
 
 #: Rows that a kernel turns into Python objects at once, so that very long texts stay bounded.
 SLICE = 512
@@ -159,6 +159,19 @@ def without(df: DataFrame, dropped: Callable[[DataFrame, str], DataFrame]) -> Da
     return out.drop(row)
 
 
+def least_count(counts: DataFrame, most: int) -> int:
+    """The count n that at most so many rows reach, from a histogram in steps of an eighth of a doubling; without rows, and where even the greatest counts are of too many, more than any."""
+    step = F.floor(F.log2("n") * 8)
+    bins = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
+    least, total = 1 << 62, 0
+    for r in bins:
+        total += r["words"]
+        if total > most:
+            break
+        least = r["least"]
+    return least
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, with as many underscores before it as keep it from clashing."""
     while name in df.columns:

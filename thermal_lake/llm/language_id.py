@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from thermal_lake.llm.common import bounded, map_arrow, releasing, scratch, ship, slices, unused, written
+from thermal_lake.llm.common import bounded, least_count, map_arrow, releasing, scratch, ship, slices, unused, written
 from thermal_lake.operators import graph
 
 UNDETERMINED = "und"
@@ -117,19 +117,6 @@ def count_grams(vocabulary: DataFrame, langs: int) -> DataFrame:
     return counted(vocabulary, entries, langs)
 
 
-def least_count(vocabulary: DataFrame, most: int) -> int:
-    """A count that at most so many words reach, from a histogram in steps of an eighth of a doubling."""
-    step = F.floor(F.log2("n") * 8)
-    bins = vocabulary.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
-    least, total = 1 << 62, 0
-    for r in bins:
-        total += r["words"]
-        if total > most:
-            break
-        least = r["least"]
-    return least
-
-
 def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """A model from the rows whose language isn't null: every word's count in every language, and the n-grams that some language has often enough, with their counts in all. A language without words is not learnt."""
     rows = df.where(df[lang_col].isNotNull()).select(df[lang_col].alias("lang"), df[text_col].alias("text"))
