@@ -30,7 +30,7 @@ WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 #: Words in the table that executors get, at most: the most frequent ones; the others come by a join. And the
 #: share of a language's n-grams of one length from which, in some language, an n-gram is known: 1/share entries at most for each language and length.
-TABLE, GRAM_SHARE = 500_000, 1 / 10_000
+TABLE, GRAM_SHARE = 150_000, 1 / 10_000
 #: Distinct words that a counting task holds before it hands on what it has.
 HELD = 300_000
 
