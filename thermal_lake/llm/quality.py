@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,15 +11,26 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermal_lake.llm.common import map_arrow, written
+from thermal_lake.llm.common import map_arrow, scratch, written
 
 #: Labelled rows that are learnt from at most, by the hash of their id: the documented bound of the learning sample.
 SAMPLE = 20_000
-FEATURES = ("log_words", "letters", "marks", "distinct", "upper", "word_length", "bars", "line_words", "digits", "repeats", "bias")
+FEATURES = ("log_words", "letters", "marks", "distinct", "upper", "word_length", "bars", "line_words", "digits", "repeats", "lexical", "familiar", "bias")
+#: Labelled texts that a word of the lexicon needs, and the greatest evidence (log odds of good against bad) that a word gives.
+LEAST_TEXTS, MOST_ODDS = 4, 3.0
+#: Distinct words that a counting task holds before it hands on what it has.
+HELD = 300_000
 
 
-def evidence(text: str | None) -> list[float]:
-    """Numbers that tell prose from junk, each near 0 to 1."""
+def lexical(words: list[str], lexicon: dict[str, float]) -> list[float]:
+    """The mean log odds of a text's distinct words that the lexicon has, and the share of its distinct words that it has."""
+    distinct = {w.lower() for w in words}
+    found = [lexicon[w] for w in distinct if w in lexicon]
+    return [sum(found) / len(found) if found else 0.0, len(found) / len(distinct)]
+
+
+def evidence(text: str | None, lexicon: dict[str, float]) -> list[float]:
+    """Numbers that tell prose from junk, each near 0 to 1: its shape, and what labelled texts say of its words."""
     text = text or ""
     words = text.split()
     n, chars = len(words), len(text)
@@ -31,7 +43,7 @@ def evidence(text: str | None) -> list[float]:
     marks = sum([joined.count(c) for c in "#$%&*!|<>{}[]=+~^@"])
     digits = sum([joined.count(c) for c in "0123456789"])
     most = max(words.count(w) for w in (words[0], words[n // 2], words[-1]))
-    return [math.log10(n) / 4, plain / n, min(1.0, marks / n), distinct / n * min(1.0, n / 50) + max(0.0, 1 - n / 50), sum(map(str.isupper, words)) / n, min(2.0, size / n / 10), text.count("|") / n, min(2.0, n / (text.count("\n") + 1) / 50), digits / chars, most / n if n >= 20 else 0.0, 1.0]
+    return [math.log10(n) / 4, plain / n, min(1.0, marks / n), distinct / n * min(1.0, n / 50) + max(0.0, 1 - n / 50), sum(map(str.isupper, words)) / n, min(2.0, size / n / 10), text.count("|") / n, min(2.0, n / (text.count("\n") + 1) / 50), digits / chars, most / n if n >= 20 else 0.0, *lexical(words, lexicon), 1.0]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -56,32 +68,68 @@ def spread(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Classifier:
+    """Weights of the evidence, and the lexicon that its lexical part comes from."""
+
     weights: np.ndarray
+    lexicon: dict[str, float]
 
     def log_odds(self, texts: list[str | None]) -> np.ndarray:
-        return np.clip(spread(np.array([evidence(t) for t in texts]).reshape(len(texts), -1)) @ self.weights, -20, 20)
+        return np.clip(spread(np.array([evidence(t, self.lexicon) for t in texts]).reshape(len(texts), -1)) @ self.weights, -20, 20)
+
+
+def learn_lexicon(texts: DataFrame) -> dict[str, float]:
+    """Log odds, good against bad and shrunk by one text of each kind, of the words in texts (text, label) that LEAST_TEXTS of them have. Words are counted by the executors; no more return than the sample has."""
+
+    def kernel(batches) -> Iterator[dict]:
+        held = (Counter(), Counter())
+
+        def flush() -> dict:
+            words = list(held[0].keys() | held[1].keys())
+            out = {"word": words, "bad": [held[0][w] for w in words], "good": [held[1][w] for w in words]}
+            for c in held:
+                c.clear()
+            return out
+
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[int(label > 0)].update({w.lower() for w in (text or "").split()})
+            if len(held[0]) + len(held[1]) > HELD:
+                yield flush()
+        yield flush()
+
+    bad, good = texts.agg(F.count_if(F.col("label") <= 0), F.count_if(F.col("label") > 0)).first()
+    counts = map_arrow(texts.select("text", "label"), "word string, bad long, good long", kernel).groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    odds = F.log((F.col("good") + 1) * (bad + 2) / ((F.col("bad") + 1) * (good + 2)))
+    found = counts.where(F.col("bad") + F.col("good") >= LEAST_TEXTS).select("word", F.greatest(F.least(odds, F.lit(MOST_ODDS)), F.lit(-MOST_ODDS)).alias("odds")).toArrow()
+    return dict(zip(found.column("word").to_pylist(), found.column("odds").to_pylist(), strict=True))
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Classifier:
-    """A classifier from at most `sample` labelled rows (those whose ids hash least), of the labels whose id and value aren't null. With one class alone, or none, all texts get that class's odds (good, if none)."""
+    """A classifier from at most `sample` labelled rows (those whose ids hash least), of the labels whose id and value aren't null. With one class alone, or none, all texts get that class's odds (good, if none).
+
+    Half of the sample (by another hash of the id) makes the lexicon, the other half the weights, so that these see words' evidence as new texts do. What the driver gets is bounded by the sample.
+    """
     few = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     few = few.orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def kernel(batches) -> Iterator[dict]:
         for batch in batches:
-            yield {"x": [evidence(t) for t in batch.column(0).to_pylist()], "label": batch.column(1)}
+            yield {"x": [evidence(t, lexicon) for t in batch.column(0).to_pylist()], "label": batch.column(1)}
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").select("text", "label").repartition(8)
-    found = map_arrow(rows, "x array<double>, label int", kernel).toArrow()
+    with scratch(df.sparkSession):
+        half = F.xxhash64("id", F.lit("lexicon")) % 2 == 0
+        rows = written(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").select("text", "label", half.alias("half")).repartition(8), "quality-sample")
+        lexicon = learn_lexicon(rows.where("half"))
+        found = map_arrow(rows.where("not half").select("text", "label"), "x array<double>, label int", kernel).toArrow()
     y = found.column("label").to_numpy().astype(float)
     x = np.array(found.column("x").to_pylist()).reshape(len(y), len(FEATURES))
     wide = spread(x)
     if not len(y) or y.min() == y.max():
         w = np.zeros(wide.shape[1])
         w[-1] = 5.0 if not len(y) or y[0] > 0 else -5.0
-        return Classifier(w)
+        return Classifier(w, lexicon)
     order = np.lexsort((*x.T, y))
-    return Classifier(fit_logistic(wide[order], (y > 0).astype(float)[order]))
+    return Classifier(fit_logistic(wide[order], (y > 0).astype(float)[order]), lexicon)
 
 
 def shrinkage(groups: DataFrame, mean: Column, n: Column, total: Column) -> Column:
