@@ -205,3 +205,29 @@ def test_deciding_code_does_not_import_evaluation():
 def test_command_line_lists_queries():
     out = subprocess.run([sys.executable, "-m", "thermal_lake", "list"], cwd=ROOT, capture_output=True, text=True, env=os.environ, timeout=120)
     assert "frame_quality_reason" in out.stdout.split()
+
+
+def test_command_line_pipelines(spark, evaluated, tmp_path, capsys):
+    from thermal_lake.__main__ import main
+
+    cases, labels, p, _ = evaluated
+    folder, out = tmp_path / "in", tmp_path / "out"
+    for name, df in (("cases", cases.where("case_id <> 'bare'")), ("labels", labels), ("pixels", p), ("steps", spark.createDataFrame([(1, 0, 1), (1, 1, 2)], "case_id long, step int, frame_id long"))):
+        df.write.parquet(f"{folder}/{name}.parquet")
+    assert main(["evidence", str(folder), "--output", str(out)]) == 0
+    assert spark.read.parquet(f"{out}/outcomes.parquet").first()["outcome"] == "review_escalation"
+    assert main(["evidence", str(folder), "--output", str(out)]) == 0
+    assert "outcomes unchanged" in capsys.readouterr().out
+    assert main(["slice", str(folder), "--output", str(out)]) == 0
+    report = tmp_path / "report.json"
+    assert main(["frozen-evaluation", str(folder), "--output", str(tmp_path / "e"), "--report", str(report)]) == 0
+    rows = spark.read.parquet(f"{tmp_path}/e/rows.parquet")
+    rows.where("mode = 'adaptive'").select("split", "case_id", F.lit("complete").alias("status")).write.parquet(f"{tmp_path}/e/traces.parquet")
+    assert main(["error-analysis", str(tmp_path / "e"), "--output", str(tmp_path / "a"), "--report", str(report)]) == 0
+    assert spark.read.parquet(f"{tmp_path}/a/claims.parquet").count() == 3
+    (tmp_path / "j.jsonl").write_text("not json\n{}\n")
+    assert main(["replay", str(tmp_path / "j.jsonl")]) == 1
+    from thermal_lake.sources import blobs
+
+    blobs.BlobCache(tmp_path / "cache", lambda url: [b"x"])
+    assert main(["cache-inspect", str(tmp_path / "cache")]) == 0
