@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from thermal_lake import bindings as b
 from thermal_lake.functions import checks, geo
+from thermal_lake.functions.rounding import python_round_sql
 from thermal_lake.operators import decide, evaluate, raster, records, relate
 from thermal_lake.plans import pipelines, views
 from thermal_lake.sources import catalog
@@ -202,7 +203,15 @@ def prediction_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.score(rows.drop("label"), rows.select("case_id", "label").distinct()).groupBy("label", "prediction", "mode").agg(F.count("*").alias("n"))
 
 
-@query("headline_claims")
+@query("headline_claims", f"""
+    WITH {b.SCORE_ROWS}, ef AS (SELECT mode, {python_round_sql("count(*) FILTER (label = 'positive' AND prediction = 'positive') / (count(*) FILTER (label = 'positive'))::DOUBLE")} AS recall, {python_round_sql("avg(observation_count)")} AS obs,
+        count(*) FILTER (label = 'control' AND prediction = 'positive') AS fp, count(*) FILTER (label = 'positive' AND prediction = 'control') AS fn, count(*) FILTER (prediction IS NULL) AS ab FROM sr GROUP BY mode),
+    ad AS (SELECT * FROM ef WHERE mode = 'adaptive'), fb AS (SELECT * FROM ef WHERE mode = 'fixed_bundle'),
+    ex AS (SELECT count(*) AS n FROM sr x JOIN sr y USING (split, case_id) WHERE x.mode = 'adaptive' AND y.mode = 'one_shot' AND x.observation_count > y.observation_count AND NOT (coalesce(x.prediction = x.label, false) AND NOT coalesce(y.prediction = y.label, false)))
+    SELECT 'mode_efficiency' AS "table", 'Adaptive recall is ' || ad.recall || ', compared with fixed-bundle recall ' || fb.recall || '; mean observations are ' || ad.obs || ' versus ' || fb.obs || ', respectively.' AS claim FROM ad, fb
+    UNION ALL SELECT 'extra_observations_without_help', n || ' adaptive cases used more observations than one-shot without correcting the one-shot result.' FROM ex
+    UNION ALL SELECT 'error_outcomes', 'Adaptive produced ' || fp || ' false positives, ' || fn || ' decisive false negatives, and ' || ab || ' abstentions.' FROM ad
+""")
 def headline_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.score_rows(spark, sf_dir)
     return evaluate.claims(evaluate.mode_efficiency(rows), evaluate.extra_observations(rows), evaluate.error_outcomes(rows))

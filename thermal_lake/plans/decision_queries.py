@@ -63,22 +63,27 @@ def persistence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track.persistence(f, track.tracks(f, regions(spark, sf_dir)))
 
 
-@query("regrid_nearest")
+#: Each frame on a grid that is shifted by a third of a pixel.
+REGRID = f"""
+    WITH {b.PIXELS}, s AS (SELECT frame_id, CAST(row * 8 + col AS BIGINT) AS source, 30 + row * 0.01::DOUBLE AS lat, -120 + col * 0.01::DOUBLE AS lon, v7::DOUBLE AS value, NOT invalid AS valid FROM px),
+    t AS (SELECT frame_id, source AS target, lat + 0.0033::DOUBLE AS lat, lon + 0.0137::DOUBLE AS lon FROM s),
+    d AS (SELECT t.frame_id, t.target, s.source, s.value, s.valid, 2 * 6371.0088 * asin(sqrt(pow(sin(radians(s.lat - t.lat) / 2), 2) + cos(radians(t.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - t.lon) / 2), 2))) AS km FROM t JOIN s USING (frame_id)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY frame_id, target ORDER BY km, source) AS k FROM d WHERE km <= 2)
+    SELECT t.frame_id, t.target, round(CASE WHEN k.valid THEN k.value END, 4) AS value, coalesce(k.valid, false) AS valid FROM t LEFT JOIN k ON k.frame_id = t.frame_id AND k.target = t.target AND k.k = 1
+"""
+
+
+@query("regrid_nearest", REGRID)
 def regrid_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each frame on a grid that is shifted by a third of a pixel."""
     p = b.pixels(spark, sf_dir).selectExpr("frame_id", "row", "col", "cast(v7 AS double) AS value", "NOT invalid AS valid", "30 + row * 0.01D AS lat", "-120 + col * 0.01D AS lon")
     tiles = r.tiles(p, ["lat", "lon", "value", "valid"], ["frame_id"])
     shift = lambda c, by: F.transform(c, lambda x: x + by)
-    return track.regrid(tiles, tiles.select("frame_id", shift("lat", 0.0033).alias("lat"), shift("lon", 0.0137).alias("lon")), ["frame_id"], 2.0)
+    found = track.regrid(tiles, tiles.select("frame_id", shift("lat", 0.0033).alias("lat"), shift("lon", 0.0137).alias("lon")), ["frame_id"], 2.0)
+    return found.select("frame_id", F.posexplode(F.arrays_zip("value", "valid")).alias("target", "p")).select("frame_id", F.col("target").cast("long").alias("target"), F.round("p.value", 4).alias("value"), F.col("p.valid").alias("valid"))
 
 
-@query("regrid_nearest_pixels", f"""
-    WITH {b.PIXELS}, s AS (SELECT frame_id, CAST(row * 8 + col AS BIGINT) AS source, 30 + row * 0.01::DOUBLE AS lat, -120 + col * 0.01::DOUBLE AS lon, v7::DOUBLE AS value, NOT invalid AS valid FROM px),
-    t AS (SELECT frame_id, source AS target, lat + 0.0033::DOUBLE AS lat, lon + 0.0137::DOUBLE AS lon FROM s),
-    d AS (SELECT t.frame_id, t.target, s.source, s.value, s.valid, 2 * 6371.0088 * asin(sqrt(pow(sin(radians(s.lat - t.lat) / 2), 2) + cos(radians(t.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - t.lon) / 2), 2))) AS km FROM t JOIN s USING (frame_id)),
-    k AS (SELECT *, row_number() OVER (PARTITION BY frame_id, target ORDER BY km, source) AS k FROM d WHERE km <= 2)
-    SELECT t.frame_id, t.target, round(CASE WHEN k.valid THEN k.value END, 4) AS value, coalesce(k.valid, false) AS valid FROM t LEFT JOIN k ON k.frame_id = t.frame_id AND k.target = t.target AND k.k = 1
-""")
+@query("regrid_nearest_pixels", REGRID)
 def regrid_nearest_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = b.pixels(spark, sf_dir).selectExpr("frame_id", "cast(row * 8 + col AS bigint) AS source", "30 + row * 0.01D AS lat", "-120 + col * 0.01D AS lon", "cast(v7 AS double) AS value", "NOT invalid AS valid")
     t = s.selectExpr("frame_id", "source AS target", "lat + 0.0033D AS lat", "lon + 0.0137D AS lon")
@@ -119,9 +124,21 @@ def outcome_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("case_id", "outcome", "outcome_confidence", decide.prediction(F.col("outcome")).alias("prediction"))
 
 
-@query("outcome_explanations")
+def _case(values: dict[str, str], of: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"CASE {of} " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in values.items()) + " END"
+
+
+@query("outcome_explanations", f"""
+    WITH {FACTS_SQL}, {OUTCOME}, r AS (SELECT *, list_filter([{', '.join(f"CASE WHEN {v} THEN '{v}' END" for v in HAS)}], lambda x: x IS NOT NULL) AS base FROM o),
+    e AS (SELECT outcome, list_concat(base, CASE WHEN outcome = 'failed' THEN [] WHEN budget_exhausted THEN ['budget_exhausted', 'insufficient_evidence'] WHEN outcome = 'insufficient_evidence' THEN ['insufficient_evidence'] WHEN outcome = 'human_review' THEN ['human_review_required']
+        WHEN outcome = 'review_escalation' THEN ['thermal_evidence_persistent', 'human_review_required'] WHEN candidate_region_count = 0 THEN ['thermal_evidence_absent', 'no_persistent_evidence'] ELSE ['thermal_anomaly_weak', 'no_persistent_evidence'] END) AS every FROM r),
+    d AS (SELECT outcome, list_filter(every, lambda x, i: list_position(every, x) = i) AS codes FROM e)
+    SELECT outcome, array_to_string(codes, ',') AS outcome_reasons, {_case(decide.OUTCOME_TEXT, 'outcome')} || ' ' || array_to_string(list_transform(codes, lambda x: {_case(decide.REASON_TEXT, 'x')}), ' ') AS explanation, count(*) AS cases FROM d GROUP BY ALL
+""")
 def outcome_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide.calibrate(facts(spark, sf_dir)).groupBy("outcome", "outcome_reasons", "explanation").agg(F.count("*").alias("cases"))
+    found = decide.calibrate(facts(spark, sf_dir)).withColumn("outcome_reasons", F.array_join("outcome_reasons", ","))
+    return found.groupBy("outcome", "outcome_reasons", "explanation").agg(F.count("*").alias("cases"))
 
 
 POLICY = """
@@ -325,9 +342,18 @@ def split_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(graph.allocate(graph.by_shared_keys(c, "case_id", KEYS), "case_id"), "case_id")
 
 
-@query("split_allocation")
+@query("split_allocation", f"""
+    WITH RECURSIVE {SPLIT_SQL}, gr AS (SELECT root, count(*) AS n, sha256(string_agg(case_id::VARCHAR, chr(0) ORDER BY case_id::VARCHAR)) AS h FROM rt GROUP BY root), od AS (SELECT *, row_number() OVER (ORDER BY n DESC, h) AS k FROM gr),
+    fold(k, root, a, b, c, split) AS (
+        SELECT k, root, n, 0::BIGINT, 0::BIGINT, 'development' FROM od WHERE k = 1
+        UNION ALL
+        SELECT k, root, a + CASE split WHEN 'development' THEN n ELSE 0 END, b + CASE split WHEN 'test' THEN n ELSE 0 END, c + CASE split WHEN 'stress' THEN n ELSE 0 END, split FROM (
+            SELECT od.k, od.root, od.n, a, b, c, CASE WHEN od.k = 2 THEN 'test' WHEN od.k = 3 THEN 'stress' WHEN a / 0.6::DOUBLE <= b / 0.2::DOUBLE AND a / 0.6::DOUBLE <= c / 0.2::DOUBLE THEN 'development' WHEN b <= c THEN 'test' ELSE 'stress' END AS split
+            FROM fold JOIN od ON od.k = fold.k + 1)
+    )
+    SELECT rt.case_id, fold.split FROM rt JOIN fold USING (root)
+""")
 def split_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases by split; pytest holds the fold against a plain loop."""
     return split_cases(spark, sf_dir).select("case_id", "split")
 
 

@@ -221,7 +221,18 @@ def iso_week_and_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "orders").select("o_orderkey", calendar.iso_week(at).alias("week"), calendar.rfc3339(at).alias("stamp"))
 
 
-@query("projection_round_trip")
+@query("projection_round_trip", f"""
+    WITH {b.SHIPPED}, k AS (SELECT 35786023.0::DOUBLE + 6378137.0::DOUBLE AS h, -137.2::DOUBLE AS lon0, 6378137.0::DOUBLE AS a, 6356752.31414::DOUBLE AS b),
+    f0 AS (SELECT detection_id, latitude AS lat, longitude AS lon, k.*, atan((k.b / k.a) ** 2 * tan(radians(latitude))) AS phi, radians(longitude - lon0) AS d FROM shp, k),
+    f1 AS (SELECT *, b / sqrt(1 - (1 - (b / a) ** 2) * cos(phi) ** 2) AS rc FROM f0),
+    f2 AS (SELECT *, h - rc * cos(phi) * cos(d) AS sx, -rc * cos(phi) * sin(d) AS sy, rc * sin(phi) AS sz FROM f1),
+    f3 AS (SELECT *, CASE WHEN h * (h - sx) >= sy * sy + (a / b) ** 2 * sz * sz THEN asin(-sy / sqrt(sx * sx + sy * sy + sz * sz)) END AS x, CASE WHEN h * (h - sx) >= sy * sy + (a / b) ** 2 * sz * sz THEN atan(sz / sx) END AS y FROM f2),
+    g0 AS (SELECT *, sin(x) ** 2 + cos(x) ** 2 * (cos(y) ** 2 + (a / b) ** 2 * sin(y) ** 2) AS qa, -2 * h * cos(x) * cos(y) AS qb FROM f3),
+    g1 AS (SELECT *, (-qb - sqrt(qb * qb - 4 * qa * (h ** 2 - a ** 2))) / (2 * qa) AS rs FROM g0),
+    g2 AS (SELECT *, degrees(atan((a / b) ** 2 * (rs * cos(x) * sin(y)) / sqrt((h - rs * cos(x) * cos(y)) ** 2 + (rs * sin(x)) ** 2))) AS lat2, lon0 - degrees(atan2(-rs * sin(x), h - rs * cos(x) * cos(y))) AS lon2 FROM g1),
+    g3 AS (SELECT *, CASE WHEN lon2 < -180 THEN lon2 + 360 WHEN lon2 > 180 THEN lon2 - 360 ELSE lon2 END AS lon3 FROM g2)
+    SELECT detection_id, round(x, 6) AS x, round(y, 6) AS y, round(2 * {geo.RADIUS_KM} * asin(sqrt(least(1.0, sin(radians(lat2 - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(lat2)) * sin(radians(lon3 - lon) / 2) ** 2))), 3) AS off_km FROM g3
+""")
 def projection_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places to scan angles and back, with the distance between."""
     p = (35786023.0, -137.2, 6378137.0, 6356752.31414)
