@@ -110,17 +110,20 @@ def test_maximum_matching(spark):
     assert len(got) == sum(place(p, set()) for p in range(12))
 
 
-def test_components_of_a_long_chain_and_a_hot_star(spark):
+@pytest.mark.parametrize("one", [graph.ONE_TASK, 0])
+def test_components_of_a_long_chain_and_a_hot_star(spark, monkeypatch, one):
+    monkeypatch.setattr(graph, "ONE_TASK", one)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 400)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(v == (0 if k < 1000 else 1000) for k, v in got.items())
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("held", [graph.HELD, 3])
-def test_hot_nodes_are_split_and_old_rounds_deleted(spark, monkeypatch, held):
+@pytest.mark.parametrize(("held", "one"), [(graph.HELD, graph.ONE_TASK), (graph.HELD, 0), (3, 0)])
+def test_hot_nodes_are_split_and_old_rounds_deleted(spark, monkeypatch, held, one):
     import random
 
+    monkeypatch.setattr(graph, "ONE_TASK", one)
     monkeypatch.setattr(graph, "HOT_ROWS", 8)
     monkeypatch.setattr(graph, "HELD", held)
     rng = random.Random(3)

@@ -22,6 +22,8 @@ from thermal_lake.shipping import ship
 HOT_ROWS, HOT_KEYS = 512, 4096
 #: Nodes that a task connects at once; what it has found so far is handed on then.
 HELD = 500_000
+#: Edges left after that, counted, which one task connects whole; more take rounds.
+ONE_TASK = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -153,12 +155,17 @@ def thinned(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for the nodes of edges (a, b), root the least node that is reachable.
 
-    Tasks connect their own parts first, so that few edges are left. Then each round a node takes the least root around it, and what its root's members found or its root itself points to; chains shorten by half
+    Tasks connect their own parts first, so that few edges are left; up to ONE_TASK of them a single task connects. Else each round a node takes the least root around it, and what its root's members found or its root itself points to; chains shorten by half
     or more a round. A round reads the table that the one before it wrote, which is deleted afterwards. Roots of many nodes, and nodes of many edges, are split.
     """
     spark = edges.sparkSession
     few_at = save(thinned(edges), f"{name}-thinned")
     few = spark.read.schema(edges.select("a", "b").schema).parquet(few_at)
+    if few.count() <= ONE_TASK:
+        star = thinned(few.coalesce(1))
+        labels = written(star.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root"))))).distinct(), name)
+        discard(spark, few_at)
+        return labels
     around = save(few.unionAll(few.selectExpr("b AS a", "a AS b")).distinct(), f"{name}-edges")
     discard(spark, few_at)
     both = spark.read.parquet(around)
