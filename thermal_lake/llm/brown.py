@@ -306,8 +306,8 @@ def class_table(encoded: DataFrame, cls: np.ndarray, classes: int) -> np.ndarray
     return table.reshape(classes, classes)
 
 
-def cluster(encoded: DataFrame, counts: np.ndarray, total: int, classes: int = CLASSES) -> np.ndarray:
-    """A class for every unit: exchange among the most frequent ones, a step for all others by their bigrams with the classes found, and steps of all units at once, taken while the likelihood rises."""
+def cluster(encoded: DataFrame, counts: np.ndarray, total: int, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+    """A class for every unit, and the class bigrams: exchange among the most frequent ones, a step for all others by their bigrams with the classes found, and steps of all units at once, taken while the likelihood rises."""
     units = len(counts)
     core = np.flatnonzero((counts >= CORE_SHARE * total) & (np.arange(units) != END_UNIT))
     core = core[np.argsort(-counts[core], kind="stable")]
@@ -322,22 +322,22 @@ def cluster(encoded: DataFrame, counts: np.ndarray, total: int, classes: int = C
     cls = found[place]
     rest = cls == classes
     if not rest.any():
-        return cls
+        return cls, class_table(encoded, cls, classes)
     one = np.zeros((k, classes + 1))
     one[np.arange(k), found] = 1
     unit, new = stepped(sided_counts(encoded, cls, rest, classes + 1), one.T @ pairs @ one, cls, [END_CLASS, classes])
     cls[rest] = 1 if classes > 1 else 0
     cls[unit] = new
-    best, all_units = likelihood(class_table(encoded, cls, classes)), np.arange(units) != END_UNIT
+    table, all_units = class_table(encoded, cls, classes), np.arange(units) != END_UNIT
     for _ in range(ROUNDS):
-        unit, new = stepped(sided_counts(encoded, cls, all_units, classes), class_table(encoded, cls, classes), cls, [END_CLASS])
+        unit, new = stepped(sided_counts(encoded, cls, all_units, classes), table, cls, [END_CLASS])
         moved = cls.copy()
         moved[unit] = new
-        now = likelihood(class_table(encoded, moved, classes))
-        if now <= best:
+        now = class_table(encoded, moved, classes)
+        if likelihood(now) <= likelihood(table):
             break
-        best, cls = now, moved
-    return cls
+        cls, table = moved, now
+    return cls, table
 
 
 @dataclass
@@ -350,8 +350,7 @@ class Model:
 
     @classmethod
     def fit(cls, encoded: DataFrame, words: Words, classes: int = CLASSES) -> Model:
-        of = cluster(encoded, words.counts, words.total, classes)
-        table = class_table(encoded, of, classes)
+        of, table = cluster(encoded, words.counts, words.total, classes)
         mass, size = np.bincount(of, weights=words.counts, minlength=classes), np.bincount(of, minlength=classes)
         prior = (mass + 1) / (mass.sum() + classes)
         smooth = float(classes)
