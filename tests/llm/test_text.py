@@ -491,6 +491,19 @@ def test_prefix_is_shortened_until_the_measured_recall_reaches_the_target(spark,
     assert jaccard_join.shortened(np.empty(0), np.empty(0), 20, 8, 5, 0.999) == 5
 
 
+@pytest.mark.parametrize("block", [jaccard_join.BLOCK_ROWS, 16])
+def test_all_neighbours_measure_the_recall(spark, tmp_path, monkeypatch, block):
+    """More than 4096 neighbours: each of them that is similar is counted, in small components and in large ones."""
+    counted, real, edges = [], jaccard_join.shortened, jaccard_join.neighbours
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", block)
+    monkeypatch.setattr(jaccard_join, "shortened", lambda *a: counted.append(int(sum(a[6])) if len(a) > 6 else len(a[0])) or real(*a))
+    monkeypatch.setattr(jaccard_join, "neighbours", lambda *a: counted.append(edges(*a).count()) or edges(*a))
+    rows = [(120 * k + i, " ".join([f"a{k}x{j}" for j in range(60)] + [f"z{k}y{i}"])) for k in range(14) for i in range(120)]
+    got, _ = joined(table(spark, tmp_path, rows, "doc_id long, text string"))
+    assert got == similar(rows)
+    assert counted[0] == counted[1] > 4096
+
+
 def test_planted_pairs_at_the_threshold_are_found(spark, tmp_path):
     """Pairs of a similarity of 0.8 to 0.83, far from all others: at least 0.99 of them are linked."""
     rng, rows = random.Random(22), []

@@ -3,9 +3,9 @@
 1. Texts with the same shingle set are one representative (a grouped minimum; copies are never paired).
 2. A representative has a label of DEPTH minimum hashes in each of TREES trees. A tree is the sorted list of its labels: neighbours in it and how many hashes their
    labels begin with alike say all nodes of the prefix trie, at every depth. A range partitioning deals the list, so no node has to fit one task.
-3. The prefix that has to match begins at DEPTH and is shortened until the recall that is measured on verified neighbours reaches the target in every
+3. The prefix that has to match begins at DEPTH and is shortened until the recall that is measured on all neighbours, each verified, reaches the target in every
    range of similarities, at the latest where pairs at the threshold meet with that probability. Neighbours that share it are linked.
-4. Components of these links that fit a task are verified whole, every pair. In larger ones the deepest neighbours are verified first, then, node by node of the tries, the pairs whose ends
+4. Components of these links that fit a task are verified whole, every pair. Larger ones begin with their similar neighbours; then, node by node of the tries, the pairs whose ends
    are in different classes so far; at last every pair within a class, for the number of links. A node or class beyond a task meets in blocks of bounded size.
 """
 
@@ -18,7 +18,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thermal_lake.llm.common import map_arrow, numbered, only_rows, scratch, without, written
@@ -29,10 +29,8 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 TREES, DEPTH = 20, 8
 #: Shingles, and representatives, that a block may hold on average.
 BLOCK_SHINGLES, BLOCK_ROWS = 500_000, 1024
-#: Neighbours of a representative, the deepest ones, that connect a large component before its nodes are verified.
-NEAREST = 2
-#: Neighbours that measure the recall, at most (those whose ids hash least), and the width of the ranges of similarities it is measured in.
-PILOT, RANGE = 4096, 0.05
+#: The width of the ranges of similarities that the recall is measured in, and the steps of 1 in which neighbours' similarities are counted for that.
+RANGE, STEPS = 0.05, 10_000
 #: Bytes of a label that each of its hashes takes.
 WIDE = 2
 SEED = 20_011
@@ -48,22 +46,23 @@ def longest_prefix(trees: int, depth: int, threshold: float, recall: float) -> i
     return next((n for n in range(depth, 1, -1) if met(threshold, trees, n) >= recall), 1)
 
 
-def measured_recall(similarity: np.ndarray, depth: np.ndarray, length: int, trees: int, least: int) -> float:
+def measured_recall(similarity: np.ndarray, depth: np.ndarray, length: int, trees: int, least: int, pairs: np.ndarray | None = None) -> float:
     """Of the similar pairs that there must be, the part that prefixes of that length find, in the range of similarities where it is least.
 
-    similarity and depth (the longest prefix shared) are of pairs that met at length `least`; each stands for 1 / met() pairs, so that those which didn't meet count too. Without any pair: 0.
+    similarity and depth (the longest prefix shared) are of pairs that met at length `least`, pairs says of how many (None: one each); each stands for 1 / met() pairs, so that those which didn't meet count too. Without any pair: 0.
     """
     if not len(similarity):
         return 0.0
+    pairs = np.ones(len(similarity)) if pairs is None else pairs
     bins = np.floor(similarity / RANGE + 1e-9).astype(int)
-    total = np.bincount(bins, weights=[1 / met(x, trees, least) for x in similarity])
-    found = np.bincount(bins, weights=depth >= length, minlength=len(total))
+    total = np.bincount(bins, weights=pairs / np.array([met(x, trees, least) for x in similarity]))
+    found = np.bincount(bins, weights=pairs * (depth >= length), minlength=len(total))
     return float((found[total > 0] / total[total > 0]).min())
 
 
-def shortened(similarity: np.ndarray, depth: np.ndarray, trees: int, deepest: int, least: int, recall: float) -> int:
+def shortened(similarity: np.ndarray, depth: np.ndarray, trees: int, deepest: int, least: int, recall: float, pairs: np.ndarray | None = None) -> int:
     """The prefix, shortened from the deepest on until its measured recall reaches the target; `least` if none does."""
-    return next((n for n in range(deepest, least, -1) if measured_recall(similarity, depth, n, trees, least) >= recall), least)
+    return next((n for n in range(deepest, least, -1) if measured_recall(similarity, depth, n, trees, least, pairs) >= recall), least)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -294,12 +293,31 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(two, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema) + ", similarity double", compare)
 
 
-def in_large(near: DataFrame, edges: DataFrame, reps: DataFrame, sets: DataFrame, length: int, trees: int, depth: int, threshold: float) -> DataFrame:
-    """(rep, root, links) of the members `near` (rep, comp, copies, size) of components beyond a task, edges being their neighbours."""
-    own = edges.join(near.select(F.col("rep").alias("a")), "a", "left_semi")
-    ends = own.select("a", "b", "depth").unionAll(own.selectExpr("b AS a", "a AS b", "depth"))
-    ends = ends.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("depth"), "b"))).where(F.col("k") <= NEAREST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sure = [written(similar_pairs(ends, sets).where(F.col("similarity") >= threshold - 1e-9).select("a", "b"), "jaccard-sure")]
+def grouped_similarities(edges: DataFrame, near: DataFrame, sets: DataFrame) -> DataFrame:
+    """(similarity, depth) of each of the edges (a, b, depth) inside the components of near (rep, comp), which fit a task: a set goes to its component once, however many neighbours it has."""
+    own = edges.join(near.select(F.col("rep").alias("a"), "comp"), "a")
+    none = F.lit(None).cast(f"struct<b:bigint,depth:{edges.schema['depth'].dataType.simpleString()}>")
+    ends = own.select("comp", F.col("a").alias("rep"), F.struct("b", "depth").alias("beside")).unionAll(own.select("comp", F.col("b").alias("rep"), none))
+    dealt = ends.groupBy("comp", "rep").agg(F.collect_list("beside").alias("beside")).join(sets, "rep")
+
+    def measure(table: pa.Table) -> pa.Table:
+        sets = {r: np.frombuffer(x, dtype=np.uint64) for r, x in zip(table.column("rep").to_pylist(), table.column("shingles").to_pylist(), strict=True)}
+        similarity, depth = [], []
+        for a, beside in zip(table.column("rep").to_pylist(), table.column("beside").to_pylist(), strict=True):
+            for e in beside:
+                x, y = sets[a], sets[e["b"]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                similarity.append(both / (len(x) + len(y) - both))
+                depth.append(e["depth"])
+        return pa.table({"similarity": pa.array(similarity, pa.float64()), "depth": pa.array(depth, pa.int32())})
+
+    return dealt.groupBy("comp").applyInArrow(measure, "similarity double, depth int")
+
+
+def in_large(near: DataFrame, similar: DataFrame, reps: DataFrame, sets: DataFrame, length: int, trees: int, depth: int, threshold: float) -> DataFrame:
+    """(rep, root, links) of the members `near` (rep, comp, copies, size) of components beyond a task; similar (a, b): neighbours that are linked for sure, inside components or across them."""
+    inside = lambda e: near.select(F.col("rep").alias(e))
+    sure = [written(similar.select("a", "b").join(inside("a"), "a", "left_semi").join(inside("b"), "b", "left_semi"), "jaccard-sure")]
 
     def classed() -> DataFrame:
         found = components(reduce(DataFrame.unionAll, sure), "jaccard-classes")
@@ -360,21 +378,34 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
         def sets_of(wanted: DataFrame, name: str) -> DataFrame:
             return written(map_arrow(only_rows(rows.select("row", "text"), "row", wanted, True), "rep long, shingles binary", shingle), name)
 
-        pilot = written(edges.orderBy(F.xxhash64("a", "b"), "a", "b").limit(PILOT), "jaccard-pilot")
-        ends = pilot.select(F.col("a").alias("row")).unionAll(pilot.select("b")).distinct()
-        measured = similar_pairs(pilot, sets_of(ends, "jaccard-pilot-sets")).where(F.col("similarity") >= threshold - 1e-9).toArrow()
-        length = shortened(measured.column("similarity").to_numpy(), measured.column("depth").to_numpy(), trees, depth, least, recall)
+        def joined(edges: DataFrame, name: str) -> DataFrame:
+            found = components(edges.select("a", "b"), name).join(reps, F.col("node") == F.col("rep"))
+            return written(found.select("rep", F.col("root").alias("comp"), "copies", "size"), name)
+
+        def parted(near: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+            if large.isEmpty():
+                return near, None
+            return near.join(large, F.col("comp") == F.col("of"), "left_anti"), looked_up(near, "comp", "rep", large.select("of"), "of", hot_keys(near, "comp", near.count())).drop("of")
 
-        edges = edges.where(F.col("depth") >= length)
-        near = components(edges.select("a", "b"), "jaccard-near").join(reps, F.col("node") == F.col("rep")).select("rep", F.col("root").alias("comp"), "copies", "size")
-        near = written(near, "jaccard-near")
+        # every neighbour is verified: they measure the recall, and the similar ones connect the large components
+        near = joined(edges, "jaccard-beside")
         sets = sets_of(near.select(F.col("rep").alias("row")), "jaccard-sets")
         large = written(blocks_of(near, "comp"), "jaccard-large")
-        small = near if large.isEmpty() else near.join(large, F.col("comp") == F.col("of"), "left_anti")
+        small, inside = parted(near, large)
+        measured, similar = grouped_similarities(edges, small, sets), None
+        if inside is not None:
+            similar = written(similar_pairs(edges.join(inside.select(F.col("rep").alias("a")), "a", "left_semi").select("a", "b", "depth"), sets).where(F.col("similarity") >= threshold - 1e-9), "jaccard-similar")
+            measured = measured.unionAll(similar.select("similarity", "depth"))
+        measured = measured.where(F.col("similarity") >= threshold - 1e-9).groupBy((F.floor(F.col("similarity") * STEPS + 1e-6) / STEPS).alias("similarity"), "depth").agg(F.count("*").alias("pairs")).toArrow()
+        length = shortened(measured.column("similarity").to_numpy(), measured.column("depth").to_numpy(), trees, depth, least, recall, measured.column("pairs").to_numpy())
+
+        if length > least:
+            near = joined(edges.where(F.col("depth") >= length), "jaccard-near")
+            large = written(blocks_of(near, "comp"), "jaccard-large")
+            small, inside = parted(near, large)
         found = verified(small.withColumn("cls", F.lit(None).cast("long")), sets, "comp", threshold).select("rep", "root", "links")
-        if not large.isEmpty():
-            inside = looked_up(near, "comp", "rep", large.select("of"), "of", hot_keys(near, "comp", near.count())).drop("of")
-            found = found.unionAll(in_large(written(inside, "jaccard-inside"), edges, reps, sets, length, trees, depth, threshold))
+        if inside is not None:
+            found = found.unionAll(in_large(written(inside, "jaccard-inside"), similar, reps, sets, length, trees, depth, threshold))
 
         members = reps.select("key", "rep", "id", "head", "copies").join(found, "rep", "left").select("key", "id", "head", "copies", "links", F.coalesce("root", "rep").alias("root"))
         members = written(members, "jaccard-found")
