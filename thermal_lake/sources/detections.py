@@ -103,8 +103,8 @@ def _rounded(c: Column, digits: int) -> Column:
     return F.round(c, digits).cast("double") + F.lit(0.0)
 
 
-def normalized(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of text to detections; `error` names what is wrong with a row (null: nothing), and then its values may be null. source_file and row_number stay if raw has them."""
+def normalized(raw: DataFrame, keep: tuple[str, ...] = (), longitudes: tuple[float, float] | None = (-180, 180)) -> DataFrame:
+    """Rows of text to detections; `error` names what is wrong with a row (null: nothing), and then its values may be null. source_file and row_number stay if raw has them. longitudes: their range (None: any number)."""
     keep = (*keep, *(c for c in PLACE if c in raw.columns and c not in keep))
     date = F.when(F.col("acq_date").rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp("acq_date", F.lit("yyyy-M-d")))
     digits = F.col("acq_time").rlike(r"^[0-9]{1,4}$")
@@ -117,10 +117,12 @@ def normalized(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     plain = F.regexp_replace(F.regexp_replace(F.round(number, 3).cast("decimal(12,3)").cast("string"), "0+$", ""), r"\.$", "")
     alias = F.try_element_at(aliases, F.lower("confidence"))
     checks = [
-        (date.isNull(), "acq_date"), (hour.isNull() | (hour > 23) | (minute > 59), "acq_time"), (lat.isNull() | ~lat.between(-90, 90), "latitude"), (lon.isNull() | ~lon.between(-180, 180), "longitude"),
+        (date.isNull(), "acq_date"), (hour.isNull() | (hour > 23) | (minute > 59), "acq_time"), (lat.isNull() | ~lat.between(-90, 90), "latitude"), (lon.isNull() | ~lon.between(*(longitudes or (-180, 180))), "longitude"),
         (bright.isNull() | (bright <= 0) | (bright > 2000), "brightness"), (F.col("confidence").isNull() | (alias.isNull() & (number.isNull() | ~number.between(0, 100))), "confidence"),
         (~F.coalesce(F.col("instrument").rlike(INSTRUMENT), F.lit(False)), "instrument"),
     ]
+    if longitudes is None:
+        checks = [(lon.isNull() if name == "longitude" else bad, name) for bad, name in checks]
     error = F.coalesce(*[F.when(bad, F.lit(name)) for bad, name in checks])
     when = F.timestamp_micros(F.unix_micros(date) + (hour * 60 + minute).cast("long") * 60_000_000)
     return raw.select(
