@@ -29,6 +29,28 @@ def test_as_of_boundaries(spark):
     assert (r[5]["missing_reason"], r[5]["candidate_count"]) == ("no_matching_objects", 0)
 
 
+def test_as_of_makes_no_pairs(spark):
+    """Scans of one start, ties before and after, requests on a start, hours that touch, and no join of requests with scans' hours."""
+    rng = random.Random(9)
+    at = lambda: T0 + dt.timedelta(seconds=rng.randrange(4 * 360) * 10)
+    scans = [(at(), rng.choice(["C07", "C14"]), f"k{i}") for i in range(300)]
+    asked = [(i, at(), rng.choice(["C07", "C14", "C01"])) for i in range(200)] + [(200, None, "C07"), (201, T0 + dt.timedelta(hours=5), "C07"), (3, at(), "C14")]
+    hour = lambda t: t.replace(minute=0, second=0)
+    want = []
+    limit = dt.timedelta(seconds=600)
+    for i, _, _ in asked:
+        met = [(abs(s - t), s, k) for j, t, c in asked if j == i and t for s, d, k in scans if c == d and hour(t - limit) <= hour(s) <= hour(t + limit)]
+        best = min(met, default=None)
+        near = best is not None and best[0] <= limit
+        want.append((i, best[1] if near else None, best[2] if near else None, "no_matching_objects" if best is None else None if near else "outside_maximum_offset", len(met)))
+    s = spark.createDataFrame(scans, "scan_start timestamp, channel string, object_key string")
+    found = relate.nearest_scans(spark.createDataFrame(asked, "id int, at timestamp, channel string"), s, "id", "at", "channel", 600_000_000)
+    assert sorted(map(repr, want)) == sorted(repr((r["id"], r["scan_start"], r["object_key"], r["missing_reason"], r["candidate_count"])) for r in found.collect())
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert not any("_hour" in x for x in joins)
+    assert any("Window" in x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
 def test_object_keys(spark):
     good = spark.createDataFrame([(dt.datetime(2024, 12, 31, 23, 59, 50), "C07")], "at timestamp, channel string").select(catalog.object_key(F.col("at"), F.col("channel")).alias("object_key")).first()[0]
     keys = [good, good.replace("C07", "C08"), good.replace("/366/", "/365/"), "x.nc", good.replace("_s2024366", "_s2024999"), None]

@@ -18,18 +18,26 @@ HOUR = 3_600_000_000
 def nearest_scans(requests: DataFrame, scans: DataFrame, request: str, at: str, channel: str, maximum_micros: int, scan_at: str = "scan_start", key: str = "object_key") -> DataFrame:
     """Each request's scan of its channel nearest in time, by (distance, start, key), within maximum_micros; or a missing_reason.
 
-    Candidates are the scans of the hours that the time, give or take the maximum, touches; both sides meet on (channel, hour), and
-    minima are partial, so no pair outlives the map side. candidate_count is of all candidates there.
+    Candidates are the scans of the hours that the time, give or take the maximum, touches. Requests and scans of a (channel, hour) stand in one order of time, so that a request's neighbours in it are the nearest before and after and
+    no pair is made; candidate_count is of all candidates there. Keys are looked up for what was found.
     """
-    wide = requests.select(F.col(request), F.col(at).alias("_at"), F.col(channel).alias("_channel"))
-    asked = wide.select("*", F.explode(calendar.hour_prefixes(F.col("_at"), maximum_micros // 1_000_000)).alias("_hour"))
-    there = scans.select(F.col(channel).alias("_c"), F.date_trunc("hour", scan_at).alias("_h"), F.col(scan_at).alias("scan_start"), F.col(key).alias("object_key"))
-    met = asked.join(there, (F.col("_channel") == F.col("_c")) & (F.col("_hour") == F.col("_h")))
-    best = met.groupBy(request).agg(F.min(F.struct(calendar.seconds_between(F.col("scan_start"), F.col("_at")).alias("d"), F.col("scan_start"), F.col("object_key"))).alias("b"), F.count("*").alias("candidate_count"))
-    out = wide.join(best, request, "left")
+    asked = requests.select(F.col(request).alias("_request"), F.col(at).alias("_at"), F.col(channel).alias("_channel"), F.explode(calendar.hour_prefixes(F.col(at), maximum_micros // 1_000_000)).alias("_hour"))
+    there = scans.select(F.col(channel).alias("_channel"), F.col(scan_at).alias("_at"), F.col(key).alias("_key")).where("_channel IS NOT NULL AND _at IS NOT NULL")
+    starts = there.groupBy("_channel", "_at").agg(F.count("*").alias("_n"))
+    line = asked.select("_channel", "_hour", "_at", F.lit(1).alias("_asks"), "_request", F.lit(None).cast("long").alias("_n"))
+    line = line.unionByName(starts.select("_channel", F.date_trunc("hour", "_at").alias("_hour"), "_at", F.lit(0).alias("_asks"), F.lit(None).cast(requests.schema[request].dataType).alias("_request"), "_n"))
+    hour = Window.partitionBy("_channel", "_hour")
+    so_far = lambda order: F.last(F.when(F.col("_asks") == 0, F.col("_at")), ignorenulls=True).over(hour.orderBy(order, "_asks").rowsBetween(Window.unboundedPreceding, 0))
+    line = line.withColumn("_n", F.sum("_n").over(hour)).withColumn("_before", so_far(F.asc("_at"))).withColumn("_after", so_far(F.desc("_at"))).where("_asks = 1 AND _n IS NOT NULL")
+    since, until = calendar.seconds_between(F.col("_before"), F.col("_at")), calendar.seconds_between(F.col("_after"), F.col("_at"))
+    nearest = F.when(F.col("_after").isNull() | (since <= until), F.col("_before")).otherwise(F.col("_after"))
+    best = line.groupBy("_request").agg(F.min(F.struct(calendar.seconds_between(nearest, F.col("_at")).alias("d"), nearest.alias("at"), F.col("_channel").alias("channel"))).alias("b"), F.sum("_n").alias("candidate_count"))
+    keys = there.groupBy(F.col("_channel").alias("_c"), F.col("_at").alias("_start")).agg(F.min(F.struct("_key")).alias("_first"))
     near = F.col("b.d") <= maximum_micros
+    out = requests.select(request).join(best, F.col(request) == F.col("_request"), "left")
+    out = out.withColumn("_near", F.when(near, F.col("b.at"))).join(keys, (F.col("b.channel") == F.col("_c")) & (F.col("_near") == F.col("_start")), "left")
     return out.select(
-        request, F.when(near, F.col("b.scan_start")).alias("scan_start"), F.when(near, F.col("b.object_key")).alias("object_key"), F.when(near, F.col("b.d")).alias("offset_micros"),
+        request, F.col("_near").alias("scan_start"), F.when(near, F.col("_first._key")).alias("object_key"), F.when(near, F.col("b.d")).alias("offset_micros"),
         F.when(F.col("b").isNull(), "no_matching_objects").when(~near, "outside_maximum_offset").alias("missing_reason"), F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"),
     )
 
