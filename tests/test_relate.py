@@ -51,6 +51,19 @@ def test_as_of_makes_no_pairs(spark):
     assert any("Window" in x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines())
 
 
+def test_candidates_explode_places_not_rows(spark, monkeypatch):
+    rows = [(i, T0 + dt.timedelta(minutes=37 * (i % 50)), 30 + (i % 4) * 0.1, -120.0) for i in range(300)]
+    seen, real = [], relate.near_cells
+    monkeypatch.setattr(relate, "near_cells", lambda df, *a: seen.append(df.count()) or real(df, *a))
+    e = spark.createDataFrame([(i, t, t + dt.timedelta(minutes=200 * (i % 3)), a, o) for i, t, a, o in rows], "event_id long, start_time timestamp, end_time timestamp, latitude double, longitude double")
+    w = spark.createDataFrame(rows, "window_id long, anchor_at timestamp, latitude double, longitude double")
+    got = {(r["event_id"], r["window_id"], r["distance_micros"]) for r in relate.positive_candidates(e, w).collect()}
+    late = lambda t, end, m: 0 if t <= m <= end else min(abs(m - t), abs(m - end)) // dt.timedelta(microseconds=1)
+    every = {(i, j, late(t, t + dt.timedelta(minutes=200 * (i % 3)), m)) for i, t, a, o in rows for j, m, b, q in rows if km((a, o), (b, q)) <= 25}
+    assert got == {x for x in every if x[2] <= 90 * 60_000_000}
+    assert max(seen) == 4
+
+
 def test_object_keys(spark):
     good = spark.createDataFrame([(dt.datetime(2024, 12, 31, 23, 59, 50), "C07")], "at timestamp, channel string").select(catalog.object_key(F.col("at"), F.col("channel")).alias("object_key")).first()[0]
     keys = [good, good.replace("C07", "C08"), good.replace("/366/", "/365/"), "x.nc", good.replace("_s2024366", "_s2024999"), None]

@@ -71,13 +71,36 @@ def within(left: DataFrame, right: DataFrame, km: float, micros: int, how: str,
 
 
 def positive_candidates(events: DataFrame, windows: DataFrame, km: float = 25.0, micros: int = 90 * 60_000_000) -> DataFrame:
-    """All (event, window) pairs near in time and space: event_id, window_id, start_time, distance_micros, distance_km."""
+    """All (event, window) pairs near in time and space: event_id, window_id, start_time, distance_micros, distance_km.
+
+    Places are paired first, each once however many rows it has; events and windows then meet on the window's place and a time bucket.
+    """
     e = events.selectExpr("event_id", "start_time", "end_time", "latitude AS _lat", "longitude AS _lon")
     w = windows.selectExpr("window_id", "anchor_at", "latitude AS lat", "longitude AS lon")
-    distance = geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
+    places = place_pairs(e.select("_lat", "_lon").distinct(), w.select("lat", "lon").distinct(), km)
     late = calendar.micros_to_interval(F.col("anchor_at"), F.col("start_time"), F.col("end_time"))
-    pairs = within(e, w, km, micros, "inner", (late <= micros) & (distance <= km), ("start_time", "end_time"), "anchor_at")
-    return pairs.select("event_id", "window_id", "start_time", late.cast("long").alias("distance_micros"), distance.alias("distance_km"))
+    size = max(1, REACHES * micros)
+    bucket = lambda c, by: F.floor((F.unix_micros(c) + (by + size // 2)) / size)
+    there = e.join(F.broadcast(places) if places.count() <= FEW_PLACES else places, ["_lat", "_lon"]).drop("_lat", "_lon")
+    there = there.withColumn("_t", F.explode(F.sequence(bucket("start_time", -micros), bucket("end_time", micros))))
+    pairs = there.join(w.withColumn("_t", bucket("anchor_at", 0)), ["lat", "lon", "_t"]).where(late <= micros)
+    return pairs.select("event_id", "window_id", "start_time", late.cast("long").alias("distance_micros"), "distance_km")
+
+
+#: Pairs of places that are broadcast, at most; more meet their events by a shuffle.
+FEW_PLACES = 200_000
+#: Width of a time bucket, in times that two rows may be apart.
+REACHES = 8
+
+
+def place_pairs(first: DataFrame, second: DataFrame, km: float) -> DataFrame:
+    """(_lat, _lon, lat, lon, distance_km) of the places (_lat, _lon) and (lat, lon) within the distance, as a table."""
+    names, cells = ("_x", "_y", "_z"), ("_rx", "_ry", "_rz")
+    distance = geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
+    reach = near_cells(first, F.col("_lat"), F.col("_lon"), km, names, True)
+    there = near_cells(second, F.col("lat"), F.col("lon"), km, cells, False)
+    met = reach.join(there, [F.col(a) == F.col(b) for a, b in zip(names, cells, strict=True)]).withColumn("distance_km", distance).where(F.col("distance_km") <= km)
+    return graph.written(met.select("_lat", "_lon", "lat", "lon", "distance_km"), "place-pairs")
 
 
 def greedy_assignment(pairs: DataFrame) -> DataFrame:
