@@ -71,3 +71,19 @@ def test_regrid_asks_validity_after_nearness(spark):
 def test_nearest_source_wraps_and_takes_the_first():
     at = track.nearest_source(np.array([0.0, 0.0]), np.array([179.9, -179.9]), np.array([0.0]), np.array([180.0]), 50)
     assert at.tolist() == [0]
+
+
+def test_regridding_pixels_broadcasts_nothing(spark):
+    """A small table may explode into many pixels; all places as the loop finds them, at the pole and across 180 degrees too."""
+    rng = np.random.default_rng(5)
+    lat, lon = np.concatenate((rng.uniform(29, 31, 150), rng.uniform(88, 90, 50))), np.concatenate((rng.uniform(-181, -179, 150), rng.uniform(-180, 180, 50)))
+    rows = [(1, k, float(a), float((o + 180) % 360 - 180), float(k), k % 7 != 0) for k, (a, o) in enumerate(zip(lat, lon, strict=True))]
+    s = spark.createDataFrame(rows[::2], "frame_id long, source long, lat double, lon double, value double, valid boolean")
+    t = spark.createDataFrame([(r[0], r[1], r[2], r[3]) for r in rows[1::2]], "frame_id long, target long, lat double, lon double")
+    found = track.regrid_pixels(s, t, "frame_id", 25.0)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    place = lambda some, k: np.array([r[k] for r in some])
+    at = track.nearest_source(place(rows[::2], 2), place(rows[::2], 3), place(rows[1::2], 2), place(rows[1::2], 3), 25.0)
+    want = {r[1]: rows[::2][i][4] if i >= 0 and rows[::2][i][5] else None for r, i in zip(rows[1::2], at, strict=True)}
+    assert {r["target"]: r["value"] for r in found.collect()} == want
+    assert 10 < sum(i >= 0 for i in at) < len(at)

@@ -62,17 +62,26 @@ def regrid(sources: DataFrame, targets: DataFrame, by: list[str], km: float = 5.
     return sources.select(*by, "lat", "lon", "value", "valid").join(t, by).mapInArrow(run, f"{keys}, value array<double>, valid array<boolean>, mapped long")
 
 
+#: Edge of a cell, in distances: a target's box touches 3.4 cells of that size on average.
+CELL = 4
+
+
 def regrid_pixels(sources: DataFrame, targets: DataFrame, by: str, km: float) -> DataFrame:
-    """The same on pixel rows, for mosaics that are no tile: targets (by, target, lat, lon) meet the source pixels (by, source, lat, lon, value, valid) of the 27 cells around, and the minimum is partial."""
-    cells = ("_x", "_y", "_z")
-    s = sources.withColumns(dict(zip(cells, geo.sphere_cells(F.col("lat"), F.col("lon"), km), strict=True))).select(F.col(by).alias("_by"), "source", F.col("lat").alias("slat"), F.col("lon").alias("slon"), "value", "valid", *cells)
+    """The same on pixel rows, for mosaics that are no tile: targets (by, target, lat, lon) meet the source pixels (by, source, lat, lon, value, valid) of the cells that a box around them touches, and the minimum is partial.
+
+    Sizes of tables that explode() made are guessed too small, so both joins say that they shuffle: nothing passes through the driver.
+    """
+    cells, near = ("_x", "_y", "_z"), ("_tx", "_ty", "_tz")
+    edge, reach = CELL * geo.chord(km), geo.chord(km) * (1 + 1e-9) + 1e-12
+    cell = lambda x: F.floor((x + 1.0) / edge)
+    s = sources.withColumns({n: cell(x) for n, x in zip(cells, geo.unit_vector(F.col("lat"), F.col("lon")), strict=True)}).select(F.col(by).alias("_by"), "source", F.col("lat").alias("slat"), F.col("lon").alias("slon"), "value", "valid", *cells)
     t = targets
-    for n, c in zip(("_tx", "_ty", "_tz"), geo.sphere_cells(F.col("lat"), F.col("lon"), km), strict=True):
-        t = t.withColumn(n, F.explode(F.array(c - 1, c, c + 1)))
-    met = t.join(s, (F.col(by) == F.col("_by")) & (F.col("_tx") == F.col("_x")) & (F.col("_ty") == F.col("_y")) & (F.col("_tz") == F.col("_z")))
+    for n, x in zip(near, geo.unit_vector(F.col("lat"), F.col("lon")), strict=True):
+        t = t.withColumn(n, F.explode(F.sequence(cell(x - reach), cell(x + reach))))
+    met = t.join(s.hint("merge"), (F.col(by) == F.col("_by")) & (F.col("_tx") == F.col("_x")) & (F.col("_ty") == F.col("_y")) & (F.col("_tz") == F.col("_z")))
     d = geo.haversine_wrapped_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))
     best = met.where(d <= km).groupBy(by, "target").agg(F.min(F.struct(d.alias("d"), F.col("source"), F.col("value"), F.col("valid"))).alias("b"))
-    return targets.join(best, [by, "target"], "left").select(by, "target", F.when(F.col("b.valid"), F.col("b.value")).alias("value"), F.coalesce("b.valid", F.lit(False)).alias("valid"))
+    return targets.join(best.hint("merge"), [by, "target"], "left").select(by, "target", F.when(F.col("b.valid"), F.col("b.value")).alias("value"), F.coalesce("b.valid", F.lit(False)).alias("valid"))
 
 
 ALIGNED = "case_id long, step int, label int, area int, lat double, lon double, temperature double, cells array<int>, mapped long"
