@@ -504,6 +504,24 @@ def test_all_neighbours_measure_the_recall(spark, tmp_path, monkeypatch, block):
     assert counted[0] == counted[1] > 4096
 
 
+@pytest.mark.parametrize("most", [jaccard_join.WITH_SETS, 0])
+def test_sets_of_small_components_are_shuffled_once(spark, tmp_path, monkeypatch, most):
+    """Neighbours and all pairs of a component are verified where its sets are dealt to, however many rows a broadcast may have by itself."""
+    monkeypatch.setattr(jaccard_join, "WITH_SETS", most)
+    plans, real = [], jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name))
+    monkeypatch.setattr(jaccard_join, "verified", None)
+    rows = near_copies()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got, _ = joined(table(spark, tmp_path, rows, "doc_id long, text string"), recall=0.99999)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == similar(rows)
+    (whole,) = (p for n, p in plans if n == "jaccard-whole")
+    assert whole.count("Exchange hashpartitioning") == (1 if most else 3)
+
+
 def test_planted_pairs_at_the_threshold_are_found(spark, tmp_path):
     """Pairs of a similarity of 0.8 to 0.83, far from all others: at least 0.99 of them are linked."""
     rng, rows = random.Random(22), []

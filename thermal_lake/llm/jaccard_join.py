@@ -5,13 +5,15 @@
    labels begin with alike say all nodes of the prefix trie, at every depth. A range partitioning deals the list, so no node has to fit one task.
 3. The prefix that has to match begins at DEPTH and is shortened until the recall that is measured on all neighbours, each verified, reaches the target in every
    range of similarities, at the latest where pairs at the threshold meet with that probability. Neighbours that share it are linked.
-4. Components of these links that fit a task are verified whole, every pair. Larger ones begin with their similar neighbours; then, node by node of the tries, the pairs whose ends
-   are in different classes so far; at last every pair within a class, for the number of links. A node or class beyond a task meets in blocks of bounded size.
+4. Components that fit a task are verified whole, every pair: at the shortest prefix, along with their neighbours; what is left of larger ones at the measured prefix, too. Those that are larger even then begin with their similar neighbours; then, node by node
+   of the tries, the pairs whose ends are in different classes so far; at last every pair within a class, for the number of links. A node or class beyond a task meets in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -20,8 +22,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from thermal_lake.llm.common import map_arrow, numbered, only_rows, scratch, without, written
+from thermal_lake.llm.common import is_small, map_arrow, numbered, only_rows, scratch, without, written
 from thermal_lake.operators import graph
 from thermal_lake.operators.graph import components, hot_keys, looked_up
 
@@ -29,6 +33,8 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 TREES, DEPTH = 20, 8
 #: Shingles, and representatives, that a block may hold on average.
 BLOCK_SHINGLES, BLOCK_ROWS = 500_000, 1024
+#: Representatives that are broadcast to their shingle sets, at most.
+WITH_SETS = 200_000
 #: The width of the ranges of similarities that the recall is measured in, and the steps of 1 in which neighbours' similarities are counted for that.
 RANGE, STEPS = 0.05, 10_000
 #: Bytes of a label that each of its hashes takes.
@@ -293,25 +299,40 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(two, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema) + ", similarity double", compare)
 
 
-def grouped_similarities(edges: DataFrame, near: DataFrame, sets: DataFrame) -> DataFrame:
-    """(similarity, depth) of each of the edges (a, b, depth) inside the components of near (rep, comp), which fit a task: a set goes to its component once, however many neighbours it has."""
-    own = edges.join(near.select(F.col("rep").alias("a"), "comp"), "a")
-    none = F.lit(None).cast(f"struct<b:bigint,depth:{edges.schema['depth'].dataType.simpleString()}>")
-    ends = own.select("comp", F.col("a").alias("rep"), F.struct("b", "depth").alias("beside")).unionAll(own.select("comp", F.col("b").alias("rep"), none))
-    dealt = ends.groupBy("comp", "rep").agg(F.collect_list("beside").alias("beside")).join(sets, "rep")
+def whole_components(near: DataFrame, edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Components in near (rep, comp, copies) that fit a task, every pair verified: (rep, links, root) as verified() has them, and rows (similarity, depth, pairs) that count the edges (a, b, depth) inside.
 
-    def measure(table: pa.Table) -> pa.Table:
-        sets = {r: np.frombuffer(x, dtype=np.uint64) for r, x in zip(table.column("rep").to_pylist(), table.column("shingles").to_pylist(), strict=True)}
-        similarity, depth = [], []
-        for a, beside in zip(table.column("rep").to_pylist(), table.column("beside").to_pylist(), strict=True):
-            for e in beside:
-                x, y = sets[a], sets[e["b"]]
+    A set goes to its component once, and both are found there. Up to WITH_SETS representatives (counted) are broadcast to their sets, which then are shuffled once; more meet them by a shuffle.
+    """
+    beside = edges.groupBy(F.col("a").alias("of")).agg(F.collect_list(F.struct("b", "depth")).alias("beside"))
+    dealt = written(near.join(beside, F.col("rep") == F.col("of"), "left").select("comp", "rep", "copies", "beside"), "jaccard-dealt")
+    dealt = sets.join(F.broadcast(dealt) if is_small(dealt, WITH_SETS) else dealt, "rep")
+
+    kind = "rep long, links long, root long, similarity double, depth int, pairs long"
+    out = to_arrow_schema(StructType.fromDDL(kind))
+
+    def verify(table: pa.Table) -> pa.Table:
+        t = table.select(["rep", "copies", "beside", "shingles"]).sort_by("rep")
+        names, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t.column("shingles")]
+        at = {r: i for i, r in enumerate(names.tolist())}
+        tally: Counter = Counter()
+        for x, near in zip(sets, t.column("beside").to_pylist(), strict=True):
+            for e in near or ():
+                y = sets[at[e["b"]]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                similarity.append(both / (len(x) + len(y) - both))
-                depth.append(e["depth"])
-        return pa.table({"similarity": pa.array(similarity, pa.float64()), "depth": pa.array(depth, pa.int32())})
+                similarity = both / (len(x) + len(y) - both)
+                if similarity >= threshold - 1e-9:
+                    tally[math.floor(similarity * STEPS + 1e-6) / STEPS, e["depth"]] += 1
+        link = linked(sets, sets, threshold, np.triu(np.ones((len(sets), len(sets)), dtype=bool), 1))
+        counts, group = copies @ (link | link.T), merged(link, 0, len(sets))
+        some = np.flatnonzero(counts)
+        ours, theirs = [None] * len(some), [None] * len(tally)
+        links = {"rep": names[some].tolist() + theirs, "links": counts[some].tolist() + theirs, "root": names[group[some]].tolist() + theirs}
+        pairs = {"similarity": ours + [s for s, _ in tally], "depth": ours + [d for _, d in tally], "pairs": ours + [*tally.values()]}
+        return pa.table(links | pairs, schema=out)
 
-    return dealt.groupBy("comp").applyInArrow(measure, "similarity double, depth int")
+    return written(dealt.groupBy("comp").applyInArrow(verify, kind), "jaccard-whole")
 
 
 def in_large(near: DataFrame, similar: DataFrame, reps: DataFrame, sets: DataFrame, length: int, trees: int, depth: int, threshold: float) -> DataFrame:
@@ -387,25 +408,29 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
                 return near, None
             return near.join(large, F.col("comp") == F.col("of"), "left_anti"), looked_up(near, "comp", "rep", large.select("of"), "of", hot_keys(near, "comp", near.count())).drop("of")
 
-        # every neighbour is verified: they measure the recall, and the similar ones connect the large components
+        # every neighbour is verified: they measure the recall, and the similar ones connect the large components; the others are done with then, at the shortest prefix
         near = joined(edges, "jaccard-beside")
         sets = sets_of(near.select(F.col("rep").alias("row")), "jaccard-sets")
         large = written(blocks_of(near, "comp"), "jaccard-large")
         small, inside = parted(near, large)
-        measured, similar = grouped_similarities(edges, small, sets), None
+        whole = whole_components(small, edges, sets, threshold)
+        found = whole.where("rep IS NOT NULL").select("rep", "root", "links")
+        measured = whole.where("rep IS NULL").select("similarity", "depth", "pairs")
         if inside is not None:
-            similar = written(similar_pairs(edges.join(inside.select(F.col("rep").alias("a")), "a", "left_semi").select("a", "b", "depth"), sets).where(F.col("similarity") >= threshold - 1e-9), "jaccard-similar")
-            measured = measured.unionAll(similar.select("similarity", "depth"))
-        measured = measured.where(F.col("similarity") >= threshold - 1e-9).groupBy((F.floor(F.col("similarity") * STEPS + 1e-6) / STEPS).alias("similarity"), "depth").agg(F.count("*").alias("pairs")).toArrow()
+            inside = written(inside, "jaccard-inside")
+            own = edges.join(inside.select(F.col("rep").alias("a")), "a", "left_semi").select("a", "b", "depth")
+            similar = written(similar_pairs(own, sets).where(F.col("similarity") >= threshold - 1e-9), "jaccard-similar")
+            measured = measured.unionAll(similar.groupBy((F.floor(F.col("similarity") * STEPS + 1e-6) / STEPS).alias("similarity"), "depth").agg(F.count("*").alias("pairs")))
+        measured = measured.groupBy("similarity", "depth").agg(F.sum("pairs").alias("pairs")).toArrow()
         length = shortened(measured.column("similarity").to_numpy(), measured.column("depth").to_numpy(), trees, depth, least, recall, measured.column("pairs").to_numpy())
-
-        if length > least:
-            near = joined(edges.where(F.col("depth") >= length), "jaccard-near")
+        if inside is not None and length > least:
+            near = joined(own.where(F.col("depth") >= length), "jaccard-near")
             large = written(blocks_of(near, "comp"), "jaccard-large")
             small, inside = parted(near, large)
-        found = verified(small.withColumn("cls", F.lit(None).cast("long")), sets, "comp", threshold).select("rep", "root", "links")
+            found = found.unionAll(verified(small.withColumn("cls", F.lit(None).cast("long")), sets, "comp", threshold).select("rep", "root", "links"))
+            inside = None if inside is None else written(inside, "jaccard-inside")
         if inside is not None:
-            found = found.unionAll(in_large(written(inside, "jaccard-inside"), similar, reps, sets, length, trees, depth, threshold))
+            found = found.unionAll(in_large(inside, similar, reps, sets, length, trees, depth, threshold))
 
         members = reps.select("key", "rep", "id", "head", "copies").join(found, "rep", "left").select("key", "id", "head", "copies", "links", F.coalesce("root", "rep").alias("root"))
         members = written(members, "jaccard-found")
