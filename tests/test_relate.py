@@ -145,6 +145,20 @@ def test_maximum_matching(spark):
     assert len(got) == sum(place(p, set()) for p in range(12))
 
 
+def test_matched_windows_are_the_matching_of_the_pairs(spark):
+    """Many windows alike, two seasons and two cells, repeated ids; no pair is made."""
+    rng = random.Random(31)
+    rows = [(i % 180, T0 + dt.timedelta(days=rng.choice([0, 100]), hours=rng.randrange(4)), 30.0, rng.choice([-120.0, -110.0]), float(rng.randrange(30, 60, 3)), rng.randrange(5) / 10) for i in range(200)]
+    w = spark.createDataFrame(rows, "window_id long, anchor_at timestamp, latitude double, longitude double, view_zenith_degrees double, usable_fraction double")
+    sides = w.where("view_zenith_degrees < 45"), w.where("view_zenith_degrees >= 45")
+    want = sorted(map(tuple, relate.maximum_matching(relate.match_candidates(*sides)).collect()))
+    found = relate.matched_windows(*sides)
+    assert want == sorted(map(tuple, found.collect()))
+    assert len(want) > 20
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert relate.matched_windows(sides[0], sides[1].limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("one", [graph.ONE_TASK, 0])
 def test_components_of_a_long_chain_and_a_hot_star(spark, monkeypatch, one):
     monkeypatch.setattr(graph, "ONE_TASK", one)

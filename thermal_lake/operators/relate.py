@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
+from functools import reduce
+from operator import or_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from thermal_lake.functions import calendar, geo
 from thermal_lake.operators import graph
@@ -207,6 +213,84 @@ def maximum_matching(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("season", "region_cell").applyInArrow(match, f"positive_id {kind('positive_id')}, control_id {kind('control_id')}")
 
 
+def matched_windows(positives: DataFrame, controls: DataFrame) -> DataFrame:
+    """maximum_matching() of match_candidates(), without making the pairs: a (season, cell) block's windows go to its task, where those that are alike share their options. Windows whose zenith no other side's window comes near stay out."""
+    spark = positives.sparkSession
+    ship(spark)
+    zenith = "view_zenith_degrees"
+    lowest, highest = controls.agg(F.min(zenith)).first()[0], positives.agg(F.max(zenith)).first()[0]
+    positives = positives.where(F.col(zenith) >= F.lit(lowest) - 10.001)
+    controls = controls.where(F.col(zenith) <= F.lit(highest) + 10.001)
+    names = ["season", "region_cell", "local_hour", "view_zenith_degrees", "usable_fraction"]
+    side = lambda df, n: matching_variables(df).select(*names, F.col("window_id").alias("id"), F.lit(n).alias("side")).dropna()
+    p, c = positives.schema["window_id"].dataType, controls.schema["window_id"].dataType
+    out = StructType([StructField("positive_id", p), StructField("control_id", c)])
+    rows = side(positives, 0).unionAll(side(controls, 1)).repartition(int(str(spark.conf.get("spark.sql.shuffle.partitions"))), "season", "region_cell")
+
+    def match(table: pa.Table) -> pa.Table:
+        return _match_block(table, to_arrow_schema(out))
+
+    return rows.groupBy("season", "region_cell").applyInArrow(match, out)
+
+
+def _match_block(table: pa.Table, out: pa.Schema) -> pa.Table:
+    """The kernel of matched_windows(): the augmenting paths of maximum_matching(). A path that fails can't succeed later, nor can one through a control that it met: such controls are dead."""
+    one = table.column("side").to_numpy()
+    h, z, u = (table.column(c).to_numpy() for c in ("local_hour", "view_zenith_degrees", "usable_fraction"))
+    ids = table.column("id").to_pylist()
+    kinds, of = np.unique(np.stack((h.astype(float), z, u), axis=1), axis=0, return_inverse=True)
+    of = of.reshape(-1)
+    mine, theirs = np.flatnonzero(one == 0), np.flatnonzero(one == 1)
+    groups: dict = {}
+    for i, k in zip(theirs.tolist(), of[theirs].tolist(), strict=True):
+        groups.setdefault(k, []).append(ids[i])
+    other = np.array(sorted(groups), dtype=np.int64)
+    a, sizes = kinds[other], np.array([len(groups[k]) for k in other.tolist()], dtype=np.int64)
+    near: dict = {}
+    for k in np.unique(of[mine]).tolist():
+        hours = np.abs(kinds[k, 0] - a[:, 0])
+        near[k] = np.flatnonzero((np.minimum(hours, 24 - hours) <= 1) & (np.abs(kinds[k, 1] - a[:, 1]) <= 10.0) & (np.abs(kinds[k, 2] - a[:, 2]) <= 0.10))
+    # controls that anyone could have are bits in the order of ids; what the rows of a positive are like says its options
+    met = [groups[other[j]] for j in sorted(set().union(*(n.tolist() for n in near.values())))]
+    control = sorted(set().union(*met))
+    place = {x: i for i, x in enumerate(control)}
+    bits = {id(g): sum(1 << i for i in {place[x] for x in g}) for g in met}
+    options = {k: (reduce(or_, (bits[id(groups[other[j]])] for j in n.tolist()), 0), int(sizes[n].sum())) for k, n in near.items()}
+    way: dict = {}
+    count: Counter = Counter()
+    for i, k in zip(mine.tolist(), of[mine].tolist(), strict=True):
+        way[ids[i]] = way.get(ids[i], 0) | options[k][0]
+        count[ids[i]] += options[k][1]
+    owner: list = [None] * (len(control) + 1)
+    alive = (1 << len(control)) - 1
+    for p in sorted((x for x in way if way[x]), key=lambda x: (count[x], x)):
+        path, masks, chosen, unseen, mask = [p], [], [], alive, way[p]
+        while True:
+            left = mask & unseen
+            if left:
+                bit = left & -left
+                unseen ^= bit
+                c = bit.bit_length()
+                chosen.append(c)
+                q = owner[c]
+                if q is None:
+                    for q, x in zip(path, chosen, strict=True):
+                        owner[x] = q
+                    break
+                path.append(q)
+                masks.append(mask)
+                mask = way[q]
+            elif masks:
+                path.pop()
+                chosen.pop()
+                mask = masks.pop()
+            else:
+                alive = unseen
+                break
+    pairs = sorted((p, control[c - 1]) for c, p in enumerate(owner) if p is not None)
+    return pa.table({"positive_id": pa.array([p for p, _ in pairs], out[0].type), "control_id": pa.array([c for _, c in pairs], out[1].type)})
+
+
 #: Gaps of time after which a cell's points are dealt to another task.
 PERIODS = 256
 
