@@ -159,6 +159,26 @@ def test_matched_windows_are_the_matching_of_the_pairs(spark):
     assert relate.matched_windows(sides[0], sides[1].limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [relate.FEW_PLACES, 0])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_nearest_free_is_the_assignment_of_the_pairs(spark, monkeypatch, few, repeated):
+    """Rows of one place and time, equal distances, an event that ends before it starts, null places, and ids with several places; pairs of rows are made for these alone."""
+    monkeypatch.setattr(relate, "FEW_PLACES", few)
+    rng = random.Random(17)
+    at = lambda: T0 + dt.timedelta(minutes=15 * rng.randrange(200))
+    place = lambda: (30 + rng.randrange(6) * 0.2, -120 + rng.randrange(2) * 0.2)
+    starts = [at() for _ in range(140)]
+    e = [(i % 120 if repeated else i, t, t + dt.timedelta(minutes=30 * (i % 4 - 1)), *place()) for i, t in enumerate(starts)] + [(500, T0, T0, None, -120.0), (501, None, None, 30.0, -120.0)]
+    w = [(i % 90 if repeated else i, at(), *place()) for i in range(100)]
+    events = spark.createDataFrame(e, "event_id long, start_time timestamp, end_time timestamp, latitude double, longitude double")
+    windows = spark.createDataFrame(w, "window_id long, anchor_at timestamp, latitude double, longitude double")
+    want = sorted(map(tuple, relate.greedy_assignment(relate.positive_candidates(events, windows)).collect()))
+    if not repeated:
+        monkeypatch.setattr(relate, "positive_candidates", None)
+    assert sorted(map(tuple, relate.nearest_free(events, windows).collect())) == want
+    assert len(want) > 50
+
+
 @pytest.mark.parametrize("one", [graph.ONE_TASK, 0])
 def test_components_of_a_long_chain_and_a_hot_star(spark, monkeypatch, one):
     monkeypatch.setattr(graph, "ONE_TASK", one)

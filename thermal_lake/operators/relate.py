@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
@@ -133,6 +135,139 @@ def greedy_assignment(pairs: DataFrame) -> DataFrame:
     return grouped.groupBy("root").applyInArrow(take, f"event_id {kind('event_id')}, window_id {kind('window_id')}")
 
 
+def nearest_free(events: DataFrame, windows: DataFrame, km: float = 25.0, micros: int = 90 * 60_000_000) -> DataFrame:
+    """greedy_assignment() of positive_candidates(), without making the pairs: (event_id, window_id).
+
+    Places are paired, and connected ones make an area. An area's times fall into runs that no event spans. A run is a task's alone, which reads its windows and then its events in (start, id) order and holds the windows that are free: those of
+    one place and time are a queue by id. An id that several areas or runs give a place (repeated rows) has the pairs made after all.
+    """
+    spark = events.sparkSession
+    ship(spark)
+    e = events.selectExpr("event_id", "start_time", "end_time", "latitude + 0.0D AS _lat", "longitude + 0.0D AS _lon").dropna()
+    w = windows.selectExpr("window_id", "anchor_at", "latitude + 0.0D AS lat", "longitude + 0.0D AS lon").dropna()
+    with graph.scratch(spark) as keep:
+        near = place_pairs(e.select("_lat", "_lon").distinct(), w.select("lat", "lon").distinct(), km)
+        e_places = graph.written(near.select("_lat", "_lon").distinct().withColumn("place", F.monotonically_increasing_id() * 2), "event-places")
+        w_places = graph.written(near.select("lat", "lon").distinct().withColumn("there", F.monotonically_increasing_id() * 2 + 1), "window-places")
+        pairs = keep(graph.written(near.join(e_places, ["_lat", "_lon"]).join(w_places, ["lat", "lon"]).select("place", "there", "distance_km"), "places-paired"))
+        areas = graph.components(pairs.selectExpr("place AS a", "there AS b"), "areas")
+        options = pairs.groupBy("place").agg(F.collect_list(F.struct("there", "distance_km")).alias("options"))
+        few = pairs.count() <= FEW_PLACES
+        some = lambda df: F.broadcast(df) if few else df
+        e_places = e_places.join(areas, F.col("place") == F.col("node")).withColumnRenamed("root", "area").drop("node")
+        e_places = keep(graph.written(e_places if few else e_places.join(options, "place"), "event-areas"))
+        w_places = keep(graph.written(w_places.join(areas, F.col("there") == F.col("node")).withColumnRenamed("root", "area").drop("node"), "window-areas"))
+        at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+        e = e.join(some(e_places), ["_lat", "_lon"]).drop("_lat", "_lon").withColumns({"start": at("start_time"), "end": at("end_time")}).drop("start_time", "end_time")
+        e = e.withColumns({"since": F.least("start", "end") - micros, "until": F.greatest("start", "end") + micros})
+        w = w.join(some(w_places), ["lat", "lon"]).select("window_id", "area", "there", at("anchor_at").alias("at"))
+        # each event's first window in time, and the runs of such times that no event spans
+        line = e.groupBy("area", F.col("since").alias("t")).agg(F.max("until").alias("until")).withColumn("anchor", F.lit(None).cast("long"))
+        line = graph.written(line.unionByName(w.select("area", F.col("at").alias("t"), F.lit(None).cast("long").alias("until"), F.col("at").alias("anchor")).distinct()), "area-times")
+        later = Window.partitionBy("area").orderBy(F.desc("t"), F.col("anchor").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+        firsts = graph.written(line.withColumn("first", F.last("anchor", ignorenulls=True).over(later)).where("anchor IS NULL AND first <= until").select("area", "t", "until", "first"), "area-firsts")
+        reaches = firsts.groupBy("area", "first").agg(F.max("until").alias("reach"))
+        so_far = Window.partitionBy("area").orderBy("first")
+        reaches = line.where("anchor IS NOT NULL").select("area", F.col("anchor").alias("first")).join(reaches, ["area", "first"], "left").withColumn("before", F.max("reach").over(so_far.rowsBetween(Window.unboundedPreceding, -1)))
+        fresh = F.col("before").isNull() | (F.col("first") > F.col("before"))
+        runs = reaches.withColumn("run", F.last(F.when(fresh, F.col("first")), ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, 0))).where(~fresh | F.col("reach").isNotNull())
+        runs = keep(graph.written(runs.select("area", "first", "run"), "area-runs"))
+        times = keep(graph.written(firsts.join(runs, ["area", "first"]).select("area", F.col("t").alias("since"), "first", "run"), "area-starts"))
+    held = lambda df: F.broadcast(df) if df.count() <= FEW_PLACES else df
+    e = e.join(held(times), ["area", "since"]).where("first <= until").drop("since", "until", "first")
+    w = w.join(held(runs.withColumnRenamed("first", "at")), ["area", "at"])
+    own = {"event_id": events.schema["event_id"].dataType, "window_id": windows.schema["window_id"].dataType}
+    no = lambda kind: F.lit(None).cast(kind)
+    listed = [] if few else ["options"]
+    kind = pairs.select(F.array(F.struct("there", "distance_km")).alias("o")).schema["o"].dataType
+    rows = w.select("area", "run", F.lit(0).alias("kind"), F.col("at").alias("start"), no("long").alias("end"), no(own["event_id"]).alias("event_id"), "window_id", F.col("there").alias("place"), *[no(kind).alias(c) for c in listed])
+    rows = rows.unionByName(e.select("area", "run", F.lit(1).alias("kind"), "start", "end", "event_id", no(own["window_id"]).alias("window_id"), "place", *listed))
+    rows = rows.repartition("area", "run").sortWithinPartitions("area", "run", "kind", "start", "event_id", "window_id")
+    known = spark.sparkContext.broadcast({r["place"]: [(o["there"], o["distance_km"]) for o in r["options"]] for r in options.collect()} if few else None)
+    out = StructType([StructField(c, t) for c, t in own.items()])
+    taken = graph.written(rows.mapInArrow(lambda batches: _take_nearest(batches, known.value, micros, to_arrow_schema(out)), out), "nearest-free")
+    twice = [taken.groupBy(c).count().where("count > 1") for c in own]
+    return taken if all(t.isEmpty() for t in twice) else greedy_assignment(positive_candidates(events, windows, km, micros))
+
+
+def _take_nearest(batches: Iterator[pa.RecordBatch], known: dict | None, micros: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The kernel of nearest_free(): rows of runs, each run's windows first, then its events in order."""
+    run, free, levels, start = None, {}, {}, None
+    asking: tuple = (None, [])
+    used, done, found = set(), set(), []
+
+    def levels_of(end: int, options: list) -> list:
+        """[(late, km), queues] of an event's place and times, nearest first."""
+        near: dict = {}
+        for there, far in options:
+            times, queues = free.get(there, ((), ()))
+            for i in range(bisect_left(times, min(start, end) - micros), bisect_right(times, max(start, end) + micros)):
+                late = 0 if start <= times[i] <= end else min(abs(times[i] - start), abs(times[i] - end))
+                if late <= micros:
+                    near.setdefault((late, far), []).append(queues[i])
+        return sorted(near.items(), key=lambda x: x[0])
+
+    def take() -> None:
+        """The window of the event that is asking, whose rows may have several places."""
+        event, asked = asking
+        if not asked or event in done:
+            return
+        every = asked[0] if len(asked) == 1 else sorted((x for a in asked for x in a), key=lambda x: x[0])
+        gone = 0
+        for i, (at, queues) in enumerate(every):
+            for q in queues:
+                while q and q[-1] in used:
+                    q.pop()
+            if any(queues):
+                more = [every[j][1] for j in range(i + 1, len(every)) if every[j][0] == at] if len(asked) > 1 else []
+                best = min((q for qs in (queues, *more) for q in qs if q), key=lambda q: q[-1])
+                used.add(best[-1])
+                done.add(event)
+                found.append((event, best.pop()))
+                break
+            gone = i + 1
+        if len(asked) == 1:
+            del every[:gone]
+
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        for area, r, kind, at, end, event, window, place, *options in zip(*columns, strict=True):
+            if (area, r) != run:
+                take()
+                run, free, levels, start, asking = (area, r), {}, {}, None, (None, [])
+                used.clear()
+                done.clear()
+            if kind == 0:
+                times, queues = free.setdefault(place, ([], []))
+                if not times or times[-1] != at:
+                    times.append(at)
+                    queues.append([])
+                queues[-1].append(window)
+                continue
+            if start is None:
+                for _, queues in free.values():
+                    for q in queues:
+                        q.reverse()
+            if at != start or event != asking[0]:
+                take()
+                asking = (event, [])
+            if at != start:
+                start, levels = at, {}
+            if (spot := levels.get((end, place))) is None:
+                spot = levels[end, place] = levels_of(end, [(o["there"], o["distance_km"]) for o in options[0]] if options else known[place])
+            if spot:
+                asking[1].append(spot)
+        if len(found) > 50_000:
+            yield _assigned(found, out)
+            found.clear()
+    take()
+    yield _assigned(found, out)
+
+
+def _assigned(found: list, out: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x for x, _ in found], out[0].type), pa.array([y for _, y in found], out[1].type)], schema=out)
+
+
 def without_detections(windows: DataFrame, detections: DataFrame, km: float = 50.0, micros: int = 24 * HOUR) -> DataFrame:
     """Windows without a detection near in time and space."""
     w = windows.withColumns({"_lat": F.col("latitude"), "_lon": F.col("longitude")})
