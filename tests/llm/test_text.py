@@ -522,6 +522,22 @@ def test_sets_of_small_components_are_shuffled_once(spark, tmp_path, monkeypatch
     assert whole.count("Exchange hashpartitioning") == (1 if most else 3)
 
 
+def test_only_sets_of_large_components_are_shuffled_again(spark, tmp_path, monkeypatch):
+    """Neighbours and nodes of a large component are verified without the sets of small ones."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 64)
+    met = []
+    for name in ("similar_pairs", "verified"):
+        real = getattr(jaccard_join, name)
+        monkeypatch.setattr(jaccard_join, name, lambda rows, sets, *a, real=real: met.append(sets.count()) or real(rows, sets, *a))
+    rows = near_copies()
+    got, _ = joined(table(spark, tmp_path, rows, "doc_id long, text string"), recall=0.99999)
+    assert got == similar(rows)
+    large = {jaccard_join.set_key(jaccard_join.Shingler()(t)) for k, t in rows if k is not None and k < 500}
+    assert len(large) > 64
+    assert len(met) > 1
+    assert max(met) <= len(large)
+
+
 def test_planted_pairs_at_the_threshold_are_found(spark, tmp_path):
     """Pairs of a similarity of 0.8 to 0.83, far from all others: at least 0.99 of them are linked."""
     rng, rows = random.Random(22), []

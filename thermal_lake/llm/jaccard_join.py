@@ -418,6 +418,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
         measured = whole.where("rep IS NULL").select("similarity", "depth", "pairs")
         if inside is not None:
             inside = written(inside, "jaccard-inside")
+            # joins below shuffle sets, so that only these go there
+            sets = written(only_rows(sets, "rep", inside.select("rep"), True), "jaccard-inside-sets")
             own = edges.join(inside.select(F.col("rep").alias("a")), "a", "left_semi").select("a", "b", "depth")
             similar = written(similar_pairs(own, sets).where(F.col("similarity") >= threshold - 1e-9), "jaccard-similar")
             measured = measured.unionAll(similar.groupBy((F.floor(F.col("similarity") * STEPS + 1e-6) / STEPS).alias("similarity"), "depth").agg(F.count("*").alias("pairs")))
