@@ -35,3 +35,16 @@ def test_built_benchmark_finds_its_candidates_once(spark, monkeypatch):
     monkeypatch.setattr(relate, "maximum_matching", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
     assert catalog.QUERIES["built_benchmark"](spark, FOLDER).count() > 0
     assert plans and not any(x in p for p in plans for x in ("FlatMapGroupsInArrow", "l_shipdate"))
+
+
+def test_leaks_hash_a_text_once(spark):
+    """No step hashes the words of all texts a second time: a condition on them would be asked where texts are read."""
+    from pyspark.sql import functions as F
+
+    from thermal_lake.llm import decontaminate
+
+    texts = spark.createDataFrame([(1, "one two three"), (2, ""), (3, None), (4, " ".join(f"w{i}" for i in range(40)))], "doc_id long, text string")
+    hashed = texts.select("doc_id", decontaminate.word_hashes(F.col("text")).alias("words"))
+    found = decontaminate.windows(hashed, "words", list(decontaminate.MASKS), ["doc_id"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert {r[0] for r in found.where("window IS NOT NULL").select("doc_id").distinct().collect()} == {4}

@@ -43,7 +43,8 @@ def window_hashes(words: Column, at: Column, masks: list[str]) -> Column:
 def windows(df: DataFrame, words: str, masks: list[str], keep: list[str]) -> DataFrame:
     """keep, place and window for each window; one row for each mask and place."""
     least = min(map(len, masks))
-    at = df.where(F.size(words) >= least).select(*{*keep, words}, F.explode(F.sequence(F.lit(0), F.size(words) - least)).alias("place"))
+    # a filter on the size would hash the words of each text twice; explode() makes no row of null
+    at = df.select(*{*keep, words}, F.explode(F.when(F.size(words) >= least, F.sequence(F.lit(0), F.size(words) - least))).alias("place"))
     return at.select(*keep, "place", F.explode(window_hashes(F.col(words), F.col("place"), masks)).alias("window"))
 
 
