@@ -48,3 +48,33 @@ def test_leaks_hash_a_text_once(spark):
     found = decontaminate.windows(hashed, "words", list(decontaminate.MASKS), ["doc_id"])
     assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert {r[0] for r in found.where("window IS NOT NULL").select("doc_id").distinct().collect()} == {4}
+
+
+def test_anti_join_is_of_rows_and_explodes_none(spark, monkeypatch):
+    """Every row is asked for itself, also under an id that repeats; windows are not multiplied by cells and times, whichever way places are joined."""
+    import math
+    import random
+    from datetime import datetime, timedelta
+
+    from thermal_lake.operators import relate
+
+    rng, day = random.Random(5), datetime(2024, 5, 1)
+    place = lambda: (30 + rng.randrange(12) * 0.25, -120 + rng.randrange(12) * 0.25)
+    windows = [(i % 150, day + timedelta(hours=rng.randrange(400)), *place()) for i in range(300)] + [(900, day, None, 1.0), (901, None, 30.0, -120.0)]
+    seen = [(day + timedelta(hours=rng.randrange(400), microseconds=rng.choice((0, 1))), *place()) for _ in range(60)] + [(None, 30.0, -120.0)]
+
+    def far(w, d):
+        if None in w or None in d or abs(w[1] - d[0]) > timedelta(hours=24):
+            return True
+        a, b = math.radians(w[2]), math.radians(d[1])
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(d[2] - w[3]) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(math.sqrt(h)) > 50
+
+    want = sorted(w[0] for w in windows if all(far(w, d) for d in seen))
+    w, d = spark.createDataFrame(windows, "window_id long, anchor_at timestamp, latitude double, longitude double"), spark.createDataFrame(seen, "acquired_at timestamp, latitude double, longitude double")
+    for few in (relate.FEW_PLACES, 0):
+        monkeypatch.setattr(relate, "FEW_PLACES", few)
+        found = relate.without_detections(w, d)
+        assert found.columns == w.columns and sorted(r[0] for r in found.collect()) == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1  # of the written buckets
+    assert len(want) > len(set(want))

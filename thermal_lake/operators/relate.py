@@ -269,11 +269,30 @@ def _assigned(found: list, out: pa.Schema) -> pa.RecordBatch:
 
 
 def without_detections(windows: DataFrame, detections: DataFrame, km: float = 50.0, micros: int = 24 * HOUR) -> DataFrame:
-    """Windows without a detection near in time and space."""
-    w = windows.withColumns({"_lat": F.col("latitude"), "_lon": F.col("longitude")})
-    d = detections.selectExpr("acquired_at AS _acquired", "latitude AS lat", "longitude AS lon")
-    near = (calendar.seconds_between(F.col("anchor_at"), F.col("_acquired")) <= micros) & (geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")) <= km)
-    return within(w, d, km, micros, "left_anti", near, ("anchor_at", "anchor_at"), "_acquired", "window_id").drop("_lat", "_lon")
+    """Windows without a detection near in time and space.
+
+    Places are paired once each. Of a place's detections the first and the last of each bucket of time are enough: a bucket is as wide as the time allowed, so a window looks at its own bucket, the last one before and the first one after.
+    """
+    d = detections.selectExpr("acquired_at AS _acquired", "latitude + 0.0D AS lat", "longitude + 0.0D AS lon").dropna()
+    w = windows.selectExpr("latitude + 0.0D AS _lat", "longitude + 0.0D AS _lon").dropna().distinct()
+    size = max(1, micros)
+    with graph.scratch(windows.sparkSession) as keep:
+        places = place_pairs(w, d.select("lat", "lon").distinct(), km).drop("distance_km")
+        d = d.select("lat", "lon", F.unix_micros(F.col("_acquired").cast("timestamp")).alias("_at")).withColumn("_bucket", F.floor(F.col("_at") / size))
+        if places.count() <= FEW_PLACES:
+            near = d.join(F.broadcast(places), ["lat", "lon"]).groupBy("_lat", "_lon", "_bucket").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+        else:
+            seen = d.groupBy("lat", "lon", "_bucket").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+            near = seen.join(places, ["lat", "lon"]).groupBy("_lat", "_lon", "_bucket").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+        near = keep(graph.written(near, "detections-near"))
+    around = near.select("_lat", "_lon", F.col("_bucket").alias("_own"), "_first", "_last", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("_step")).withColumn("_bucket", F.col("_own") + F.col("_step"))
+    around = around.groupBy("_lat", "_lon", "_bucket").agg(
+        F.max(F.when(F.col("_step") == 1, F.col("_last"))).alias("_before"), F.min(F.when(F.col("_step") == -1, F.col("_first"))).alias("_after"), F.max(F.col("_step") == 0).alias("_within"),
+    )
+    at = F.unix_micros(F.col("anchor_at").cast("timestamp"))
+    asked = windows.withColumns({"_lat": F.col("latitude") + F.lit(0.0), "_lon": F.col("longitude") + F.lit(0.0), "_bucket": F.floor(at / size)})
+    hit = F.col("_within") | (at - F.col("_before") <= micros) | (F.col("_after") - at <= micros)
+    return asked.join(around, ["_lat", "_lon", "_bucket"], "left").where(~F.coalesce(hit, F.lit(False))).select(*windows.columns)
 
 
 def matching_variables(windows: DataFrame) -> DataFrame:
