@@ -78,3 +78,19 @@ def test_anti_join_is_of_rows_and_explodes_none(spark, monkeypatch):
         assert found.columns == w.columns and sorted(r[0] for r in found.collect()) == want
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1  # of the written buckets
     assert len(want) > len(set(want))
+
+
+def test_candidates_meet_in_bins(spark):
+    """Windows of a block don't all meet: bins of zenith and usable fraction are keys of the join, and lose no pair at their edges."""
+    from datetime import datetime
+
+    from thermal_lake.operators import relate
+
+    at = datetime(2024, 5, 1)
+    rows = [(i, at, 30.5, -120.5, i * 7 % 90 + (0.5 if i % 11 == 0 else 0.0), i * 13 % 101 / 100) for i in range(400)] + [(1000, at, 30.5, -120.5, float("nan"), 0.5), (1001, at, 30.5, -120.5, float("inf"), 0.5), (1002, at, 30.5, -120.5, -30.0, 0.5)]
+    kind = "window_id long, anchor_at timestamp, latitude double, longitude double, view_zenith_degrees double, usable_fraction double"
+    found = relate.match_candidates(spark.createDataFrame(rows[::2], kind), spark.createDataFrame(rows[1::2], kind))
+    want = sorted((a[0], b[0]) for a in rows[::2] for b in rows[1::2] if abs(a[4] - b[4]) <= 10.0 and abs(a[5] - b[5]) <= 0.10)
+    assert sorted((r[0], r[1]) for r in found.collect()) == want and want
+    join = next(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
+    assert "(_z" in join and "(_u" in join

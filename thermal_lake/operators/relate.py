@@ -304,12 +304,19 @@ def matching_variables(windows: DataFrame) -> DataFrame:
 
 
 def match_candidates(positives: DataFrame, controls: DataFrame) -> DataFrame:
-    """(positive_id, control_id, season, region_cell) of windows that agree in season and cell and are near in hour, zenith and usable fraction."""
+    """(positive_id, control_id, season, region_cell) of windows that agree in season and cell and are near in hour, zenith and usable fraction.
+
+    Windows of a (season, cell) meet in bins of zenith and usable fraction as wide as what they may differ by; a positive looks at the bins beside its own too.
+    """
     p, c = matching_variables(positives), matching_variables(controls)
-    a = p.selectExpr("window_id AS positive_id", "season", "region_cell", "local_hour AS ph", "view_zenith_degrees AS pz", "usable_fraction AS pu")
-    b = c.selectExpr("window_id AS control_id", "season", "region_cell", "local_hour AS ch", "view_zenith_degrees AS cz", "usable_fraction AS cu")
-    near = (geo.circular_hours(F.col("ph"), F.col("ch")) <= 1) & (F.abs(F.col("pz") - F.col("cz")) <= 10.0) & (F.abs(F.col("pu") - F.col("cu")) <= 0.10)
-    return a.join(b, ["season", "region_cell"]).where(near).select("positive_id", "control_id", "season", "region_cell")
+    zenith, usable = 10.0, 0.10
+    bins = lambda x, width: F.rint(F.col(x) / (width * (1 + 1e-9)))
+    a = p.selectExpr("window_id AS positive_id", "season", "region_cell", "local_hour AS ph", "view_zenith_degrees AS pz", "usable_fraction AS pu").withColumns({"_z": bins("pz", zenith), "_u": bins("pu", usable)})
+    b = c.selectExpr("window_id AS control_id", "season", "region_cell", "local_hour AS ch", "view_zenith_degrees AS cz", "usable_fraction AS cu").withColumns({"_z": bins("cz", zenith), "_u": bins("cu", usable)})
+    for x in ("_z", "_u"):
+        a = a.withColumn(x, F.explode(F.array_distinct(F.array(F.col(x) - 1, F.col(x), F.col(x) + 1))))
+    near = (geo.circular_hours(F.col("ph"), F.col("ch")) <= 1) & (F.abs(F.col("pz") - F.col("cz")) <= zenith) & (F.abs(F.col("pu") - F.col("cu")) <= usable)
+    return a.join(b, ["season", "region_cell", "_z", "_u"]).where(near).select("positive_id", "control_id", "season", "region_cell")
 
 
 def seeded_order(count: int, seed: int, skip: int = 0) -> list[int]:
