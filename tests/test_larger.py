@@ -94,3 +94,23 @@ def test_candidates_meet_in_bins(spark):
     assert sorted((r[0], r[1]) for r in found.collect()) == want and want
     join = next(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
     assert "(_z" in join and "(_u" in join
+
+
+def test_events_that_repeat_make_no_pairs(spark, monkeypatch):
+    """Ids of several events ask at their first start, then at later ones, over areas that one start of them connects; no pair of rows is made."""
+    import random
+    from datetime import datetime, timedelta
+
+    from thermal_lake.operators import relate
+
+    rng, day = random.Random(3), datetime(2024, 5, 1)
+    place = lambda: (30 + rng.randrange(3) * 0.7, -120 + rng.randrange(2) * 0.7)
+    at = lambda: day + timedelta(days=rng.randrange(8), minutes=30 * rng.randrange(6))
+    events = [(rng.randrange(120), t, t + timedelta(minutes=60), *place()) for t in (at() for _ in range(300))]
+    windows = [(i, at(), *place()) for i in range(90)]
+    assert len({(e[0], e[1]) for e in events}) < len({(e[0], e[1], *e[3:]) for e in events})
+    e = spark.createDataFrame(events, "event_id long, start_time timestamp, end_time timestamp, latitude double, longitude double")
+    w = spark.createDataFrame(windows, "window_id long, anchor_at timestamp, latitude double, longitude double")
+    want = sorted(map(tuple, relate.greedy_assignment(relate.positive_candidates(e, w)).collect()))
+    monkeypatch.setattr(relate, "positive_candidates", None)
+    assert sorted(map(tuple, relate.nearest_free(e, w).collect())) == want and want

@@ -138,8 +138,10 @@ def greedy_assignment(pairs: DataFrame) -> DataFrame:
 def nearest_free(events: DataFrame, windows: DataFrame, km: float = 25.0, micros: int = 90 * 60_000_000) -> DataFrame:
     """greedy_assignment() of positive_candidates(), without making the pairs: (event_id, window_id).
 
-    Places are paired, and connected ones make an area. An area's times fall into runs that no event spans. A run is a task's alone, which reads its windows and then its events in (start, id) order and holds the windows that are free: those of
-    one place and time are a queue by id. An id that several areas or runs give a place (repeated rows) has the pairs made after all.
+    Places are paired, and connected ones make an area, as do those that one event has at one time. An area's times fall into runs that no event spans. A run is a task's alone, which reads its windows and then its events in (start, id)
+    order and holds the windows that are free: those of one place and time are a queue by id. An event id with several starts asks at the first of them; where it gets none, or loses it, it asks at the next one in a further round: a window
+    only ever passes to an earlier (start, id), so what was lost stays lost, and a round takes up the runs that are asked again with those who hold their windows. A window id that is taken twice, or an event of one start in several runs
+    (ends before starts), has the pairs made after all.
     """
     spark = events.sparkSession
     ship(spark)
@@ -151,6 +153,7 @@ def nearest_free(events: DataFrame, windows: DataFrame, km: float = 25.0, micros
         w_places = graph.written(near.select("lat", "lon").distinct().withColumn("there", F.monotonically_increasing_id() * 2 + 1), "window-places")
         pairs = keep(graph.written(near.join(e_places, ["_lat", "_lon"]).join(w_places, ["lat", "lon"]).select("place", "there", "distance_km"), "places-paired"))
         areas = graph.components(pairs.selectExpr("place AS a", "there AS b"), "areas")
+        areas = _areas_of_events(e, e_places, areas, pairs.count() <= FEW_PLACES)
         options = pairs.groupBy("place").agg(F.collect_list(F.struct("there", "distance_km")).alias("options"))
         few = pairs.count() <= FEW_PLACES
         some = lambda df: F.broadcast(df) if few else df
@@ -174,98 +177,156 @@ def nearest_free(events: DataFrame, windows: DataFrame, km: float = 25.0, micros
         runs = keep(graph.written(runs.select("area", "first", "run"), "area-runs"))
         times = keep(graph.written(firsts.join(runs, ["area", "first"]).select("area", F.col("t").alias("since"), "first", "run"), "area-starts"))
     held = lambda df: F.broadcast(df) if df.count() <= FEW_PLACES else df
-    e = e.join(held(times), ["area", "since"]).where("first <= until").drop("since", "until", "first")
-    w = w.join(held(runs.withColumnRenamed("first", "at")), ["area", "at"])
     own = {"event_id": events.schema["event_id"].dataType, "window_id": windows.schema["window_id"].dataType}
     no = lambda kind: F.lit(None).cast(kind)
     listed = [] if few else ["options"]
-    kind = pairs.select(F.array(F.struct("there", "distance_km")).alias("o")).schema["o"].dataType
-    rows = w.select("area", "run", F.lit(0).alias("kind"), F.col("at").alias("start"), no("long").alias("end"), no(own["event_id"]).alias("event_id"), "window_id", F.col("there").alias("place"), *[no(kind).alias(c) for c in listed])
-    rows = rows.unionByName(e.select("area", "run", F.lit(1).alias("kind"), "start", "end", "event_id", no(own["window_id"]).alias("window_id"), "place", *listed))
-    rows = rows.repartition("area", "run").sortWithinPartitions("area", "run", "kind", "start", "event_id", "window_id")
     known = spark.sparkContext.broadcast({r["place"]: [(o["there"], o["distance_km"]) for o in r["options"]] for r in options.collect()} if few else None)
-    out = StructType([StructField(c, t) for c, t in own.items()])
-    taken = graph.written(rows.mapInArrow(lambda batches: _take_nearest(batches, known.value, micros, to_arrow_schema(out)), out), "nearest-free")
-    twice = [taken.groupBy(c).count().where("count > 1") for c in own]
-    return taken if all(t.isEmpty() for t in twice) else greedy_assignment(positive_candidates(events, windows, km, micros))
+    with graph.scratch(spark) as keep:
+        e = e.join(held(times), ["area", "since"]).where("first <= until")
+        turns = Window.partitionBy("event_id").orderBy("start")
+        here, before = F.struct("area", "run", "start"), F.lag(F.struct("area", "run", "start")).over(turns)
+        e = e.withColumns({"turn": F.dense_rank().over(turns), "more": F.col("start") < F.max("start").over(Window.partitionBy("event_id")), "split": F.coalesce((before["start"] == F.col("start")) & (before != here), F.lit(False))})
+        asks = graph.written(e.select("area", "run", "start", "end", "event_id", "place", "turn", "more", "split", *listed), "asks")
+        whole = asks.where("split").isEmpty()
+        asks = asks.drop("split")
+        w = graph.written(w.join(held(runs.withColumnRenamed("first", "at")), ["area", "at"]).select("area", "run", F.col("at").alias("start"), "window_id", F.col("there").alias("place")), "free-windows")
+        out = StructType([*asks.schema.fields, StructField("window_id", own["window_id"])])
+        parts = int(str(spark.conf.get("spark.sql.shuffle.partitions")))
+        arrow, found, touched = to_arrow_schema(out), [], []
+        asking, free = asks.where("turn = 1"), w
+        while whole:
+            rows = free.withColumn("kind", F.lit(0)).unionByName(asking.withColumn("kind", F.lit(1)), allowMissingColumns=True).select("kind", *out.names)
+            rows = rows.repartition(parts, "area", "run").sortWithinPartitions("area", "run", "kind", "start", "event_id", "window_id")
+            found.append(graph.written(rows.mapInArrow(lambda batches: _take_nearest(batches, known.value, micros, arrow), out), "asked"))
+            lost = found[-1].where("window_id IS NULL").select("event_id", (F.col("turn") + 1).alias("turn")).distinct()
+            again = graph.written(asks.where("turn > 1").join(lost, ["event_id", "turn"]).select(*asks.columns), "asks-again")
+            # a run's windows are held by those whom the last round that took it up gave them
+            latest = reduce(DataFrame.unionAll, touched).groupBy("area", "run").agg(F.max("round").alias("round")) if touched else None
+            holders = reduce(DataFrame.unionAll, [f.where("window_id IS NOT NULL").withColumn("_round", F.lit(k)) for k, f in enumerate(found)])
+            if latest is not None:
+                holders = holders.join(held(latest), ["area", "run"], "left").where(F.col("_round") == F.coalesce("round", F.lit(0)))
+            holders = holders.select(*out.names)
+            if again.isEmpty():
+                break
+            touched.append(graph.written(again.select("area", "run").distinct().withColumn("round", F.lit(len(found))), "runs-again"))
+            at_these = held(touched[-1].select("area", "run"))
+            asking = holders.drop("window_id").join(at_these, ["area", "run"], "left_semi").select(*asks.columns).unionByName(again)
+            free = w.join(at_these, ["area", "run"], "left_semi")
+        taken = keep(graph.written(holders.select("event_id", "window_id").distinct(), "nearest-free")) if whole else None
+        whole = whole and all(taken.groupBy(c).count().where("count > 1").isEmpty() for c in own)
+    return taken if whole else greedy_assignment(positive_candidates(events, windows, km, micros))
+
+
+def _areas_of_events(events: DataFrame, places: DataFrame, areas: DataFrame, few: bool) -> DataFrame:
+    """areas (node, root), those joined that an event has places in at one start."""
+    some = lambda df: F.broadcast(df) if few else df
+    while not areas.select("root").distinct().limit(2).count() <= 1:
+        at = some(places.join(areas, F.col("place") == F.col("node")).select("_lat", "_lon", "root"))
+        spans = events.join(at, ["_lat", "_lon"]).groupBy("event_id", "start_time").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+        spans = graph.written(spans.select("a", "b").distinct(), "areas-spanned")
+        if spans.isEmpty():
+            break
+        linked = graph.components(spans, "areas-linked").withColumnRenamed("node", "old").withColumnRenamed("root", "new")
+        areas = graph.written(areas.join(some(linked), F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")), "areas")
+    return areas
+
+
+def _whole_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of batches, an event's of one start together."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        key = lambda i: tuple(table.column(c)[i] for c in ("area", "run", "kind", "start", "event_id"))  # noqa: E731, B023
+        cut = table.num_rows - 1
+        while cut > 0 and key(cut - 1) == key(cut):
+            cut -= 1
+        held = table.slice(cut)
+        if cut > 0:
+            yield table.slice(0, cut)
+    if held is not None:
+        yield held
 
 
 def _take_nearest(batches: Iterator[pa.RecordBatch], known: dict | None, micros: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The kernel of nearest_free(): rows of runs, each run's windows first, then its events in order."""
-    run, free, levels, start = None, {}, {}, None
-    asking: tuple = (None, [])
-    used, done, found = set(), set(), []
+    """The kernel of nearest_free(): rows of runs, each run's windows first, then its events in order. Rows of events come back with the window that they get, and without one if they have a later start to ask at."""
+    run, free, levels, at = None, {}, {}, None
+    used: set = set()
 
-    def levels_of(end: int, options: list) -> list:
-        """[(late, km), queues] of an event's place and times, nearest first."""
+    def levels_of(start: int, end: int, options: list) -> list:
+        """[((late, km), queues)] of an event's place and times, nearest first."""
         near: dict = {}
+        low, high = min(start, end) - micros, max(start, end) + micros
         for there, far in options:
-            times, queues = free.get(there, ((), ()))
-            for i in range(bisect_left(times, min(start, end) - micros), bisect_right(times, max(start, end) + micros)):
-                late = 0 if start <= times[i] <= end else min(abs(times[i] - start), abs(times[i] - end))
+            if there not in free:
+                continue
+            times, queues = free[there]
+            for i in range(bisect_left(times, low), bisect_right(times, high)):
+                t = times[i]
+                late = 0 if start <= t <= end else min(abs(t - start), abs(t - end))
                 if late <= micros:
                     near.setdefault((late, far), []).append(queues[i])
         return sorted(near.items(), key=lambda x: x[0])
 
-    def take() -> None:
-        """The window of the event that is asking, whose rows may have several places."""
-        event, asked = asking
-        if not asked or event in done:
-            return
+    def nearest(asked: list) -> object:
+        """The window of an event whose rows have these levels."""
         every = asked[0] if len(asked) == 1 else sorted((x for a in asked for x in a), key=lambda x: x[0])
-        gone = 0
-        for i, (at, queues) in enumerate(every):
+        gone, window = 0, None
+        for i, (level, queues) in enumerate(every):
             for q in queues:
                 while q and q[-1] in used:
                     q.pop()
             if any(queues):
-                more = [every[j][1] for j in range(i + 1, len(every)) if every[j][0] == at] if len(asked) > 1 else []
+                more = [every[j][1] for j in range(i + 1, len(every)) if every[j][0] == level] if len(asked) > 1 else []
                 best = min((q for qs in (queues, *more) for q in qs if q), key=lambda q: q[-1])
-                used.add(best[-1])
-                done.add(event)
-                found.append((event, best.pop()))
+                window = best.pop()
+                used.add(window)
                 break
             gone = i + 1
         if len(asked) == 1:
             del every[:gone]
-
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        for area, r, kind, at, end, event, window, place, *options in zip(*columns, strict=True):
-            if (area, r) != run:
-                take()
-                run, free, levels, start, asking = (area, r), {}, {}, None, (None, [])
+        return window
+
+    for table in _whole_events(batches):
+        area, r, kind, start, end, event, window, place, later = (table.column(c).to_pylist() for c in ("area", "run", "kind", "start", "end", "event_id", "window_id", "place", "more"))
+        listed = table.column("options").to_pylist() if known is None else None
+        rows, got, i, n = [], [], 0, table.num_rows
+        while i < n:
+            if r[i] != run or area[i] != at:
+                run, at, free, levels, begun, turned = r[i], area[i], {}, {}, None, False
                 used.clear()
-                done.clear()
-            if kind == 0:
-                times, queues = free.setdefault(place, ([], []))
-                if not times or times[-1] != at:
-                    times.append(at)
+            if kind[i] == 0:
+                times, queues = free.setdefault(place[i], ([], []))
+                if not times or times[-1] != start[i]:
+                    times.append(start[i])
                     queues.append([])
-                queues[-1].append(window)
+                queues[-1].append(window[i])
+                i += 1
                 continue
-            if start is None:
+            if not turned:
+                turned = True
                 for _, queues in free.values():
                     for q in queues:
                         q.reverse()
-            if at != start or event != asking[0]:
-                take()
-                asking = (event, [])
-            if at != start:
-                start, levels = at, {}
-            if (spot := levels.get((end, place))) is None:
-                spot = levels[end, place] = levels_of(end, [(o["there"], o["distance_km"]) for o in options[0]] if options else known[place])
-            if spot:
-                asking[1].append(spot)
-        if len(found) > 50_000:
-            yield _assigned(found, out)
-            found.clear()
-    take()
-    yield _assigned(found, out)
-
-
-def _assigned(found: list, out: pa.Schema) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([x for x, _ in found], out[0].type), pa.array([y for _, y in found], out[1].type)], schema=out)
+            if start[i] != begun:
+                begun, levels = start[i], {}
+            j, asked = i, []
+            while j < n and event[j] == event[i] and start[j] == begun and r[j] == run and area[j] == at and kind[j] == 1:
+                spot = levels.get((end[j], place[j]))
+                if spot is None:
+                    spot = levels[end[j], place[j]] = levels_of(begun, end[j], [(o["there"], o["distance_km"]) for o in listed[j]] if known is None else known[place[j]])
+                if spot:
+                    asked.append(spot)
+                j += 1
+            mine = nearest(asked) if asked else None
+            if mine is not None or later[i]:
+                rows.extend(range(i, j))
+                got.extend([mine] * (j - i))
+            i = j
+        if rows:
+            some = table.take(pa.array(rows, pa.int64()))
+            columns = [pa.chunked_array([pa.array(got, f.type)]) if f.name == "window_id" else some.column(f.name).cast(f.type) for f in out]
+            yield from pa.table(columns, schema=out).combine_chunks().to_batches()
 
 
 def without_detections(windows: DataFrame, detections: DataFrame, km: float = 50.0, micros: int = 24 * HOUR) -> DataFrame:
