@@ -114,3 +114,12 @@ def test_events_that_repeat_make_no_pairs(spark, monkeypatch):
     want = sorted(map(tuple, relate.greedy_assignment(relate.positive_candidates(e, w)).collect()))
     monkeypatch.setattr(relate, "positive_candidates", None)
     assert sorted(map(tuple, relate.nearest_free(e, w).collect())) == want and want
+
+
+def test_built_benchmark_makes_no_pairs(spark, monkeypatch):
+    """Events take windows, and positives controls, without a row for every pair that could be."""
+    from thermal_lake.operators import relate
+
+    for name in ("positive_candidates", "match_candidates", "greedy_assignment"):
+        monkeypatch.setattr(relate, name, None)
+    assert catalog.QUERIES["built_benchmark"](spark, FOLDER).count() > 0

@@ -393,9 +393,14 @@ def seeded_order(count: int, seed: int, skip: int = 0) -> list[int]:
 def maximum_matching(candidates: DataFrame) -> DataFrame:
     """One-to-one pairs, as many as possible: augmenting paths inside each independent (season, cell) block, positives with the fewest options first.
 
-    Optional columns positive_rank and control_rank give the order of equals (see seeded_order); ids do without them.
+    Optional columns positive_rank and control_rank give the order of equals (see seeded_order); ids do without them. Instead of pairs, candidates may be the windows of both sides, as matched_windows() has them.
     """
     ship(candidates.sparkSession)
+    if "side" in candidates.columns:
+        kind = candidates.schema["id"].dataType
+        out = StructType([StructField("positive_id", kind), StructField("control_id", kind)])
+        arrow = to_arrow_schema(out)
+        return candidates.groupBy("season", "region_cell").applyInArrow(lambda table: _match_block(table, arrow), out)
     ranked = "positive_rank" in candidates.columns
 
     def match(table: pa.Table) -> pa.Table:
@@ -445,14 +450,9 @@ def matched_windows(positives: DataFrame, controls: DataFrame) -> DataFrame:
     controls = controls.where(F.col(zenith) <= F.lit(highest) + 10.001)
     names = ["season", "region_cell", "local_hour", "view_zenith_degrees", "usable_fraction"]
     side = lambda df, n: matching_variables(df).select(*names, F.col("window_id").alias("id"), F.lit(n).alias("side")).dropna()
-    p, c = positives.schema["window_id"].dataType, controls.schema["window_id"].dataType
-    out = StructType([StructField("positive_id", p), StructField("control_id", c)])
     rows = side(positives, 0).unionAll(side(controls, 1)).repartition(int(str(spark.conf.get("spark.sql.shuffle.partitions"))), "season", "region_cell")
-
-    def match(table: pa.Table) -> pa.Table:
-        return _match_block(table, to_arrow_schema(out))
-
-    return rows.groupBy("season", "region_cell").applyInArrow(match, out)
+    kind = lambda df: df.schema["window_id"].dataType
+    return maximum_matching(rows).select(F.col("positive_id").cast(kind(positives)), F.col("control_id").cast(kind(controls)))
 
 
 def _match_block(table: pa.Table, out: pa.Schema) -> pa.Table:
